@@ -83,18 +83,24 @@ def canonical_field(field) -> Column:
     return F.coalesce(F.element_at(literal_map(catalog.FIELD_ALIASES), lookup), key)
 
 
+# Unicode-aware character classes, spelled out so that no engine default matters
+SPACE = r"\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+DETAIL_FOLDS = (
+    (rf"https?://[^{SPACE}]+", "<url>"),
+    (r"0x[0-9a-fA-F]+", "<addr>"),
+    (r"(/[\p{L}\p{N}_.\-]+){2,}", "<path>"),
+    (r"\p{Nd}+", "#"),
+    (rf"[{SPACE}]+", " "),
+)
+DETAIL_LENGTH = 160
+
+
 def normalise_detail(detail) -> Column:
     """Fold URLs, addresses, paths, digits and whitespace so alike messages group."""
     text = F.coalesce(as_col(detail), F.lit(""))
-    for pattern, token in (
-        (r"https?://\S+", "<url>"),
-        (r"0x[0-9a-fA-F]+", "<addr>"),
-        (r"(/[A-Za-z0-9_.\-]+){2,}", "<path>"),
-        (r"[0-9]+", "#"),
-        (r"[ \t\n\r\f]+", " "),
-    ):
+    for pattern, token in DETAIL_FOLDS:
         text = F.regexp_replace(text, pattern, token)
-    return F.substring(F.trim(text), 1, 160)
+    return F.substring(F.trim(text), 1, DETAIL_LENGTH)
 
 
 def basis_metric(field) -> Column:

@@ -22,15 +22,15 @@ RANGES = 64
 _SKETCH_ACCURACY = 2000
 
 
-def _range_bounds(hist: DataFrame, keys: Sequence[str], ranges: int) -> list:
+def _range_bounds(rows: DataFrame, keys: Sequence[str], ranges: int) -> list:
     """Quantile boundaries per key: at most (number of keys) x ranges doubles reach the driver."""
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    rows = (
-        hist.groupBy(*keys)
+    found = (
+        rows.groupBy(*keys)
         .agg(F.percentile_approx("value", probs, F.lit(_SKETCH_ACCURACY)).alias("bounds"))
         .collect()
     )
-    return [(tuple(row[k] for k in keys), sorted(set(row["bounds"] or []))) for row in rows]
+    return [(tuple(row[k] for k in keys), sorted(set(row["bounds"] or []))) for row in found]
 
 
 def _with_range(hist: DataFrame, keys: Sequence[str], bounds: list) -> DataFrame:
@@ -52,12 +52,9 @@ def _with_range(hist: DataFrame, keys: Sequence[str], bounds: list) -> DataFrame
 def value_ranks(long: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> DataFrame:
     """(keys, value) -> rows strictly below, ties, total. Null values are ignored."""
     keys = list(keys)
-    hist = (
-        long.filter(F.col("value").isNotNull())
-        .groupBy(*keys, "value")
-        .agg(F.count("*").alias("ties"))
-    )
-    ranged = _with_range(hist, keys, _range_bounds(hist, keys, ranges))
+    present = long.filter(F.col("value").isNotNull())
+    hist = present.groupBy(*keys, "value").agg(F.count("*").alias("ties"))
+    ranged = _with_range(hist, keys, _range_bounds(present, keys, ranges))
     per_range = ranged.groupBy(*keys, "_range").agg(F.sum("ties").alias("_n"))
     # at most `ranges` rows per key
     w_keys = Window.partitionBy(*keys)

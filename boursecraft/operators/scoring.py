@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from boursecraft import catalog
 from boursecraft.functions import values as V
 from boursecraft.operators.ranks import ordinal_rank, percentile_ranks
+from boursecraft.session import materialise
 
 METRICS = tuple(catalog.DIRECTIONS)
 _RATIOS = ("trailingPE", "priceToBook", "pegRatio", "enterpriseToEbitda")
@@ -155,6 +156,8 @@ def group_mean(group: str, present: Sequence[str]) -> Column:
 def with_groups(df: DataFrame, id_column: str = "instrument_id", keys: Sequence[str] = ()) -> DataFrame:
     """Add ``g_<group>`` scores, 0..100 with one decimal."""
     present = [m for m in METRICS if m in df.columns]
+    # the factor table is read by the histogram, the boundary sketch, the lookup and the join back
+    df = materialise(df, "factors")
     joined = df.join(metric_percentiles(df, id_column, keys), [id_column, *keys], "left")
     scores = {f"g_{g}": V.rounded(group_mean(g, present) * 100, 1) for g in catalog.GROUPS}
     return joined.withColumns(scores).drop(*[f"p_{m}" for m in present])
@@ -183,6 +186,7 @@ def with_final_score(df: DataFrame) -> DataFrame:
 def with_rank(df: DataFrame, id_column: str = "instrument_id", keys: Sequence[str] = ()) -> DataFrame:
     """1..n over scored rows by final then model score, then id; unranked rows keep a null rank."""
     keys = list(keys)
+    df = materialise(df, "scores")
     scored = df.filter("final_score IS NOT NULL").select(id_column, *keys, "final_score", "model_score")
     ranks = ordinal_rank(scored, ["final_score", "model_score"], id_column, keys=keys).select(id_column, *keys, "rank")
     return df.join(ranks, [id_column, *keys], "left")
@@ -232,6 +236,7 @@ def lens_scores(df: DataFrame, lenses: Mapping[str, Mapping[str, float]] | None
 def column_weight_scores(df: DataFrame, id_column: str) -> DataFrame:
     """Single-level weighted percentile over ten columns; a missing column voids the score."""
     columns = list(catalog.COLUMN_WEIGHTS)
+    df = materialise(df.select(id_column, *columns), "columns")
     cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(id_column, F.inline(cells)).filter("value IS NOT NULL")
     direction = F.element_at(V.literal_map({c: d for c, (_, d) in catalog.COLUMN_WEIGHTS.items()}), F.col("metric"))
@@ -244,7 +249,8 @@ def column_weight_scores(df: DataFrame, id_column: str) -> DataFrame:
         f"s_{g}": V.rounded(_total([F.col(f"p_{c}") for c in members]) / len(members) * 100, 0)
         for g, members in catalog.COLUMN_GROUPS.items()
     }
-    return wide.select(id_column, score.alias("final_score"), *[c.alias(k) for k, c in groups.items()])
+    every = df.select(id_column).join(wide, id_column, "left")
+    return every.select(id_column, score.alias("final_score"), *[c.alias(k) for k, c in groups.items()])
 
 
 def what_if(stocks: DataFrame, ticker: str, scenarios: Mapping[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
@@ -272,7 +278,7 @@ def what_if(stocks: DataFrame, ticker: str, scenarios: Mapping[str, tuple[float
     weights = normalised_weights()
     present = [m for m in METRICS if m in varied.columns]
     keys = ["scenario"]
-    neutral = varied.withColumn("sector", F.lit(None).cast("string"))
+    neutral = materialise(varied.withColumn("sector", F.lit(None).cast("string")), "scenarios")
     pct = metric_percentiles(neutral, "instrument_id", keys)
     joined = neutral.join(pct, ["instrument_id", *keys], "left")
     groups = {
@@ -280,9 +286,10 @@ def what_if(stocks: DataFrame, ticker: str, scenarios: Mapping[str, tuple[float
         for g, ms in catalog.GROUPS.items()
     }
     scored = joined.withColumns(groups).withColumn("final_score", model_score(weights))
-    ranked = ordinal_rank(scored.select("instrument_id", "ticker", "scenario", "scenario_no", "g_growth", "final_score"), ["final_score"], "instrument_id", keys=keys)
+    scored = materialise(scored.select("instrument_id", "ticker", "scenario", "scenario_no", "g_growth", "final_score"), "scenario_scores")
+    ranked = ordinal_rank(scored, ["final_score"], "instrument_id", keys=keys)
     # one row per scenario from here on
-    mine = ranked.filter(hit)
+    mine = materialise(ranked.filter(hit), "scenario_result")
     baseline = mine.agg(F.min_by("final_score", "scenario_no").alias("s"), F.min_by("rank", "scenario_no").alias("r"))
     return mine.select(
         "scenario", "g_growth", "final_score", "rank",

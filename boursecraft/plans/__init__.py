@@ -2,6 +2,8 @@
 
 from boursecraft.plans import (  # noqa: F401  (imported for their registrations)
     q_reconcile,
+    q_explore,
+    q_scoring,
     q_series,
 )
 from boursecraft.plans.registry import ORACLES, QUERIES

@@ -205,13 +205,15 @@ def part_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide stock record: identity plus the declared fields."""
     base = part_facts(spark, sf_dir).withColumn("price", F.col("p_retailprice"))
-    return base.select(
+    # emitted through a generator so that expressions above do not inline the mapping formulas
+    row = F.struct(
         F.col("k").alias("instrument_id"),
         F.expr("concat('T', CAST(k AS STRING))").alias("ticker"),
         F.col("p_name").alias("shortName"),
         F.expr(FUND_SECTOR).alias("sector"),
         *[F.expr(fundamental_expr(m)).alias(m) for m in FUNDAMENTALS],
     )
+    return base.select(F.inline(F.array(row)))
 
 
 # ---- ranking runs: customers by yearly revenue ----------------------------------------------------

@@ -13,6 +13,7 @@ from boursecraft.plans import adapters as A
 from boursecraft.plans import oracle as O
 from boursecraft.plans.oracle import with_
 from boursecraft.plans.registry import query
+from boursecraft.plans.shared import published
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,11 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current metrics as published for readers."""
+    return published(spark, sf_dir, "current_metrics", lambda: current(spark, sf_dir))
+
+
 @query("flt_active_equities", with_(O.INST) + "SELECT instrument_id, ticker, exchange, isin, sector, kind FROM active")
 def _(spark, d):
     return R.active_equities(A.instruments(spark, d)).select("instrument_id", "ticker", "exchange", "isin", "sector", "kind")
@@ -305,7 +311,7 @@ def _(spark, d):
 @query("join_pivot_observations", "WITH " + O.CURRENT + "\nSELECT a.ticker, c.field, c.numeric_value, c.text_value, c.origin FROM current c JOIN active a USING (instrument_id)")
 def _(spark, d):
     named = R.active_equities(A.instruments(spark, d)).select("instrument_id", "ticker")
-    return current(spark, d).join(named, "instrument_id").select("ticker", "field", "numeric_value", "text_value", "origin")
+    return stored(spark, d).join(named, "instrument_id").select("ticker", "field", "numeric_value", "text_value", "origin")
 
 
 _PIVOT_NUM = ("current_price", "currentPrice", "roe_pct", "returnOnEquity", "trailing_pe", "promoter_pct", "rank", "final_score")
@@ -319,25 +325,25 @@ _PIVOT_TEXT = ("shortName", "sector", "score_status")
   FROM current c JOIN active a USING (instrument_id) WHERE field IN ({O.sql_list(_PIVOT_NUM + _PIVOT_TEXT)})
   AND (numeric_value IS NOT NULL OR text_value IS NOT NULL) GROUP BY 1""")
 def _(spark, d):
-    wide = R.pivot_stocks(current(spark, d), A.instruments(spark, d), _PIVOT_NUM, _PIVOT_TEXT)
+    wide = R.pivot_stocks(stored(spark, d), A.instruments(spark, d), _PIVOT_NUM, _PIVOT_TEXT)
     pairs = F.transform(F.map_entries("field_origins"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return wide.withColumn("origins", F.array_join(pairs, ",")).drop("field_origins")
 
 
 @query("rec_field_timestamps", "WITH " + O.CURRENT + "\nSELECT a.ticker, c.field, c.observed_at FROM current c JOIN active a USING (instrument_id) WHERE a.ticker = 'CUSTOMER000000002'")
 def _(spark, d):
-    return R.field_timestamps(current(spark, d), R.active_equities(A.instruments(spark, d)), "CUSTOMER000000002")
+    return R.field_timestamps(stored(spark, d), R.active_equities(A.instruments(spark, d)), "CUSTOMER000000002")
 
 
 @query("agg_origin_counts", "WITH " + O.CURRENT + "\nSELECT origin, count(*) AS cells, count(DISTINCT field) AS fields FROM current GROUP BY 1")
 def _(spark, d):
-    return current(spark, d).groupBy("origin").agg(F.count("*").alias("cells"), F.count_distinct("field").alias("fields"))
+    return stored(spark, d).groupBy("origin").agg(F.count("*").alias("cells"), F.count_distinct("field").alias("fields"))
 
 
 @query("agg_payload_meta", "WITH " + O.CURRENT + """\nSELECT max(observed_at) AS latest_source_at, count(DISTINCT instrument_id) AS stocks, count(DISTINCT field) AS fields,
   string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins FROM current""")
 def _(spark, d):
-    return current(spark, d).agg(
+    return stored(spark, d).agg(
         F.max("observed_at").alias("latest_source_at"),
         F.count_distinct("instrument_id").alias("stocks"),
         F.count_distinct("field").alias("fields"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "boursecraft", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +38,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     target = configured or tempfile.mkdtemp(prefix="boursecraft-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
     return target
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and read it back as a table.
+
+    Used where several later stages read the same reduced result: lineage ends here, lost
+    executors re-read files instead of recomputing the scan, and later reads are pruned and sized
+    by the file statistics. The table lives in the shared checkpoint folder.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from boursecraft.plans import (  # noqa: F401  (imported for their registrations
     q_explore,
     q_scoring,
     q_series,
+    q_sources,
 )
 from boursecraft.plans.registry import ORACLES, QUERIES
 

@@ -198,20 +198,25 @@ def shareholding(docs: DataFrame, as_of) -> DataFrame:
 
 # ---- older statement series ------------------------------------------------------------------------
 
-def named_series(rows: DataFrame, names: Sequence[str], keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """Values of the first candidate row name present, newest first, nulls dropped.
+def concept_series(rows: DataFrame, concepts: dict[str, Sequence[str]], keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """One array column per concept: the first candidate row name present, newest first, nulls dropped.
 
-    ``rows``: keys, row_name, day, value. Which name a key has is decided on its distinct names.
+    ``rows``: keys, row_name, day, value. All concepts are resolved in one pass over the rows; a
+    candidate name may serve one concept only.
     """
-    wanted = {"".join(ch for ch in n.upper() if ch.isalnum()): i for i, n in reversed(list(enumerate(names)))}
-    order = F.element_at(V.literal_map(wanted), V.normal_symbol("row_name"))
-    matched = rows.withColumn("_order", order).filter("_order IS NOT NULL")
-    per_day = matched.groupBy(*keys, "_order", "day").agg(F.max("value").alias("value"))
+    lookup = {}
+    for concept, names in concepts.items():
+        for order, name in enumerate(names):
+            plain = "".join(ch for ch in name.upper() if ch.isalnum())
+            lookup.setdefault(plain, F.struct(F.lit(concept).alias("concept"), F.lit(order).alias("order")))
+    entries = F.create_map(*[part for name, target in lookup.items() for part in (F.lit(name), target)])
+    matched = rows.withColumn("_m", F.element_at(entries, V.normal_symbol("row_name"))).filter("_m IS NOT NULL")
+    per_day = matched.groupBy(*keys, "_m", "day").agg(F.max("value").alias("value"))
     # reporting days of one statement row: a few dozen at most
-    per_name = per_day.groupBy(*keys, "_order").agg(F.reverse(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("day", "value"))))).alias("_points"))
-    return per_name.groupBy(*keys).agg(F.min_by("_points", "_order").alias("_points")).select(
-        *keys, F.transform("_points", lambda p: p["value"]).alias("series")
-    )
+    points = F.reverse(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("day", "value")))))
+    per_name = per_day.groupBy(*keys, "_m").agg(F.transform(points, lambda p: p["value"]).alias("_s"))
+    of = lambda c: F.min_by("_s", F.when(F.col("_m.concept") == c, F.col("_m.order")))
+    return per_name.groupBy(*keys).agg(*[of(c).alias(c) for c in concepts])
 
 
 def at(name: str, position: int) -> Column:

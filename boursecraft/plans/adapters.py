@@ -102,9 +102,9 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticker_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Former symbols: every customer whose key ends in 7 once traded under OLD<key>."""
+    """Former symbols: every customer of one nation once traded under OLD<key>."""
     cust = table(spark, sf_dir, "customer")
-    return cust.filter("c_custkey % 10 = 7").select(
+    return cust.filter("c_nationkey = 7").select(
         F.col("c_custkey").alias("instrument_id"),
         F.expr("concat('OLD', CAST(c_custkey AS STRING))").alias("ticker"),
         F.lit("NSE").alias("exchange"),
@@ -265,11 +265,11 @@ def archive_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """(files, rows): two paths; the first has two versions, the newer one wins."""
     cust = table(spark, sf_dir, "customer")
     records = {
-        ("data/ranking.csv", "v1", "2024-01-05 00:00:00"): "c_custkey % 2 = 0",
-        ("data/ranking.csv", "v2", "2024-01-20 00:00:00"): "c_custkey % 3 <> 0",
+        ("data/ranking.csv", "v1", "2024-01-05 00:00:00"): "c_acctbal > 2000",
+        ("data/ranking.csv", "v2", "2024-01-20 00:00:00"): "c_nationkey <> 4",
         ("data/raw.csv", "v1", "2024-01-10 00:00:00"): "true",
     }
-    ticker = F.expr("CASE WHEN c_custkey % 10 = 7 THEN concat(' old', CAST(c_custkey AS STRING)) ELSE replace(c_name, '#', '') END")
+    ticker = F.expr("CASE WHEN c_nationkey = 7 THEN concat(' old', CAST(c_custkey AS STRING)) ELSE replace(c_name, '#', '') END")
     files = rows = None
     for (path, version, modified), condition in records.items():
         # column values are data; the record is keyed by header name as the archive stores it

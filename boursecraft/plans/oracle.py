@@ -47,7 +47,7 @@ INST = "inst AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in A.INST_COLUMNS.i
 active AS (SELECT * FROM inst WHERE kind = 'EQUITY' AND active)"""
 
 ALIASES = """hist AS (SELECT c_custkey AS instrument_id, concat('OLD', CAST(c_custkey AS VARCHAR)) AS ticker,
-  'NSE' AS exchange FROM customer WHERE c_custkey % 10 = 7)"""
+  'NSE' AS exchange FROM customer WHERE c_nationkey = 7)"""
 
 _ORD = "(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
 CLOSES = f"""
@@ -102,13 +102,13 @@ ranked AS (
   SELECT 'run-2001', instrument_id, rank, final_score, score_status, "currentPrice" / 10, pct_below_52w_high,
          CASE WHEN rank <= 10 THEN 'up' END, pct_below_52w_high FROM cur)"""
 
-_ARCH_COLS = """CASE WHEN c_custkey % 10 = 7 THEN concat(' old', CAST(c_custkey AS VARCHAR)) ELSE replace(c_name, '#', '') END AS a_ticker,
+_ARCH_COLS = """CASE WHEN c_nationkey = 7 THEN concat(' old', CAST(c_custkey AS VARCHAR)) ELSE replace(c_name, '#', '') END AS a_ticker,
   CAST(c_nationkey AS VARCHAR) AS a_price, c_mktsegment AS a_sector,
   CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(c_custkey % 50 AS VARCHAR) END AS a_roe, c_custkey AS row_number"""
 ARCHIVE = f"""
 arows AS (
-  SELECT 'data/ranking.csv' AS source_path, 'v1' AS content_sha256, TIMESTAMP '2024-01-05' AS modified, {_ARCH_COLS} FROM customer WHERE c_custkey % 2 = 0
-  UNION ALL SELECT 'data/ranking.csv', 'v2', TIMESTAMP '2024-01-20', {_ARCH_COLS} FROM customer WHERE c_custkey % 3 <> 0
+  SELECT 'data/ranking.csv' AS source_path, 'v1' AS content_sha256, TIMESTAMP '2024-01-05' AS modified, {_ARCH_COLS} FROM customer WHERE c_acctbal > 2000
+  UNION ALL SELECT 'data/ranking.csv', 'v2', TIMESTAMP '2024-01-20', {_ARCH_COLS} FROM customer WHERE c_nationkey <> 4
   UNION ALL SELECT 'data/raw.csv', 'v1', TIMESTAMP '2024-01-10', {_ARCH_COLS} FROM customer),
 afiles AS (SELECT source_path, content_sha256, max(modified) AS modified, count(*) AS row_count FROM arows GROUP BY 1, 2),
 newest_files AS (SELECT source_path, arg_max(content_sha256, modified) AS content_sha256, max(modified) AS modified FROM afiles GROUP BY 1),

@@ -523,7 +523,7 @@ def _(spark, d):
 def csv_documents(spark: SparkSession, d: str) -> DataFrame:
     """One CSV file per document: quoted whole text, a repeated header, a surplus and a short row."""
     text = F.expr("""concat('id,text,text\r\n', CAST(doc_id AS STRING), ',"', replace(text, '"', '""'), '",', lang, ',extra\n', CAST(doc_id AS STRING), '\n')""")
-    return A.table(spark, d, "documents").select(F.expr("concat('data/', source, '/', CAST(doc_id AS STRING), '.csv')").alias("source_path"), F.encode(text, "UTF-8").alias("content"))
+    return A.table(spark, d, "documents").select(F.expr("concat('data/', source, '/', CAST(doc_id AS STRING), '.csv')").alias("source_path"), F.encode(text, "UTF-8").alias("content"), "n_chars", "lang")
 
 
 _CSV_TEXT = """concat('id,text,text', chr(13), chr(10), CAST(doc_id AS VARCHAR), ',"', replace(text, '"', '""'), '",', lang, ',extra', chr(10), CAST(doc_id AS VARCHAR), chr(10))"""
@@ -543,7 +543,7 @@ def _(spark, d):
     return A.table(spark, d, "pages").select(path.alias("path")).filter(Z.is_archivable(F.col("path")))
 
 
-_AUDIT = f"csvs AS (SELECT doc_id, concat('data/', source, '/', CAST(doc_id AS VARCHAR), '.csv') AS source_path, {_CSV_TEXT} AS body FROM documents)"
+_AUDIT = f"csvs AS (SELECT doc_id, n_chars, lang, concat('data/', source, '/', CAST(doc_id AS VARCHAR), '.csv') AS source_path, {_CSV_TEXT} AS body FROM documents)"
 
 
 @query("audit_csv_import", with_(_AUDIT) + """SELECT source_path, sha256(body) AS declared_sha256, sha256(body) AS stored_sha256, octet_length(encode(body)) + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS declared_size_bytes, octet_length(encode(body)) AS stored_size_bytes,
@@ -557,7 +557,7 @@ def _(spark, d):
     return Z.import_audit(files.withColumn("size_bytes", F.col("size_bytes") + F.when(wrong, 1).otherwise(0)), rows)
 
 
-_VERIFY = with_(_AUDIT, """ex AS (SELECT doc_id, source_path, sha256(body) AS sha, octet_length(encode(body)) AS size FROM csvs WHERE doc_id % 7 <> 3)""", """ac AS (SELECT doc_id, source_path, sha256(body) AS sha, octet_length(encode(body)) + CASE WHEN doc_id % 5 = 1 THEN 2 ELSE 0 END AS size FROM csvs WHERE doc_id % 11 <> 4)""")
+_VERIFY = with_(_AUDIT, """ex AS (SELECT doc_id, source_path, sha256(body) AS sha, octet_length(encode(body)) AS size FROM csvs WHERE n_chars > 300)""", """ac AS (SELECT doc_id, source_path, sha256(body) AS sha, octet_length(encode(body)) + CASE WHEN doc_id % 5 = 1 THEN 2 ELSE 0 END AS size FROM csvs WHERE lang <> 'de')""")
 
 
 @query("audit_verify_import", _VERIFY + """SELECT source_path, 'missing' AS problem, CAST(NULL AS VARCHAR) AS expected, CAST(NULL AS VARCHAR) AS actual FROM ex WHERE doc_id NOT IN (SELECT doc_id FROM ac) UNION ALL SELECT source_path, 'unexpected', NULL, NULL FROM ac WHERE doc_id NOT IN (SELECT doc_id FROM ex)
@@ -565,9 +565,9 @@ _VERIFY = with_(_AUDIT, """ex AS (SELECT doc_id, source_path, sha256(body) AS sh
 def _(spark, d):
     docs = csv_documents(spark, d)
     n = F.regexp_extract("source_path", "([0-9]+)[.]csv$", 1).cast("long")
-    base = docs.select("source_path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), F.lit(2).alias("row_count"))
-    actual = base.filter(n % 11 != 4).withColumn("size_bytes", F.col("size_bytes") + F.when(n % 5 == 1, 2).otherwise(0))
-    return Z.verify_import(base.filter(n % 7 != 3), actual)
+    base = docs.select("source_path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), F.lit(2).alias("row_count"), "n_chars", "lang")
+    actual = base.filter("lang <> 'de'").withColumn("size_bytes", F.col("size_bytes") + F.when(n % 5 == 1, 2).otherwise(0))
+    return Z.verify_import(base.filter("n_chars > 300"), actual)
 
 
 @query("audit_manifest", with_(_AUDIT) + "SELECT count(*) AS file_count, CAST(sum(2) AS BIGINT) AS total_rows, CAST(sum(octet_length(encode(body))) AS BIGINT) AS total_bytes FROM csvs")

@@ -90,7 +90,7 @@ def _(spark, d):
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """A balance sheet and a quarterly income statement per customer, built from its yearly figures."""
-    per = yearly_series(spark, d).filter("NOT (cents % 50 = 7)")
+    per = yearly_series(spark, d)
     # one point per calendar year and customer
     point = lambda e: F.collect_list(F.struct(F.concat(F.lit("Mar "), F.col("y").cast("string")).alias("period"), F.expr(e).cast("string").alias("value")))
     rows = per.groupBy("ck").agg(*[point(e).alias(c) for c, e in CATEGORIES.items()])
@@ -112,7 +112,8 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("ck").alias("ticker"), F.inline(pair))
 
 
-_DOC = PTS.replace("FROM orders GROUP BY 1, 2)", "FROM orders GROUP BY 1, 2 HAVING NOT (CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) % 50 = 7))")
+# documents state every figure once
+_DOC = PTS.replace("\n  UNION ALL SELECT ck, 'revenue', y, CAST(cents % 90000 AS DOUBLE) + 1 FROM yr WHERE cents % 50 = 7 AND n <> 3", "")
 _ST = with_(_DOC, f"""ok AS (SELECT *, CASE WHEN ck % 5 = 0 THEN 'standalone' ELSE 'consolidated' END AS basis FROM ser WHERE ck % 13 <> 0 AND ck % 17 <> 3 AND period IS NOT NULL)""",
 """w AS (SELECT ck, basis, """ + ", ".join(f"max({w}) FILTER (WHERE category = '{c}') AS {c}_{w}" for c in CATEGORIES for w in ("value", "period", "year_ago")) + " FROM ok GROUP BY 1, 2)",
 """o AS (

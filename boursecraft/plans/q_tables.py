@@ -40,10 +40,10 @@ def _(spark, d):
     return rows.groupBy(F.col("event_type").alias("provider")).agg(F.max("ts").alias("last_refresh"))
 
 
-@query("sink_observations_append", with_(O.RAW_OBS, O.INST) + """SELECT id, instrument_id, field, provider, numeric_value FROM raw_obs WHERE id % 3 <> 0 AND instrument_id IN (SELECT instrument_id FROM active)""")
+@query("sink_observations_append", with_(O.RAW_OBS, O.INST) + """SELECT id, instrument_id, field, provider, numeric_value FROM raw_obs WHERE provider <> 'nse' AND instrument_id IN (SELECT instrument_id FROM active)""")
 def _(spark, d):
     obs = A.raw_observations(spark, d)
-    stored = obs.filter("id % 3 = 0")
+    stored = obs.filter("provider = 'nse'")
     # every row arrives twice; the copy carries a later id
     incoming = obs.unionByName(obs.withColumn("id", F.col("id") + 1000000000))
     return B.new_observations(incoming, stored, A.instruments(spark, d)).select("id", "instrument_id", "field", "provider", "numeric_value")
@@ -72,20 +72,20 @@ def _(spark, d):
 
 
 @query("sink_ranking_run", with_(O.FUND, Q.SCORED) + """SELECT 'run-1' AS run_id, instrument_id, rank, final_score AS score, score_status, data_cov AS data_coverage, concat('g_growth=', CAST(g_growth AS VARCHAR), ',g_quality=', CAST(g_quality AS VARCHAR)) AS factors
-  FROM scored WHERE instrument_id % 19 <> 4""")
+  FROM scored WHERE delivery_trend > -14""")
 def _(spark, d):
     rated = ranking(spark, d)
-    known = rated.select("ticker", "instrument_id").filter("instrument_id % 19 <> 4")
+    known = rated.select("ticker", "instrument_id").filter("delivery_trend > -14")
     rows = B.ranked_rows_to_store("run-1", rated.drop("instrument_id"), known, ["g_quality", "g_growth"])
     pairs = F.array_sort(F.transform(F.map_entries("factors"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     return rows.withColumn("factors", F.array_join(pairs, ","))
 
 
-@query("sink_mirror", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END AS value, CASE WHEN event_id % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM events WHERE event_id % 7 <> 3 OR event_id % 4 = 0")
+@query("sink_mirror", "SELECT event_id, CASE WHEN value > 30 THEN value + 1 ELSE value END AS value, CASE WHEN value > 30 THEN 'new' ELSE 'old' END AS version FROM events WHERE event_type <> 'view' OR value > 30")
 def _(spark, d):
     ev = A.table(spark, d, "events")
-    stored = ev.filter("event_id % 7 <> 3").select("event_id", "value", F.lit("old").alias("version"))
-    incoming = ev.filter("event_id % 4 = 0").select("event_id", (F.col("value") + 1).alias("value"), F.lit("new").alias("version"))
+    stored = ev.filter("event_type <> 'view'").select("event_id", "value", F.lit("old").alias("version"))
+    incoming = ev.filter("value > 30").select("event_id", (F.col("value") + 1).alias("value"), F.lit("new").alias("version"))
     return B.mirror(stored, incoming, "event_id")
 
 
@@ -114,26 +114,26 @@ def _(spark, d):
     return B.baseline(history, "2000-02-01")
 
 
-@query("sink_csv_archive", """SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 <> 1 GROUP BY 1, 2""")
+@query("sink_csv_archive", """SELECT source, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM documents WHERE lang = 'en' OR n_chars > 400 GROUP BY 1, 2""")
 def _(spark, d):
     docs = A.table(spark, d, "documents")
-    keyed = docs.select("doc_id", "source", F.col("doc_id").cast("string").alias("source_path"), F.lit("h").alias("content_sha256"))
-    stored = keyed.filter("doc_id % 5 <> 1").withColumn("version", F.lit("old"))
-    incoming = keyed.filter("doc_id % 3 = 0").withColumn("version", F.lit("new"))
+    keyed = docs.select("lang", "n_chars", "source", F.col("doc_id").cast("string").alias("source_path"), F.lit("h").alias("content_sha256"))
+    stored = keyed.filter("n_chars > 400").withColumn("version", F.lit("old"))
+    incoming = keyed.filter("lang = 'en'").withColumn("version", F.lit("new"))
     return B.replace_archive(stored, incoming).groupBy("source", "version").agg(F.count("*").alias("n"))
 
 
 # ---- instruments ------------------------------------------------------------------------------------------
 
 
-@query("sink_instruments_upsert", """SELECT concat('S', CAST(c_custkey AS VARCHAR)) AS ticker, 'NSE' AS exchange, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE concat('S', CAST(c_custkey AS VARCHAR)) END ELSE concat('old ', c_name) END AS company_name,
-  CASE WHEN c_custkey % 2 = 0 AND c_custkey % 6 <> 0 THEN c_mktsegment WHEN c_custkey % 3 <> 1 THEN 'stored' END AS sector FROM customer WHERE c_custkey % 3 <> 1 OR c_custkey % 2 = 0""")
+@query("sink_instruments_upsert", """SELECT concat('S', CAST(c_custkey AS VARCHAR)) AS ticker, 'NSE' AS exchange, CASE WHEN c_nationkey < 12 THEN CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE concat('S', CAST(c_custkey AS VARCHAR)) END ELSE concat('old ', c_name) END AS company_name,
+  CASE WHEN c_nationkey < 12 AND c_custkey % 6 <> 0 THEN c_mktsegment WHEN c_acctbal > 1000 THEN 'stored' END AS sector FROM customer WHERE c_acctbal > 1000 OR c_nationkey < 12""")
 def _(spark, d):
     c = A.table(spark, d, "customer")
-    stored = c.filter("c_custkey % 3 <> 1").select(
+    stored = c.filter("c_acctbal > 1000").select(
         F.expr("concat('S', CAST(c_custkey AS STRING))").alias("ticker"), F.lit("NSE").alias("exchange"), F.expr("concat('old ', c_name)").alias("company_name"), F.lit("stored").alias("sector")
     )
-    incoming = c.filter("c_custkey % 2 = 0").select(
+    incoming = c.filter("c_nationkey < 12").select(
         F.expr("concat(' s', CAST(c_custkey AS STRING))").alias("ticker"), F.lit(None).cast("string").alias("exchange"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE '' END").alias("shortName"),
         F.expr("CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END").alias("sector"),
     )
@@ -152,18 +152,18 @@ _SNAP = {
 def universe(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(stored instruments, new snapshot): some renamed, some with a changed ISIN, some gone, some new."""
     c = A.table(spark, d, "customer")
-    stored = c.filter("c_custkey % 9 <> 8").select(
+    stored = c.filter("c_nationkey <> 8").select(
         F.col("c_custkey").alias("instrument_id"), F.expr("upper(replace(c_name, '#', ''))").alias("ticker"), F.expr(_SNAP["exchange"]).alias("exchange"),
         F.expr("CASE WHEN c_custkey % 7 = 6 THEN NULL ELSE concat('INE', CAST(c_custkey AS STRING)) END").alias("isin"), F.col("c_name").alias("company_name"),
         F.expr("CASE WHEN c_custkey % 50 = 49 THEN 'INDEX' ELSE 'EQUITY' END").alias("kind"), F.expr("c_acctbal > 0").alias("active"),
     )
-    snapshot = c.filter("c_custkey % 50 <> 49 AND c_custkey % 40 <> 3").select(*[F.expr(e).alias(n) for n, e in _SNAP.items()])
+    snapshot = c.filter("c_custkey % 50 <> 49 AND c_nationkey <> 3").select(*[F.expr(e).alias(n) for n, e in _SNAP.items()])
     return stored, snapshot
 
 
 UNIVERSE = f"""st AS (SELECT c_custkey AS instrument_id, upper(replace(c_name, '#', '')) AS ticker, {_SNAP["exchange"]} AS exchange, CASE WHEN c_custkey % 7 = 6 THEN NULL ELSE concat('INE', CAST(c_custkey AS VARCHAR)) END AS isin, c_name AS company_name,
-  CASE WHEN c_custkey % 50 = 49 THEN 'INDEX' ELSE 'EQUITY' END AS kind, c_acctbal > 0 AS active FROM customer WHERE c_custkey % 9 <> 8),
-sn AS (SELECT {_SNAP["ticker"]} AS ticker, {_SNAP["exchange"]} AS exchange, {_SNAP["isin"]} AS isin, concat(c_name, ' Ltd') AS name FROM customer WHERE c_custkey % 50 <> 49 AND c_custkey % 40 <> 3),
+  CASE WHEN c_custkey % 50 = 49 THEN 'INDEX' ELSE 'EQUITY' END AS kind, c_acctbal > 0 AS active FROM customer WHERE c_nationkey <> 8),
+sn AS (SELECT {_SNAP["ticker"]} AS ticker, {_SNAP["exchange"]} AS exchange, {_SNAP["isin"]} AS isin, concat(c_name, ' Ltd') AS name FROM customer WHERE c_custkey % 50 <> 49 AND c_nationkey <> 3),
 mt AS (SELECT sn.ticker, sn.exchange, sn.isin, sn.name, st.instrument_id, st.ticker AS old_ticker, st.exchange AS old_exchange, st.isin AS old_isin FROM sn JOIN st ON st.kind = 'EQUITY' AND (st.isin = sn.isin OR (st.ticker = sn.ticker AND st.exchange = sn.exchange))),
 bad AS (SELECT ticker FROM mt GROUP BY ticker, exchange, isin HAVING count(*) > 1 UNION SELECT ticker FROM mt WHERE old_isin IS NOT NULL AND old_isin <> isin),
 good AS (SELECT * FROM mt WHERE ticker NOT IN (SELECT ticker FROM bad))"""
@@ -189,28 +189,28 @@ def _(spark, d):
     return I.sync_universe(stored, snapshot, A.AS_OF, strict=False)[1]
 
 
-@query("scd_rename", """WITH st AS (SELECT c_custkey AS instrument_id, concat('S', CAST(c_custkey AS VARCHAR)) AS ticker, c_name, c_custkey % 4 AS m, c_custkey % 8 AS e FROM customer)
+@query("scd_rename", """WITH st AS (SELECT c_custkey AS instrument_id, concat('S', CAST(c_custkey AS VARCHAR)) AS ticker, c_name, c_nationkey AS e FROM customer)
   SELECT instrument_id, CASE WHEN e = 1 THEN concat('R', ticker) ELSE ticker END AS ticker, CASE WHEN e = 1 THEN 'renamed' ELSE c_name END AS company_name, e <> 2 AS active, CASE WHEN e = 2 THEN DATE '2024-01-15' END AS inactive_at FROM st""")
 def _(spark, d):
     c = A.table(spark, d, "customer")
     inst = c.select(F.col("c_custkey").alias("instrument_id"), F.expr("concat('S', CAST(c_custkey AS STRING))").alias("ticker"), F.lit("NSE").alias("exchange"), F.col("c_name").alias("company_name"), F.lit(True).alias("active"))
-    events = c.filter("c_custkey % 8 IN (1, 2, 3)").select(
-        F.expr("concat('S', CAST(c_custkey AS STRING))").alias("ticker"), F.lit("NSE").alias("exchange"), F.expr("CASE WHEN c_custkey % 8 = 2 THEN 'suspend' ELSE 'rename' END").alias("action"),
-        # every third kind of event asks for a symbol that is taken
-        F.expr("CASE c_custkey % 8 WHEN 1 THEN concat('RS', CAST(c_custkey AS STRING)) WHEN 3 THEN 'S0' END").alias("new_ticker"), F.lit("renamed").alias("new_name"), F.lit("2024-01-15").cast("date").alias("effective"),
+    events = c.filter("c_nationkey IN (1, 2, 3)").select(
+        F.expr("concat('S', CAST(c_custkey AS STRING))").alias("ticker"), F.lit("NSE").alias("exchange"), F.expr("CASE WHEN c_nationkey = 2 THEN 'suspend' ELSE 'rename' END").alias("action"),
+        # events of one nation ask for a symbol that is taken
+        F.expr("CASE c_nationkey WHEN 1 THEN concat('RS', CAST(c_custkey AS STRING)) WHEN 3 THEN 'S0' END").alias("new_ticker"), F.lit("renamed").alias("new_name"), F.lit("2024-01-15").cast("date").alias("effective"),
     )
     return I.apply_lifecycle(inst, events)[0].select("instrument_id", "ticker", "company_name", "active", "inactive_at")
 
 
-_N_ISIN = "concat('INE', lpad(CAST({k} % 1000 AS STRING), 4, '0'), '01', '123')"
+_N_ISIN = "concat('INE', lpad(CAST(CAST(floor({k} / 1000) AS BIGINT) AS STRING), 4, '0'), '01', lpad(CAST({k} % 1000 AS STRING), 3, '0'))"
 
 
-@query("join_dual_listing", f"""WITH n AS (SELECT concat('S', CAST(p_partkey AS VARCHAR)) AS ticker, {_N_ISIN.format(k="p_partkey")} AS isin, p_name AS nm FROM part WHERE p_partkey % 1000 < 700 AND p_partkey < 1000),
-  b AS (SELECT {_N_ISIN.format(k="c_custkey")} AS isin, CAST(500000 + c_custkey AS VARCHAR) AS code, c_name FROM customer WHERE c_custkey < 1000 AND c_custkey >= 300 AND c_nationkey % 6 <> 0)
+@query("join_dual_listing", f"""WITH n AS (SELECT concat('S', CAST(p_partkey AS VARCHAR)) AS ticker, {_N_ISIN.format(k="p_partkey")} AS isin, p_name AS nm FROM part WHERE p_size > 10),
+  b AS (SELECT {_N_ISIN.format(k="c_custkey")} AS isin, CAST(500000 + c_custkey AS VARCHAR) AS code, c_name FROM customer WHERE c_nationkey % 6 <> 0)
   SELECT coalesce(n.isin, b.isin) AS isin, coalesce(n.ticker, concat(b.code, '.BO')) AS ticker, CASE WHEN n.ticker IS NOT NULL THEN 'NSE' ELSE 'BSE' END AS exchange, coalesce(n.nm, b.c_name) AS "shortName", b.code AS bse_code FROM n FULL JOIN b ON b.isin = n.isin""")
 def _(spark, d):
-    first = A.table(spark, d, "part").filter("p_partkey < 700").select(F.expr("concat('S', CAST(p_partkey AS STRING))").alias("ticker"), F.expr(_N_ISIN.format(k="p_partkey")).alias("isin"), F.col("p_name").alias("shortName"))
-    raw = A.table(spark, d, "customer").filter("c_custkey >= 300 AND c_custkey < 1000").select(
+    first = A.table(spark, d, "part").filter("p_size > 10").select(F.expr("concat('S', CAST(p_partkey AS STRING))").alias("ticker"), F.expr(_N_ISIN.format(k="p_partkey")).alias("isin"), F.col("p_name").alias("shortName"))
+    raw = A.table(spark, d, "customer").select(
         F.expr(_N_ISIN.format(k="c_custkey")).alias("ISIN_NUMBER"), F.expr("CAST(500000 + c_custkey AS STRING)").alias("SCRIP_CD"), F.expr("CASE WHEN c_nationkey % 6 = 0 THEN 'Suspended' ELSE 'Active' END").alias("Status"),
         F.col("c_name").alias("Scrip_Name"), F.lit("x").alias("scrip_id"),
     )
@@ -222,30 +222,30 @@ def _(spark, d):
 _GF = ["trailingPE", "priceToBook", "sector"]
 
 
-@query("join_gap_fill", with_(O.FUND) + """SELECT ticker, coalesce("trailingPE", CASE WHEN instrument_id % 2 = 0 THEN "priceToBook" END, CASE WHEN instrument_id % 3 = 0 THEN "pegRatio" END) AS "trailingPE",
-  coalesce("priceToBook", CASE WHEN instrument_id % 2 = 0 THEN "pegRatio" END) AS "priceToBook", sector FROM fund""")
+@query("join_gap_fill", with_(O.FUND) + """SELECT ticker, coalesce("trailingPE", CASE WHEN institutions_count > 200 THEN "priceToBook" END, CASE WHEN avg_delivery_pct > 60 THEN "pegRatio" END) AS "trailingPE",
+  coalesce("priceToBook", CASE WHEN institutions_count > 200 THEN "pegRatio" END) AS "priceToBook", sector FROM fund""")
 def _(spark, d):
     f = A.fundamentals(spark, d)
-    one = f.filter("instrument_id % 2 = 0").select("ticker", F.col("priceToBook").alias("trailingPE"), F.col("pegRatio").alias("priceToBook"))
-    two = f.filter("instrument_id % 3 = 0").select("ticker", F.col("pegRatio").alias("trailingPE"))
+    one = f.filter("institutions_count > 200").select("ticker", F.col("priceToBook").alias("trailingPE"), F.col("pegRatio").alias("priceToBook"))
+    two = f.filter("avg_delivery_pct > 60").select("ticker", F.col("pegRatio").alias("trailingPE"))
     return N.gap_fill(f.select("ticker", *_GF), [one, two], _GF)
 
 
-@query("join_layers", with_(O.FUND) + """, l AS (SELECT ticker, coalesce(CASE WHEN instrument_id % 4 <> 1 THEN promoter_pct END, CASE WHEN instrument_id % 3 <> 1 THEN "heldPercentInsiders" * 100 END) AS promoter_pct,
-  coalesce(CASE WHEN instrument_id % 4 <> 1 THEN institutional_pct END, CASE WHEN instrument_id % 3 <> 1 THEN "heldPercentInstitutions" * 100 END) AS institutional_pct FROM fund)
+@query("join_layers", with_(O.FUND) + """, l AS (SELECT ticker, coalesce(CASE WHEN delivery_trend > -8 THEN promoter_pct END, CASE WHEN avg_delivery_pct > 30 THEN "heldPercentInsiders" * 100 END) AS promoter_pct,
+  coalesce(CASE WHEN delivery_trend > -8 THEN institutional_pct END, CASE WHEN avg_delivery_pct > 30 THEN "heldPercentInstitutions" * 100 END) AS institutional_pct FROM fund)
   SELECT ticker, promoter_pct, CASE WHEN coalesce(promoter_pct + institutional_pct > 100.5, false) THEN NULL ELSE institutional_pct END AS institutional_pct FROM l""")
 def _(spark, d):
     f = A.fundamentals(spark, d)
-    raw = f.filter("instrument_id % 4 <> 1").select("ticker", "promoter_pct", "institutional_pct")
-    cached = f.filter("instrument_id % 3 <> 1").select("ticker", (F.col("heldPercentInsiders") * 100).alias("promoter_pct"), (F.col("heldPercentInstitutions") * 100).alias("institutional_pct"))
+    raw = f.filter("delivery_trend > -8").select("ticker", "promoter_pct", "institutional_pct")
+    cached = f.filter("avg_delivery_pct > 30").select("ticker", (F.col("heldPercentInsiders") * 100).alias("promoter_pct"), (F.col("heldPercentInstitutions") * 100).alias("institutional_pct"))
     return N.combine_layers(f, raw, cached, ["promoter_pct", "institutional_pct"])
 
 
-@query("join_cached_fallback", with_(O.FUND) + """SELECT ticker, coalesce(CASE WHEN instrument_id % 5 <> 0 THEN delivery_trend END, delivery_trend - 1) AS delivery_trend, coalesce(CASE WHEN instrument_id % 5 <> 0 THEN avg_delivery_pct END, avg_delivery_pct - 1) AS avg_delivery_pct FROM fund""")
+@query("join_cached_fallback", with_(O.FUND) + """SELECT ticker, coalesce(CASE WHEN institutions_count > 80 THEN delivery_trend END, delivery_trend - 1) AS delivery_trend, coalesce(CASE WHEN institutions_count > 80 THEN avg_delivery_pct END, avg_delivery_pct - 1) AS avg_delivery_pct FROM fund""")
 def _(spark, d):
     f = A.fundamentals(spark, d)
     fields = ["delivery_trend", "avg_delivery_pct"]
-    fresh = f.filter("instrument_id % 5 <> 0").select("ticker", *fields)
+    fresh = f.filter("institutions_count > 80").select("ticker", *fields)
     cached = f.select("ticker", *[(F.col(c) - 1).alias(c) for c in fields])
     return N.with_fallback(f, fresh, cached, fields)
 
@@ -258,13 +258,13 @@ def _(spark, d):
     return f.select("ticker", "instrument_id").join(extra, "ticker", "left").join(tracker, "instrument_id", "left").drop("instrument_id")
 
 
-_FILLED = """filled AS (SELECT * REPLACE (coalesce("trailingPE", CASE WHEN instrument_id % 2 = 0 AND abs("priceToBook") BETWEEN 0 AND 5000 THEN abs("priceToBook") END) AS "trailingPE", coalesce("dividendYield", 1.0) AS "dividendYield") FROM fund)"""
+_FILLED = """filled AS (SELECT * REPLACE (coalesce("trailingPE", CASE WHEN institutions_count > 200 AND abs("priceToBook") BETWEEN 0 AND 5000 THEN abs("priceToBook") END) AS "trailingPE", coalesce("dividendYield", 1.0) AS "dividendYield") FROM fund)"""
 
 
 @query("join_before_after", with_(O.FUND, _FILLED, Q.derived(), Q.coverage(), Q.derived("filled", "der2"), Q.coverage("der2", "cov2")) + "SELECT a.ticker, a.data_cov AS before, b.data_cov AS after, b.data_cov - a.data_cov AS gain FROM cov a JOIN cov2 b ON a.ticker = b.ticker")
 def _(spark, d):
     f = A.fundamentals(spark, d)
-    offered = f.filter("instrument_id % 2 = 0").select("ticker", F.abs("priceToBook").alias("trailingPE"))
+    offered = f.filter("institutions_count > 200").select("ticker", F.abs("priceToBook").alias("trailingPE"))
     every = f.select("ticker", F.lit(1.0).alias("dividendYield"))
     filled, _log = N.fill_blanks(f, [("nse", offered), ("bse", every)], [c for c in f.columns if c != "ticker"])
     cover = lambda df: S.with_coverage(S.derive_factors(df)).select("ticker", "data_cov")
@@ -274,7 +274,7 @@ def _(spark, d):
 _FB = ["trailingPE", "returnOnEquity", "shortName"]
 
 
-@query("rec_fill_blanks", with_(O.FUND, """src AS (SELECT *, CASE WHEN instrument_id % 9 = 0 THEN '' ELSE "shortName" END AS own_name, CASE WHEN instrument_id % 2 = 0 THEN "priceToBook" END AS n_pe, "pegRatio" AS b_pe, CASE WHEN instrument_id % 3 <> 0 THEN "currentRatio" * 3 END AS b_roe, 'named' AS y_name FROM fund)""") + """
+@query("rec_fill_blanks", with_(O.FUND, """src AS (SELECT *, CASE WHEN instrument_id % 9 = 0 THEN '' ELSE "shortName" END AS own_name, CASE WHEN institutions_count > 200 THEN "priceToBook" END AS n_pe, "pegRatio" AS b_pe, CASE WHEN avg_delivery_pct <= 60 THEN "currentRatio" * 3 END AS b_roe, 'named' AS y_name FROM fund)""") + """
   SELECT ticker, coalesce("trailingPE", CASE WHEN n_pe BETWEEN 0 AND 5000 THEN n_pe END, CASE WHEN b_pe BETWEEN 0 AND 5000 THEN b_pe END) AS "trailingPE", coalesce("returnOnEquity", CASE WHEN b_roe BETWEEN -5 AND 5 THEN b_roe END) AS "returnOnEquity",
   coalesce(nullif(trim(own_name), ''), y_name) AS "shortName" FROM src""")
 def _(spark, d):
@@ -284,13 +284,13 @@ def _(spark, d):
 def _fill(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     f = A.fundamentals(spark, d)
     own = f.select("ticker", "trailingPE", "returnOnEquity", F.expr("CASE WHEN instrument_id % 9 = 0 THEN '' ELSE shortName END").alias("shortName"))
-    nse = f.filter("instrument_id % 2 = 0").select("ticker", F.col("priceToBook").alias("trailingPE"))
-    bse = f.select("ticker", F.col("pegRatio").alias("trailingPE"), F.expr("CASE WHEN instrument_id % 3 <> 0 THEN currentRatio * 3 END").alias("returnOnEquity"))
+    nse = f.filter("institutions_count > 200").select("ticker", F.col("priceToBook").alias("trailingPE"))
+    bse = f.select("ticker", F.col("pegRatio").alias("trailingPE"), F.expr("CASE WHEN avg_delivery_pct <= 60 THEN currentRatio * 3 END").alias("returnOnEquity"))
     yahoo = f.select("ticker", F.lit(" named ").alias("shortName"))
     return N.fill_blanks(own, [("nse", nse), ("bse", bse), ("yahoo", yahoo)], _FB)
 
 
-_CHANGES = with_(O.FUND, """src AS (SELECT *, CASE WHEN instrument_id % 2 = 0 THEN "priceToBook" END AS n_pe, "pegRatio" AS b_pe, CASE WHEN instrument_id % 3 <> 0 THEN "currentRatio" * 3 END AS b_roe FROM fund)""",
+_CHANGES = with_(O.FUND, """src AS (SELECT *, CASE WHEN institutions_count > 200 THEN "priceToBook" END AS n_pe, "pegRatio" AS b_pe, CASE WHEN avg_delivery_pct <= 60 THEN "currentRatio" * 3 END AS b_roe FROM fund)""",
 """chg AS (SELECT ticker, 'trailingPE' AS field, CASE WHEN n_pe BETWEEN 0 AND 5000 THEN 'nse' ELSE 'bse' END AS provider FROM src WHERE "trailingPE" IS NULL AND (n_pe BETWEEN 0 AND 5000 OR b_pe BETWEEN 0 AND 5000)
   UNION ALL SELECT ticker, 'returnOnEquity', 'bse' FROM src WHERE "returnOnEquity" IS NULL AND b_roe BETWEEN -5 AND 5 UNION ALL SELECT ticker, 'shortName', 'yahoo' FROM src WHERE instrument_id % 9 = 0)""")
 
@@ -307,12 +307,12 @@ def _(spark, d):
     return B.append_audit(previous, changes)
 
 
-@query("sink_fundamentals_merge", with_(O.FUND) + """SELECT ticker, coalesce(CASE WHEN instrument_id % 10 <> 0 THEN "priceToBook" END, "trailingPE") AS "trailingPE", CASE WHEN instrument_id % 10 <> 0 THEN coalesce(beta + 1, beta) ELSE beta END AS beta FROM fund WHERE instrument_id % 25 <> 7""")
+@query("sink_fundamentals_merge", with_(O.FUND) + """SELECT ticker, coalesce(CASE WHEN institutional_pct > 5 THEN "priceToBook" END, "trailingPE") AS "trailingPE", CASE WHEN institutional_pct > 5 THEN coalesce(beta + 1, beta) ELSE beta END AS beta FROM fund WHERE beta > 0.1""")
 def _(spark, d):
     f = A.fundamentals(spark, d)
     cached = f.select("ticker", "trailingPE", "beta")
-    fresh = f.filter("instrument_id % 10 <> 0").select("ticker", F.col("priceToBook").alias("trailingPE"), (F.col("beta") + 1).alias("beta"))
-    return B.merge_fundamentals(cached, fresh, f.filter("instrument_id % 25 <> 7").select("ticker"), ["trailingPE", "beta"])
+    fresh = f.filter("institutional_pct > 5").select("ticker", F.col("priceToBook").alias("trailingPE"), (F.col("beta") + 1).alias("beta"))
+    return B.merge_fundamentals(cached, fresh, f.filter("beta > 0.1").select("ticker"), ["trailingPE", "beta"])
 
 
 # ---- price cache ----------------------------------------------------------------------------------------------
@@ -320,17 +320,19 @@ def _(spark, d):
 _CACHE_AS_OF = "2001-06-01"
 
 
-@query("sink_price_cache", with_(O.CLOSES) + f"""SELECT ticker, day, CASE WHEN day >= DATE '2001-01-01' THEN close + 1 ELSE close END AS close FROM day_close WHERE ticker % 3 <> 0 AND day >= DATE '{_CACHE_AS_OF}' - 400""")
+@query("sink_price_cache", with_(O.CLOSES) + f"""SELECT ticker, day, CASE WHEN day >= DATE '2001-01-01' THEN close + 1 ELSE close END AS close FROM day_close WHERE ticker IN (SELECT s_suppkey FROM supplier WHERE s_nationkey > 5) AND day >= DATE '{_CACHE_AS_OF}' - 400""")
 def _(spark, d):
     c = A.closes(spark, d, 100000).select("ticker", "day", "close", F.col("rn").alias("seq"))
     incoming = c.filter("day >= DATE '2001-01-01'").withColumn("close", F.col("close") + 1)
-    symbols = A.table(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("ticker"))
+    symbols = A.table(spark, d, "supplier").filter("s_nationkey > 5").select(F.col("s_suppkey").alias("ticker"))
     return B.merge_price_cache(c, incoming, symbols, _CACHE_AS_OF).select("ticker", "day", "close")
 
 
-@query("sel_incremental_plan", with_(O.CLOSES) + """, c AS (SELECT * FROM day_close WHERE ticker % 4 <> 2 OR day < DATE '1995-02-15')
+@query("sel_incremental_plan", with_(O.CLOSES) + """, c AS (SELECT d.* FROM day_close d JOIN supplier ON s_suppkey = ticker WHERE s_nationkey > 5 OR day < DATE '1995-02-15')
   SELECT s_suppkey AS ticker, CASE WHEN n >= 10 THEN 'incremental' ELSE 'backfill' END AS mode, CASE WHEN n >= 10 THEN CAST((SELECT max(day) FROM c) - 10 AS DATE) END AS start_day FROM supplier LEFT JOIN (SELECT ticker, count(*) AS n FROM c GROUP BY 1) x ON x.ticker = s_suppkey""")
 def _(spark, d):
-    cached = A.closes(spark, d, 100000).filter("ticker % 4 <> 2 OR day < DATE '1995-02-15'")
-    return B.incremental_plan(cached, A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("ticker")))
+    symbols = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("ticker"), "s_nationkey")
+    # young listings: some suppliers have only a few cached weeks
+    cached = A.closes(spark, d, 100000).join(symbols, "ticker").filter("s_nationkey > 5 OR day < DATE '1995-02-15'")
+    return B.incremental_plan(cached, symbols.select("ticker"))
 

@@ -20,3 +20,8 @@ def published(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], D
     if key not in _PUBLISHED:
         _PUBLISHED[key] = materialise(build(), name)
     return _PUBLISHED[key]
+
+
+def forget() -> None:
+    """Drop the references, so that the next reader publishes afresh."""
+    _PUBLISHED.clear()

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
-_SKETCH_ACCURACY = 2000
+_BLOCK = 8
+_SKETCH_ACCURACY = 500
 
 
 def _range_bounds(rows: DataFrame, keys: Sequence[str], ranges: int) -> list:
@@ -41,12 +42,19 @@ def _with_range(hist: DataFrame, keys: Sequence[str], bounds: list) -> DataFrame
         return hist.withColumn("_range", bucket)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hist.schema.fields if f.name in keys)
     ordered = [f.name for f in hist.schema.fields if f.name in keys]
-    data = [tuple(dict(zip(keys, key))[c] for c in ordered) + (b,) for key, b in bounds]
-    table = spark.createDataFrame(data, f"{schema}, _bounds array<double>")
+    data = [tuple(dict(zip(keys, key))[c] for c in ordered) + (b, b[_BLOCK - 1 :: _BLOCK]) for key, b in bounds]
+    table = spark.createDataFrame(data, f"{schema}, _bounds array<double>, _ends array<double>")
     # one row per metric (a fixed catalog of metrics), so the broadcast is bounded by the catalog
     joined = hist.join(F.broadcast(table), list(keys), "left")
-    below = F.size(F.filter(F.coalesce(F.col("_bounds"), F.array().cast("array<double>")), lambda b: b < F.col("value")))
-    return joined.withColumn("_range", below).drop("_bounds")
+    return joined.withColumn("_range", _position()).drop("_bounds", "_ends")
+
+
+def _position() -> Column:
+    """How many sorted boundaries lie below the value: first by block ends, then inside one block."""
+    none = F.array().cast("array<double>")
+    below = lambda array: F.size(F.filter(array, lambda b: b < F.col("value")))
+    blocks = below(F.coalesce("_ends", none))
+    return blocks * _BLOCK + below(F.slice(F.coalesce("_bounds", none), blocks * _BLOCK + 1, _BLOCK))
 
 
 def value_ranks(long: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> DataFrame:

@@ -133,13 +133,22 @@ def metric_percentiles(df: DataFrame, id_column: str = "instrument_id", keys: Se
     """
     keys = list(keys)
     present = [m for m in METRICS if m in df.columns]
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(applicable(m), F.col(m)).cast("double").alias("value")) for m in present])
+    values = [F.when(applicable(m), F.col(m)).cast("double") for m in present]
+    return _wide_percentiles(df, id_column, keys, present, values, [catalog.DIRECTIONS[m] for m in present])
+
+
+def _wide_percentiles(df: DataFrame, id_column: str, keys: list[str], names: Sequence[str], values: Sequence[Column],
+                      signs: Sequence[int]) -> DataFrame:
+    """Unpivot to (id, metric number, value), rank per metric, pivot back to ``p_<name>``.
+
+    Metrics travel as small integers: four bytes per cell in the shuffles instead of a name.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("metric"), v.alias("value")) for i, v in enumerate(values)])
     long = df.select(id_column, *keys, F.inline(cells)).filter("value IS NOT NULL")
-    direction = F.element_at(V.literal_map(catalog.DIRECTIONS), F.col("metric"))
+    direction = F.get(F.array(*[F.lit(s) for s in signs]), F.col("metric"))
     pct = percentile_ranks(long, [*keys, "metric"], direction)
-    scored = long.join(pct, [*keys, "metric", "value"])
-    return scored.groupBy(id_column, *keys).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("pct"))).alias(f"p_{m}") for m in present]
+    return long.join(pct, [*keys, "metric", "value"]).groupBy(id_column, *keys).agg(
+        *[F.max(F.when(F.col("metric") == i, F.col("pct"))).alias(f"p_{n}") for i, n in enumerate(names)]
     )
 
 
@@ -202,7 +211,8 @@ def score_factors(df: DataFrame, overrides: Mapping[str, float] | None = None, k
 def score_universe(stocks: DataFrame, overrides: Mapping[str, float] | None = None, legacy: bool = False,
                    min_mcap_cr: float | None = None) -> DataFrame:
     """The whole scorer. ``legacy`` adds the clips, the price filter and the market-cap filter."""
-    df = derive_factors(stocks, legacy)
+    # the wide record is read for the factors and for the "does anyone report this" counters
+    df = derive_factors(materialise(stocks, "stocks"), legacy)
     if legacy:
         df = df.filter("currentPrice IS NOT NULL")
         if min_mcap_cr is not None:
@@ -237,13 +247,8 @@ def column_weight_scores(df: DataFrame, id_column: str) -> DataFrame:
     """Single-level weighted percentile over ten columns; a missing column voids the score."""
     columns = list(catalog.COLUMN_WEIGHTS)
     df = materialise(df.select(id_column, *columns), "columns")
-    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = df.select(id_column, F.inline(cells)).filter("value IS NOT NULL")
-    direction = F.element_at(V.literal_map({c: d for c, (_, d) in catalog.COLUMN_WEIGHTS.items()}), F.col("metric"))
-    pct = percentile_ranks(long, ["metric"], direction)
-    wide = long.join(pct, ["metric", "value"]).groupBy(id_column).agg(
-        *[F.max(F.when(F.col("metric") == c, F.col("pct"))).alias(f"p_{c}") for c in columns]
-    )
+    values = [F.col(c).cast("double") for c in columns]
+    wide = _wide_percentiles(df, id_column, [], columns, values, [sign for _, sign in catalog.COLUMN_WEIGHTS.values()])
     score = _total([F.lit(w) * F.col(f"p_{c}") for c, (w, _) in catalog.COLUMN_WEIGHTS.items()]) * 100
     groups = {
         f"s_{g}": V.rounded(_total([F.col(f"p_{c}") for c in members]) / len(members) * 100, 0)

@@ -190,7 +190,7 @@ FUND_SECTOR = "CASE WHEN p_type = 'ECONOMY' THEN 'Financial Services' ELSE p_typ
 
 
 def part_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    cents = lambda c: F.rint(F.col(c) * 100).cast("long")
     facts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(
         F.count("*").alias("n"),
         F.sum(F.col("l_quantity").cast("long")).alias("q"),
@@ -217,17 +217,19 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- ranking runs: customers by yearly revenue ----------------------------------------------------
-def run_of_year(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """(ticker, rank, final_score, price, ...) of one year: customers with orders, ranked by revenue."""
-    orders = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == year)
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    yearly = orders.groupBy(F.col("o_custkey").alias("instrument_id")).agg(
-        F.sum(cents).alias("cents"), F.count("*").alias("n")
-    )
+def yearly_runs(spark: SparkSession, sf_dir: str, years: list[int]) -> DataFrame:
+    """(year, ticker, rank, final_score, price, ...): customers with orders, ranked by revenue per year."""
     from boursecraft.operators.ranks import ordinal_rank
 
-    rated = ordinal_rank(yearly.filter("n >= 2"), ["cents"], "instrument_id").select("instrument_id", "rank")
-    return yearly.join(rated, "instrument_id", "left").select(
+    year = F.year("o_orderdate")
+    orders = table(spark, sf_dir, "orders").filter(year.isin(*years))
+    cents = F.rint(F.col("o_totalprice") * 100).cast("long")
+    yearly = orders.groupBy(year.alias("year"), F.col("o_custkey").alias("instrument_id")).agg(
+        F.sum(cents).alias("cents"), F.count("*").alias("n")
+    )
+    rated = ordinal_rank(yearly.filter("n >= 2"), ["cents"], "instrument_id", keys=["year"]).select("year", "instrument_id", "rank")
+    return yearly.join(rated, ["year", "instrument_id"], "left").select(
+        "year",
         "instrument_id",
         F.expr("concat('C', CAST(instrument_id AS STRING))").alias("ticker"),
         "rank",
@@ -239,57 +241,53 @@ def run_of_year(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     )
 
 
+def run_of_year(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    return yearly_runs(spark, sf_dir, [year]).drop("year")
+
+
 def run_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(ranking_runs, ranked_stocks): two stored runs, newest is year 2001."""
     years = [2000, 2001]
-    runs = None
-    ranked = None
-    for year in years:
-        rows = run_of_year(spark, sf_dir, year).select(
-            F.lit(f"run-{year}").alias("run_id"), "instrument_id", "rank",
-            F.col("final_score").alias("score"), "score_status",
-            F.create_map(F.lit("g_quality"), F.col("currentPrice") / 10, F.lit("g_growth"), F.col("pct_below_52w_high")).alias("factors"),
-            F.when(F.col("rank") <= 10, "up").alias("movement"),
-            F.col("pct_below_52w_high").alias("data_coverage"),
-        )
-        ranked = rows if ranked is None else ranked.unionByName(rows)
-    orders = table(spark, sf_dir, "orders").filter(F.year("o_orderdate").isin(*years))
-    runs = orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.max("o_orderdate").alias("created_at"), F.count("*").alias("n_orders")).select(
-        F.concat(F.lit("run-"), F.col("year").cast("string")).alias("run_id"), "created_at", "n_orders"
+    run_id = F.concat(F.lit("run-"), F.col("year").cast("string")).alias("run_id")
+    ranked = yearly_runs(spark, sf_dir, years).select(
+        run_id, "instrument_id", "rank", F.col("final_score").alias("score"), "score_status",
+        F.create_map(F.lit("g_quality"), F.col("currentPrice") / 10, F.lit("g_growth"), F.col("pct_below_52w_high")).alias("factors"),
+        F.when(F.col("rank") <= 10, "up").alias("movement"),
+        F.col("pct_below_52w_high").alias("data_coverage"),
     )
-    return runs, ranked
+    orders = table(spark, sf_dir, "orders").filter(F.year("o_orderdate").isin(*years))
+    runs = orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.max("o_orderdate").alias("created_at"), F.count("*").alias("n_orders"))
+    return runs.select(run_id, "created_at", "n_orders"), ranked
 
 
 # ---- archive: customer and part records as string maps -----------------------------------------
 def archive_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(files, rows): two paths; the first has two versions, the newer one wins."""
-    cust = table(spark, sf_dir, "customer")
-    records = {
-        ("data/ranking.csv", "v1", "2024-01-05 00:00:00"): "c_acctbal > 2000",
-        ("data/ranking.csv", "v2", "2024-01-20 00:00:00"): "c_nationkey <> 4",
-        ("data/raw.csv", "v1", "2024-01-10 00:00:00"): "true",
-    }
+    """(files, rows): two paths; the first has two versions, the newer one wins. One scan per table."""
+    versions = (
+        ("data/ranking.csv", "v1", "2024-01-05 00:00:00", "c_acctbal > 2000"),
+        ("data/ranking.csv", "v2", "2024-01-20 00:00:00", "c_nationkey <> 4"),
+        ("data/raw.csv", "v1", "2024-01-10 00:00:00", "true"),
+    )
+    entries = F.array(
+        *[
+            F.when(F.expr(condition), F.struct(F.lit(path).alias("source_path"), F.lit(version).alias("content_sha256"), F.lit(modified).cast("timestamp").alias("modified")))
+            for path, version, modified, condition in versions
+        ]
+    )
     ticker = F.expr("CASE WHEN c_nationkey = 7 THEN concat(' old', CAST(c_custkey AS STRING)) ELSE replace(c_name, '#', '') END")
-    files = rows = None
-    for (path, version, modified), condition in records.items():
-        # column values are data; the record is keyed by header name as the archive stores it
-        record = F.create_map(
-            F.lit("ticker"), ticker,
-            F.lit("currentPrice"), F.expr("CAST(c_nationkey AS STRING)"),
-            F.lit("sector"), F.col("c_mktsegment"),
-            F.lit("roe_pct"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(c_custkey % 50 AS STRING) END"),
-            F.lit("final_score"), F.lit("50"),
-            F.lit("note"), F.lit(version),
-        )
-        part = cust.filter(condition).select(
-            F.lit(path).alias("source_path"), F.lit(version).alias("content_sha256"),
-            F.col("c_custkey").alias("row_number"), record.alias("record"),
-        )
-        head = part.groupBy("source_path", "content_sha256").agg(F.count("*").alias("row_count")).select(
-            "source_path", "content_sha256", "row_count",
-            F.lit(modified).cast("timestamp").alias("source_modified_at"),
-            F.lit(modified).cast("timestamp").alias("imported_at"),
-        )
-        files = head if files is None else files.unionByName(head)
-        rows = part if rows is None else rows.unionByName(part)
+    cust = table(spark, sf_dir, "customer")
+    tagged = cust.select("*", F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    # column values are data; the record is keyed by header name as the archive stores it
+    record = F.create_map(
+        F.lit("ticker"), ticker,
+        F.lit("currentPrice"), F.expr("CAST(c_nationkey AS STRING)"),
+        F.lit("sector"), F.col("c_mktsegment"),
+        F.lit("roe_pct"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(c_custkey % 50 AS STRING) END"),
+        F.lit("final_score"), F.lit("50"),
+        F.lit("note"), F.col("content_sha256"),
+    )
+    rows = tagged.select("source_path", "content_sha256", F.col("c_custkey").alias("row_number"), record.alias("record"))
+    files = tagged.groupBy("source_path", "content_sha256").agg(
+        F.count("*").alias("row_count"), F.max("modified").alias("source_modified_at"), F.max("modified").alias("imported_at")
+    )
     return files, rows

@@ -479,7 +479,7 @@ def yearly_series(spark: SparkSession, d: str) -> DataFrame:
     """Per customer and year: income and equity derived from that year's orders."""
     o = A.table(spark, d, "orders")
     return o.groupBy(F.col("o_custkey").alias("ck"), F.year("o_orderdate").alias("y")).agg(
-        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("n")
+        F.sum(F.rint(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("n")
     )
 
 

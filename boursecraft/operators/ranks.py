@@ -91,27 +91,44 @@ def percentile_ranks(long: DataFrame, keys: Sequence[str], direction: Column, ra
 
 
 def ordinal_rank(df: DataFrame, scores: Sequence[str], tie: str, alias: str = "rank", keys: Sequence[str] = (),
-                 tie_width: int = 65536) -> DataFrame:
+                 tie_width: int = 65536, ranges: int = 0) -> DataFrame:
     """1..n by ``scores`` descending, then ``tie`` ascending (a non-negative integer id), per key.
 
-    ``scores`` are the rounded model outputs: a bounded number of distinct values, so the counts
-    table is bounded by (distinct scores) x (ids / tie_width).
+    Rows are numbered inside (score, id slice) buckets of at most ``tie_width`` rows and offset by
+    the counts of the buckets before them, so equal scores never meet in one task. The counts of
+    distinct scores are accumulated in one task per key; that is enough for rounded model outputs
+    (about a thousand values). For scores of any number of distinct values pass ``ranges``: they
+    are then accumulated within value ranges of the first score, as for percentile ranks.
     """
     keys, scores = list(keys), list(scores)
     bucketed = df.withColumn("_slice", F.floor(F.col(tie) / tie_width))
-    per_bucket = bucketed.groupBy(*keys, *scores, "_slice").agg(F.count("*").alias("_n"))
-    per_score = per_bucket.groupBy(*keys, *scores).agg(F.sum("_n").alias("_m"))
+    part = list(keys)
+    if ranges:
+        lead = bucketed.withColumn("value", F.col(scores[0]).cast("double"))
+        fixed = lead if keys else lead.withColumn("_all", F.lit(0))
+        part = keys or ["_all"]
+        bucketed = _with_range(fixed, part, _range_bounds(fixed, part, ranges)).drop("value")
+        part = [*part, "_range"]
+    per_bucket = bucketed.groupBy(*part, *scores, "_slice").agg(F.count("*").alias("_n"))
+    per_score = per_bucket.groupBy(*part, *scores).agg(F.sum("_n").alias("_m"))
     down = [F.col(s).desc() for s in scores]
-    above = Window.partitionBy(*keys).orderBy(*down) if keys else Window.orderBy(*down)
-    score_offsets = per_score.select(*keys, *scores, (F.sum("_m").over(above) - F.col("_m")).alias("_above"))
-    slices = Window.partitionBy(*keys, *scores).orderBy("_slice")
+    above = Window.partitionBy(*part).orderBy(*down) if part else Window.orderBy(*down)
+    score_offsets = per_score.select(*part, *scores, (F.sum("_m").over(above) - F.col("_m")).alias("_above"))
+    if ranges:
+        outer = part[:-1]
+        totals = per_score.groupBy(*part).agg(F.sum("_m").alias("_r"))
+        # at most `ranges` rows per key
+        higher = Window.partitionBy(*outer).orderBy(F.desc("_range"))
+        range_offsets = totals.select(*part, (F.sum("_r").over(higher) - F.col("_r")).alias("_higher"))
+        score_offsets = score_offsets.join(range_offsets, part).withColumn("_above", F.col("_above") + F.col("_higher")).drop("_higher")
+    slices = Window.partitionBy(*part, *scores).orderBy("_slice")
     slice_offsets = per_bucket.select(
-        *keys, *scores, "_slice", (F.sum("_n").over(slices) - F.col("_n")).alias("_before")
-    ).join(score_offsets, [*keys, *scores])
-    inside = Window.partitionBy(*keys, *scores, "_slice").orderBy(tie)
+        *part, *scores, "_slice", (F.sum("_n").over(slices) - F.col("_n")).alias("_before")
+    ).join(score_offsets, [*part, *scores])
+    inside = Window.partitionBy(*part, *scores, "_slice").orderBy(tie)
     return (
         bucketed.withColumn("_row", F.row_number().over(inside))
-        .join(slice_offsets, [*keys, *scores, "_slice"])
+        .join(slice_offsets, [*part, *scores, "_slice"])
         .withColumn(alias, (F.col("_above") + F.col("_before") + F.col("_row")).cast("long"))
-        .drop("_slice", "_row", "_before", "_above")
+        .drop("_slice", "_row", "_before", "_above", "_range", "_all")
     )

@@ -315,14 +315,18 @@ def symbol_directory(instruments: DataFrame, aliases: DataFrame | None) -> DataF
 def archived_cells(files: DataFrame, rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """Newest archived cell per (instrument, column) with a complete tie-break."""
     current = L.newest_files(files).select("source_path", "content_sha256", "source_modified_at", "imported_at")
-    cells = (
+    # known symbols are matched per record, before a record becomes one row per cell
+    known = (
         rows.filter(F.map_contains_key("record", F.lit("ticker")))
-        .join(current, ["source_path", "content_sha256"])
-        .withColumn("ticker", V.ticker_norm(F.element_at("record", "ticker")))
-        .select("ticker", "source_path", "content_sha256", "row_number", "source_modified_at", "imported_at", F.explode("record").alias("field", "text"))
-        .filter((F.col("field") != "ticker") & ~F.col("field").isin(*catalog.ARCHIVE_BOOKKEEPING))
-        .filter(F.col("text").isNotNull() & (F.col("text") != ""))
+        .withColumn("ticker", V.ticker_norm(F.element_at("record", F.lit("ticker"))))
         .join(symbols.select("ticker", "instrument_id"), "ticker")
+        .join(current, ["source_path", "content_sha256"])
+    )
+    kept = F.map_filter(
+        "record", lambda k, v: (k != "ticker") & ~k.isin(*catalog.ARCHIVE_BOOKKEEPING) & v.isNotNull() & (v != "")
+    )
+    cells = known.select(
+        "instrument_id", "source_path", "content_sha256", "row_number", "source_modified_at", "imported_at", F.explode(kept).alias("field", "text")
     )
     picked = L.pick(
         cells.select("instrument_id", "field", "text", "source_modified_at", "imported_at", "source_path", "content_sha256", "row_number"),

@@ -227,7 +227,7 @@ def yearly_runs(spark: SparkSession, sf_dir: str, years: list[int]) -> DataFrame
     yearly = orders.groupBy(year.alias("year"), F.col("o_custkey").alias("instrument_id")).agg(
         F.sum(cents).alias("cents"), F.count("*").alias("n")
     )
-    rated = ordinal_rank(yearly.filter("n >= 2"), ["cents"], "instrument_id", keys=["year"]).select("year", "instrument_id", "rank")
+    rated = ordinal_rank(yearly.filter("n >= 2"), ["cents"], "instrument_id", keys=["year"], ranges=64).select("year", "instrument_id", "rank")
     return yearly.join(rated, ["year", "instrument_id"], "left").select(
         "year",
         "instrument_id",

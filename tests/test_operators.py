@@ -104,11 +104,12 @@ def test_percentile_rank_equals_pandas_with_heavy_ties(spark, direction):
     assert len(got) == 5000
 
 
-def test_ordinal_rank_equals_a_global_sort(spark):
+@pytest.mark.parametrize("ranges", [0, 16])
+def test_ordinal_rank_equals_a_global_sort(spark, ranges):
     rng = random.Random(5)
     rows = [(i, float(rng.randint(0, 5)), float(rng.randint(0, 3))) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, final double, model double")
-    got = {r["id"]: r["rank"] for r in K.ordinal_rank(df, ["final", "model"], "id", tie_width=64).collect()}
+    got = {r["id"]: r["rank"] for r in K.ordinal_rank(df, ["final", "model"], "id", tie_width=64, ranges=ranges).collect()}
     expected = sorted(rows, key=lambda r: (-r[1], -r[2], r[0]))
     assert [got[r[0]] for r in expected] == list(range(1, 3001))
 

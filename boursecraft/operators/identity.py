@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boursecraft.functions import values as V
+from boursecraft.session import materialise
 
 SHRINK_LIMIT = 0.9
 
@@ -71,7 +72,8 @@ def sync_universe(instruments: DataFrame, snapshot: DataFrame, as_of, strict: bo
     existing = instruments.filter("kind = 'EQUITY' AND active").count()
     if size < existing * SHRINK_LIMIT:
         raise ValueError("Universe shrank by more than 10%; review sources before applying")
-    matches = match_identity(instruments, snapshot)
+    # one row per snapshot row; read by the conflict check, the updates, the inserts and the aliases
+    matches = materialise(match_identity(instruments, snapshot), "matches")
     conflicts = identity_conflicts(matches)
     if strict:
         if not conflicts.isEmpty():

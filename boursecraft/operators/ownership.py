@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boursecraft import catalog
 from boursecraft.functions import values as V
 from boursecraft.operators import latest as L
+from boursecraft.session import materialise
 
 RECENT, MIN_SESSIONS, NAMES_LENGTH = 5, 4, 300
 
@@ -57,6 +58,8 @@ def deal_summary(deals: DataFrame, institution: str = catalog.INSTITUTION_PATTER
         .agg(F.sum(quantity(F.col("quantity"))).alias("qty"))
         .withColumn("inst", F.coalesce(F.col("client").rlike(institution), F.lit(False)))
     )
+    # one row per symbol, side and client; read for the totals and for the names
+    per_client = materialise(per_client, "deals")
     buy, sell = F.col("side") == "B", F.col("side") == "S"
     totals = per_client.groupBy("symbol").agg(
         F.coalesce(F.sum(F.when(buy, F.col("qty"))), F.lit(0)).alias("deal_buy_qty"),

@@ -233,10 +233,12 @@ def with_basis(usable: DataFrame) -> DataFrame:
 def eligible(obs: DataFrame, as_of) -> DataFrame:
     """Usable rows minus standalone multiples, audit-only fields, unusable P/E and contested ROE.
 
-    Joined on instrument_id first: the windows that follow are all within an instrument, so they
-    reuse that partitioning.
+    Partitioned by instrument once: the flag join and every window that follows (basis, canonical
+    pick, alias suppression) work within an instrument and reuse it. After the newest-row pick an
+    instrument holds at most one row per field and provider.
     """
-    rows = newest_usable(obs, as_of).join(conflict_flags(obs), "instrument_id", "left")
+    usable = newest_usable(obs, as_of).repartition("instrument_id")
+    rows = usable.join(conflict_flags(obs), "instrument_id", "left")
     field, provider = F.col("field"), F.col("provider")
     standalone = field.isin("trailing_pe", "trailing_eps") & (F.coalesce(F.col("basis"), F.lit("")) == "standalone")
     audit_only = (provider == "upstox_fundamentals") & ~field.isin("roe_pct", "roce_pct")

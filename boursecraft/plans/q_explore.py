@@ -30,7 +30,12 @@ def ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prev_cur(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return A.run_of_year(spark, d, 2000), A.run_of_year(spark, d, 2001)
+    return stored_run(spark, d, 2000), stored_run(spark, d, 2001)
+
+
+def stored_run(spark: SparkSession, d: str, year: int) -> DataFrame:
+    """A ranking run as stored: comparisons read stored runs, they never rank again."""
+    return published(spark, d, f"run_{year}", lambda: A.run_of_year(spark, d, year))
 
 
 RUN = with_(O.PREV, O.CUR)
@@ -227,14 +232,14 @@ def _pair(o: str, n: str, suffix: str) -> str:
   FROM cur FULL JOIN prev ON prev.ticker = cur.ticker FULL JOIN push ON push.ticker = coalesce(cur.ticker, prev.ticker)""")
 def _(spark, d):
     prev, cur = prev_cur(spark, d)
-    return M.three_snapshots(cur, prev, A.run_of_year(spark, d, 1999))
+    return M.three_snapshots(cur, prev, stored_run(spark, d, 1999))
 
 
 @query("join_three_way", R3 + """SELECT coalesce(cur.ticker, prev.ticker, push.ticker) AS ticker, cur.rank AS current_rank, prev.rank AS staged_rank, push.rank AS pushed_rank
   FROM cur FULL JOIN prev ON prev.ticker = cur.ticker FULL JOIN push ON push.ticker = coalesce(cur.ticker, prev.ticker)""")
 def _(spark, d):
     prev, cur = prev_cur(spark, d)
-    sides = [df.select("ticker", F.col("rank").alias(n)) for df, n in ((cur, "current_rank"), (prev, "staged_rank"), (A.run_of_year(spark, d, 1999), "pushed_rank"))]
+    sides = [df.select("ticker", F.col("rank").alias(n)) for df, n in ((cur, "current_rank"), (prev, "staged_rank"), (stored_run(spark, d, 1999), "pushed_rank"))]
     return sides[0].join(sides[1], "ticker", "full").join(sides[2], "ticker", "full")
 
 
@@ -242,7 +247,7 @@ def _(spark, d):
   FROM cur FULL JOIN prev ON prev.ticker = cur.ticker FULL JOIN push ON push.ticker = coalesce(cur.ticker, prev.ticker)""")
 def _(spark, d):
     prev, cur = prev_cur(spark, d)
-    return M.keyed_order(cur, prev, A.run_of_year(spark, d, 1999))
+    return M.keyed_order(cur, prev, stored_run(spark, d, 1999))
 
 
 _SNAP = f"""snap AS (SELECT coalesce(n.ticker, o.ticker) AS ticker, CASE WHEN o.ticker IS NULL THEN 'new_only' WHEN n.ticker IS NULL THEN 'prev_only' ELSE 'both' END AS side,

@@ -16,8 +16,14 @@ from boursecraft.plans.registry import query
 from boursecraft.plans.shared import published
 
 
-def current(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ranking runs as stored by the scoring job."""
     runs, ranked = A.run_tables(spark, sf_dir)
+    return runs, published(spark, sf_dir, "ranked_stocks", lambda: ranked)
+
+
+def current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs, ranked = run_tables(spark, sf_dir)
     files, rows = A.archive_tables(spark, sf_dir)
     return R.current_metrics(
         A.observations(spark, sf_dir), A.instruments(spark, sf_dir), A.AS_OF, runs, ranked, files, rows,
@@ -271,26 +277,26 @@ def _(spark, d):
 
 @query("win_prev_run", with_(O.RUNS) + "SELECT instrument_id, rank, score FROM ranked WHERE run_id = 'run-2000'")
 def _(spark, d):
-    runs, ranked = A.run_tables(spark, d)
+    runs, ranked = run_tables(spark, d)
     previous = L.newest_run(runs, exclude="run-2001")
     return ranked.join(F.broadcast(previous), "run_id", "left_semi").select("instrument_id", "rank", "score")
 
 
 @query("rec_ranked_kv", with_(O.RUNS, O.RANKED_KV) + "SELECT * FROM ranked_kv")
 def _(spark, d):
-    return R.ranked_rows(*A.run_tables(spark, d))
+    return R.ranked_rows(*run_tables(spark, d))
 
 
 @query("join_lateral_kv", with_(O.RUNS, O.RANKED_KV) + "SELECT instrument_id, field, numeric_value FROM ranked_kv WHERE field IN ('g_quality', 'g_growth')")
 def _(spark, d):
-    runs, ranked = A.run_tables(spark, d)
+    runs, ranked = run_tables(spark, d)
     newest = ranked.join(F.broadcast(L.newest_run(runs)), "run_id", "left_semi")
     return newest.select("instrument_id", F.explode("factors").alias("field", "numeric_value"))
 
 
 @query("set_union_all_layers", "WITH " + O.CURRENT + "\nSELECT origin, priority, field, count(*) AS cells, count(numeric_value) AS numeric_cells FROM layers GROUP BY 1, 2, 3")
 def _(spark, d):
-    runs, ranked = A.run_tables(spark, d)
+    runs, ranked = run_tables(spark, d)
     files, rows = A.archive_tables(spark, d)
     layers = R.all_layers(A.observations(spark, d), A.instruments(spark, d), A.AS_OF, runs, ranked, files, rows, A.ticker_aliases(spark, d))
     return layers.groupBy("origin", F.col("priority").cast("long").alias("priority"), "field").agg(

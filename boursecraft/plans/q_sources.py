@@ -15,10 +15,13 @@ from boursecraft.plans import adapters as A
 from boursecraft.plans import oracle as O
 from boursecraft.plans.oracle import r, with_
 from boursecraft.plans.registry import query
+from boursecraft.session import ship_functions
 from boursecraft.sources import csv_archive as Z
 from boursecraft.sources import files as E
 from boursecraft.sources import payloads as P
 
+ship_functions(__name__)
+
 TODAY = "2001-06-30"
 
 

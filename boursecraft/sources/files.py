@@ -12,6 +12,9 @@ from pyspark.sql.types import StringType
 from boursecraft import catalog
 from boursecraft.functions import values as V
 from boursecraft.operators.reconcile import active_equities
+from boursecraft.session import ship_functions
+
+ship_functions(__name__)
 
 ENVELOPE = (
     "request_id string, provider string, endpoint string, requested_at timestamp, received_at timestamp, status_code int, "

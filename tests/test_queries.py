@@ -25,9 +25,6 @@ def test_query_equals_sql(spark, duck, name):
     assert not problem
 
 
-PYTHON_ALLOWED = {"src_raw_envelopes", "src_csv_lossless", "audit_csv_import", "audit_manifest"}
-
-
 @pytest.mark.parametrize("name", ["rec_current_metrics", "rec_live_metrics", "ts_derived_metrics", "sc_score_universe", "cmp_sections", "agg_deals", "agg_failure_tally", "src_chart_bars"])
 def test_plans_have_no_python_and_no_pairing_joins(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

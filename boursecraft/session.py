@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -31,15 +31,39 @@ def build_session(name: str = "boursecraft", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
+def work_dir(spark: SparkSession) -> str:
+    """A folder that the driver and every executor see.
+
+    ``spark.checkpoint.dir`` as the cluster names it; where it is unset, a folder of this
+    application under the SQL warehouse, which is shared by definition and is removed at exit.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_boursecraft-{spark.sparkContext.applicationId}"
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+_OWNED: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped: the folder stays for the warehouse's own clean-up
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make sure that ``checkpoint()`` has the shared folder; gives that folder."""
     current = spark._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    target = configured or tempfile.mkdtemp(prefix="boursecraft-checkpoint-")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
+    spark.sparkContext.setCheckpointDir(work_dir(spark))
+    return spark._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +74,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     by the file statistics. The table lives in the shared checkpoint folder.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

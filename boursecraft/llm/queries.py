@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boursecraft.llm import exact_dedup
+import public_tokenizers
+
+from boursecraft.llm import bpe, exact_dedup
 from boursecraft.llm.registry import query, table
 
 
@@ -20,3 +22,8 @@ from boursecraft.llm.registry import query, table
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op9_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

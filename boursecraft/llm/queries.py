@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from boursecraft.llm import bpe, exact_dedup
+from boursecraft.llm import bpe, exact_dedup, packing
 from boursecraft.llm.registry import query, table
 
 
@@ -27,3 +27,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return packing.pack(parts, capacity=2048).withColumnRenamed("id", "doc_id")

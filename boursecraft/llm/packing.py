@@ -164,18 +164,26 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
     return texts.mapInArrow(run, _PIECES + (", token_ids array<int>" if with_ids else ""))
 
 
-def sum_of_squares(lengths: list[int], capacity: int) -> tuple[list[int], list[int], int]:
-    """Sequence and offset of each length, all below the capacity, and the number of sequences.
+def sum_of_squares(lengths: list[int], capacity: int, sequences: list[list[int]] | None = None) -> list[list[int]]:
+    """Sequences, as lists of the indices of lengths that they hold; all lengths are below the capacity.
 
-    Lengths are taken longest first. With N(g) open sequences of gap g, an item of length s changes
-    the sum of N squared by 2(N(g-s) - N(g)) + 2 in a sequence of gap g > s, by 1 - 2N(s) in one it
-    fills, and by 2N(capacity-s) + 1 in a new one; the least change wins, then the smallest gap.
+    Lengths not yet in ``sequences`` are taken longest first. With N(g) open sequences of gap g, an
+    item of length s changes the sum of N squared by 2(N(g-s) - N(g)) + 2 in a sequence of gap
+    g > s, by 1 - 2N(s) in one it fills, and by 2N(capacity-s) + 1 in a new one; the least change
+    wins, then the smallest gap.
     """
+    sequences = [list(s) for s in sequences or []]
     count = np.zeros(capacity + 1, np.int64)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
-    sequence, offset, total = [0] * len(lengths), [0] * len(lengths), 0
+    waiting = set(range(len(lengths)))
+    for k, held in enumerate(sequences):
+        gap = capacity - sum(lengths[i] for i in held)
+        waiting.difference_update(held)
+        if gap:
+            count[gap] += 1
+            open_at[gap].append(k)
     never = np.int64(1 << 40)
-    for k in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    for k in sorted(waiting, key=lambda i: (-lengths[i], i)):
         size = lengths[k]
         have = count[size:capacity]
         change = np.where(have > 0, 2 * (count[: capacity - size] - have) + 2, never)
@@ -186,14 +194,28 @@ def sum_of_squares(lengths: list[int], capacity: int) -> tuple[list[int], list[i
             gap = best + size
             into = open_at[gap].pop()
             count[gap] -= 1
+            sequences[into].append(k)
         else:
-            gap, into = capacity, total
-            total += 1
-        sequence[k], offset[k] = into, capacity - gap
+            gap, into = capacity, len(sequences)
+            sequences.append([k])
         if gap > size:
             count[gap - size] += 1
             open_at[gap - size].append(into)
-    return sequence, offset, total
+    return sequences
+
+
+def packed(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Sum-of-squares packing, then rounds in which the emptier half of the sequences that have a
+    gap is emptied and placed again by the same rule, for as long as that saves a sequence."""
+    best = sum_of_squares(lengths, capacity)
+    while True:
+        filled = [sum(lengths[i] for i in held) for held in best]
+        order = sorted(range(len(best)), key=lambda k: filled[k])
+        emptied = set(order[: max(2, sum(f < capacity for f in filled) // 2)])
+        again = sum_of_squares(lengths, capacity, [held for k, held in enumerate(best) if k not in emptied])
+        if len(again) >= len(best):
+            return best
+        best = again
 
 
 def pack(parts: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -209,7 +231,13 @@ def pack(parts: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> D
 
     def place(group: pa.Table) -> pa.Table:
         group = group.sort_by([("id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
-        sequence, offset, _ = sum_of_squares(group.column("length").to_pylist(), capacity)
+        lengths = group.column("length").to_pylist()
+        sequence, offset = [0] * len(lengths), [0] * len(lengths)
+        for k, held in enumerate(packed(lengths, capacity)):
+            at = 0
+            for i in held:
+                sequence[i], offset[i] = k, at
+                at += lengths[i]
         shard = group.column("shard")[0].as_py()
         numbers = pa.array([shard << 40 | s for s in sequence], pa.int64())
         return group.drop_columns(["shard"]).append_column("sequence_id", numbers).append_column("offset", pa.array(offset, pa.int64()))

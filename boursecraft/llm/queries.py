@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from boursecraft.llm import bpe, exact_dedup, packing, token_counts
+from boursecraft.llm import bpe, exact_dedup, packing, secret_scan, token_counts
 from boursecraft.llm.registry import query, table
 
 
@@ -40,3 +40,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    both = F.array_sort(F.concat("base", "markov"))
+    return found.select(
+        "doc_id",
+        *[secret_scan.counted(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.size("markov").cast("long").alias("n_markov"),
+        F.sha2(secret_scan.described(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.described(both).alias("spans"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from boursecraft.llm import bpe, exact_dedup, packing, secret_scan, token_counts
+from boursecraft.llm import bpe, exact_dedup, packing, secret_scan, token_counts, toxicity
 from boursecraft.llm.registry import query, table
 
 
@@ -54,3 +54,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.described(F.col("base")), 256).alias("base_sha256"),
         secret_scan.described(both).alias("spans"),
     )
+
+
+def held_out(doc_id: str = "doc_id"):
+    """The fifth of the documents whose labels are never learned from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.train(docs, labels.where(~held_out()))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits", "words")

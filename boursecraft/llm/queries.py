@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from boursecraft.llm import bpe, exact_dedup, packing, secret_scan, token_counts, toxicity
+from boursecraft.llm import bpe, exact_dedup, near_dedup, packing, secret_scan, token_counts, toxicity
 from boursecraft.llm.registry import query, table
 
 
@@ -67,3 +67,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.train(docs, labels.where(~held_out()))
     scored = toxicity.score(docs, lexicon)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits", "words")
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from boursecraft.llm import bpe, exact_dedup, near_dedup, packing, secret_scan, token_counts, toxicity
+from boursecraft.llm import bpe, embeddings, exact_dedup, near_dedup, packing, secret_scan, token_counts, toxicity
 from boursecraft.llm.registry import query, table
 
 
@@ -72,3 +72,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.links(table(spark, sf_dir, "embeddings"), cosine=0.93)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from boursecraft.llm import bpe, embeddings, exact_dedup, near_dedup, packing, secret_scan, token_counts, toxicity
+from boursecraft.llm import bpe, embeddings, exact_dedup, near_dedup, packing, secret_scan, token_counts, toxicity, warc
 from boursecraft.llm.registry import query, table
 
 
@@ -77,3 +77,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.links(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@query("op7_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark), revisit_from=0)
+    found = warc.read(manifest)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from boursecraft.llm import bpe, embeddings, exact_dedup, near_dedup, packing, secret_scan, token_counts, toxicity, warc
+from boursecraft.llm import bpe, chat, embeddings, exact_dedup, near_dedup, packing, secret_scan, token_counts, toxicity, warc
 from boursecraft.llm.registry import query, table
 
 
@@ -84,3 +84,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark), revisit_from=0)
     found = warc.read(manifest)
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_chat_format")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))

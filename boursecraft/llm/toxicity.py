@@ -33,7 +33,7 @@ EXCEPTIONS = 500
 #: An entry is in this share of the toxic sample and in five documents at least.
 LEAST_SHARE = 0.01
 LEAST_DOCUMENTS = 5
-LEAST_WEIGHT = math.log(10)
+LEAST_WEIGHT = math.log(20)
 STEMS = (4, 5, 6)
 
 # Letters of other scripts that look like Latin ones, and signs that replace letters.

@@ -110,24 +110,31 @@ class PatriciaTrie:
             stack.extend((path + label, child) for label, child in edges.values())
 
     def items(self) -> Iterator[tuple[bytes, list]]:
-        """Every text with its terminal; spilled subtrees one after another, below their first byte."""
+        """Every text with its terminal; spilled subtrees one after another, below what their texts share."""
         yield from self._walk(b"", self.root)
         self.root, self.held = [{}, None], {}
-        for first, file in self.spilled.items():
-            file.seek(0)
+        for file in self.spilled.values():
+            shared = None
+            for key, *_ in _spilled(file):
+                shared = key if shared is None else shared[: _common(shared, key)]
             below = PatriciaTrie(self.better, self.limit)
-            while True:
-                try:
-                    key, owner, copies, tag = pickle.load(file)
-                except EOFError:
-                    break
-                below.insert(key[1:], owner, copies, tag)
+            for key, *row in _spilled(file):
+                below.insert(key[len(shared) :], *row)
             file.close()
             for key, terminal in below.items():
-                yield bytes([first]) + key, terminal
+                yield shared + key, terminal
         self.spilled = {}
 
 
+def _spilled(file) -> Iterator[tuple]:
+    file.seek(0)
+    while True:
+        try:
+            yield pickle.load(file)
+        except EOFError:
+            return
+
+
 def _batches(rows: list[tuple], names: list[str], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     types = {"body": pa.binary(), "text_sha256": pa.string()}
     for start in range(0, len(rows), 4096):

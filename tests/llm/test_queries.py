@@ -1,0 +1,44 @@
+"""The registered queries: those with SQL against it, the pipeline against its parts."""
+
+from __future__ import annotations
+
+import pytest
+from check_queries import compare, connect
+
+import corpus_pipeline
+from boursecraft.llm import queries  # noqa: F401  (registers)
+from boursecraft.llm import exact_dedup, near_dedup, toxicity
+from boursecraft.llm.registry import ORACLES, QUERIES
+from boursecraft.session import materialise
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    problem, _ = compare(QUERIES[name](spark, SF), ORACLES[name], connect(SF))
+    assert not problem
+
+
+def test_pipeline_stages_take_effect(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, out = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), "t")
+        out[name] = docs
+        if name != "best-fit packing":
+            assert docs.columns == columns
+    every = spark.read.parquet(f"{SF}/documents.parquet")
+    lexicon = toxicity.train(every, spark.read.parquet(f"{SF}/labels.parquet").where(~queries.held_out()))
+    clean = every.join(toxicity.score(every, lexicon).where("score < 0.5").select("doc_id"), "doc_id", "left_semi")
+    ids = lambda d: {r.doc_id for r in d.select("doc_id").collect()}
+    assert ids(out["toxicity"]) == ids(clean)
+    assert ids(out["exact dedup"]) == ids(exact_dedup.assign(clean, keep="largest").where("kept"))
+    assert ids(out["minhash near-dedup"]) == ids(near_dedup.near_duplicates(out["exact dedup"]).where("kept")) == ids(out["secret scans"])
+    assert not [r for r in out["secret scans"].collect() if "password=" in r.text and "[SECRET]" not in r.text]
+    assert ids(out["best-fit packing"]) == ids(out["secret scans"])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == ids(out["best-fit packing"])

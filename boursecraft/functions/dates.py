@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from boursecraft.functions.values import as_col
+from boursecraft.functions.values import as_col, to_double
 
 
 def period_end(label) -> Column:
@@ -26,4 +26,4 @@ def epoch_instant(value) -> Column:
 
 def quote_instant(*candidates) -> Column:
     """First usable epoch among several text fields."""
-    return epoch_instant(F.coalesce(*[as_col(c).try_cast("double") for c in candidates]))
+    return epoch_instant(F.coalesce(*[to_double(as_col(c).cast("string")) for c in candidates]))

@@ -24,10 +24,20 @@ def rounded(value, digits: int) -> Column:
     return F.rint(as_col(value) * F.lit(scale)) / F.lit(scale)
 
 
+#: What counts as a number's text. The cast alone also takes type suffixes ('1d', '2f').
+DOUBLE_TEXT = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?|nan)\s*$"
+
+
+def to_double(text) -> Column:
+    """Text to double where it is a number and nothing else; null otherwise."""
+    t = as_col(text)
+    return F.when(t.rlike(DOUBLE_TEXT), t.try_cast("double"))
+
+
 def number(text) -> Column:
     """Parse provider text: commas and % stripped, sentinels, NaN and garbage become null."""
     cleaned = F.regexp_replace(F.trim(as_col(text)), "[,%]", "")
-    parsed = cleaned.try_cast("double")
+    parsed = to_double(cleaned)
     return F.when(~cleaned.isin(*catalog.NUMBER_SENTINELS) & ~F.isnan(parsed), parsed)
 
 

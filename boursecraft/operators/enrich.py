@@ -12,14 +12,16 @@ from boursecraft.functions import values as V
 
 
 def _prefixed(df: DataFrame, key: str, prefix: str, fields: Sequence[str]) -> DataFrame:
-    return df.select(key, *[F.col(f).alias(f"{prefix}{f}") for f in fields if f in df.columns])
+    """One row per key, upper-cased: of repeated keys each field's greatest value that is not null."""
+    known = [f for f in fields if f in df.columns]
+    return df.groupBy(F.upper(key).alias("_key")).agg(*[F.max(f).alias(f"{prefix}{f}") for f in known]) if known else df.select(F.upper(key).alias("_key")).distinct()
 
 
 def gap_fill(primary: DataFrame, supporting: Sequence[DataFrame], fields: Sequence[str], key: str = "ticker") -> DataFrame:
     """Primary values win; supporting sources fill nulls in the order given."""
     merged = primary
     for i, source in enumerate(supporting):
-        merged = merged.join(_prefixed(source, key, f"_{i}_", fields), key, "left")
+        merged = merged.join(_prefixed(source, key, f"_{i}_", fields), F.upper(key) == F.col("_key"), "left").drop("_key")
     filled = []
     for f in fields:
         candidates = [f] if f in primary.columns else []
@@ -35,7 +37,7 @@ def fill_blanks(existing: DataFrame, providers: Sequence[tuple[str, DataFrame]],
     """
     merged = existing
     for name, source in providers:
-        merged = merged.join(_prefixed(source, key, f"_{name}_", fields), key, "left")
+        merged = merged.join(_prefixed(source, key, f"_{name}_", fields), F.upper(key) == F.col("_key"), "left").drop("_key")
     filled, changes = [F.col(key)], []
     for f in fields:
         text = f in catalog.TEXT_FIELDS

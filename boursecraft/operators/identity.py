@@ -54,10 +54,12 @@ def match_identity(instruments: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def identity_conflicts(matches: DataFrame) -> DataFrame:
-    """Snapshot rows that fit several instruments, or whose ISIN changed."""
+    """Snapshot rows that fit several instruments or share one with another row, or whose ISIN changed."""
     several = matches.groupBy("ticker", "exchange", "isin").agg(F.count("*").alias("n")).filter("n > 1").select("ticker", F.lit("conflicting_identity").alias("code"))
+    shared = matches.groupBy("instrument_id").agg(F.count_distinct("ticker", "exchange", F.coalesce("isin", F.lit(""))).alias("rows")).filter("rows > 1")
+    claimed = matches.join(shared, "instrument_id", "left_semi").select("ticker", F.lit("instrument_claimed_twice").alias("code"))
     changed = matches.filter(F.col("old_isin").isNotNull() & (F.col("old_isin") != F.col("isin"))).select("ticker", F.lit("isin_changed").alias("code"))
-    return several.unionByName(changed).distinct()
+    return several.unionByName(claimed).unionByName(changed).distinct()
 
 
 def sync_universe(instruments: DataFrame, snapshot: DataFrame, as_of, strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -68,10 +70,10 @@ def sync_universe(instruments: DataFrame, snapshot: DataFrame, as_of, strict: bo
     """
     size = snapshot.count()
     if size == 0:
-        raise ValueError("Cannot synchronize an empty universe")
+        raise ValueError("The snapshot holds no instrument")
     existing = instruments.filter("kind = 'EQUITY' AND active").count()
     if size < existing * SHRINK_LIMIT:
-        raise ValueError("Universe shrank by more than 10%; review sources before applying")
+        raise ValueError("The snapshot holds under nine tenths of the active equities")
     # one row per snapshot row; read by the conflict check, the updates, the inserts and the aliases
     matches = materialise(match_identity(instruments, snapshot), "matches")
     conflicts = identity_conflicts(matches)

@@ -2,14 +2,15 @@
 
 Every pick is an aggregation (``max_by`` over a struct), not a window: partial aggregation on
 the map side reduces each key to one row per task before the shuffle, so a key that holds a
-third of the table costs one row per task instead of one giant window partition.
+third of the table costs one row per task instead of one giant window partition. Struct buffers
+are aggregated by sorting, so a task sorts its own rows; only what is picked is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,12 +51,16 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def newest_run(runs: DataFrame, exclude: str | None = None) -> DataFrame:
-    """The newest run (one row), optionally the newest one before ``exclude``."""
-    base = runs if exclude is None else runs.filter(F.col("run_id") != exclude)
-    return base.agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id")).filter(
-        F.col("run_id").isNotNull()
-    )
+def recent_runs(runs: DataFrame, count: int) -> DataFrame:
+    """The ``count`` newest runs, with ``age`` 1 for the newest; ``count`` rows at most."""
+    newest = runs.select("run_id", "created_at").orderBy(F.desc("created_at"), F.desc("run_id")).limit(count)
+    return newest.withColumn("age", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("run_id"))))
+
+
+def newest_run(runs: DataFrame) -> DataFrame:
+    """The newest run: one row of run_id and created_at, or none."""
+    newest = runs.agg(F.max_by(F.struct("run_id", "created_at"), F.struct("created_at", "run_id")).alias("r"))
+    return newest.select("r.run_id", "r.created_at").filter(F.col("run_id").isNotNull())
 
 
 def newest_files(files: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def normalise_percent(obs: DataFrame) -> DataFrame:
     obs = with_issue_columns(obs)
     field, unit, raw = F.col("field"), F.col("unit"), F.coalesce(F.col("numeric_value").cast("string"), F.col("text_value"))
     percent = field.isin(*catalog.PERCENT_FIELDS)
-    numeric = F.coalesce(F.col("numeric_value"), F.col("text_value").try_cast("double"))
+    numeric = F.coalesce(F.col("numeric_value"), V.to_double("text_value"))
     scaled = F.when(unit == "fraction", numeric * 100).otherwise(numeric)
     not_numeric = percent & numeric.isNull()
     bad_unit = percent & numeric.isNotNull() & unit.isNotNull() & ~unit.isin("fraction", "percent")
@@ -356,8 +356,7 @@ def identity_rows(instruments: DataFrame) -> DataFrame:
 
 def ranked_rows(runs: DataFrame, ranked: DataFrame) -> DataFrame:
     """Latest run as long rows: four columns, the numeric factors and the one text factor."""
-    latest = L.newest_run(runs)
-    rows = ranked.join(F.broadcast(latest), "run_id", "left_semi").join(runs.select("run_id", "created_at"), "run_id")
+    rows = ranked.join(F.broadcast(L.newest_run(runs)), "run_id")  # one row
     number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def cell(name: str, numeric: Column, string: Column) -> Column:
@@ -431,15 +430,21 @@ def current_metrics(obs: DataFrame, instruments: DataFrame, as_of, runs: DataFra
 # ---- consumers -------------------------------------------------------------------------------
 
 def pivot_stocks(current: DataFrame, instruments: DataFrame, numeric_fields: Sequence[str], text_fields: Sequence[str]) -> DataFrame:
-    """Wide record per ticker: declared fields as columns, plus the origin of each field."""
-    named = current.join(instruments.select("instrument_id", "ticker"), "instrument_id")
-    aggregates = [F.max(F.when(F.col("field") == f, F.col("numeric_value"))).alias(f) for f in numeric_fields]
-    text = F.coalesce(F.col("numeric_value").cast("string"), F.col("text_value"))
-    aggregates += [F.max(F.when(F.col("field") == f, text)).alias(f) for f in text_fields]
+    """Wide record per ticker: declared fields as columns, plus the origin of each field.
+
+    A ticker of several instruments has one value per field, the newest (equal times: the smallest
+    instrument, then the greatest value), and its origin is that value's.
+    """
+    named = current.join(instruments.select("instrument_id", F.upper("ticker").alias("ticker")), "instrument_id")
     # the map holds one entry per declared field: bounded by the field catalog, not by the data
     origins = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "origin")))).alias("field_origins")
     declared = named.filter(F.col("field").isin(*numeric_fields, *text_fields)).filter("numeric_value IS NOT NULL OR text_value IS NOT NULL")
-    return declared.groupBy(F.upper("ticker").alias("ticker")).agg(*aggregates, origins)
+    columns = ["instrument_id", "observed_at", "numeric_value", "text_value", "origin"]
+    single = L.pick(declared.select("ticker", "field", *columns), ["ticker", "field"], ["observed_at", -F.col("instrument_id"), "numeric_value", "text_value", "origin"])
+    aggregates = [F.max(F.when(F.col("field") == f, F.col("numeric_value"))).alias(f) for f in numeric_fields]
+    text = F.coalesce(F.col("numeric_value").cast("string"), F.col("text_value"))
+    aggregates += [F.max(F.when(F.col("field") == f, text)).alias(f) for f in text_fields]
+    return single.groupBy("ticker").agg(*aggregates, origins)
 
 
 def field_timestamps(current: DataFrame, instruments: DataFrame, ticker: str) -> DataFrame:

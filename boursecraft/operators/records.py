@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boursecraft import catalog
+from boursecraft.functions import values as V
 
 ISSUES = "array<struct<code:string,field:string>>"
 
@@ -21,7 +22,7 @@ def parse_record(df: DataFrame, numeric: Sequence[str], text: Sequence[str], rec
     keep = [c for c in df.columns if c != record]
     return df.select(
         *keep,
-        *[raw(f).try_cast("double").alias(f) for f in numeric],
+        *[V.to_double(raw(f)).alias(f) for f in numeric],
         *[F.when(raw(f).isNotNull(), F.lower(raw(f)) == "true").alias(f) for f in booleans],
         *[raw(f).alias(f) for f in text],
         status.alias("quality_status"),

@@ -15,10 +15,12 @@ MIN_BETA_PAIRS = 120
 RSI_PERIOD = 14
 
 
-def daily_closes(bars: DataFrame, limit: int = HISTORY_LIMIT, order: tuple[str, ...] = ("ts",),
+def daily_closes(bars: DataFrame, limit: int | None = HISTORY_LIMIT, order: tuple[str, ...] = ("ts",),
                  day: Column | None = None, price: str = "close") -> DataFrame:
     """Last bar of each day wins; newest ``limit`` days per ticker, ``rn`` = 1 for the newest.
 
+    ``limit=None`` gives every day, and no ``rn``: nothing has to be ordered within a ticker.
+
     The pick is an aggregation with map-side combine, so only one row per (ticker, day) is
     shuffled to the window; a ticker then holds its distinct days, not its bars.
     """
@@ -28,6 +30,8 @@ def daily_closes(bars: DataFrame, limit: int = HISTORY_LIMIT, order: tuple[str,
         .groupBy("ticker", session.alias("day"))
         .agg(F.max_by(F.col(price), F.struct(*order)).alias("close"))
     )
+    if limit is None:
+        return per_day
     newest = Window.partitionBy("ticker").orderBy(F.col("day").desc())
     return per_day.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= limit)
 

@@ -7,7 +7,7 @@ and every operator above them is written twice, independently.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boursecraft.operators import reconcile as R
@@ -126,7 +126,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def closes(spark: SparkSession, sf_dir: str, limit: int = S.HISTORY_LIMIT) -> DataFrame:
+def closes(spark: SparkSession, sf_dir: str, limit: int | None = S.HISTORY_LIMIT) -> DataFrame:
     return S.daily_closes(bars(spark, sf_dir), limit, BAR_ORDER, F.col("session"))
 
 
@@ -217,12 +217,12 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- ranking runs: customers by yearly revenue ----------------------------------------------------
-def yearly_runs(spark: SparkSession, sf_dir: str, years: list[int]) -> DataFrame:
+def yearly_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(year, ticker, rank, final_score, price, ...): customers with orders, ranked by revenue per year."""
     from boursecraft.operators.ranks import ordinal_rank
 
     year = F.year("o_orderdate")
-    orders = table(spark, sf_dir, "orders").filter(year.isin(*years))
+    orders = table(spark, sf_dir, "orders")
     cents = F.rint(F.col("o_totalprice") * 100).cast("long")
     yearly = orders.groupBy(year.alias("year"), F.col("o_custkey").alias("instrument_id")).agg(
         F.sum(cents).alias("cents"), F.count("*").alias("n")
@@ -241,23 +241,31 @@ def yearly_runs(spark: SparkSession, sf_dir: str, years: list[int]) -> DataFrame
     )
 
 
-def run_of_year(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    return yearly_runs(spark, sf_dir, [year]).drop("year")
+def run_id(year: Column) -> Column:
+    return F.concat(F.lit("run-"), year.cast("string")).alias("run_id")
 
 
-def run_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(ranking_runs, ranked_stocks): two stored runs, newest is year 2001."""
-    years = [2000, 2001]
-    run_id = F.concat(F.lit("run-"), F.col("year").cast("string")).alias("run_id")
-    ranked = yearly_runs(spark, sf_dir, years).select(
-        run_id, "instrument_id", "rank", F.col("final_score").alias("score"), "score_status",
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, created_at, n_orders): one run for each calendar year of orders."""
+    per_year = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(
+        F.max("o_orderdate").alias("created_at"), F.count("*").alias("n_orders")
+    )
+    return per_year.select(run_id(F.col("year")), "created_at", "n_orders")
+
+
+def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked stocks of every run, with their run_id."""
+    return yearly_runs(spark, sf_dir).select(run_id(F.col("year")), "*").drop("year")
+
+
+def ranked_stocks(rows: DataFrame) -> DataFrame:
+    """Run rows as the scoring job stores them."""
+    return rows.select(
+        "run_id", "instrument_id", "rank", F.col("final_score").alias("score"), "score_status",
         F.create_map(F.lit("g_quality"), F.col("currentPrice") / 10, F.lit("g_growth"), F.col("pct_below_52w_high")).alias("factors"),
         F.when(F.col("rank") <= 10, "up").alias("movement"),
         F.col("pct_below_52w_high").alias("data_coverage"),
     )
-    orders = table(spark, sf_dir, "orders").filter(F.year("o_orderdate").isin(*years))
-    runs = orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.max("o_orderdate").alias("created_at"), F.count("*").alias("n_orders"))
-    return runs.select(run_id, "created_at", "n_orders"), ranked
 
 
 # ---- archive: customer and part records as string maps -----------------------------------------

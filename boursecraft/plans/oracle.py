@@ -76,31 +76,33 @@ fund AS (SELECT k AS instrument_id, concat('T', CAST(k AS VARCHAR)) AS ticker, p
   {A.FUND_SECTOR} AS sector, """ + ", ".join(f'{A.fundamental_expr(m)} AS "{m}"' for m in A.FUNDAMENTALS) + " FROM facts)"
 
 
-def run_cte(name: str, year: int) -> str:
-    return f"""
-{name} AS (
-  SELECT y.instrument_id, concat('C', CAST(y.instrument_id AS VARCHAR)) AS ticker,
-         CASE WHEN n >= 2 THEN row_number() OVER (PARTITION BY n >= 2 ORDER BY cents DESC, y.instrument_id) END AS rank,
+_RUN_ROWS = """
+  SELECT year, y.instrument_id, concat('C', CAST(y.instrument_id AS VARCHAR)) AS ticker,
+         CASE WHEN n >= 2 THEN row_number() OVER (PARTITION BY year, n >= 2 ORDER BY cents DESC, y.instrument_id) END AS rank,
          CASE WHEN n >= 2 THEN CAST(cents % 1000 AS DOUBLE) / 10 END AS final_score,
          CASE WHEN n >= 2 THEN 'ranked' ELSE 'insufficient overall coverage' END AS score_status,
          CAST(cents % 90000 + 10000 AS DOUBLE) / 100 AS "currentPrice",
          CAST(cents % 600 AS DOUBLE) / 10 AS pct_below_52w_high,
          CAST(cents % 300 - 150 AS DOUBLE) / 10 AS delivery_trend
-  FROM (SELECT o_custkey AS instrument_id, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n
-        FROM orders WHERE year(o_orderdate) = {year} GROUP BY 1) y)"""
+  FROM (SELECT year(o_orderdate) AS year, o_custkey AS instrument_id, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n
+        FROM orders GROUP BY 1, 2) y"""
+
+
+def run_cte(name: str, age: int) -> str:
+    """The rows of one run: age 0 is the newest."""
+    return f"""
+{name} AS (SELECT * EXCLUDE (year) FROM ({_RUN_ROWS})
+  WHERE year = (SELECT DISTINCT year(o_orderdate) AS y FROM orders ORDER BY y DESC LIMIT 1 OFFSET {age}))"""
 
 
-PREV = run_cte("prev", 2000)
-CUR = run_cte("cur", 2001)
-RUNS = PREV + "," + CUR + """,
-runs AS (SELECT concat('run-', CAST(year(o_orderdate) AS VARCHAR)) AS run_id, max(o_orderdate) AS created_at, count(*) AS n_orders
-  FROM orders WHERE year(o_orderdate) IN (2000, 2001) GROUP BY 1),
+PREV = run_cte("prev", 1)
+CUR = run_cte("cur", 0)
+RUNS = f"""
+runs AS (SELECT concat('run-', CAST(year(o_orderdate) AS VARCHAR)) AS run_id, max(o_orderdate) AS created_at, count(*) AS n_orders FROM orders GROUP BY 1),
 ranked AS (
-  SELECT 'run-2000' AS run_id, instrument_id, rank, final_score AS score, score_status, "currentPrice" / 10 AS g_quality,
-         pct_below_52w_high AS g_growth, CASE WHEN rank <= 10 THEN 'up' END AS movement, pct_below_52w_high AS data_coverage FROM prev
-  UNION ALL
-  SELECT 'run-2001', instrument_id, rank, final_score, score_status, "currentPrice" / 10, pct_below_52w_high,
-         CASE WHEN rank <= 10 THEN 'up' END, pct_below_52w_high FROM cur)"""
+  SELECT concat('run-', CAST(year AS VARCHAR)) AS run_id, instrument_id, rank, final_score AS score, score_status, "currentPrice" / 10 AS g_quality,
+         pct_below_52w_high AS g_growth, CASE WHEN rank <= 10 THEN 'up' END AS movement, pct_below_52w_high AS data_coverage
+  FROM ({_RUN_ROWS}))"""
 
 _ARCH_COLS = """CASE WHEN c_nationkey = 7 THEN concat(' old', CAST(c_custkey AS VARCHAR)) ELSE replace(c_name, '#', '') END AS a_ticker,
   CAST(c_nationkey AS VARCHAR) AS a_price, c_mktsegment AS a_sector,

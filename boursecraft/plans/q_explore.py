@@ -9,6 +9,7 @@ from boursecraft import catalog as C
 from boursecraft.functions import values as V
 from boursecraft.operators import compare as M
 from boursecraft.operators import explore as X
+from boursecraft.operators import latest as L
 from boursecraft.operators import quality as D
 from boursecraft.operators import reconcile as R
 from boursecraft.operators import scoring as S
@@ -30,12 +31,14 @@ def ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prev_cur(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return stored_run(spark, d, 2000), stored_run(spark, d, 2001)
+    return stored_run(spark, d, 2), stored_run(spark, d, 1)
 
 
-def stored_run(spark: SparkSession, d: str, year: int) -> DataFrame:
-    """A ranking run as stored: comparisons read stored runs, they never rank again."""
-    return published(spark, d, f"run_{year}", lambda: A.run_of_year(spark, d, year))
+def stored_run(spark: SparkSession, d: str, age: int) -> DataFrame:
+    """A ranking run as stored, 1 for the newest: comparisons read stored runs, they never rank again."""
+    rows = published(spark, d, "run_rows", lambda: A.run_rows(spark, d))
+    one = L.recent_runs(A.runs(spark, d), age).filter(F.col("age") == age)
+    return rows.join(F.broadcast(one), "run_id", "left_semi").drop("run_id")
 
 
 RUN = with_(O.PREV, O.CUR)
@@ -218,7 +221,7 @@ def _(spark, d):
     return cur.join(old, "ticker", "left").select("ticker", F.col("rank").alias("new_rank"), "old_rank", F.col("seen").isNotNull().alias("had_previous"))
 
 
-_PUSH = O.run_cte("push", 1999)
+_PUSH = O.run_cte("push", 2)
 R3 = with_(O.PREV, O.CUR, _PUSH)
 
 
@@ -232,14 +235,14 @@ def _pair(o: str, n: str, suffix: str) -> str:
   FROM cur FULL JOIN prev ON prev.ticker = cur.ticker FULL JOIN push ON push.ticker = coalesce(cur.ticker, prev.ticker)""")
 def _(spark, d):
     prev, cur = prev_cur(spark, d)
-    return M.three_snapshots(cur, prev, stored_run(spark, d, 1999))
+    return M.three_snapshots(cur, prev, stored_run(spark, d, 3))
 
 
 @query("join_three_way", R3 + """SELECT coalesce(cur.ticker, prev.ticker, push.ticker) AS ticker, cur.rank AS current_rank, prev.rank AS staged_rank, push.rank AS pushed_rank
   FROM cur FULL JOIN prev ON prev.ticker = cur.ticker FULL JOIN push ON push.ticker = coalesce(cur.ticker, prev.ticker)""")
 def _(spark, d):
     prev, cur = prev_cur(spark, d)
-    sides = [df.select("ticker", F.col("rank").alias(n)) for df, n in ((cur, "current_rank"), (prev, "staged_rank"), (stored_run(spark, d, 1999), "pushed_rank"))]
+    sides = [df.select("ticker", F.col("rank").alias(n)) for df, n in ((cur, "current_rank"), (prev, "staged_rank"), (stored_run(spark, d, 3), "pushed_rank"))]
     return sides[0].join(sides[1], "ticker", "full").join(sides[2], "ticker", "full")
 
 
@@ -247,7 +250,7 @@ def _(spark, d):
   FROM cur FULL JOIN prev ON prev.ticker = cur.ticker FULL JOIN push ON push.ticker = coalesce(cur.ticker, prev.ticker)""")
 def _(spark, d):
     prev, cur = prev_cur(spark, d)
-    return M.keyed_order(cur, prev, stored_run(spark, d, 1999))
+    return M.keyed_order(cur, prev, stored_run(spark, d, 3))
 
 
 _SNAP = f"""snap AS (SELECT coalesce(n.ticker, o.ticker) AS ticker, CASE WHEN o.ticker IS NULL THEN 'new_only' WHEN n.ticker IS NULL THEN 'prev_only' ELSE 'both' END AS side,
@@ -336,14 +339,10 @@ def _(spark, d):
     return X.value_trap_watch(ranking(spark, d)).select("ticker", "pct_below_52w_high", "g_quality", "delivery_trend")
 
 
-@query("sort_nulls_last", SC + """SELECT ticker, "pegRatio", row_number() OVER (ORDER BY "pegRatio" DESC NULLS LAST, instrument_id) AS position FROM scored ORDER BY position LIMIT 500""")
+@query("sort_nulls_last", SC + """SELECT ticker, "pegRatio", row_number() OVER (ORDER BY "pegRatio" DESC NULLS LAST, instrument_id) AS position FROM scored""")
 def _(spark, d):
-    ordered = X.sorted_blanks_last(ranking(spark, d).select("instrument_id", "ticker", "pegRatio"), "pegRatio", descending=True).limit(500)
-    from pyspark.sql import Window
-
-    # 500 rows at most: the page the grid shows
-    w = Window.orderBy(F.desc_nulls_last("pegRatio"), "instrument_id")
-    return ordered.withColumn("position", F.row_number().over(w).cast("long")).drop("instrument_id")
+    rows = ranking(spark, d).select("instrument_id", "ticker", "pegRatio")
+    return X.positions(rows, [F.desc_nulls_last("pegRatio"), F.asc("instrument_id")]).select("ticker", "pegRatio", "position")
 
 
 @query("topk_issue_page", with_(O.OBS) + "SELECT id, issue_code AS code, field FROM obs WHERE issue_code IS NOT NULL ORDER BY id LIMIT 200")

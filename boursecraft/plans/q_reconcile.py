@@ -17,9 +17,9 @@ from boursecraft.plans.shared import published
 
 
 def run_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Ranking runs as stored by the scoring job."""
-    runs, ranked = A.run_tables(spark, sf_dir)
-    return runs, published(spark, sf_dir, "ranked_stocks", lambda: ranked)
+    """Ranking runs as stored by the scoring job, all of them."""
+    rows = published(spark, sf_dir, "run_rows", lambda: A.run_rows(spark, sf_dir))
+    return A.runs(spark, sf_dir), A.ranked_stocks(rows)
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,14 +271,14 @@ def _(spark, d):
 
 @query("win_latest_run", with_(O.RUNS) + "SELECT run_id, n_orders FROM runs ORDER BY created_at DESC LIMIT 1")
 def _(spark, d):
-    runs, _ranked = A.run_tables(spark, d)
+    runs = A.runs(spark, d)
     return runs.join(F.broadcast(L.newest_run(runs)), "run_id", "left_semi").select("run_id", "n_orders")
 
 
-@query("win_prev_run", with_(O.RUNS) + "SELECT instrument_id, rank, score FROM ranked WHERE run_id = 'run-2000'")
+@query("win_prev_run", with_(O.RUNS) + "SELECT instrument_id, rank, score FROM ranked WHERE run_id = (SELECT run_id FROM runs ORDER BY created_at DESC LIMIT 1 OFFSET 1)")
 def _(spark, d):
     runs, ranked = run_tables(spark, d)
-    previous = L.newest_run(runs, exclude="run-2001")
+    previous = L.recent_runs(runs, 2).filter("age = 2")
     return ranked.join(F.broadcast(previous), "run_id", "left_semi").select("instrument_id", "rank", "score")
 
 

@@ -133,7 +133,7 @@ def _(spark, d):
   (arg_max(close, day) / arg_min(close, day) - 1) * 100 AS "fiftyTwoWeekChangePercent", max(day) AS price_asof, max(day) >= DATE '2001-10-25' AS is_fresh
   FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day DESC) AS rn FROM day_close) GROUP BY 1""")
 def _(spark, d):
-    history = A.closes(spark, d, limit=100000).select(
+    history = A.closes(spark, d, None).select(
         "ticker", "day", "close", (F.col("close") * 1.1).alias("high"), (F.col("close") / 1.1).alias("low")
     )
     return S.history_metrics(history, "2001-11-04")

@@ -204,7 +204,7 @@ def _(spark, d):
 
 def chart_documents(spark: SparkSession, d: str) -> DataFrame:
     """One chart document per ticker and calendar year: at most 53 weekly points each."""
-    c = A.closes(spark, d, 100000)
+    c = A.closes(spark, d, None)
     points = F.array_sort(F.collect_list(F.struct("day", "close")))
     docs = c.groupBy("ticker", F.year("day").alias("y")).agg(points.alias("p"))
     arr = lambda f: F.transform("p", f)

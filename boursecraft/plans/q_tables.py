@@ -13,7 +13,7 @@ from boursecraft.plans import adapters as A
 from boursecraft.plans import oracle as O
 from boursecraft.plans import score_sql as Q
 from boursecraft.plans.oracle import with_
-from boursecraft.plans.q_explore import ranking
+from boursecraft.plans.q_explore import ranking, stored_run
 from boursecraft.plans.registry import query
 from boursecraft.sinks import tables as B
 
@@ -254,7 +254,7 @@ def _(spark, d):
 def _(spark, d):
     f = A.fundamentals(spark, d)
     extra = f.select("ticker", "fiftyTwoWeekHigh", "fiftyTwoWeekLow", "beta")
-    tracker = A.run_of_year(spark, d, 2001).select("instrument_id", F.col("rank").alias("tracked_rank"))
+    tracker = stored_run(spark, d, 1).select("instrument_id", F.col("rank").alias("tracked_rank"))
     return f.select("ticker", "instrument_id").join(extra, "ticker", "left").join(tracker, "instrument_id", "left").drop("instrument_id")
 
 
@@ -322,7 +322,7 @@ _CACHE_AS_OF = "2001-06-01"
 
 @query("sink_price_cache", with_(O.CLOSES) + f"""SELECT ticker, day, CASE WHEN day >= DATE '2001-01-01' THEN close + 1 ELSE close END AS close FROM day_close WHERE ticker IN (SELECT s_suppkey FROM supplier WHERE s_nationkey > 5) AND day >= DATE '{_CACHE_AS_OF}' - 400""")
 def _(spark, d):
-    c = A.closes(spark, d, 100000).select("ticker", "day", "close", F.col("rn").alias("seq"))
+    c = A.closes(spark, d, None).select("ticker", "day", "close", F.lit(0).alias("seq"))
     incoming = c.filter("day >= DATE '2001-01-01'").withColumn("close", F.col("close") + 1)
     symbols = A.table(spark, d, "supplier").filter("s_nationkey > 5").select(F.col("s_suppkey").alias("ticker"))
     return B.merge_price_cache(c, incoming, symbols, _CACHE_AS_OF).select("ticker", "day", "close")
@@ -333,6 +333,6 @@ def _(spark, d):
 def _(spark, d):
     symbols = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("ticker"), "s_nationkey")
     # young listings: some suppliers have only a few cached weeks
-    cached = A.closes(spark, d, 100000).join(symbols, "ticker").filter("s_nationkey > 5 OR day < DATE '1995-02-15'")
+    cached = A.closes(spark, d, None).join(symbols, "ticker").filter("s_nationkey > 5 OR day < DATE '1995-02-15'")
     return B.incremental_plan(cached, symbols.select("ticker"))
 

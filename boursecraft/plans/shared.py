@@ -12,11 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from boursecraft.session import materialise
 
-_PUBLISHED: dict[tuple[str, str, str], DataFrame] = {}
+_PUBLISHED: dict[tuple[str, str, str, tuple], DataFrame] = {}
+
+
+def _listing(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the folder's tables: a table that changes is published anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def published(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _listing(spark, sf_dir))
     if key not in _PUBLISHED:
         _PUBLISHED[key] = materialise(build(), name)
     return _PUBLISHED[key]

@@ -47,7 +47,7 @@ def write_envelopes(df: DataFrame, root: str) -> None:
 def split_value(value: Column, kind: Column) -> dict[str, Column]:
     """Tagged union to (numeric, text): booleans become lowercase text, numbers stay numbers."""
     return {
-        "numeric_value": F.when(kind == "number", value.try_cast("double")),
+        "numeric_value": F.when(kind == "number", V.to_double(value)),
         "text_value": F.when(kind == "boolean", F.lower(value)).when(kind == "string", value),
     }
 
@@ -60,13 +60,14 @@ def new_observations(incoming: DataFrame, stored_keys: DataFrame, instruments: D
 
 
 def append_observations(incoming: DataFrame, path: str, instruments: DataFrame) -> None:
-    """Idempotent append. Only keys of the incoming days are read from the table (partition pruning)."""
+    """Idempotent append. Only the incoming days are read from the table: the semi join on its
+    partition column prunes partitions at run time. A row without ``observed_at`` has no key and
+    is refused."""
     spark = incoming.sparkSession
-    dated = incoming.withColumn("observed_date", F.to_date("observed_at"))
+    timed = F.when(F.col("observed_at").isNull(), F.raise_error(F.lit("an observation needs observed_at"))).otherwise(F.col("observed_at"))
+    dated = incoming.withColumn("observed_at", timed).withColumn("observed_date", F.to_date("observed_at"))
     stored = _read_or_empty(spark, path, dated)
-    days = [r[0] for r in dated.select("observed_date").distinct().limit(4000).collect()]
-    if len(days) < 4000:
-        stored = stored.filter(F.col("observed_date").isin(*days)) if days else stored.limit(0)
+    stored = stored.join(dated.select("observed_date").distinct(), "observed_date", "left_semi")
     fresh = new_observations(dated, stored, instruments)
     fresh.write.mode("append").partitionBy("provider", "observed_date").parquet(path)
 
@@ -172,7 +173,7 @@ def snapshot_contract(df: DataFrame, label: str) -> DataFrame:
     """Required columns (checked on the schema) and one problem row per duplicated ticker."""
     missing = [c for c in SNAPSHOT_COLUMNS if c not in df.columns]
     if missing:
-        raise ValueError(f"{label} is missing columns: {', '.join(sorted(missing))}")
+        raise ValueError(f"{label} lacks {', '.join(sorted(missing))}")
     named = df.filter(~V.is_blank_text("ticker"))
     return L.duplicate_keys(named.withColumn("ticker", F.trim("ticker")), ["ticker"]).withColumn("label", F.lit(label))
 
@@ -204,7 +205,7 @@ def merge_fundamentals(cached: DataFrame, fresh: DataFrame, symbols: DataFrame,
         wanted = symbols.count()
         got = fresh.join(symbols, "ticker", "left_semi").count()
         if got < minimum * max(1, wanted):
-            raise RuntimeError(f"fundamentals coverage only {got / max(1, wanted):.1%}; keeping previous files")
+            raise RuntimeError(f"fresh values for {got / max(1, wanted):.1%} of the symbols; the cached ones stay")
     new = fresh.select("ticker", *[F.col(f).alias(f"_{f}") for f in fields])
     joined = symbols.select("ticker").join(cached, "ticker", "left").join(new, "ticker", "left")
     return joined.select("ticker", *[F.coalesce(f"_{f}", f).alias(f) for f in fields])

@@ -103,7 +103,7 @@ def exchange_master(df: DataFrame) -> DataFrame:
 def valuation(raw: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
     """Daily P/E file: adjusted then plain P/E, the first positive one."""
     df = require_columns(clean_headers(raw, alnum=True), ["SYMBOL"], "valuation file schema is invalid")
-    candidates = [F.replace(F.col(c), F.lit(","), F.lit("")).try_cast("double") for c in ("ADJUSTEDPE", "SYMBOLPE") if c in df.columns]
+    candidates = [V.to_double(F.replace(F.col(c), F.lit(","), F.lit(""))) for c in ("ADJUSTEDPE", "SYMBOLPE") if c in df.columns]
     if not candidates:
         raise ValueError("valuation file has no P/E column")
     value = F.coalesce(*[F.when(c > 0, c) for c in candidates])
@@ -134,8 +134,8 @@ def recent_sessions(rows: DataFrame, day: str, sessions: int, today, lookback: i
 def delivery(raw: DataFrame) -> DataFrame:
     """Whole-market delivery file: EQ and BE series; no figure means no row; bad volume is zero."""
     df = require_columns(clean_headers(raw), ["SYMBOL", "DELIV_PER"], "delivery file schema is invalid")
-    pct = F.trim("DELIV_PER").try_cast("double")
-    volume = F.trim(F.replace("TTL_TRD_QNTY", F.lit(","), F.lit(""))).try_cast("double") if "TTL_TRD_QNTY" in df.columns else F.lit(None)
+    pct = V.to_double(F.trim("DELIV_PER"))
+    volume = V.to_double(F.trim(F.replace("TTL_TRD_QNTY", F.lit(","), F.lit("")))) if "TTL_TRD_QNTY" in df.columns else F.lit(None)
     if "SERIES" in df.columns:
         df = df.filter(V.ticker_norm("SERIES").isin("EQ", "BE"))
     rest = [c for c in df.columns if c not in ("SYMBOL", "DELIV_PER", "TTL_TRD_QNTY", "SERIES")]

@@ -259,7 +259,7 @@ def overview(df: DataFrame) -> DataFrame:
         "coalesce(_o['Note'], '') = '' AND coalesce(_o['Information'], '') = ''"
     )
     text = lambda k: F.when(~F.col("_o")[k].isin("", "None", "-"), F.col("_o")[k])
-    value = lambda k: text(k).try_cast("double")
+    value = lambda k: V.to_double(text(k))
     cells = [
         cell("market_cap", F.col("_o")["Currency"], value("MarketCapitalization")), cell("trailing_pe", "ratio", value("PERatio")),
         cell("price_to_book", "ratio", value("PriceToBookRatio")), cell("roe_pct", "fraction", value("ReturnOnEquityTTM")),
@@ -284,7 +284,7 @@ def holder_text(df: DataFrame, label: str) -> DataFrame:
     """Fraction from the free-text row that mentions the label: the first percentage in it."""
     hit = F.contains(F.lower("text"), F.lit(label.lower()))
     found = F.regexp_extract("text", r"(-?[0-9]+(?:\.[0-9]+)?)\s*%", 1)
-    return df.filter(hit).select("ticker", (F.nullif(found, F.lit("")).try_cast("double") / 100).alias("fraction")).filter("fraction IS NOT NULL")
+    return df.filter(hit).select("ticker", (V.to_double(F.nullif(found, F.lit(""))) / 100).alias("fraction")).filter("fraction IS NOT NULL")
 
 
 def headline_ratios(df: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def headline_ratios(df: DataFrame) -> DataFrame:
     labels = F.regexp_extract_all("html", F.lit(catalog.HEADLINE_RATIO_PATTERN), F.lit(1))
     numbers = F.regexp_extract_all("html", F.lit(catalog.HEADLINE_RATIO_PATTERN), F.lit(2))
     pairs = F.arrays_zip(labels.alias("label"), numbers.alias("raw"))
-    value = lambda p: F.trim(F.replace(p["raw"], F.lit(","), F.lit(""))).try_cast("double")
+    value = lambda p: V.to_double(F.trim(F.replace(p["raw"], F.lit(","), F.lit(""))))
     rows = df.withColumn("_pairs", F.transform(pairs, lambda p: F.struct(p["label"].alias("label"), value(p).alias("value"))))
     last = lambda name: F.try_element_at(F.filter("_pairs", lambda p: (p["label"] == name) & p["value"].isNotNull()), F.lit(-1))["value"]
     cells = [cell("roe_pct", "percent", last("ROE")), cell("roce_pct", "percent", last("ROCE"))]

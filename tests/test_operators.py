@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from boursecraft import catalog
 from boursecraft.operators import compare as M
+from boursecraft.operators import enrich as N
+from boursecraft.operators import explore as E
 from boursecraft.operators import identity as I
 from boursecraft.operators import latest as L
 from boursecraft.operators import ownership as W
@@ -320,9 +322,9 @@ def test_universe_sync_guards(spark):
         "instrument_id long, ticker string, exchange string, isin string, company_name string, kind string, active boolean",
     )
     snap = lambda rows: spark.createDataFrame(rows, "ticker string, exchange string, isin string, shortName string")
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no instrument"):
         I.sync_universe(inst, snap([]), "2024-01-01")
-    with pytest.raises(ValueError, match="shrank"):
+    with pytest.raises(ValueError, match="nine tenths"):
         I.sync_universe(inst, snap([("AAA", "NSE", "INE1", "a")]), "2024-01-01")
     with pytest.raises(ValueError, match="Conflicting"):
         I.sync_universe(inst, snap([("AAA", "NSE", "INE2", "a"), ("CCC", "NSE", "INE9", "c")]), "2024-01-01")
@@ -330,3 +332,44 @@ def test_universe_sync_guards(spark):
     actions = {(r["ticker"], r["action"], r["active"]) for r in out.collect()}
     assert actions == {("ZZZ", "updated", True), ("BBB", "deactivated", False), ("^X", "untouched", True), ("CCC", "inserted", True)}
     assert [(r["instrument_id"], r["ticker"]) for r in aliases.collect()] == [(1, "AAA")]
+
+
+def test_one_instrument_is_not_claimed_by_two_snapshot_rows(spark):
+    inst = spark.createDataFrame([(1, "A", "NSE", None, "a", "EQUITY", True)], "instrument_id long, ticker string, exchange string, isin string, company_name string, kind string, active boolean")
+    snap = spark.createDataFrame([("A", "NSE", "INE1", "a"), ("A", "NSE", "INE2", "a")], "ticker string, exchange string, isin string, shortName string")
+    with pytest.raises(ValueError, match="Conflicting"):
+        I.sync_universe(inst, snap, "2024-01-01")
+    out, _ = I.sync_universe(inst, snap, "2024-01-01", strict=False)
+    assert [(r.instrument_id, r.action) for r in out.collect()] == [(1, "deactivated")]
+
+
+def test_a_ticker_on_two_exchanges_has_one_value_and_its_origin(spark):
+    inst = spark.createDataFrame([(1, "AAA"), (2, "aaa")], "instrument_id long, ticker string")
+    current = spark.createDataFrame(
+        [(1, "rank", 3.0, None, at(1), "old"), (2, "rank", 2.0, None, at(2), "new"), (1, "sector", None, "Steel", at(1), "old")],
+        "instrument_id long, field string, numeric_value double, text_value string, observed_at timestamp, origin string",
+    )
+    row = R.pivot_stocks(current, inst, ["rank"], ["sector"]).collect()
+    assert [(r.ticker, r["rank"], r.sector, r.field_origins) for r in row] == [("AAA", 2.0, "Steel", {"rank": "new", "sector": "old"})]
+
+
+def test_repeated_tickers_of_a_source_fill_once(spark):
+    primary = spark.createDataFrame([("Aaa", None), ("B", 1.0)], "ticker string, beta double")
+    source = spark.createDataFrame([("AAA", 2.0), ("aaa", None), ("B", 9.0)], "ticker string, beta double")
+    assert sorted(tuple(r) for r in N.gap_fill(primary, [source], ["beta"]).collect()) == [("Aaa", 2.0), ("B", 1.0)]
+    filled, changes = N.fill_blanks(primary, [("x", source)], ["beta"])
+    assert filled.count() == 2 and [(r.ticker, r.field) for r in changes.collect()] == [("Aaa", "beta")]
+
+
+def test_positions_number_the_whole_table(spark):
+    rows = [(i, None if i % 7 == 0 else float(i % 50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "instrument_id long, v double").repartition(5)
+    got = {r.instrument_id: r.position for r in E.positions(df, [F.desc_nulls_last("v"), F.asc("instrument_id")]).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: k for k, r in enumerate(want, 1)}
+
+
+def test_recent_runs_are_chosen_by_time(spark):
+    runs = spark.createDataFrame([("z", at(1)), ("a", at(3)), ("m", at(2))], "run_id string, created_at timestamp")
+    assert [(r.run_id, r.age) for r in L.recent_runs(runs, 2).orderBy("age").collect()] == [("a", 1), ("m", 2)]
+    assert L.newest_run(runs).first().run_id == "a" and L.newest_run(runs.limit(0)).isEmpty()

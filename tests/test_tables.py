@@ -81,7 +81,7 @@ def test_baseline_is_the_previous_run_date(spark, tmp_path):
 
 def test_poor_fundamentals_coverage_is_refused(spark):
     cached = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "ticker string, beta double")
-    with pytest.raises(RuntimeError, match="coverage"):
+    with pytest.raises(RuntimeError, match="cached ones stay"):
         B.merge_fundamentals(cached, cached.filter("ticker = 'a'"), cached.select("ticker"), ["beta"])
 
 
@@ -136,3 +136,9 @@ def test_headline_ratios_only_named_ones(spark):
     pages = spark.createDataFrame([(1, html), (2, "<p>blocked</p>")], "page_id long, html string")
     assert [(r["page_id"], r["field"], r["numeric_value"]) for r in P.headline_ratios(pages).collect()] == [(1, "roe_pct", 1012.5)]
     assert [r["page_id"] for r in P.headline_issues(pages).collect()] == [2]
+
+
+def test_an_observation_without_a_time_is_refused(spark, tmp_path):
+    rows = obs(spark, [(1, 1, 1, 1.0)]).withColumn("observed_at", F.lit(None).cast("timestamp"))
+    with pytest.raises(Exception, match="observed_at"):
+        B.append_observations(rows, str(tmp_path / "o"), instruments(spark))

@@ -19,7 +19,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("text", "expected"),
-    [("1,234.5", 1234.5), ("12%", 12.0), (" - ", None), ("NA", None), ("", None), ("abc", None), ("NaN", None), ("-3", -3.0), (None, None)],
+    [("1,234.5", 1234.5), ("12%", 12.0), (" - ", None), ("NA", None), ("", None), ("abc", None), ("NaN", None), ("-3", -3.0), ("1d", None), ("2f", None), ("1e3", 1000.0), (".5", 0.5), (None, None)],
 )
 def test_number(spark, text, expected):
     assert one(spark, V.number(F.lit(text).cast("string"))) == expected

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boursecraft import catalog
@@ -18,6 +18,12 @@ def literal_map(mapping: dict) -> Column:
     return F.create_map(*pairs)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, each expression worked out once: projections above are not merged into those
+    below, so a parsed document is not parsed again for every cell that reads it."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def rounded(value, digits: int) -> Column:
     """Half-even rounding on the scaled double: the rule numpy and pandas apply."""
     scale = float(10**digits)

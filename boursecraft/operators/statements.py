@@ -98,7 +98,7 @@ def statement_points(docs: DataFrame) -> DataFrame:
     Documents that are unsuccessful, not in crore or without a basis are dropped here; see
     ``statement_errors``. The annual section of a quarterly document is ignored.
     """
-    parsed = docs.withColumn("_p", F.from_json("payload", STATEMENT)).filter(statement_error().isNull())
+    parsed = V.settled(docs.withColumn("_p", F.from_json("payload", STATEMENT))).filter(statement_error().isNull())
     quarterly = F.col("_p.data.time_period") == "quarterly"
     entry = "struct<section:string,category:string,history:" + _HISTORY + ">"
     full = F.transform("_p.data.full_statement", lambda r: F.struct(F.lit("line").alias("section"), r["particular"].alias("category"), r["history"].alias("history")))
@@ -173,7 +173,7 @@ def shareholding(docs: DataFrame, as_of) -> DataFrame:
     Incomplete or inconsistent documents yield nothing; shares outside 0..100 or a total away from
     100 are kept and marked invalid.
     """
-    parsed = docs.withColumn("_p", F.from_json("payload", HOLDINGS)).filter("_p.status = 'success'")
+    parsed = V.settled(docs.withColumn("_p", F.from_json("payload", HOLDINGS))).filter("_p.status = 'success'")
     rows = parsed.select("ticker", F.inline("_p.data")).select("ticker", "category", F.inline("history"))
     points = rows.withColumns({"period": T.period_end("period"), "value": V.finite(V.number("value"))})
     s = series(points, ["ticker", "category"])

@@ -99,8 +99,8 @@ MIXED_BASIS = ("trailing_pe", "trailing_eps")
 
 
 def header_choice(name: str, positive: bool) -> Column:
-    """(value, basis) for one ratio of the parsed header ``_h``."""
-    return V.preferred_basis(V.number(F.col(f"_h.Con{name}")), V.number(F.col(f"_h.{name}")), positive=positive, nonzero=not positive)
+    """(value, basis) for one ratio of the parsed header, from its cleaned numbers ``_n``."""
+    return V.preferred_basis(F.col(f"_n.Con{name}"), F.col(f"_n.{name}"), positive=positive, nonzero=not positive)
 
 
 def header_ratios(df: DataFrame) -> DataFrame:
@@ -109,9 +109,12 @@ def header_ratios(df: DataFrame) -> DataFrame:
     ROE is suppressed where book value is not positive; standalone P/E and EPS are kept but marked
     invalid, because the rest of the universe reports them consolidated.
     """
-    parsed = df.withColumn("_h", F.from_json("payload", HEADER)).filter("_h.SecurityCode IS NOT NULL AND _h.SecurityCode <> ''")
-    parsed = parsed.withColumns({f"_{f}": header_choice(name, positive) for f, name, _u, positive in _HEADER_FIELDS})
-    book = F.coalesce(V.number(F.col("_h.ConPB")), V.number(F.col("_h.PB")))
+    parsed = V.settled(df.withColumn("_h", F.from_json("payload", HEADER))).filter("_h.SecurityCode IS NOT NULL AND _h.SecurityCode <> ''")
+    names = [n for _f, name, _u, _p in _HEADER_FIELDS for n in (name, f"Con{name}")]
+    numbers = F.struct(*[V.number(F.col(f"_h.{n}")).alias(n) for n in names], V.number("mktcap").alias("mktcap"))
+    parsed = V.settled(parsed.withColumn("_n", numbers))
+    parsed = V.settled(parsed.withColumns({f"_{f}": header_choice(name, positive) for f, name, _u, positive in _HEADER_FIELDS}))
+    book = F.coalesce(F.col("_n.ConPB"), F.col("_n.PB"))
     negative = F.coalesce(book <= 0, F.lit(False))
     cells = [cell("book_value_sign", None, text=F.when(book.isNotNull(), F.when(book <= 0, "negative").otherwise("positive")))]
     for field, _name, unit, _positive in _HEADER_FIELDS:
@@ -122,7 +125,7 @@ def header_ratios(df: DataFrame) -> DataFrame:
         cells.append(cell(field, unit, pair["value"], valid=~mixed, issue_code=F.when(mixed, "mixed_accounting_basis")))
         cells.append(cell(f"{field}_basis", None, text=pair["basis"]))
     cells += [
-        cell("market_cap", "INR", V.crore(V.number("mktcap"))),
+        cell("market_cap", "INR", V.crore(F.col("_n.mktcap"))),
         cell("sector", None, text=V.blank_to_null("_h.Sector")),
         cell("industry", None, text=V.blank_to_null(F.coalesce(F.nullif(F.col("_h.ISubGroup"), F.lit("")), F.col("_h.Industry")))),
     ]
@@ -156,7 +159,7 @@ def filed_results(df: DataFrame) -> DataFrame:
     """Double-encoded JSON of titled rows to revenue, profit and EPS; quarter-on-quarter growth."""
     body = F.coalesce(F.get(F.from_json(F.concat(F.lit("["), F.col("payload"), F.lit("]")), "array<string>"), F.lit(0)), F.col("payload"))
     rows = F.from_json(body, RESULTS)["resultinCr"]
-    parsed = df.withColumn("_rows", rows)
+    parsed = V.settled(df.withColumn("_rows", rows))
 
     def figure(title: str, column: str) -> Column:
         return V.number(F.try_element_at(F.filter("_rows", lambda r: r["title"] == title), F.lit(-1))[column])
@@ -234,7 +237,7 @@ def _key_ratio_cells() -> Column:
 
 def key_ratios(df: DataFrame) -> DataFrame:
     """Named company ratios to canonical fields; sector benchmarks are ignored; a repeat overrides."""
-    parsed = df.withColumn("_p", F.from_json("payload", KEY_RATIOS)).withColumn("_cells", _key_ratio_cells())
+    parsed = V.settled(V.settled(df.withColumn("_p", F.from_json("payload", KEY_RATIOS))).withColumn("_cells", _key_ratio_cells()))
     last = F.filter("_cells", lambda c, i: ~F.exists(F.slice("_cells", i + 2, F.size("_cells")), lambda later: later["field"] == c["field"]))
     return parsed.select("ticker", F.inline(last))
 
@@ -255,7 +258,7 @@ OVERVIEW = "map<string,string>"
 
 def overview(df: DataFrame) -> DataFrame:
     """Company overview to six metrics; sentinel texts are dropped; throttling notes yield nothing."""
-    parsed = df.withColumn("_o", F.from_json("payload", OVERVIEW)).filter(
+    parsed = V.settled(df.withColumn("_o", F.from_json("payload", OVERVIEW))).filter(
         "coalesce(_o['Note'], '') = '' AND coalesce(_o['Information'], '') = ''"
     )
     text = lambda k: F.when(~F.col("_o")[k].isin("", "None", "-"), F.col("_o")[k])
@@ -335,8 +338,8 @@ def annual_roe(df: DataFrame) -> DataFrame:
     The newest period that has an earlier equity decides; non-positive equity there means no value.
     All within one document: sorted arrays of at most a few years.
     """
-    parsed = df.withColumn("_blocks", F.from_json("payload", TIMESERIES)["timeseries"]["result"])
-    parsed = parsed.withColumns({"_income": _series(_INCOME), "_equity": _series(_EQUITY)})
+    parsed = V.settled(df.withColumn("_blocks", F.from_json("payload", TIMESERIES)["timeseries"]["result"]))
+    parsed = V.settled(parsed.withColumns({"_income": _series(_INCOME), "_equity": _series(_EQUITY)}))
     candidates = F.transform(
         "_income",
         lambda i: F.struct(
@@ -346,6 +349,6 @@ def annual_roe(df: DataFrame) -> DataFrame:
         ),
     )
     newest = F.try_element_at(F.filter(candidates, lambda c: c["equity"].isNotNull() & c["previous"].isNotNull()), F.lit(-1))
-    rows = parsed.withColumn("_c", newest).filter("_c IS NOT NULL AND _c.equity > 0 AND _c.previous > 0")
+    rows = V.settled(parsed.withColumn("_c", newest)).filter("_c IS NOT NULL AND _c.equity > 0 AND _c.previous > 0")
     value = F.col("_c.income") / ((F.col("_c.equity") + F.col("_c.previous")) / 2) * 100
     return rows.select("ticker", F.col("_c.day").alias("period"), V.rounded(value, 6).alias("roe_pct"))

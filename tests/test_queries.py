@@ -30,3 +30,12 @@ def test_plans_have_no_python_and_no_pairing_joins(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):
         assert bad not in plan
+
+
+@pytest.mark.parametrize("name", ["src_annual_roe", "src_header_ratios", "src_statements", "src_key_ratios", "src_overview"])
+def test_a_document_is_parsed_once(spark, name):
+    kept = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", kept)
+    assert plan.count("from_json(") == 1

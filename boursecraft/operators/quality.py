@@ -130,6 +130,14 @@ def flattened_issues(obs: DataFrame) -> DataFrame:
     return obs.select("id", "instrument_id", "provider", F.inline("issues"))
 
 
+def issue_page(obs: DataFrame, size: int, after: int = 0) -> DataFrame:
+    """A page of issues by observation, and on every row the number of all issues."""
+    found = flattened_issues(obs)
+    total = found.agg(F.count("*").alias("total"))
+    page = found.orderBy("id", "code", "field").offset(after).limit(size)
+    return page.withColumn("total", total.scalar())
+
+
 # ---- failure tally ------------------------------------------------------------------------------------
 
 def failure_tally(events: DataFrame, examples: int = 5) -> DataFrame:

@@ -129,23 +129,31 @@ archived AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, field ORDER BY modified DESC, source_path DESC, content_sha256 DESC, row_number DESC) AS rn FROM acells)
   WHERE rn = 1)"""
 
-CONFLICTS = """
-newest_pe AS (SELECT instrument_id, provider, arg_max(numeric_value, (observed_at, id)) AS pe FROM obs
-  WHERE field = 'trailing_pe' AND provider IN ('bse', 'nse') AND numeric_value > 0 GROUP BY 1, 2),
-by_exchange AS (SELECT instrument_id, max(pe) FILTER (WHERE provider = 'bse') AS bse_pe, max(pe) FILTER (WHERE provider = 'nse') AS nse_pe FROM newest_pe GROUP BY 1),
-newest_eps AS (SELECT instrument_id, arg_max(numeric_value, (observed_at, id)) AS eps FROM obs WHERE field = 'trailing_eps' GROUP BY 1),
-pe_unusable AS (SELECT instrument_id FROM by_exchange WHERE greatest(bse_pe, nse_pe) / least(bse_pe, nse_pe) > 3.0 AND bse_pe IS NOT NULL AND nse_pe IS NOT NULL
-  UNION SELECT instrument_id FROM newest_eps WHERE eps < 0),
-signs AS (SELECT instrument_id, arg_max(text_value, (observed_at, id)) AS sign FROM obs WHERE field = 'book_value_sign' AND provider = 'bse' AND is_valid GROUP BY 1),
-negative_equity AS (SELECT instrument_id FROM signs WHERE sign = 'negative'),
-bse_roe AS (SELECT instrument_id, arg_max(numeric_value, (observed_at, id)) AS bse_roe FROM obs WHERE field = 'roe_pct' AND provider = 'bse' AND is_valid GROUP BY 1),
-yahoo_roe AS (SELECT instrument_id, arg_max(numeric_value, (observed_at, id)) AS yahoo_roe FROM obs WHERE field = 'roe_pct' AND provider = 'yahoo_roe' AND is_valid GROUP BY 1),
-roe_pairs AS (SELECT * FROM bse_roe JOIN yahoo_roe USING (instrument_id)),
-roe_apart AS (SELECT instrument_id FROM roe_pairs WHERE abs(bse_roe) >= 2 AND abs(yahoo_roe) >= 2
-  AND greatest(abs(bse_roe), abs(yahoo_roe)) / least(abs(bse_roe), abs(yahoo_roe)) > 10),
-roe_conflict AS (SELECT instrument_id FROM negative_equity UNION SELECT instrument_id FROM roe_apart),
-roe_unusable AS (SELECT instrument_id FROM roe_conflict c WHERE NOT EXISTS (SELECT 1 FROM obs d WHERE d.instrument_id = c.instrument_id
-  AND d.field = 'roe_pct' AND d.provider IN ('screener', 'upstox_fundamentals') AND d.is_valid))"""
+def _last(value: str, condition: str) -> str:
+    return f"arg_max({value}, (observed_at, id)) FILTER (WHERE {condition})"
+
+
+#: All evidence about an instrument in one aggregation, and what follows from it row by row.
+CONFLICTS = f"""
+evidence AS (
+  SELECT instrument_id,
+         {_last("numeric_value", "field = 'trailing_pe' AND provider = 'bse' AND numeric_value > 0")} AS pe_b,
+         {_last("numeric_value", "field = 'trailing_pe' AND provider = 'nse' AND numeric_value > 0")} AS pe_n,
+         {_last("numeric_value", "field = 'trailing_eps'")} AS eps,
+         count(*) FILTER (WHERE field = 'trailing_eps') AS eps_rows,
+         {_last("text_value", "field = 'book_value_sign' AND provider = 'bse' AND is_valid")} AS sign,
+         {_last("numeric_value", "field = 'roe_pct' AND provider = 'bse' AND is_valid")} AS roe_b,
+         {_last("numeric_value", "field = 'roe_pct' AND provider = 'yahoo_roe' AND is_valid")} AS roe_y,
+         count(*) FILTER (WHERE field = 'roe_pct' AND provider IN ('screener', 'upstox_fundamentals') AND is_valid) AS adjudications
+  FROM obs GROUP BY 1),
+findings AS (
+  SELECT *, coalesce(greatest(pe_b, pe_n) / least(pe_b, pe_n) > 3.0 AND pe_b IS NOT NULL AND pe_n IS NOT NULL, false) OR coalesce(eps < 0, false) AS pe_bad,
+         coalesce(sign = 'negative', false) AS insolvent,
+         coalesce(abs(roe_b) >= 2 AND abs(roe_y) >= 2 AND greatest(abs(roe_b), abs(roe_y)) / least(abs(roe_b), abs(roe_y)) > 10, false) AS roe_split
+  FROM evidence),
+pe_out AS (SELECT instrument_id FROM findings WHERE pe_bad),
+roe_disputed AS (SELECT instrument_id, adjudications FROM findings WHERE insolvent OR roe_split),
+roe_out AS (SELECT instrument_id FROM roe_disputed WHERE adjudications = 0)"""
 
 LIVE = CONFLICTS + f""",
 newest_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, field, provider ORDER BY observed_at DESC, id DESC) AS rn FROM obs) WHERE rn = 1),
@@ -158,8 +166,8 @@ eligible AS (SELECT u.* FROM usable u LEFT JOIN basis b ON b.instrument_id = u.i
   WHERE right(u.field, 6) <> '_basis'
     AND NOT (u.field IN ('trailing_pe', 'trailing_eps') AND coalesce(b.basis, '') = 'standalone')
     AND NOT (u.provider = 'upstox_fundamentals' AND u.field NOT IN ('roe_pct', 'roce_pct'))
-    AND NOT (u.field = 'trailing_pe' AND u.instrument_id IN (SELECT instrument_id FROM pe_unusable))
-    AND NOT (u.field = 'roe_pct' AND u.provider NOT IN ('screener', 'upstox_fundamentals') AND u.instrument_id IN (SELECT instrument_id FROM roe_conflict))),
+    AND NOT (u.field = 'trailing_pe' AND u.instrument_id IN (SELECT instrument_id FROM pe_out))
+    AND NOT (u.field = 'roe_pct' AND u.provider NOT IN ('screener', 'upstox_fundamentals') AND u.instrument_id IN (SELECT instrument_id FROM roe_disputed))),
 live AS (SELECT instrument_id, field, numeric_value, text_value, unit, provider, observed_at FROM (
   SELECT *, row_number() OVER (PARTITION BY instrument_id, field ORDER BY
     CASE WHEN provider IN ('upstox_shareholding', 'upstox_statements') THEN 0
@@ -199,8 +207,8 @@ layers AS (
 current AS (SELECT instrument_id, field, numeric_value, text_value, unit, provider, observed_at, origin FROM (
   SELECT *, row_number() OVER (PARTITION BY instrument_id, field ORDER BY priority, observed_at DESC, provider DESC, numeric_value DESC, text_value DESC) AS pos
   FROM layers WHERE instrument_id IN (SELECT instrument_id FROM active)
-    AND NOT (field IN ('trailingPE', 'trailing_pe') AND instrument_id IN (SELECT instrument_id FROM pe_unusable))
-    AND NOT (field IN ('roe_pct', 'returnOnEquity') AND instrument_id IN (SELECT instrument_id FROM roe_unusable))) WHERE pos = 1)"""
+    AND NOT (field IN ('trailingPE', 'trailing_pe') AND instrument_id IN (SELECT instrument_id FROM pe_out))
+    AND NOT (field IN ('roe_pct', 'returnOnEquity') AND instrument_id IN (SELECT instrument_id FROM roe_out))) WHERE pos = 1)"""
 
 
 def with_(*ctes: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -345,9 +347,9 @@ def _(spark, d):
     return X.positions(rows, [F.desc_nulls_last("pegRatio"), F.asc("instrument_id")]).select("ticker", "pegRatio", "position")
 
 
-@query("topk_issue_page", with_(O.OBS) + "SELECT id, issue_code AS code, field FROM obs WHERE issue_code IS NOT NULL ORDER BY id LIMIT 200")
+@query("topk_issue_page", with_(O.OBS) + "SELECT id, issue_code AS code, field, (SELECT count(*) FROM obs WHERE issue_code IS NOT NULL) AS total FROM obs WHERE issue_code IS NOT NULL ORDER BY id LIMIT 200")
 def _(spark, d):
-    return D.flattened_issues(A.observations(spark, d)).select("id", "code", "field").orderBy("id").limit(200)
+    return D.issue_page(A.observations(spark, d), 200).select("id", "code", "field", "total")
 
 
 @query("dq_issues", with_(O.OBS) + "SELECT id, instrument_id, provider, issue_code AS code, field FROM obs WHERE issue_code IS NOT NULL")
@@ -355,7 +357,10 @@ def _(spark, d):
     return D.flattened_issues(A.observations(spark, d)).select("id", "instrument_id", "provider", "code", "field")
 
 
-@query("rep_insights", with_(O.FUND, Q.SCORED, Q.FLAGGED, _PATTERNS) + f"""SELECT 'pattern:' || pattern AS item, count(*) AS n FROM pats WHERE position <= 10 GROUP BY 1
+@query("rep_insights", with_(O.FUND, Q.SCORED, Q.FLAGGED, _PATTERNS, O.PREV, O.CUR, _CHG) + f"""SELECT 'mover:' || direction AS item, least(count(*), 10) AS n FROM (
+    SELECT CASE WHEN price_chg_pct > 5 THEN 'gainer' WHEN price_chg_pct < -5 THEN 'faller' END AS direction FROM chg JOIN customer ON c_custkey = instrument_id) WHERE direction IS NOT NULL GROUP BY 1
+  UNION ALL SELECT 'week:' || coalesce(nullif(c_mktsegment, ''), 'Unknown'), count(*) FROM chg JOIN customer ON c_custkey = instrument_id WHERE price_chg_pct IS NOT NULL GROUP BY 1
+  UNION ALL SELECT 'pattern:' || pattern AS item, count(*) AS n FROM pats WHERE position <= 10 GROUP BY 1
   UNION ALL SELECT 'sector:' || sector, count(*) FILTER (WHERE {Q.CHEAP}) FROM scored GROUP BY 1
   UNION ALL """ + " UNION ALL ".join(f"SELECT 'band:{label}', count(*) FILTER (WHERE final_score >= {lo} AND final_score < {hi}) FROM scored" for label, lo, hi in X.LEGACY_BANDS))
 def _(spark, d):
@@ -365,8 +370,10 @@ def _(spark, d):
         bundle["patterns"].groupBy(F.concat(F.lit("pattern:"), "pattern").alias("item")).agg(F.count("*").alias("n")),
         bundle["concentration"].select(F.concat(F.lit("sector:"), "sector").alias("item"), F.col("cs_count").alias("n")),
         bundle["bands"].select(F.concat(F.lit("band:"), "band").alias("item"), "n"),
+        bundle["movers"].groupBy(F.concat(F.lit("mover:"), "direction").alias("item")).agg(F.count("*").alias("n")),
+        bundle["sector_weekly"].select(F.concat(F.lit("week:"), "sector").alias("item"), "n"),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # ---- quality ------------------------------------------------------------------------------------------

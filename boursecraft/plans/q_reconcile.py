@@ -62,19 +62,19 @@ def _(spark, d):
     return L.newest(rows, ["instrument_id", "field", "provider"], valid="before").drop("is_valid", "observed_at")
 
 
-@query("win_latest_pe_eps", with_(O.OBS, O.CONFLICTS) + """SELECT coalesce(b.instrument_id, e.instrument_id) AS instrument_id, bse_pe, nse_pe, eps
-  FROM by_exchange b FULL JOIN newest_eps e ON b.instrument_id = e.instrument_id""")
+@query("win_latest_pe_eps", with_(O.OBS, O.CONFLICTS) + """SELECT instrument_id, pe_b AS bse_pe, pe_n AS nse_pe, eps FROM evidence
+  WHERE pe_b IS NOT NULL OR pe_n IS NOT NULL OR eps_rows > 0""")
 def _(spark, d):
     rows = R.evidence(A.observations(spark, d)).select("instrument_id", "bse_pe", "nse_pe", "eps")
     return rows.filter("bse_pe IS NOT NULL OR nse_pe IS NOT NULL OR eps IS NOT NULL")
 
 
-@query("agg_filtered_max", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id, bse_pe, nse_pe FROM by_exchange")
+@query("agg_filtered_max", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id, pe_b AS bse_pe, pe_n AS nse_pe FROM evidence WHERE pe_b IS NOT NULL OR pe_n IS NOT NULL")
 def _(spark, d):
     return R.newest_multiples(A.observations(spark, d))
 
 
-@query("rec_pe_unusable", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id FROM pe_unusable")
+@query("rec_pe_unusable", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id FROM pe_out")
 def _(spark, d):
     return R.pe_unusable(A.observations(spark, d))
 
@@ -88,28 +88,27 @@ def _(spark, d):
     return losses.union(negative).distinct()
 
 
-@query("rec_negative_equity", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id FROM negative_equity")
+@query("rec_negative_equity", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id FROM findings WHERE insolvent")
 def _(spark, d):
     return R.negative_equity(A.observations(spark, d))
 
 
-@query("join_roe_pair", with_(O.OBS, O.CONFLICTS) + """SELECT p.instrument_id, bse_roe, yahoo_roe FROM roe_pairs p
-  WHERE instrument_id IN (SELECT instrument_id FROM roe_apart)""")
+@query("join_roe_pair", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id, roe_b AS bse_roe, roe_y AS yahoo_roe FROM findings WHERE roe_split")
 def _(spark, d):
     return R.roe_pairs(A.observations(spark, d)).filter(R.disagrees(10.0, 2.0))
 
 
-@query("rec_roe_conflict", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id FROM roe_conflict")
+@query("rec_roe_conflict", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id FROM roe_disputed")
 def _(spark, d):
     return R.roe_conflict(A.observations(spark, d))
 
 
-@query("rec_roe_unusable", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id FROM roe_unusable")
+@query("rec_roe_unusable", with_(O.OBS, O.CONFLICTS) + "SELECT instrument_id FROM roe_out")
 def _(spark, d):
     return R.roe_unusable(A.observations(spark, d))
 
 
-@query("join_not_exists", with_(O.OBS, O.CONFLICTS) + """SELECT instrument_id FROM negative_equity n WHERE NOT EXISTS (
+@query("join_not_exists", with_(O.OBS, O.CONFLICTS) + """SELECT instrument_id FROM findings n WHERE insolvent AND NOT EXISTS (
   SELECT 1 FROM obs o WHERE o.instrument_id = n.instrument_id AND o.provider = 'screener' AND o.field = 'roe_pct' AND o.is_valid)""")
 def _(spark, d):
     obs = A.observations(spark, d)
@@ -117,9 +116,8 @@ def _(spark, d):
     return R.negative_equity(obs).join(decided, "instrument_id", "left_anti")
 
 
-@query("rec_roe_review", with_(O.OBS, O.CONFLICTS, O.INST) + """SELECT a.ticker, b.bse_roe, y.yahoo_roe, s.sign FROM active a
-  LEFT JOIN bse_roe b USING (instrument_id) LEFT JOIN yahoo_roe y USING (instrument_id) LEFT JOIN signs s USING (instrument_id)
-  WHERE s.sign = 'negative' OR (abs(bse_roe) >= 3 AND abs(yahoo_roe) >= 3 AND greatest(abs(bse_roe), abs(yahoo_roe)) / least(abs(bse_roe), abs(yahoo_roe)) > 4)""")
+@query("rec_roe_review", with_(O.OBS, O.CONFLICTS, O.INST) + """SELECT a.ticker, roe_b AS bse_roe, roe_y AS yahoo_roe, sign FROM active a JOIN evidence USING (instrument_id)
+  WHERE sign = 'negative' OR (abs(roe_b) >= 3 AND abs(roe_y) >= 3 AND greatest(abs(roe_b), abs(roe_y)) / least(abs(roe_b), abs(roe_y)) > 4)""")
 def _(spark, d):
     return R.roe_review(A.observations(spark, d), A.instruments(spark, d), ratio=4.0, minimum=3.0)
 
@@ -203,7 +201,7 @@ def _(spark, d):
 
 
 @query("join_in_view", with_(O.OBS, O.CONFLICTS, O.INST) + """SELECT id, instrument_id, field FROM obs WHERE instrument_id IN (SELECT instrument_id FROM active)
-  AND instrument_id NOT IN (SELECT instrument_id FROM pe_unusable)""")
+  AND instrument_id NOT IN (SELECT instrument_id FROM pe_out)""")
 def _(spark, d):
     obs = A.observations(spark, d)
     return (

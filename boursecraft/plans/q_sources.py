@@ -573,7 +573,8 @@ def _(spark, d):
     return Z.verify_import(base.filter("n_chars > 300"), actual)
 
 
-@query("audit_manifest", with_(_AUDIT) + "SELECT count(*) AS file_count, CAST(sum(2) AS BIGINT) AS total_rows, CAST(sum(octet_length(encode(body))) AS BIGINT) AS total_bytes FROM csvs")
+@query("audit_manifest", with_(_AUDIT) + """SELECT source_path, sha256(body) AS content_sha256, CAST(1 AS BIGINT) AS file_count, CAST(2 AS BIGINT) AS total_rows, CAST(octet_length(encode(body)) AS BIGINT) AS total_bytes FROM csvs
+  UNION ALL SELECT NULL, NULL, count(*), CAST(sum(2) AS BIGINT), CAST(sum(octet_length(encode(body))) AS BIGINT) FROM csvs""")
 def _(spark, d):
     docs = csv_documents(spark, d)
     return Z.manifest(Z.archive_files(docs, Z.archive_rows(docs)))

@@ -142,3 +142,21 @@ def test_an_observation_without_a_time_is_refused(spark, tmp_path):
     rows = obs(spark, [(1, 1, 1, 1.0)]).withColumn("observed_at", F.lit(None).cast("timestamp"))
     with pytest.raises(Exception, match="observed_at"):
         B.append_observations(rows, str(tmp_path / "o"), instruments(spark))
+
+
+def test_archive_names_records_and_hashes(spark):
+    import hashlib
+    import json
+
+    text = 'a,,a,a\r\n1,2,3,4,"five\x0b\t""q\\"\r\n\r\n' + "a\r\n"
+    files = spark.createDataFrame([("f.csv", text.encode()), ("empty.csv", b""), ("two.csv", "﻿x,x,x__duplicate_2\nä,2,3\n".encode())], "source_path string, content binary")
+    rows = {(r.source_path, r.row_number): r for r in Z.archive_rows(files).collect()}
+    assert sorted(rows) == [("f.csv", 1), ("f.csv", 2), ("f.csv", 3), ("two.csv", 1)]
+    one = rows["f.csv", 1]
+    assert one.record == {"a": "1", "column_2": "2", "a__duplicate_2": "3", "a__duplicate_3": "4", "extra_column_1": 'five\x0b\t"q\\'}
+    assert rows["f.csv", 2].values_array == [] and rows["f.csv", 2].record["a"] is None
+    assert rows["two.csv", 1].record == {"x": "ä", "x__duplicate_2": "3"}
+    for r in rows.values():
+        assert r.row_sha256 == hashlib.sha256(json.dumps(r.values_array, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    declared = Z.manifest(Z.archive_files(files, Z.archive_rows(files))).collect()
+    assert {(r.source_path, r.total_rows) for r in declared} == {("f.csv", 3), ("empty.csv", 0), ("two.csv", 1), (None, 4)}

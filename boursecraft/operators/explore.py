@@ -261,8 +261,11 @@ def value_trap_watch(ranked: DataFrame, n: int = 15) -> DataFrame:
     return deep.orderBy(F.asc_nulls_last("delivery_trend"), "instrument_id").limit(n)
 
 
-def top_per_lens(lenses: DataFrame, n: int = 10) -> DataFrame:
-    return lenses.filter(F.col("rank") <= n)
+def top_per_lens(values: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` of every lens, from unranked scores: a group limit before the shuffle."""
+    order = Window.partitionBy("lens").orderBy(F.desc("final_score"), F.desc("model_score"), "instrument_id")
+    scored = values.filter("final_score IS NOT NULL").withColumn("rank", F.row_number().over(order).cast("long"))
+    return scored.filter(F.col("rank") <= n)
 
 
 def insights(flagged: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:

@@ -23,30 +23,14 @@ _BLOCK = 8
 _SKETCH_ACCURACY = 500
 
 
-def _range_bounds(rows: DataFrame, keys: Sequence[str], ranges: int) -> list:
-    """Quantile boundaries per key: at most (number of keys) x ranges doubles reach the driver."""
+def _with_range(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
+    """Number the range of each value. Boundaries are a quantile sketch of each key's rows, one row
+    of at most ``ranges`` doubles per key; whether that is broadcast is left to its measured size."""
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    found = (
-        rows.groupBy(*keys)
-        .agg(F.percentile_approx("value", probs, F.lit(_SKETCH_ACCURACY)).alias("bounds"))
-        .collect()
-    )
-    return [(tuple(row[k] for k in keys), sorted(set(row["bounds"] or []))) for row in found]
-
-
-def _with_range(hist: DataFrame, keys: Sequence[str], bounds: list) -> DataFrame:
-    """Attach the boundary array of each key as a literal and number the range of each value."""
-    bucket = F.lit(0)
-    spark = hist.sparkSession
-    if not bounds:
-        return hist.withColumn("_range", bucket)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hist.schema.fields if f.name in keys)
-    ordered = [f.name for f in hist.schema.fields if f.name in keys]
-    data = [tuple(dict(zip(keys, key))[c] for c in ordered) + (b, b[_BLOCK - 1 :: _BLOCK]) for key, b in bounds]
-    table = spark.createDataFrame(data, f"{schema}, _bounds array<double>, _ends array<double>")
-    # one row per metric (a fixed catalog of metrics), so the broadcast is bounded by the catalog
-    joined = hist.join(F.broadcast(table), list(keys), "left")
-    return joined.withColumn("_range", _position()).drop("_bounds", "_ends")
+    sketch = F.percentile_approx("value", probs, F.lit(_SKETCH_ACCURACY))
+    bounds = rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(sketch)).alias("_bounds"))
+    bounds = bounds.withColumn("_ends", F.filter("_bounds", lambda _, i: i % _BLOCK == _BLOCK - 1))
+    return rows.join(bounds, list(keys), "left").withColumn("_range", _position()).drop("_bounds", "_ends")
 
 
 def _position() -> Column:
@@ -62,7 +46,7 @@ def value_ranks(long: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> D
     keys = list(keys)
     present = long.filter(F.col("value").isNotNull())
     hist = present.groupBy(*keys, "value").agg(F.count("*").alias("ties"))
-    ranged = _with_range(hist, keys, _range_bounds(present, keys, ranges))
+    ranged = _with_range(hist, keys, ranges)
     per_range = ranged.groupBy(*keys, "_range").agg(F.sum("ties").alias("_n"))
     # at most `ranges` rows per key
     w_keys = Window.partitionBy(*keys)
@@ -75,7 +59,7 @@ def value_ranks(long: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> D
     inside = Window.partitionBy(*keys, "_range").orderBy("value")
     return (
         ranged.withColumn("_before", F.sum("ties").over(inside) - F.col("ties"))
-        .join(F.broadcast(offsets), [*keys, "_range"])
+        .join(offsets, [*keys, "_range"])
         .select(*keys, "value", (F.col("_offset") + F.col("_before")).alias("below"), "ties", "total")
     )
 
@@ -91,36 +75,30 @@ def percentile_ranks(long: DataFrame, keys: Sequence[str], direction: Column, ra
 
 
 def ordinal_rank(df: DataFrame, scores: Sequence[str], tie: str, alias: str = "rank", keys: Sequence[str] = (),
-                 tie_width: int = 65536, ranges: int = 0) -> DataFrame:
+                 tie_width: int = 65536, ranges: int = RANGES) -> DataFrame:
     """1..n by ``scores`` descending, then ``tie`` ascending (a non-negative integer id), per key.
 
     Rows are numbered inside (score, id slice) buckets of at most ``tie_width`` rows and offset by
     the counts of the buckets before them, so equal scores never meet in one task. The counts of
-    distinct scores are accumulated in one task per key; that is enough for rounded model outputs
-    (about a thousand values). For scores of any number of distinct values pass ``ranges``: they
-    are then accumulated within value ranges of the first score, as for percentile ranks.
+    distinct scores are accumulated within value ranges of the first score, as for percentile ranks.
     """
     keys, scores = list(keys), list(scores)
     bucketed = df.withColumn("_slice", F.floor(F.col(tie) / tie_width))
-    part = list(keys)
-    if ranges:
-        lead = bucketed.withColumn("value", F.col(scores[0]).cast("double"))
-        fixed = lead if keys else lead.withColumn("_all", F.lit(0))
-        part = keys or ["_all"]
-        bucketed = _with_range(fixed, part, _range_bounds(fixed, part, ranges)).drop("value")
-        part = [*part, "_range"]
+    lead = bucketed.withColumn("value", F.col(scores[0]).cast("double"))
+    lead = lead if keys else lead.withColumn("_all", F.lit(0))
+    part = keys or ["_all"]
+    bucketed = _with_range(lead, part, ranges).drop("value")
+    part = [*part, "_range"]
     per_bucket = bucketed.groupBy(*part, *scores, "_slice").agg(F.count("*").alias("_n"))
     per_score = per_bucket.groupBy(*part, *scores).agg(F.sum("_n").alias("_m"))
     down = [F.col(s).desc() for s in scores]
-    above = Window.partitionBy(*part).orderBy(*down) if part else Window.orderBy(*down)
+    above = Window.partitionBy(*part).orderBy(*down)
     score_offsets = per_score.select(*part, *scores, (F.sum("_m").over(above) - F.col("_m")).alias("_above"))
-    if ranges:
-        outer = part[:-1]
-        totals = per_score.groupBy(*part).agg(F.sum("_m").alias("_r"))
-        # at most `ranges` rows per key
-        higher = Window.partitionBy(*outer).orderBy(F.desc("_range"))
-        range_offsets = totals.select(*part, (F.sum("_r").over(higher) - F.col("_r")).alias("_higher"))
-        score_offsets = score_offsets.join(range_offsets, part).withColumn("_above", F.col("_above") + F.col("_higher")).drop("_higher")
+    totals = per_score.groupBy(*part).agg(F.sum("_m").alias("_r"))
+    # at most `ranges` rows per key
+    higher = Window.partitionBy(*part[:-1]).orderBy(F.desc("_range"))
+    range_offsets = totals.select(*part, (F.sum("_r").over(higher) - F.col("_r")).alias("_higher"))
+    score_offsets = score_offsets.join(range_offsets, part).withColumn("_above", F.col("_above") + F.col("_higher")).drop("_higher")
     slices = Window.partitionBy(*part, *scores).orderBy("_slice")
     slice_offsets = per_bucket.select(
         *part, *scores, "_slice", (F.sum("_n").over(slices) - F.col("_n")).alias("_before")

@@ -222,10 +222,14 @@ def score_universe(stocks: DataFrame, overrides: Mapping[str, float] | None = No
 
 # ---- alternative weightings ---------------------------------------------------------------------
 
-def lens_scores(df: DataFrame, lenses: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
-    """Re-weight group scores under named lenses: a fixed array of lenses exploded per stock.
+_LENS_KEEPS = ("instrument_id", "ticker", "shortName", "sector", "quality_cov", "valuation_cov")
+
+
+def lens_values(df: DataFrame, lenses: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """Scores under named lenses, unranked: a fixed array of lenses exploded per stock.
 
-    Groups are computed once; coverage depends on the weights, so it is redone per lens.
+    Groups are computed once; coverage depends on the weights, so it is redone per lens. Only the
+    identity, the group scores and the two gates are exploded, not the record's inputs.
     """
     lenses = lenses or catalog.LENSES
     shares = {g: group_coverage(df, g) for g in catalog.GROUPS}
@@ -239,8 +243,14 @@ def lens_scores(df: DataFrame, lenses: Mapping[str, Mapping[str, float]] | None
                 model_score(w).alias("model_score"),
             )
         )
-    exploded = df.drop("data_cov", "model_score", "final_score", "score_status", "rank").select("*", F.inline(F.array(*rows)))
-    return with_rank(with_final_score(exploded), keys=["lens"])
+    kept = [c for c in df.columns if c in _LENS_KEEPS or c.startswith("g_")]
+    narrow = df.select(*kept, F.array(*rows).alias("_lenses"))
+    return with_final_score(narrow.select(*kept, F.inline("_lenses")))
+
+
+def lens_scores(df: DataFrame, lenses: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """The universe re-weighted and ranked under every lens."""
+    return with_rank(lens_values(df, lenses), keys=["lens"])
 
 
 def column_weight_scores(df: DataFrame, id_column: str) -> DataFrame:

@@ -15,6 +15,7 @@ from boursecraft.plans import oracle as O
 from boursecraft.plans import score_sql as Q
 from boursecraft.plans.oracle import r, with_
 from boursecraft.plans.registry import query
+from boursecraft.session import materialise
 
 GROUP_COLS = [f"g_{g}" for g in C.GROUPS]
 SCORED = with_(O.FUND, Q.SCORED)
@@ -102,7 +103,7 @@ def _(spark, d):
 def _(spark, d):
     df = A.fundamentals(spark, d)
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(s).alias("sign")) for m, s in (("trailingPE", -1), ("dividendYield", 1))])
-    long = df.select("ticker", F.inline(cells))
+    long = materialise(df.select("ticker", F.inline(cells)), "metrics")
     pct = percentile_ranks(long, ["metric", "sign"], F.col("sign"))
     scored = long.join(pct, ["metric", "sign", "value"], "left")
     return scored.groupBy("ticker").agg(
@@ -115,6 +116,7 @@ def _(spark, d):
   row_number() OVER (PARTITION BY "dividendYield" IS NULL ORDER BY "dividendYield" DESC, instrument_id) END AS rank FROM fund""")
 def _(spark, d):
     df = A.fundamentals(spark, d).select("instrument_id", "ticker", F.col("dividendYield").alias("score"))
+    df = materialise(df, "scores")
     ranks = ordinal_rank(df.filter("score IS NOT NULL"), ["score"], "instrument_id").select("instrument_id", "rank")
     return df.join(ranks, "instrument_id", "left").drop("instrument_id")
 
@@ -185,7 +187,11 @@ lenses AS (SELECT *, CASE WHEN final_score IS NOT NULL THEN row_number() OVER (P
 
 
 def lenses(spark: SparkSession, d: str) -> DataFrame:
-    return S.lens_scores(S.with_groups(S.with_coverage(S.derive_factors(A.fundamentals(spark, d)))))
+    return S.lens_scores(lens_input(spark, d))
+
+
+def lens_input(spark: SparkSession, d: str) -> DataFrame:
+    return S.with_groups(S.with_coverage(S.derive_factors(A.fundamentals(spark, d))))
 
 
 @query("sc_lenses", with_(O.FUND, lens_sql()) + "SELECT lens, ticker, rank, final_score, data_cov FROM lenses")
@@ -197,7 +203,7 @@ def _(spark, d):
 def _(spark, d):
     from boursecraft.operators.explore import top_per_lens
 
-    return top_per_lens(lenses(spark, d)).select("lens", "ticker", "rank", "final_score")
+    return top_per_lens(S.lens_values(lens_input(spark, d))).select("lens", "ticker", "rank", "final_score")
 
 
 def _what_if_sql() -> str:

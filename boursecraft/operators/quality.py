@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boursecraft import catalog
 from boursecraft.functions import values as V
+from boursecraft.session import materialise
 
 # deciding figure -> its name in either vocabulary
 _INPUTS = {
@@ -143,15 +144,16 @@ def issue_page(obs: DataFrame, size: int, after: int = 0) -> DataFrame:
 def failure_tally(events: DataFrame, examples: int = 5) -> DataFrame:
     """Failures folded by (kind, detail): count, first message, first few distinct subjects.
 
-    ``events``: kind, message, subject, seq. The examples are limited before they are collected:
-    (kind, detail, subject) is de-duplicated with a map-side combine, then a group limit keeps
-    ``examples`` rows per kind, so no group is ever gathered whole.
+    ``events``: kind, message, subject, seq. Events are read and their details folded once, into
+    one stored row per (kind, detail, subject); counts and examples come from those. A group limit
+    keeps ``examples`` rows per kind, so no group is ever gathered whole.
     """
     keyed = events.withColumn("detail", V.normalise_detail("message"))
-    counts = keyed.groupBy("kind", "detail").agg(
-        F.count("*").alias("n"), F.min_by("message", "seq").alias("first_message"), F.min("seq").alias("first_seq")
+    subjects = materialise(keyed.groupBy("kind", "detail", "subject").agg(F.count("*").alias("n"), F.min_by("message", "seq").alias("message"), F.min("seq").alias("seq")), "failures")
+    counts = subjects.groupBy("kind", "detail").agg(
+        F.sum("n").alias("n"), F.min_by("message", "seq").alias("first_message"), F.min("seq").alias("first_seq")
     )
-    subjects = keyed.filter("subject IS NOT NULL").groupBy("kind", "detail", "subject").agg(F.min("seq").alias("seq"))
+    subjects = subjects.filter("subject IS NOT NULL").select("kind", "detail", "subject", "seq")
     w = Window.partitionBy("kind", "detail").orderBy("seq")
     kept = subjects.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= examples)
     shown = kept.groupBy("kind", "detail").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from boursecraft import catalog
 from boursecraft.functions import values as V
 from boursecraft.operators import latest as L
+from boursecraft.operators.joins import attach
 
 ISSUE_TYPE = "array<struct<code:string,message:string,severity:string,field:string,raw_value:string>>"
 
@@ -322,8 +323,8 @@ def archived_cells(files: DataFrame, rows: DataFrame, symbols: DataFrame) -> Dat
         rows.filter(F.map_contains_key("record", F.lit("ticker")))
         .withColumn("ticker", V.ticker_norm(F.element_at("record", F.lit("ticker"))))
         .join(symbols.select("ticker", "instrument_id"), "ticker")
-        .join(current, ["source_path", "content_sha256"])
     )
+    known = attach(known, current, ["source_path", "content_sha256"], "row_number")  # one file may hold most rows
     kept = F.map_filter(
         "record", lambda k, v: (k != "ticker") & ~k.isin(*catalog.ARCHIVE_BOOKKEEPING) & v.isNotNull() & (v != "")
     )

@@ -9,6 +9,7 @@ from boursecraft import catalog as C
 from boursecraft.functions import values as V
 from boursecraft.operators import latest as L
 from boursecraft.operators import reconcile as R
+from boursecraft.operators.joins import attach
 from boursecraft.plans import adapters as A
 from boursecraft.plans import oracle as O
 from boursecraft.plans.oracle import with_
@@ -241,7 +242,7 @@ def _(spark, d):
 def _(spark, d):
     files, rows = A.archive_tables(spark, d)
     current_files = L.newest_files(files).select("source_path", "content_sha256")
-    return rows.join(current_files, ["source_path", "content_sha256"]).select(
+    return attach(rows, current_files, ["source_path", "content_sha256"], "row_number").select(
         "source_path", "content_sha256", "row_number", F.element_at("record", "currentPrice").alias("price")
     )
 

@@ -117,7 +117,7 @@ def _(spark, d):
 @query("sink_csv_archive", """SELECT source, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM documents WHERE lang = 'en' OR n_chars > 400 GROUP BY 1, 2""")
 def _(spark, d):
     docs = A.table(spark, d, "documents")
-    keyed = docs.select("lang", "n_chars", "source", F.col("doc_id").cast("string").alias("source_path"), F.lit("h").alias("content_sha256"))
+    keyed = docs.select("lang", "n_chars", "source", F.col("doc_id").cast("string").alias("source_path"), F.lit("h").alias("content_sha256"), F.col("n_chars").alias("row_number"))
     stored = keyed.filter("n_chars > 400").withColumn("version", F.lit("old"))
     incoming = keyed.filter("lang = 'en'").withColumn("version", F.lit("new"))
     return B.replace_archive(stored, incoming).groupBy("source", "version").agg(F.count("*").alias("n"))

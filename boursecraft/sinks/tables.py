@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boursecraft.functions import values as V
 from boursecraft.operators import latest as L
+from boursecraft.operators.joins import attach
 from boursecraft.operators.reconcile import active_equities
 from boursecraft.session import materialise
 
@@ -139,7 +140,7 @@ def mirror(stored: DataFrame, incoming: DataFrame, key: str = "observation_id")
 def replace_archive(stored_rows: DataFrame, incoming_rows: DataFrame) -> DataFrame:
     """Rows of every imported (path, hash) are replaced as a whole."""
     keys = ["source_path", "content_sha256"]
-    kept = stored_rows.join(incoming_rows.select(*keys).distinct(), keys, "left_anti")
+    kept = attach(stored_rows, incoming_rows.select(*keys).distinct(), keys, "row_number", "left_anti")
     return kept.unionByName(incoming_rows)
 
 

@@ -373,3 +373,20 @@ def test_recent_runs_are_chosen_by_time(spark):
     runs = spark.createDataFrame([("z", at(1)), ("a", at(3)), ("m", at(2))], "run_id string, created_at timestamp")
     assert [(r.run_id, r.age) for r in L.recent_runs(runs, 2).orderBy("age").collect()] == [("a", 1), ("m", 2)]
     assert L.newest_run(runs).first().run_id == "a" and L.newest_run(runs.limit(0)).isEmpty()
+
+
+def test_a_hot_file_is_dealt_over_many_tasks(spark):
+    from boursecraft.operators.joins import attach
+
+    rows = spark.range(20000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("source_path"), F.lit("h").alias("content_sha256"), F.col("id").alias("row_number"))
+    files = spark.createDataFrame([("hot", "h", 1), ("cold", "h", 2)], "source_path string, content_sha256 string, v int")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    joined = attach(rows, files, ["source_path", "content_sha256"], "row_number")
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    assert sum(sizes) == 20000 and max(sizes) < 6000
+    assert attach(rows, files.filter("v = 1"), ["source_path", "content_sha256"], "row_number", "left_anti").count() == 2000

@@ -74,21 +74,64 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op10_embedding_near_dedup")
+@query(
+    "op10_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    fine AS (
+        SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    link AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+    SELECT vec_id, (SELECT count(*) FROM link WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+    FROM v JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = vec_id
+    """,
+)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.links(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
-@query("op7_warc")
+@query(
+    "op7_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (
+        SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first,
+               array_to_string(list_transform(string_split(sha1(html), ''), lambda h: lpad(bin(strpos('0123456789abcdef', h) - 1), 4, '0')), '') AS bits
+        FROM p)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS BIGINT) * CAST(pow(2, 4 - j) AS BIGINT))) AS BIGINT), 1)), '') AS payload_digest,
+           CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM d
+    """,
+)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark), revisit_from=0)
     found = warc.read(manifest)
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op4_chat_format")
+_SAYS = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op4_chat_format",
+    f"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '{_SAYS}'), (-1, 1, 'assistant', '{_SAYS}')),
+    c AS (
+        SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+               coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+               CAST(sum(length(text) + CASE role WHEN 'user' THEN 18 WHEN 'system' THEN 13 ELSE 6 END
+                   + len(regexp_extract_all(text, '<s>|</s>|\\[/?INST\\]|\\[/?SYS\\]|\\[TURN:[^\\]\\s]*\\]|\\[/TURN\\]'))) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+    """,
+)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    says = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-1, 0, "user", _SAYS), (-1, 1, "assistant", _SAYS)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))

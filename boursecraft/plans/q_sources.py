@@ -319,6 +319,7 @@ _PV, _PB = _pick("PE", True)
 @query("fn_preferred_basis", with_("hh AS (SELECT *, concat('T', CAST(k AS VARCHAR)) AS ticker, " + ", ".join(f'{e} AS "{n}"' for n, e in _H.items()) + " FROM (SELECT *, p_partkey AS k FROM part))") + f"SELECT ticker, {_PV} AS value, {_PB} AS basis FROM hh")
 def _(spark, d):
     docs = header_documents(spark, d).withColumn("_h", F.from_json("payload", P.HEADER))
+    docs = V.settled(V.settled(docs).withColumn("_n", P.header_numbers()))
     return docs.select("ticker", P.header_choice("PE", True).alias("c")).select("ticker", "c.value", "c.basis")
 
 

@@ -98,6 +98,12 @@ _HEADER_FIELDS = (
 MIXED_BASIS = ("trailing_pe", "trailing_eps")
 
 
+def header_numbers() -> Column:
+    """The cleaned ratios of the parsed header ``_h``, both bases of each, and the master's market cap."""
+    names = [n for _f, name, _u, _p in _HEADER_FIELDS for n in (name, f"Con{name}")]
+    return F.struct(*[V.number(F.col(f"_h.{n}")).alias(n) for n in names], V.number("mktcap").alias("mktcap"))
+
+
 def header_choice(name: str, positive: bool) -> Column:
     """(value, basis) for one ratio of the parsed header, from its cleaned numbers ``_n``."""
     return V.preferred_basis(F.col(f"_n.Con{name}"), F.col(f"_n.{name}"), positive=positive, nonzero=not positive)
@@ -110,9 +116,7 @@ def header_ratios(df: DataFrame) -> DataFrame:
     invalid, because the rest of the universe reports them consolidated.
     """
     parsed = V.settled(df.withColumn("_h", F.from_json("payload", HEADER))).filter("_h.SecurityCode IS NOT NULL AND _h.SecurityCode <> ''")
-    names = [n for _f, name, _u, _p in _HEADER_FIELDS for n in (name, f"Con{name}")]
-    numbers = F.struct(*[V.number(F.col(f"_h.{n}")).alias(n) for n in names], V.number("mktcap").alias("mktcap"))
-    parsed = V.settled(parsed.withColumn("_n", numbers))
+    parsed = V.settled(parsed.withColumn("_n", header_numbers()))
     parsed = V.settled(parsed.withColumns({f"_{f}": header_choice(name, positive) for f, name, _u, positive in _HEADER_FIELDS}))
     book = F.coalesce(F.col("_n.ConPB"), F.col("_n.PB"))
     negative = F.coalesce(book <= 0, F.lit(False))

@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from boursecraft.session import materialise, work_dir
 
 #: Bytes of payload a shard is aimed at, and of compressed records after which a file is closed.
-SHARD_BYTES = 32 << 20
-FILE_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
+FILE_BYTES = 4 << 20
+#: Tasks that read archives back, at most.
+READERS = 4096
 #: Buckets in which identifiers are counted at a time; they are read by the driver.
 BUCKETS = 4096
 
@@ -142,15 +145,11 @@ def boundaries(sizes: DataFrame, target: int = SHARD_BYTES) -> list[int]:
     return cuts
 
 
-def _sources(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
-    """id, url, payload, refers_to: the smallest identifier that has the same payload, if another."""
-    html = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
-    rows = rows.withColumn("n_bytes", F.octet_length("payload")).withColumn("content", F.sha2("payload", 256))
-    narrow = rows.select("id", "n_bytes", "content")
-    first = narrow.where(F.col("n_bytes") >= least).groupBy("content", "n_bytes").agg(F.min("id").alias("first"))
-    found = rows.join(first, ["content", "n_bytes"], "left")
-    return found.select("id", "url", "payload", "n_bytes", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers_to"))
+def _revisits(rows: DataFrame, least: int) -> DataFrame:
+    """id, content, refers_to of the rows whose payload a smaller identifier has: narrow, without payloads."""
+    narrow = rows.where("id IS NOT NULL").select("id", F.octet_length("payload").alias("n_bytes"), F.sha2("payload", 256).alias("content")).where(F.col("n_bytes") >= least)
+    first = narrow.groupBy("content", "n_bytes").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return narrow.join(first, ["content", "n_bytes"]).where("refers_to < id").select("id", "content", "refers_to").distinct()
 
 
 def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -159,31 +158,28 @@ def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "u
     Of rows with equal payloads of at least ``revisit_from`` bytes the smallest identifier is the
     response and the others revisit it. Null payloads are empty, null URLs are an empty target.
     Rows that repeat an identifier are records of their own, in order of payload and URL, and so are
-    rows without one, which come first and revisit where an identified row has their payload.
+    rows without one, which come first and are responses.
     """
-    sizes = materialise(pages.select(F.col(id_col).cast("long").alias("id"), F.octet_length(F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))).cast("long").alias("n_bytes")).where("id IS NOT NULL"), "page-sizes")
+    html = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
+    sizes = materialise(rows.where("id IS NOT NULL").select("id", F.octet_length("payload").cast("long").alias("n_bytes")), "page-sizes")
     cuts = boundaries(sizes, shard_bytes)
-    spark = pages.sparkSession
-    rows = _sources(pages, id_col, url_col, payload_col, revisit_from)
-    if cuts:
-        # one boundary for each shard: as many as there are shards, by a range join on sorted cuts
-        places = spark.sparkContext.broadcast(cuts)
-
-        def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import numpy as np
+    places = pages.sparkSession.sparkContext.broadcast(cuts)  # one number for each shard
 
-            edges = np.array(places.value, np.int64)
-            for batch in batches:
-                ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(edges, ids, side="right").astype("int32"))], [*batch.schema.names, "shard"])
+    def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array(places.value, np.int64)
+        for batch in batches:
+            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(edges, ids, side="right").astype("int32"))], [*batch.schema.names, "shard"])
 
-        rows = rows.select("id", "url", "payload", "refers_to").mapInArrow(shard_of, "id long, url string, payload binary, refers_to long, shard int")
-    else:
-        rows = rows.select("id", "url", "payload", "refers_to").withColumn("shard", F.lit(0))
-    ordered = rows.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "payload", "url")
+    # payloads are shuffled once; what a row revisits arrives in its shard as a row before it
+    marks = _revisits(rows, revisit_from).select("id", F.col("content").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks)
+    dealt = both.mapInArrow(shard_of, "id long, url string, payload binary, refers_to long, shard int")
+    ordered = dealt.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "payload", "url")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, place = None, 0
+        writer, place, seen = None, 0, {}
 
         def closed() -> pa.RecordBatch:
             files = writer.close()
@@ -197,7 +193,12 @@ def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "u
                 if writer is None or writer.shard != shard:
                     if writer is not None:
                         yield closed()
-                    writer, place = ShardWriter(uri, shard, file_bytes), 0
+                    writer, place, seen = ShardWriter(uri, shard, file_bytes), 0, {}
+                if payload is None:
+                    seen = {(n, c): r for (n, c), r in seen.items() if n == number} | {(number, url): refers_to}
+                    continue
+                if seen:
+                    refers_to = seen.get((number, hashlib.sha256(payload).hexdigest()))
                 writer.add(record(number, url, payload, refers_to, f"{shard}-{place}"))
                 place += 1
         if writer is not None:
@@ -264,7 +265,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return manifest.repartition("path").mapInArrow(get, _READ)
+    tasks = max(1, min(READERS, manifest.count()))
+    return manifest.repartition(tasks).mapInArrow(get, _READ)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -45,10 +45,13 @@ class MarkovRatio:
     def score(self, token: Column) -> Column:
         """Sum over the transitions of a token that is made of the alphabet."""
         table = F.split(F.lit(",".join(f"{r:.5f}" for r in self.ratios)), ",").cast("array<double>")
-        code = lambda i: F.instr(F.lit(_ALPHABET), token.substr(i, F.lit(1))) - 1
+        codes = F.transform(F.regexp_extract_all(token, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(_ALPHABET), c) - 1)
         return F.aggregate(
-            F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
-            lambda total, i: total + F.coalesce(F.get(table, code(i) * _SIZE + code(i + 1)), F.lit(0.0)),
+            codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("total")),
+            lambda seen, c: F.struct(
+                c.alias("last"), (seen["total"] + F.when(seen["last"] >= 0, F.coalesce(F.get(table, seen["last"] * _SIZE + c), F.lit(0.0))).otherwise(F.lit(0.0))).alias("total"),
+            ),
+            lambda seen: seen["total"],
         )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from boursecraft.llm import components, embeddings, near_dedup
 from boursecraft.llm.near_dedup import Sampler, Weights, shingles, weighted_jaccard
@@ -71,6 +72,39 @@ def test_groups_equal_brute_force(spark, awkward, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_every_pair_of_two_components_is_a_candidate():
+    marks = np.arange(4 * 48).reshape(4, 48).astype(np.uint8)
+    marks[2, :40] = marks[0, :40]  # the pair that agrees most
+    marks[3, :38] = marks[1, :38]
+    block = pa.RecordBatch.from_arrays(
+        [*(pa.array([0] * 4, pa.int64()) for _ in range(4)), pa.array([1, 2, 3, 4]), pa.array([1, 1, 3, 3]), pa.array([m.tobytes() for m in marks])],
+        ["band", "part_a", "part_b", "side", "rep", "kind", "samples"],
+    )
+    found = {tuple(sorted(r.values())) for out in near_dedup._candidates(True)([block]) for r in out.to_pylist()}
+    assert found == {(1, 3), (2, 4)}
+
+
+def test_variants_around_the_threshold_equal_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(600)]
+    for _ in range(8):
+        base = [word() for _ in range(120)]
+        for _ in range(40):
+            copy = list(base)
+            for k in rng.sample(range(120), rng.randint(1, 4)):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = Weights(near_dedup.common_shingles(near_dedup._texts(docs, "doc_id", "text")))
+    every = [near_dedup._leveled(t, weights) for t in texts]
+    like = near_dedup.similarities(every, every)
+    pairs = [(int(a), int(b)) for a, b in zip(*np.nonzero(like >= 0.8)) if a < b]
+    want = roots(range(len(texts)), pairs)
+    assert {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
 def test_frequencies_of_common_shingles_are_exact(spark):
     rows = [(i, " ".join(["alpha beta gamma delta epsilon"] * (i % 3 > 0)) + f" n{i} m{i} o{i} p{i} q{i}") for i in range(90)]
     docs = spark.createDataFrame(rows, "id long, text string").repartition(7)

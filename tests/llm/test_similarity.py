@@ -84,6 +84,17 @@ def test_every_pair_of_two_components_is_a_candidate():
     assert found == {(1, 3), (2, 4)}
 
 
+def test_few_equal_samples_do_not_drop_a_pair_of_a_band():
+    marks = np.arange(2 * 48).reshape(2, 48).astype(np.uint8)
+    marks[1, :24] = marks[0, :24]
+    block = pa.RecordBatch.from_arrays(
+        [*(pa.array([0] * 2, pa.int64()) for _ in range(4)), pa.array([1, 2]), pa.array([1, 2]), pa.array([m.tobytes() for m in marks])],
+        ["band", "part_a", "part_b", "side", "rep", "kind", "samples"],
+    )
+    for rows in (False, True):
+        assert [r for out in near_dedup._candidates(rows)([block]) for r in out.to_pylist()] in ([{"a": 1, "b": 2}], [{"a": 2, "b": 1}])
+
+
 def test_variants_around_the_threshold_equal_brute_force(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))

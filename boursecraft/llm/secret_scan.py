@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and two character Markov models compared by likelihood.
 
 Everything is DataFrame expressions. The fixed patterns give the base spans. Beyond them, every
-token of twenty or more key characters outside a base span is scored by the log-likelihood ratio of
+stretch of twenty or more key characters outside the base spans is scored by the log-likelihood ratio of
 two first-order character models: one of random strings, one of ordinary identifiers. Both are
 trained from labelled samples: generated random strings and the values that the fixed patterns
 catch, against the words of a documented number of documents.
@@ -23,7 +23,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models judge; what a ratio must reach in all and for each transition.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN_LENGTH = 20
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_LENGTH},}}"
 LEAST_RATIO = 12.0
 LEAST_MEAN = 0.6
 
@@ -125,6 +126,22 @@ def _found(text: Column, pattern: str, kind: int, value: Column | None = None) -
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_NO_SPANS))
 
 
+def _stretches(token: Column, base: Column) -> Column:
+    """Spans of the parts of a token outside the sorted base spans that are long enough to be judged."""
+    none = F.array().cast(_NO_SPANS)
+
+    def added(seen: Column, end: Column) -> Column:
+        span = F.struct(seen["at"].alias("start"), token["kind"].alias("kind"), end.alias("end"))
+        return F.when(end - seen["at"] >= TOKEN_LENGTH, F.concat(F.coalesce(seen["spans"], none), F.array(span))).otherwise(seen["spans"])
+
+    return F.aggregate(
+        F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"])),
+        F.struct(token["start"].alias("at"), F.lit(None).cast(_NO_SPANS).alias("spans")),
+        lambda seen, b: F.struct(F.greatest(seen["at"], b["end"]).alias("at"), added(seen, b["start"]).alias("spans")),
+        lambda seen: F.coalesce(added(seen, token["end"]), none),
+    )
+
+
 def scan(docs: DataFrame, model: MarkovRatio, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``id_col``, base and markov spans as sorted (start, kind, end) arrays.
 
@@ -142,7 +159,7 @@ def scan(docs: DataFrame, model: MarkovRatio, id_col: str = "doc_id", text_col:
         F.coalesce(F.col("_assign.span"), F.array().cast(_NO_SPANS)), _found(text, ACCESS, 1), _found(text, HEX, 2),
     )))
     token = lambda x: text.substr(x["start"] + 1, x["end"] - x["start"])
-    outside = F.filter(_found(text, TOKEN, 3), lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    outside = F.flatten(F.transform(_found(text, TOKEN, 3), lambda x: _stretches(x, F.col("_base"))))
     judged = F.transform(outside, lambda x: F.struct(x.alias("span"), model.score(token(x)).alias("ratio"), (x["end"] - x["start"] - 1).alias("steps")))
     judged = F.filter(judged, lambda x: (x["ratio"] >= LEAST_RATIO) & (x["ratio"] >= LEAST_MEAN * x["steps"]))
     rows = rows.withColumn("_markov", F.when(text.rlike(TOKEN), judged))

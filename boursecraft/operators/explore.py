@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boursecraft import catalog
 from boursecraft.functions import values as V
 from boursecraft.operators.compare import cheap_and_strong
-from boursecraft.session import materialise
+from boursecraft.operators.ranks import numbered
 
 # fixed values: the four documented screens
 SCREEN_PRESETS = {
@@ -58,18 +58,8 @@ def sorted_blanks_last(df: DataFrame, key: str, descending: bool = False, tie: s
 
 
 def positions(df: DataFrame, order: list[Column], alias: str = "position") -> DataFrame:
-    """Every row with its place, from 1, in a total order of the whole table.
-
-    Rows are dealt to sorted ranges and stored; a range's rows are numbered within it and moved by
-    the row counts of the ranges before it, of which there are as many as shuffle partitions.
-    """
-    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    stored = materialise(dealt, "ranges")
-    counts = stored.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    placed = stored.withColumn("_row", inside).join(F.broadcast(before), "_range")
-    return placed.withColumn(alias, (F.col("_before") + F.col("_row")).cast("long")).drop("_range", "_row", "_before")
+    """Every row with its place, from 1, in a total order of the whole table."""
+    return numbered(df, order, alias)
 
 
 def explorer(stocks: DataFrame, needle: str = "", sector: str = "all", min_coverage: float = 0.0, key: str = "rank",

@@ -7,17 +7,20 @@ row in a handful of tasks. Both ranks here are instead computed from counts:
   the histogram is cut into value ranges by boundaries taken from a quantile sketch; counts are
   accumulated inside each range and offset by the ranges below. The boundaries only balance the
   work - ranks are exact for any boundaries.
-* ``ordinal_rank``: rows are numbered inside small (score, id-range) buckets and offset by the
-  bucket counts.
+* ``ordinal_rank``: rows are numbered inside ranges of (score, id) and offset by the rows of the
+  ranges before them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boursecraft.session import materialise
+
 RANGES = 64
 _BLOCK = 8
 _SKETCH_ACCURACY = 500
@@ -74,39 +77,30 @@ def percentile_ranks(long: DataFrame, keys: Sequence[str], direction: Column, ra
     )
 
 
-def ordinal_rank(df: DataFrame, scores: Sequence[str], tie: str, alias: str = "rank", keys: Sequence[str] = (),
-                 tie_width: int = 65536, ranges: int = RANGES) -> DataFrame:
-    """1..n by ``scores`` descending, then ``tie`` ascending (a non-negative integer id), per key.
+def numbered(df: DataFrame, order: Sequence[Column], alias: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the place, from 1, of every row among those of its ``keys`` in a total ``order``.
 
-    Rows are numbered inside (score, id slice) buckets of at most ``tie_width`` rows and offset by
-    the counts of the buckets before them, so equal scores never meet in one task. The counts of
-    distinct scores are accumulated within value ranges of the first score, as for percentile ranks.
+    Rows are dealt to ranges of (keys, order) and stored sorted. The boundaries are quantiles of a
+    sample of that whole composite, so rows that agree in its first columns are parted by the others;
+    whatever the boundaries are, places are exact. What is accumulated is a count for each range and
+    key in it: no more than shuffle partitions and keys together.
     """
-    keys, scores = list(keys), list(scores)
-    bucketed = df.withColumn("_slice", F.floor(F.col(tie) / tie_width))
-    lead = bucketed.withColumn("value", F.col(scores[0]).cast("double"))
-    lead = lead if keys else lead.withColumn("_all", F.lit(0))
-    part = keys or ["_all"]
-    bucketed = _with_range(lead, part, ranges).drop("value")
-    part = [*part, "_range"]
-    per_bucket = bucketed.groupBy(*part, *scores, "_slice").agg(F.count("*").alias("_n"))
-    per_score = per_bucket.groupBy(*part, *scores).agg(F.sum("_n").alias("_m"))
-    down = [F.col(s).desc() for s in scores]
-    above = Window.partitionBy(*part).orderBy(*down)
-    score_offsets = per_score.select(*part, *scores, (F.sum("_m").over(above) - F.col("_m")).alias("_above"))
-    totals = per_score.groupBy(*part).agg(F.sum("_m").alias("_r"))
-    # at most `ranges` rows per key
-    higher = Window.partitionBy(*part[:-1]).orderBy(F.desc("_range"))
-    range_offsets = totals.select(*part, (F.sum("_r").over(higher) - F.col("_r")).alias("_higher"))
-    score_offsets = score_offsets.join(range_offsets, part).withColumn("_above", F.col("_above") + F.col("_higher")).drop("_higher")
-    slices = Window.partitionBy(*part, *scores).orderBy("_slice")
-    slice_offsets = per_bucket.select(
-        *part, *scores, "_slice", (F.sum("_n").over(slices) - F.col("_n")).alias("_before")
-    ).join(score_offsets, [*part, *scores])
-    inside = Window.partitionBy(*part, *scores, "_slice").orderBy(tie)
-    return (
-        bucketed.withColumn("_row", F.row_number().over(inside))
-        .join(slice_offsets, [*part, *scores, "_slice"])
-        .withColumn(alias, (F.col("_above") + F.col("_before") + F.col("_row")).cast("long"))
-        .drop("_slice", "_row", "_before", "_above", "_range", "_all")
-    )
+    keys = list(keys)
+    by = [*[F.col(k).asc() for k in keys], *order]
+    place = F.monotonically_increasing_id()  # the range in the upper 31 bits, the row within it in the lower 33
+    stored = materialise(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", place), "numbered")
+    stored = stored.withColumns({"_range": F.shiftright("_place", 33), "_row": F.col("_place").bitwiseAND((1 << 33) - 1)})
+    counts = stored.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n") - F.col("_first")
+    offsets = counts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_at"), before.alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col("_range") == F.col("_at"))
+    found = stored.join(offsets, same).withColumn(alias, F.col("_before") + F.col("_row") + 1)
+    return found.select(*df.columns, alias)
+
+
+def ordinal_rank(df: DataFrame, scores: Sequence[str], tie: str, alias: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
+    """1..n by ``scores`` descending, then ``tie`` ascending (an id), per key.
+
+    Scores and id are cut into ranges together: equal scores, even on every row, are spread by id.
+    """
+    return numbered(df, [*[F.col(s).desc() for s in scores], F.col(tie).asc()], alias, keys)

@@ -538,7 +538,7 @@ _CSV_TEXT = """concat('id,text,text', chr(13), chr(10), CAST(doc_id AS VARCHAR),
 def _(spark, d):
     rows = Z.archive_rows(csv_documents(spark, d))
     get = lambda k: F.element_at("record", F.lit(k))
-    return rows.select("source_path", "row_number", F.size("values_array").alias("cells"), get("id").alias("id"), get("text").alias("text"), get("text__duplicate_2").alias("text_2"), get("extra_column_1").alias("extra"))
+    return rows.select("source_path", F.col("row_number").cast("int").alias("row_number"), F.size("values_array").alias("cells"), get("id").alias("id"), get("text").alias("text"), get("text__duplicate_2").alias("text_2"), get("extra_column_1").alias("extra"))
 
 
 @query("src_csv_discover", """SELECT path FROM (SELECT page_id, concat(CASE page_id % 4 WHEN 0 THEN '/x/node_modules' WHEN 1 THEN '/x/.git' ELSE '/x' END, '/', CAST(page_id AS VARCHAR), CASE WHEN page_id % 5 = 0 THEN '.txt' ELSE '.csv' END) AS path FROM pages) WHERE page_id % 4 > 1 AND page_id % 5 <> 0""")

@@ -106,14 +106,32 @@ def test_percentile_rank_equals_pandas_with_heavy_ties(spark, direction):
     assert len(got) == 5000
 
 
-@pytest.mark.parametrize("ranges", [0, 16])
-def test_ordinal_rank_equals_a_global_sort(spark, ranges):
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_ordinal_rank_equals_a_global_sort(spark, keys):
     rng = random.Random(5)
-    rows = [(i, float(rng.randint(0, 5)), float(rng.randint(0, 3))) for i in range(3000)]
-    df = spark.createDataFrame(rows, "id long, final double, model double")
-    got = {r["id"]: r["rank"] for r in K.ordinal_rank(df, ["final", "model"], "id", tie_width=64, ranges=ranges).collect()}
-    expected = sorted(rows, key=lambda r: (-r[1], -r[2], r[0]))
-    assert [got[r[0]] for r in expected] == list(range(1, 3001))
+    rows = [(i, float(rng.randint(0, 5)), float(rng.randint(0, 3)), rng.choice(["a", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, final double, model double, key string")
+    ranked = K.ordinal_rank(df, ["final", "model"], "id", keys=keys)
+    got = {r["id"]: r["rank"] for r in ranked.collect()}
+    for key in ["a", None] if keys else [0]:
+        expected = sorted([r for r in rows if not keys or r[3] == key], key=lambda r: (-r[1], -r[2], r[0]))
+        assert [got[r[0]] for r in expected] == list(range(1, len(expected) + 1))
+    assert "NestedLoop" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_score_on_every_row_is_spread_by_id(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(K, "materialise", lambda df, name: held.append(materialise(df, name)) or held[-1])
+    df = spark.range(40000).select((F.xxhash64("id").bitwiseAND((1 << 62) - 1)).alias("id"), F.lit(1.0).alias("score"))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranks = [r["rank"] for r in K.ordinal_rank(df, ["score"], "id").orderBy("id").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert ranks == list(range(1, 40001))
+    sizes = [r["count"] for r in held[0].groupBy(F.shiftright("_place", 33)).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1.5 * 40000 / len(sizes)
 
 
 # ---- series -------------------------------------------------------------------------------------------

@@ -183,7 +183,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simple8b_files")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = simple8b.new_folder(spark)
-    simple8b.write(simple8b.code(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2), folder)
+    simple8b.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, folder)
     return simple8b.read(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 

@@ -16,18 +16,17 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boursecraft.llm.packing import WordTokenizer, blocks
-from boursecraft.session import materialise, work_dir
+from boursecraft.session import work_dir
 
 #: Ids of a block.
 BLOCK = 1024
@@ -39,12 +38,15 @@ READERS = 4096
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0)
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240)
 ESCAPE, ZEROS = 0, 15
+#: Words of up to eight ids are chosen by one look at the next eight; selector 7 and below hold more.
+_MANY = 6
 
 MAGIC = b"IDS8B-01"
 _HEADER = np.dtype([("magic", "S8"), ("block", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8"), ("words", "<u8"), ("escapes", "<u8")])
 _COUNT = np.array(COUNTS, np.int64)
+_FEW = np.arange(COUNTS[_MANY + 1])
+_FEW_WIDTHS = np.array([WIDTHS[COUNTS.index(n + 1, 1)] for n in _FEW.tolist()], np.uint8)
 
-_CODED = "id long, n_tokens long, crc long, words binary, block_words binary, block_escapes binary, escapes binary"
 _FILES = "shard int, files array<struct<name: string, docs: long, ids: long, bytes: long, sha256: string>>"
 _READ = "id long, start long, n_tokens long, tokens binary"
 
@@ -69,46 +71,56 @@ def block_sizes(lengths: np.ndarray) -> np.ndarray:
     return size
 
 
+def _fitting(need: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The selector of the word that begins at each place: the one with the most ids that all fit."""
+    index = at[:, None] + _FEW
+    most = np.maximum.accumulate(np.where(index < end[:, None], need[index], 0), axis=1)
+    fits = most <= _FEW_WIDTHS
+    count = _FEW[-1] + 1 - fits[:, ::-1].argmax(1)
+    selector = np.where(fits.any(1), 15 - count, ESCAPE).astype(np.uint8)  # up to eight ids a word, selectors count down
+    rows, reach = np.flatnonzero(fits[:, -1]), len(_FEW)
+    most = most[rows, -1]
+    for many in range(_MANY, 0, -1):  # and ever more ids where those are small
+        if not len(rows):
+            break
+        index = at[rows, None] + np.arange(reach, COUNTS[many])
+        most = np.maximum(most, np.where(index < end[rows, None], need[index], 0).max(1))
+        reach = COUNTS[many]
+        ok = most <= WIDTHS[many]
+        selector[rows[ok]] = many
+        small = most <= WIDTHS[many - 1]
+        rows, most = rows[small], most[small]
+    if len(rows):  # nothing but zeros so far
+        index = at[rows, None] + np.arange(reach, COUNTS[ZEROS])
+        zero = np.where(index < end[rows, None], need[index], 0).max(1) == 0
+        selector[rows[zero]] = ZEROS
+    return selector
+
+
 def encode(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, words of each block, escapes, escapes of each block) for blocks of ``sizes`` ids."""
     ids = ids.astype(np.uint64, copy=False)
-    n = len(ids)
+    need = np.append(_bits(ids), np.zeros(max(COUNTS), np.uint8))
     ends = np.cumsum(sizes)
-    here = np.arange(n, dtype=np.int64)
-    end = np.repeat(ends, sizes)
-    need = _bits(ids)
-    widest = int(need.max()) if n else 0
-    choice = np.where(need > 60, ESCAPE, 14).astype(np.uint8)
-    exceeds = None
-    for selector in range(13, -1, -1):  # ever more ids a word; the last that fits stays
-        selector = selector or ZEROS
-        width, count = WIDTHS[selector], COUNTS[selector]
-        stop = np.minimum(here + count, end)
-        if width >= widest:
-            choice[:] = selector
-            continue
-        exceeds = np.where(need > width, here, n)
-        upto = np.minimum.accumulate(exceeds[::-1])[::-1]
-        choice[upto >= stop] = selector
-    following = np.minimum(here + _COUNT[choice], end)
-    # walk all blocks from word to word at once
-    first = np.zeros(n, bool)
-    at = ends - sizes
-    last = ends
-    while len(at):
-        first[at] = True
-        at = following[at]
-        more = at < last
-        at, last = at[more], last[more]
-    start = np.flatnonzero(first)
-    selectors = choice[start]
+    at, end, places, chosen = ends - sizes, ends, [], []
+    while len(at):  # all blocks go from word to word at once
+        selector = _fitting(need, at, end)
+        places.append(at)
+        chosen.append(selector)
+        at = at + _COUNT[selector]
+        more = at < end
+        at, end = at[more], end[more]
+    start = np.concatenate([*places, np.zeros(0, np.int64)])
+    order = np.argsort(start, kind="stable")
+    start, selectors = start[order], np.concatenate([*chosen, np.zeros(0, np.uint8)])[order]
+    following = np.minimum(start + _COUNT[selectors], ends[np.searchsorted(ends, start, side="right")])
     words = selectors.astype(np.uint64) << np.uint64(60)
     padded = np.append(ids, np.zeros(max(COUNTS), np.uint64))
     for selector in np.unique(selectors):
         if selector in (ESCAPE, ZEROS):
             continue
         rows = np.flatnonzero(selectors == selector)
-        begin, held, width = start[rows], following[start[rows]] - start[rows], WIDTHS[selector]
+        begin, held, width = start[rows], following[rows] - start[rows], WIDTHS[selector]
         value = np.zeros(len(rows), np.uint64)
         for k in range(COUNTS[selector]):
             part = padded[begin + k] << np.uint64(width * k)
@@ -221,57 +233,40 @@ def parse(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 # ---- Spark ---------------------------------------------------------------------------------------
 
-def code(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its ids by the tokenizer file and ``end_id``, coded.
-
-    Null texts are empty: the end id alone. Other columns are ignored, whatever their names.
+def coded(numbers: list[int | None], found: list[np.ndarray]) -> Iterator[tuple]:
+    """(identifier, length, words, words of each block, escapes of each block, escapes) of documents."""
+    lengths = np.array([len(ids) for ids in found], np.int64)
+    words, per_block, escapes, per_block_escapes = encode(np.concatenate(found), block_sizes(lengths))
+    upto_block = np.append(0, np.cumsum(-(-lengths // BLOCK)))
+    upto = [np.append(0, np.cumsum(p)) for p in (per_block, per_block_escapes)]
+    raw = words.astype("<u8").tobytes(), per_block.astype("<u4").tobytes(), per_block_escapes.astype("<u4").tobytes(), escapes.astype("<u8").tobytes()
+    edges = 8 * upto[0][upto_block], 4 * upto_block, 4 * upto_block, 8 * upto[1][upto_block]
+    parts = [[data[a:b] for a, b in zip(edge.tolist(), edge[1:].tolist())] for data, edge in zip(raw, edges)]
+    return zip(numbers, lengths.tolist(), *parts)
+
+
+def write(docs: DataFrame, path: str, end_id: int, uri: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Write the ids of documents, by the tokenizer file and each with ``end_id`` behind, under ``uri``.
+
+    Documents ascend by identifier, null first; rows that share one follow the hashes of their texts.
+    Null texts are empty: the end id alone. Other columns are ignored, whatever their names. Texts are
+    range-sorted before they are tokenised, so that ids go from the tokenizer into files; a row's
+    place parts ties, so no identifier fills a task. The driver gets the totals.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({"path": path})
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast({"path": path})
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumns({"_tie": F.xxhash64("text"), "_salt": F.monotonically_increasing_id()})
+    keys = [F.col("id").asc_nulls_first(), F.col("_tie").asc(), F.col("_salt").asc()]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard, last = shared.value, None, np.array([end_id], "<u4")
         if "tokenizer" not in held:
             held["tokenizer"] = WordTokenizer(held["path"])
-        last = np.array([end_id], "<u4")
         for numbers, texts in blocks(batches):
-            found = [np.append(ids, last) for ids in held["tokenizer"].encode(texts)]
-            lengths = np.array([len(ids) for ids in found], np.int64)
-            sizes = block_sizes(lengths)
-            words, per_block, escapes, per_block_escapes = encode(np.concatenate(found), sizes)
-            upto_block = np.append(0, np.cumsum(-(-lengths // BLOCK)))
-            columns = [[], [], [], []]
-            upto = [np.append(0, np.cumsum(p)) for p in (per_block, per_block_escapes)]
-            raw = words.astype("<u8").tobytes(), per_block.astype("<u4").tobytes(), per_block_escapes.astype("<u4").tobytes(), escapes.astype("<u8").tobytes()
-            edges = 8 * upto[0][upto_block], 4 * upto_block, 4 * upto_block, 8 * upto[1][upto_block]
-            for column, data, edge in zip(columns, raw, edges):
-                edge = edge.tolist()
-                column += [data[a:b] for a, b in zip(edge, edge[1:])]
-            crc = [zlib.crc32(ids.astype("<u4", copy=False)) for ids in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers, pa.int64()), pa.array(lengths), pa.array(crc, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)],
-                ["id", "n_tokens", "crc", "words", "block_words", "block_escapes", "escapes"],
-            )
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, _CODED)
-
-
-def write(coded: DataFrame, uri: str, file_bytes: int = FILE_BYTES) -> None:
-    """Write coded documents to files under ``uri`` by ascending identifier, null first.
-
-    Rows that share an identifier follow the checksum of their ids. The rows are stored once, since
-    range boundaries are sampled from them; a row's place parts ties, so no identifier fills a task.
-    """
-    spark = coded.sparkSession
-    stored = materialise(coded, "coded").withColumn("_salt", F.monotonically_increasing_id())
-    keys = [F.col("id").asc_nulls_first(), F.col("crc").asc(), F.col("n_tokens").asc(), F.col("_salt").asc()]
-    ordered = stored.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt", "crc")
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                shard = shard or Shard(uri, TaskContext.get().partitionId(), file_bytes)
+            shard = shard or Shard(uri, TaskContext.get().partitionId(), file_bytes)
+            for row in coded(numbers, [np.append(ids, last) for ids in held["tokenizer"].encode(texts)]):
                 shard.add(*row)
         if shard is not None:
             shard.close()
@@ -302,8 +297,6 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
     if found.asDict() != total:
         raise ValueError(f"{uri}: the manifests {found.asDict()} do not add up to {total}")
     # ids before a shard: a row per shard is accumulated; ids before a file: inside its shard
-    from pyspark.sql import Window
-
     per_shard = shards.select("shard", F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + f["ids"]).alias("_n"))
     before = per_shard.select("shard", (F.sum("_n").over(Window.orderBy("shard")) - F.col("_n")).alias("_shard_start"))
     inside = F.sum("ids").over(Window.partitionBy("shard").orderBy("place")) - F.col("ids")

@@ -6,7 +6,9 @@ words, and its stems at word starts. A hit inside an exception phrase doesn't co
 the hits, in all and for each word of the text, give a score between 0 and 1.
 
 Lexicon, exception phrases and the two score coefficients are trained on labelled documents: at
-most ``SAMPLE`` of each label, those with the smallest hashes of their identifier.
+most ``SAMPLE`` of each label, those with the smallest hashes of their identifier, one text of each.
+A word that clean texts have too, but mostly inside one phrase, gets that phrase as an exception
+first and is weighed by what it does elsewhere.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 
 from boursecraft.session import materialise
 
-#: Bounds of training: documents of each label, entries of the lexicon, exception phrases.
+#: Bound of training: documents of each label.
 SAMPLE = 6000
-ENTRIES = 2000
-EXCEPTIONS = 500
-#: An entry is in this share of the toxic sample and in five documents at least.
+#: A phrase that holds this share of a word's clean documents is an exception before words are weighed.
+PHRASE_SHARE = 0.25
+#: An entry is in this share of the toxic sample and in five documents at least; there are at most a
+#: hundred times as many as a toxic document has features.
 LEAST_SHARE = 0.01
 LEAST_DOCUMENTS = 5
 LEAST_WEIGHT = math.log(20)
@@ -140,28 +143,41 @@ def _count_rows(counts: Counter, names: list[str]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in part]), pa.array([r[0][1] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int64())], names)
 
 
-def _features(words: list[str]) -> set[str]:
+def _features(words: list[str], exceptions: set[tuple[str, str]]) -> set[str]:
+    """Words outside exception phrases, and their stems."""
+    if exceptions:
+        held = {w for p in exceptions for w in p}
+        words = [w for k, w in enumerate(words) if w not in held or not any(p in exceptions for p in phrases(words, k))]
     kinds = set(words)
     return kinds | {f"{w[:n]}*" for w in kinds for n in STEMS if len(w) > n}
 
 
-def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.update((f, label) for f in _features(fold(text)))
-            if len(counts) > 1_000_000:
-                yield from _count_rows(counts, ["feature", "label", "n"])
-                counts = Counter()
-    yield from _count_rows(counts, ["feature", "label", "n"])
+def _by_label(rows: DataFrame, features: Callable[[str], set[str]]) -> DataFrame:
+    """(feature, t, c): in how many toxic and clean documents each feature is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts.update((f, label) for f in features(text))
+                if len(counts) > 1_000_000:
+                    yield from _count_rows(counts, ["feature", "label", "n"])
+                    counts = Counter()
+        yield from _count_rows(counts, ["feature", "label", "n"])
+
+    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    return rows.mapInArrow(count, "feature string, label int, n long").groupBy("feature").agg(of(1).alias("t"), of(0).alias("c"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """text and label of at most ``size`` documents of either label, stored once."""
+    """text and label of at most ``size`` documents of either label, stored once. Of rows that share
+    an identifier one takes part, the one whose text has the smallest hash."""
     rows = labels.where(F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     chosen = [rows.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(size) for v in (0, 1)]
     both = chosen[0].unionByName(chosen[1])  # twice ``size`` rows at most
-    return materialise(docs.select("id", "text").join(F.broadcast(both), "id").select("text", "label"), "labelled")
+    held = docs.select("id", "text").join(F.broadcast(both), "id")
+    one = held.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return materialise(one.select("text", "label"), "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", size: int = SAMPLE) -> Lexicon:
@@ -175,19 +191,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon({})
-    counted = rows.mapInArrow(_feature_counts, "feature string, label int, n long").groupBy("feature").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c"),
-    )
     t, c = F.col("t"), F.col("c")
     weight = F.log((t + 0.5) / (toxic - t + 0.5)) - F.log((c + 0.5) / (clean - c + 0.5))
-    best = counted.withColumn("w", weight).where((t >= max(LEAST_DOCUMENTS, LEAST_SHARE * toxic)) & (F.col("w") >= LEAST_WEIGHT))
-    found = {r["feature"]: r["w"] for r in best.orderBy(F.desc("w"), "feature").limit(ENTRIES).collect()}
+
+    def weighed(exceptions: set[tuple[str, str]]) -> DataFrame:
+        counted = _by_label(rows, lambda text: _features(fold(text), exceptions))
+        return counted.withColumn("w", weight).where((t >= max(LEAST_DOCUMENTS, LEAST_SHARE * toxic)) & (F.col("w") > 0))
+
+    first = weighed(set()).collect()
+    early = _early_exceptions(rows, {r["feature"]: r["c"] for r in first if r["w"] < LEAST_WEIGHT and not r["feature"].endswith("*")})
+    # words apart from their exceptions; the others keep their weights
+    found = {r["feature"]: r["w"] for r in (weighed(early).collect() if early else first) if r["w"] >= LEAST_WEIGHT}
     stems = {f[:-1]: w for f, w in found.items() if f.endswith("*")}
     # an entry that a shorter stem covers as well is not needed
     kept = {f: w for f, w in found.items() if not any(stems.get(f.rstrip("*")[:n], 0) >= w - 0.5 for n in range(1, len(f.rstrip("*"))))}
     lexicon = Lexicon({f: w for f, w in kept.items() if not (f + "*" in kept and kept[f + "*"] >= w - 0.5)})
     lexicon = _cover(rows, lexicon, max(2, LEAST_SHARE * toxic / 2))
-    lexicon.exceptions = _learn_exceptions(rows, lexicon)
+    lexicon.exceptions = early | _learn_exceptions(rows, lexicon)
     lexicon.coefficients = _learn_coefficients(rows, lexicon)
     return lexicon
 
@@ -223,21 +243,34 @@ def _cover(rows: DataFrame, lexicon: Lexicon, least: float) -> Lexicon:
     return Lexicon(chosen)
 
 
+def _early_exceptions(rows: DataFrame, doubtful: dict[str, int]) -> set[tuple[str, str]]:
+    """Word pairs that hold much of a doubtful word's clean documents, and hardly any toxic ones.
+
+    ``doubtful`` gives the clean documents of words that are likelier in toxic texts, but not by enough.
+    """
+    if not doubtful:
+        return set()
+
+    def around(text: str) -> set[str]:
+        words = fold(text)
+        return {" ".join((w, *p)) for k, w in enumerate(words) if w in doubtful for p in phrases(words, k)}
+
+    counted = _by_label(rows, around).where((F.col("c") >= LEAST_DOCUMENTS) & (F.col("t") * 20 <= F.col("c")))
+    found = [(*r["feature"].split(" "), r["c"]) for r in counted.collect()]
+    return {(a, b) for word, a, b, n in found if n >= PHRASE_SHARE * doubtful[word]}
+
+
 def _learn_exceptions(rows: DataFrame, lexicon: Lexicon) -> set[tuple[str, str]]:
     """Word pairs around a hit that clean documents have and toxic ones hardly do."""
+    held: list[Matcher] = []
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, counts = lexicon.matcher(), Counter()
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = fold(text)
-                counts.update((p, label) for p in {" ".join(p) for k in matcher.hits(words) for p in phrases(words, k)})
-        yield from _count_rows(counts, ["feature", "label", "n"])
+    def around(text: str) -> set[str]:
+        if not held:  # built where it is used
+            held.append(lexicon.matcher())
+        words = fold(text)
+        return {" ".join(p) for k in held[0].hits(words) for p in phrases(words, k)}
 
-    counted = rows.mapInArrow(count, "feature string, label int, n long").groupBy("feature").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c"),
-    )
-    found = counted.where((F.col("c") >= LEAST_DOCUMENTS) & (F.col("t") * 20 <= F.col("c"))).orderBy(F.desc("c"), "feature").limit(EXCEPTIONS)
+    found = _by_label(rows, around).where((F.col("c") >= LEAST_DOCUMENTS) & (F.col("t") * 20 <= F.col("c")))
     return {tuple(r["feature"].split(" ")) for r in found.collect()}
 
 

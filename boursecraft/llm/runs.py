@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 #: Longer runs are not compared: each counts as distinct.
 LONGEST = 64
@@ -40,7 +41,9 @@ def distinct(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray
     key += size.astype(np.uint64) * _ODD
     long = np.flatnonzero(size > LONGEST)
     key[long] = long.astype(np.uint64) * _ODD2 + np.uint64(1)
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    inverse, kinds = pd.factorize(key)  # by hashing, in order of first occurrence
+    first = np.empty(len(kinds), np.int64)
+    first[inverse[::-1]] = np.arange(len(key))[::-1]
     if len(long):  # a kind of its own each, whatever their keys are
         inverse[long] = len(first) + np.arange(len(long))
         first = np.append(first, long)

@@ -11,6 +11,7 @@ from boursecraft import catalog
 from boursecraft.functions import values as V
 from boursecraft.operators import latest as L
 from boursecraft.operators.joins import attach
+from boursecraft.session import materialise
 
 ISSUE_TYPE = "array<struct<code:string,message:string,severity:string,field:string,raw_value:string>>"
 
@@ -150,15 +151,60 @@ def roe_unusable(obs: DataFrame) -> DataFrame:
     return evidence(obs).filter(returns_contested() & ~F.col("decided")).select("instrument_id")
 
 
+def newest_state(obs: DataFrame) -> DataFrame:
+    """All that resolution needs of observations, one row per (instrument, field, provider): the newest
+    row, the newest positive P/E and the newest valid reading of the other evidence.
+
+    Every part is a greatest struct, so states of two sets of observations merge (``merge_states``).
+    """
+    field, value = F.col("field"), F.col("numeric_value")
+    when = ["observed_at", "id"]
+    judged = field.isin("roe_pct", "book_value_sign") & F.col("is_valid")
+    return obs.groupBy("instrument_id", "field", "provider").agg(
+        F.max(F.struct(*when, "numeric_value", "text_value", "unit", "is_valid", "period_end")).alias("newest"),
+        F.max(F.when((field == "trailing_pe") & (value > 0), F.struct(*when, "numeric_value"))).alias("positive"),
+        F.max(F.when(judged, F.struct(*when, "numeric_value", "text_value"))).alias("valid"),
+    )
+
+
+def merge_states(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The state of both sets of observations. Merging one twice changes nothing."""
+    parts = ("newest", "positive", "valid")
+    return stored.unionByName(new).groupBy("instrument_id", "field", "provider").agg(*[F.max(p).alias(p) for p in parts])
+
+
+def evidence_of(state: DataFrame) -> DataFrame:
+    """``evidence`` from a state: at most one row per field and provider of an instrument is left."""
+    field, provider = F.col("field"), F.col("provider")
+
+    def only(name: str, source: str, what: str) -> Column:
+        return F.max(F.when((field == name) & (provider == source), F.col(what)))
+
+    return state.filter(field.isin(*EVIDENCE_FIELDS)).groupBy("instrument_id").agg(
+        only("trailing_pe", "bse", "positive.numeric_value").alias("bse_pe"),
+        only("trailing_pe", "nse", "positive.numeric_value").alias("nse_pe"),
+        F.max_by("newest.numeric_value", F.when(field == "trailing_eps", F.struct("newest.observed_at", "newest.id"))).alias("eps"),
+        only("book_value_sign", "bse", "valid.text_value").alias("sign"),
+        only("roe_pct", "bse", "valid.numeric_value").alias("bse_roe"),
+        only("roe_pct", "yahoo_roe", "valid.numeric_value").alias("yahoo_roe"),
+        F.coalesce(F.bool_or((field == "roe_pct") & provider.isin("screener", "upstox_fundamentals") & F.col("valid").isNotNull()), F.lit(False)).alias("decided"),
+    )
+
+
 def conflict_flags(obs: DataFrame) -> DataFrame:
     """(instrument_id, flags) for instruments with any conflict: one bit per rule."""
+    return flags_of(evidence(obs))
+
+
+def flags_of(found: DataFrame) -> DataFrame:
+    """``conflict_flags`` from evidence."""
     contested = returns_contested()
     bits = (
         F.when(multiples_unusable(), BAD_PE).otherwise(0)
         + F.when(contested, CONTESTED_ROE).otherwise(0)
         + F.when(contested & ~F.col("decided"), BAD_ROE).otherwise(0)
     )
-    return evidence(obs).select("instrument_id", bits.alias("flags")).filter("flags > 0")
+    return found.select("instrument_id", bits.alias("flags")).filter("flags > 0")
 
 
 def flagged(bit: int) -> Column:
@@ -214,6 +260,17 @@ def newest_usable(obs: DataFrame, as_of) -> DataFrame:
     return L.newest(obs.select(*columns), ["instrument_id", "field", "provider"], valid="after").filter(reporting_fresh(as_of))
 
 
+def usable_of(state: DataFrame, as_of) -> DataFrame:
+    """``newest_usable`` from a state."""
+    return state.select("instrument_id", "field", "provider", "newest.*").filter("is_valid").filter(reporting_fresh(as_of))
+
+
+def expired(state: DataFrame, was, now) -> DataFrame:
+    """Instruments with a row that is fresh on one of two days only."""
+    changed = reporting_fresh(was) != reporting_fresh(now)
+    return state.select("instrument_id", "field", "provider", "newest.*").filter("is_valid").filter(changed).select("instrument_id").distinct()
+
+
 def with_basis(usable: DataFrame) -> DataFrame:
     """Attach the basis of ``<metric>_basis`` rows to the metric of the same provider.
 
@@ -238,8 +295,11 @@ def eligible(obs: DataFrame, as_of) -> DataFrame:
     pick, alias suppression) work within an instrument and reuse it. After the newest-row pick an
     instrument holds at most one row per field and provider.
     """
-    usable = newest_usable(obs, as_of).repartition("instrument_id")
-    rows = usable.join(conflict_flags(obs), "instrument_id", "left")
+    return _eligible(newest_usable(obs, as_of), conflict_flags(obs))
+
+
+def _eligible(usable: DataFrame, flags: DataFrame) -> DataFrame:
+    rows = usable.repartition("instrument_id").join(flags, "instrument_id", "left")
     field, provider = F.col("field"), F.col("provider")
     standalone = field.isin("trailing_pe", "trailing_eps") & (F.coalesce(F.col("basis"), F.lit("")) == "standalone")
     audit_only = (provider == "upstox_fundamentals") & ~field.isin("roe_pct", "roce_pct")
@@ -250,8 +310,12 @@ def eligible(obs: DataFrame, as_of) -> DataFrame:
 
 def live_rows(obs: DataFrame, as_of) -> DataFrame:
     """One live row per (instrument, field)."""
+    return _live(eligible(obs, as_of))
+
+
+def _live(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("instrument_id", "field").orderBy(source_priority(), F.desc("observed_at"), F.desc("id"))
-    return eligible(obs, as_of).withColumn("_pos", F.row_number().over(w)).filter("_pos = 1").select(*_LIVE)
+    return rows.withColumn("_pos", F.row_number().over(w)).filter("_pos = 1").select(*_LIVE)
 
 
 _LIVE = ("instrument_id", "field", "numeric_value", "text_value", "unit", "provider", "observed_at")
@@ -392,7 +456,11 @@ def layer(rows: DataFrame, origin: str, priority: int, provider: str | None = No
 
 def all_layers(obs: DataFrame, instruments: DataFrame, as_of, runs: DataFrame, ranked: DataFrame,
                files: DataFrame, rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    live = with_aliases(live_rows(obs, as_of)).withColumn("origin", F.lit("observation"))
+    return _layers(live_rows(obs, as_of), instruments, runs, ranked, files, rows, aliases)
+
+
+def _layers(live: DataFrame, instruments: DataFrame, runs: DataFrame, ranked: DataFrame, files: DataFrame, rows: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    live = with_aliases(live).withColumn("origin", F.lit("observation"))
     layers: Sequence[DataFrame] = (
         layer(identity_rows(instruments), "observation", 2, "instruments"),
         layer(ranked_rows(runs, ranked), "ranking", 1, "scoring"),
@@ -405,7 +473,7 @@ def all_layers(obs: DataFrame, instruments: DataFrame, as_of, runs: DataFrame, r
     return merged
 
 
-def merge_layers(layers: DataFrame, obs: DataFrame, instruments: DataFrame) -> DataFrame:
+def merge_layers(layers: DataFrame, flags: DataFrame, instruments: DataFrame) -> DataFrame:
     """One row per (instrument, field) by layer priority, failing closed on unusable ratios."""
     w = Window.partitionBy("instrument_id", "field").orderBy(
         "priority", F.desc("observed_at"), F.desc("provider"), F.desc("numeric_value"), F.desc("text_value")
@@ -413,7 +481,7 @@ def merge_layers(layers: DataFrame, obs: DataFrame, instruments: DataFrame) -> D
     pe, roe = F.col("field").isin("trailingPE", "trailing_pe"), F.col("field").isin("roe_pct", "returnOnEquity")
     return (
         layers.join(active_equities(instruments).select("instrument_id"), "instrument_id", "left_semi")
-        .join(conflict_flags(obs), "instrument_id", "left")
+        .join(flags, "instrument_id", "left")
         .filter(~(pe & flagged(BAD_PE)) & ~(roe & flagged(BAD_ROE)))
         .withColumn("_pos", F.row_number().over(w))
         .filter("_pos = 1")
@@ -423,9 +491,20 @@ def merge_layers(layers: DataFrame, obs: DataFrame, instruments: DataFrame) -> D
 
 def current_metrics(obs: DataFrame, instruments: DataFrame, as_of, runs: DataFrame, ranked: DataFrame,
                     files: DataFrame, rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """The current value of every field of every active equity, with its source and layer."""
-    layers = all_layers(obs, instruments, as_of, runs, ranked, files, rows, aliases)
-    return merge_layers(layers, obs, instruments)
+    """The current value of every field of every active equity, with its source and layer.
+
+    Observations are scanned once, into the stored state that evidence and live values both read.
+    """
+    return resolve(materialise(newest_state(obs), "newest"), instruments, as_of, runs, ranked, files, rows, aliases)
+
+
+def resolve(state: DataFrame, instruments: DataFrame, as_of, runs: DataFrame, ranked: DataFrame,
+            files: DataFrame, rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``current_metrics`` from a stored state; instruments and conflict flags are stored for their readers."""
+    active = materialise(active_equities(instruments), "active-equities")
+    flags = materialise(flags_of(evidence_of(state)), "conflict-flags")
+    live = _live(_eligible(usable_of(state, as_of), flags))
+    return merge_layers(_layers(live, active, runs, ranked, files, rows, aliases), flags, active)
 
 
 # ---- consumers -------------------------------------------------------------------------------

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boursecraft import catalog as C
 from boursecraft.functions import values as V
 from boursecraft.operators import latest as L
+from boursecraft.operators import maintain as T
 from boursecraft.operators import reconcile as R
 from boursecraft.operators.joins import attach
 from boursecraft.plans import adapters as A
@@ -15,6 +18,7 @@ from boursecraft.plans import oracle as O
 from boursecraft.plans.oracle import with_
 from boursecraft.plans.registry import query
 from boursecraft.plans.shared import published
+from boursecraft.session import work_dir
 
 
 def run_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -313,6 +317,19 @@ def _(spark, d):
     return current(spark, d)
 
 
+@query("rec_current_incremental", "WITH " + O.CURRENT + "\nSELECT * FROM current")
+def _(spark, d):
+    """The last week's observations applied to the stored result of all others."""
+    runs, ranked = run_tables(spark, d)
+    files, rows = A.archive_tables(spark, d)
+    obs, root = A.observations(spark, d), f"{work_dir(spark)}/tables/current-{uuid.uuid4().hex}"
+    last = F.col("observed_at") >= F.lit(A.AS_OF).cast("timestamp") - F.make_dt_interval(F.lit(7))
+    others = (A.instruments(spark, d), A.AS_OF, runs, ranked, files, rows, A.ticker_aliases(spark, d))
+    T.build(root, obs.filter(~F.coalesce(last, F.lit(False))), *others, buckets=16)
+    T.apply(root, obs.filter(last), *others, buckets=16)
+    return T.read_current(spark, root)
+
+
 @query("join_pivot_observations", "WITH " + O.CURRENT + "\nSELECT a.ticker, c.field, c.numeric_value, c.text_value, c.origin FROM current c JOIN active a USING (instrument_id)")
 def _(spark, d):
     named = R.active_equities(A.instruments(spark, d)).select("instrument_id", "ticker")

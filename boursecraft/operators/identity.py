@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boursecraft.functions import values as V
+from boursecraft.operators.lifecycle import apply_events
 from boursecraft.session import materialise
 
 SHRINK_LIMIT = 0.9
@@ -58,7 +61,8 @@ def identity_conflicts(matches: DataFrame) -> DataFrame:
     several = matches.groupBy("ticker", "exchange", "isin").agg(F.count("*").alias("n")).filter("n > 1").select("ticker", F.lit("conflicting_identity").alias("code"))
     shared = matches.groupBy("instrument_id").agg(F.count_distinct("ticker", "exchange", F.coalesce("isin", F.lit(""))).alias("rows")).filter("rows > 1")
     claimed = matches.join(shared, "instrument_id", "left_semi").select("ticker", F.lit("instrument_claimed_twice").alias("code"))
-    changed = matches.filter(F.col("old_isin").isNotNull() & (F.col("old_isin") != F.col("isin"))).select("ticker", F.lit("isin_changed").alias("code"))
+    # a listing without an ISIN doesn't confirm a stored one
+    changed = matches.filter(F.col("old_isin").isNotNull() & ~F.col("old_isin").eqNullSafe(F.col("isin"))).select("ticker", F.lit("isin_changed").alias("code"))
     return several.unionByName(claimed).unionByName(changed).distinct()
 
 
@@ -74,17 +78,21 @@ def sync_universe(instruments: DataFrame, snapshot: DataFrame, as_of, strict: bo
     existing = instruments.filter("kind = 'EQUITY' AND active").count()
     if size < existing * SHRINK_LIMIT:
         raise ValueError("The snapshot holds under nine tenths of the active equities")
+    key = ["ticker", "exchange", "isin"]
+    snapshot = snapshot.groupBy(*key).agg(F.max("shortName").alias("shortName"))  # a listing given twice is one
     # one row per snapshot row; read by the conflict check, the updates, the inserts and the aliases
     matches = materialise(match_identity(instruments, snapshot), "matches")
     conflicts = identity_conflicts(matches)
     if strict:
         if not conflicts.isEmpty():
-            raise ValueError("Conflicting instrument identities; review required")
+            raise ValueError("Some listings fit no single stored instrument; see identity_conflicts")
     else:
         bad = conflicts.select("ticker").distinct()
         snapshot = snapshot.join(bad, "ticker", "left_anti")
         matches = matches.join(bad, "ticker", "left_anti")
-    new = snapshot.join(matches.select("ticker", "exchange", "isin", "instrument_id"), ["ticker", "exchange", "isin"], "left")
+    matched = matches.select("instrument_id", *[F.col(c).alias(f"_{c}") for c in key])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])  # a listing without an ISIN is matched by its symbol
+    new = snapshot.join(matched, same, "left")
     incoming = new.select("instrument_id", *[F.col(c).alias(f"s_{c}") for c in ("ticker", "exchange", "isin", "shortName")])
     known = incoming.filter("instrument_id IS NOT NULL").withColumn("_seen", F.lit(True))
     updated = instruments.join(known, "instrument_id", "left")
@@ -110,20 +118,7 @@ def sync_universe(instruments: DataFrame, snapshot: DataFrame, as_of, strict: bo
 def apply_lifecycle(instruments: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Renames and suspensions from an events table: (instruments, aliases, conflicts).
 
-    ``events``: ticker, exchange, action (rename or suspend), new_ticker, new_name, effective.
-    A rename onto a symbol another instrument holds is reported and not applied.
+    See ``lifecycle.apply_events``; aliases are the symbols that instruments no longer hold.
     """
-    holders = instruments.select(F.col("ticker").alias("new_ticker"), "exchange", F.lit(True).alias("_taken"))
-    checked = events.join(holders, ["new_ticker", "exchange"], "left")
-    clash = (F.col("action") == "rename") & F.col("_taken").isNotNull()
-    conflicts = checked.filter(clash).select("ticker", "exchange", "new_ticker")
-    usable = checked.filter(~clash).select("ticker", "exchange", "action", "new_ticker", "new_name", "effective")
-    joined = instruments.join(usable, ["ticker", "exchange"], "left")
-    renamed, suspended = F.coalesce(F.col("action") == "rename", F.lit(False)), F.coalesce(F.col("action") == "suspend", F.lit(False))
-    out = joined.select(
-        "instrument_id", F.when(renamed, F.col("new_ticker")).otherwise(F.col("ticker")).alias("ticker"), "exchange",
-        F.when(renamed, F.col("new_name")).otherwise(F.col("company_name")).alias("company_name"),
-        (renamed | (F.col("active") & ~suspended)).alias("active"), F.when(suspended, F.col("effective")).alias("inactive_at"),
-    )
-    aliases = joined.filter(renamed).select("instrument_id", "ticker", "exchange", F.date_sub("effective", 1).alias("valid_until"))
-    return out, aliases, conflicts
+    after, intervals, conflicts = apply_events(instruments, events)
+    return after, intervals.filter("valid_until IS NOT NULL"), conflicts

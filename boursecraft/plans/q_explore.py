@@ -414,15 +414,17 @@ def _(spark, d):
     return D.gaps(A.fundamentals(spark, d).filter("ticker = 'T41'"), GAP_FIELDS).select("field", "reason")
 
 
-@query("dq_classify_field", with_(O.OBS) + f"""SELECT field, CASE WHEN field IN ('current_price') THEN 'recoverable' ELSE 'recoverable' END AS reason, count(*) AS n FROM obs GROUP BY 1
-  UNION ALL SELECT CASE c_nationkey % 4 WHEN 0 THEN 'recommendationMean' WHEN 1 THEN 'shortName' WHEN 2 THEN 'upside_pct' ELSE 'trailingPE' END,
-    CASE c_nationkey % 4 WHEN 0 THEN 'analyst' WHEN 1 THEN 'descriptive' WHEN 2 THEN 'analyst' ELSE 'recoverable' END, count(*) FROM customer GROUP BY 1, 2""")
+_NAMED = ("recommendationMean", "shortName", "upside_pct", "trailingPE", "sector", "numberOfAnalystOpinions", "forwardEps", "ticker")
+_NAMED_SQL = "[" + ", ".join(f"'{n}'" for n in _NAMED) + "]"
+
+
+@query("dq_classify_field", with_(O.OBS) + f""", n AS (SELECT field FROM obs UNION ALL SELECT {_NAMED_SQL}[c_custkey % 8 + 1] FROM customer),
+  known(field, reason) AS (VALUES ('recommendationMean', 'analyst'), ('shortName', 'descriptive'), ('upside_pct', 'analyst'), ('sector', 'descriptive'), ('numberOfAnalystOpinions', 'analyst'), ('forwardEps', 'analyst'), ('ticker', 'descriptive'))
+  SELECT field, coalesce(reason, 'recoverable') AS reason, count(*) AS n FROM n LEFT JOIN known USING (field) GROUP BY 1, 2""")
 def _(spark, d):
-    fields = A.raw_observations(spark, d).select("field")
-    named = A.table(spark, d, "customer").select(
-        F.expr("CASE c_nationkey % 4 WHEN 0 THEN 'recommendationMean' WHEN 1 THEN 'shortName' WHEN 2 THEN 'upside_pct' ELSE 'trailingPE' END").alias("field")
-    )
-    counted = fields.unionByName(named).groupBy("field").agg(F.count("*").alias("n"))
+    names = F.array(*map(F.lit, _NAMED))
+    named = A.table(spark, d, "customer").select(F.get(names, (F.col("c_custkey") % 8).cast("int")).alias("field"))
+    counted = A.raw_observations(spark, d).select("field").unionByName(named).groupBy("field").agg(F.count("*").alias("n"))
     return counted.select("field", D.classify(F.col("field")).alias("reason"), "n")
 
 

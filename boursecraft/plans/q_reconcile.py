@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +15,7 @@ from boursecraft.plans import adapters as A
 from boursecraft.plans import oracle as O
 from boursecraft.plans.oracle import with_
 from boursecraft.plans.registry import query
-from boursecraft.plans.shared import published
-from boursecraft.session import work_dir
+from boursecraft.plans.shared import new_folder, published
 
 
 def run_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -322,7 +319,7 @@ def _(spark, d):
     """The last week's observations applied to the stored result of all others."""
     runs, ranked = run_tables(spark, d)
     files, rows = A.archive_tables(spark, d)
-    obs, root = A.observations(spark, d), f"{work_dir(spark)}/tables/current-{uuid.uuid4().hex}"
+    obs, root = A.observations(spark, d), new_folder(spark, "current")
     last = F.col("observed_at") >= F.lit(A.AS_OF).cast("timestamp") - F.make_dt_interval(F.lit(7))
     others = (A.instruments(spark, d), A.AS_OF, runs, ranked, files, rows, A.ticker_aliases(spark, d))
     T.build(root, obs.filter(~F.coalesce(last, F.lit(False))), *others, buckets=16)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ from boursecraft.plans import oracle as O
 from boursecraft.plans import score_sql as Q
 from boursecraft.plans.oracle import with_
 from boursecraft.plans.q_explore import ranking, stored_run
+from boursecraft.plans.q_sources import csv_documents
 from boursecraft.plans.registry import query
+from boursecraft.plans.shared import new_folder
 from boursecraft.sinks import tables as B
+from boursecraft.sources import csv_archive as Z
 
 # ---- envelopes, observations, bars ---------------------------------------------------------------------
 
@@ -28,7 +33,11 @@ def _(spark, d):
         F.expr("""concat('{ "type": "', event_type, '", "k": ', regexp_extract(props, '([0-9]+)', 1), ', "a" : ', CAST(event_id AS STRING), ' }')""").alias("payload"),
         F.expr("map('symbol', CAST(user_id AS STRING), 'apikey', 'secret')").alias("request_params"),
     )
-    out = B.envelopes(raw)
+    root = new_folder(spark, "envelopes")
+    for half in (0, 1):  # two appends
+        B.write_envelopes(raw.filter(F.col("event_id") % 2 == half), root)
+    fields = "event_id long, payload string, content_sha256 string, request_params map<string,string>, provider string, received_date date"
+    out = spark.read.schema(fields).json(root)
     pairs = F.array_sort(F.transform(F.map_entries("request_params"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return out.select("event_id", "provider", "received_date", "content_sha256", F.array_join(pairs, ",").alias("params"))
 
@@ -46,7 +55,10 @@ def _(spark, d):
     stored = obs.filter("provider = 'nse'")
     # every row arrives twice; the copy carries a later id
     incoming = obs.unionByName(obs.withColumn("id", F.col("id") + 1000000000))
-    return B.new_observations(incoming, stored, A.instruments(spark, d)).select("id", "instrument_id", "field", "provider", "numeric_value")
+    root = new_folder(spark, "observations")
+    for batch in (stored, incoming, incoming):  # the same batch twice: its keys are stored once
+        B.append_observations(batch, root, A.instruments(spark, d))
+    return spark.read.parquet(root).filter("provider <> 'nse'").select("id", "instrument_id", "field", "provider", "numeric_value")
 
 
 @query("sink_bars_upsert", """SELECT ticker, ts, arg_max(close, (version, l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS close FROM (
@@ -58,8 +70,10 @@ def _(spark, d):
     )
     stored = li.filter("l_returnflag <> 'A'").withColumn("version", F.lit(0))
     incoming = li.filter("l_returnflag = 'A'").withColumns({"close": F.col("close") + 1, "version": F.lit(1)})
-    merged = B.merge_bars(stored, incoming, ["ticker", "ts"], ["version", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
-    return merged.select("ticker", "ts", "close")
+    root = new_folder(spark, "bars")
+    for batch in (stored, incoming, incoming):
+        B.upsert_bars(batch, root, ["ticker", "ts"], ["version", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], buckets=2)
+    return spark.read.parquet(root).select("ticker", "ts", "close")
 
 
 @query("win_dedupe_last", """SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) AS price FROM lineitem GROUP BY 1, 2""")
@@ -76,7 +90,10 @@ def _(spark, d):
 def _(spark, d):
     rated = ranking(spark, d)
     known = rated.select("ticker", "instrument_id").filter("delivery_trend > -14")
-    rows = B.ranked_rows_to_store("run-1", rated.drop("instrument_id"), known, ["g_quality", "g_growth"])
+    rows, root = B.ranked_rows_to_store("run-1", rated.drop("instrument_id"), known, ["g_quality", "g_growth"]), new_folder(spark, "runs")
+    for _ in range(2):  # published again, the run replaces itself
+        B.publish_run(rows, root)
+    rows = spark.read.parquet(root).withColumn("run_id", F.col("run_id").cast("string"))
     pairs = F.array_sort(F.transform(F.map_entries("factors"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     return rows.withColumn("factors", F.array_join(pairs, ","))
 
@@ -91,13 +108,22 @@ def _(spark, d):
 
 @query("sink_dashboard_json", with_(O.FUND, Q.SCORED) + "SELECT ticker, rank, final_score, 1 AS schema_version FROM scored")
 def _(spark, d):
-    return B.dashboard_rows(ranking(spark, d).select("ticker", "rank", "final_score"))
+    root = new_folder(spark, "dashboard")
+    for _ in range(2):
+        B.write_dashboard(ranking(spark, d).select("ticker", "rank", "final_score"), root)
+    return spark.read.schema("ticker string, rank long, final_score double, schema_version int").json(root)
 
 
-@query("val_payload_contract", "SELECT count(*) AS records, true AS version_ok, true AS non_empty, false AS count_ok, false AS unique_tickers FROM lineitem")
+@query("val_payload_contract", """SELECT payload, count(*) AS records, min(v) = 1 AND max(v) = 1 AS version_ok, count(*) > 0 AS non_empty, count(*) = max(declared) AS count_ok, count(DISTINCT ticker) = count(*) AND count(*) = count(ticker) AS unique_tickers FROM (
+  SELECT 'whole' AS payload, CAST(p_partkey AS VARCHAR) AS ticker, 1 AS v, (SELECT count(*) FROM part) AS declared FROM part
+  UNION ALL SELECT 'short', CAST(p_partkey AS VARCHAR), 1, (SELECT count(*) FROM part) + 1 FROM part
+  UNION ALL SELECT 'mixed', CAST(l_partkey AS VARCHAR), CASE WHEN l_linenumber = 1 THEN 2 ELSE 1 END, (SELECT count(*) FROM lineitem) FROM lineitem) GROUP BY 1""")
 def _(spark, d):
-    rows = A.table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("ticker"), F.lit(1).alias("schema_version"))
-    return B.payload_contract(rows, declared=-1)
+    part = A.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("ticker"), F.lit(1).alias("schema_version"))
+    lines = A.table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("ticker"), F.when(F.col("l_linenumber") == 1, 2).otherwise(1).alias("schema_version"))
+    payloads = [("whole", part, part.count()), ("short", part, part.count() + 1), ("mixed", lines, lines.count())]
+    checks = [B.payload_contract(rows, declared=n).select(F.lit(name).alias("payload"), "*") for name, rows, n in payloads]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2])
 
 
 @query("val_snapshot_contract", "SELECT concat('C', CAST(o_custkey AS VARCHAR)) AS ticker, count(*) AS n, 'orders' AS label FROM orders WHERE o_custkey % 6 <> 0 GROUP BY 1 HAVING count(*) > 1")
@@ -108,43 +134,54 @@ def _(spark, d):
     return B.snapshot_contract(rows, "orders")
 
 
-@query("snap_baseline", "SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS run_date FROM orders WHERE CAST(o_orderdate AS DATE) = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '2000-02-01')")
+@query("snap_baseline", "SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m') AS run_date FROM orders WHERE strftime(o_orderdate, '%Y-%m') = (SELECT max(strftime(o_orderdate, '%Y-%m')) FROM orders WHERE strftime(o_orderdate, '%Y-%m') < '2000-02')")
 def _(spark, d):
-    history = A.table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("run_date"))
-    return B.baseline(history, "2000-02-01")
+    """Monthly rankings, each stored in two promotions of which the second replaces the first."""
+    history, root = A.table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM").alias("run_date")), new_folder(spark, "history")
+    B.promote_baseline(history.filter("o_orderkey % 2 = 0"), root)
+    B.promote_baseline(history, root)
+    return B.baseline(B.read_history(spark, root), "2000-02")
 
 
-@query("sink_csv_archive", """SELECT source, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM documents WHERE lang = 'en' OR n_chars > 400 GROUP BY 1, 2""")
+@query("sink_csv_archive", """SELECT source, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version, 2 * count(*) AS n, count(DISTINCT doc_id) AS files FROM documents WHERE lang = 'en' OR n_chars > 400 GROUP BY 1, 2""")
 def _(spark, d):
-    docs = A.table(spark, d, "documents")
-    keyed = docs.select("lang", "n_chars", "source", F.col("doc_id").cast("string").alias("source_path"), F.lit("h").alias("content_sha256"), F.col("n_chars").alias("row_number"))
-    stored = keyed.filter("n_chars > 400").withColumn("version", F.lit("old"))
-    incoming = keyed.filter("lang = 'en'").withColumn("version", F.lit("new"))
-    return B.replace_archive(stored, incoming).groupBy("source", "version").agg(F.count("*").alias("n"))
+    """Archive rows of the longer documents, then those of one language imported twice over them."""
+    docs, root = csv_documents(spark, d), new_folder(spark, "archive")
+    rows = lambda files, version: Z.archive_rows(files).select("source_path", "content_sha256", "row_number", "values_array", F.lit(version).alias("version"))
+    B.upsert_archive(rows(docs.filter("n_chars > 400"), "old"), root, buckets=16)
+    for _ in range(2):
+        B.upsert_archive(rows(docs.filter("lang = 'en'"), "new"), root, buckets=16)
+    stored = spark.read.parquet(root).withColumn("source", F.split("source_path", "/")[1])
+    return stored.groupBy("source", "version").agg(F.count("*").alias("n"), F.count_distinct("source_path").alias("files"))
 
 
 # ---- instruments ------------------------------------------------------------------------------------------
 
 
-@query("sink_instruments_upsert", """SELECT concat('S', CAST(c_custkey AS VARCHAR)) AS ticker, 'NSE' AS exchange, CASE WHEN c_nationkey < 12 THEN CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE concat('S', CAST(c_custkey AS VARCHAR)) END ELSE concat('old ', c_name) END AS company_name,
+@query("sink_instruments_upsert", """SELECT concat('S', CAST(c_custkey AS VARCHAR)) AS ticker, 'NSE' AS exchange,
+  CASE WHEN c_nationkey < 12 THEN CASE WHEN c_custkey % 10 = 3 THEN 'twice' WHEN c_custkey % 4 = 0 THEN c_name ELSE concat('S', CAST(c_custkey AS VARCHAR)) END ELSE concat('old ', c_name) END AS company_name,
   CASE WHEN c_nationkey < 12 AND c_custkey % 6 <> 0 THEN c_mktsegment WHEN c_acctbal > 1000 THEN 'stored' END AS sector FROM customer WHERE c_acctbal > 1000 OR c_nationkey < 12""")
 def _(spark, d):
+    """Some symbols come twice in a batch, in two spellings, the second time with a name and no sector."""
     c = A.table(spark, d, "customer")
     stored = c.filter("c_acctbal > 1000").select(
         F.expr("concat('S', CAST(c_custkey AS STRING))").alias("ticker"), F.lit("NSE").alias("exchange"), F.expr("concat('old ', c_name)").alias("company_name"), F.lit("stored").alias("sector")
     )
-    incoming = c.filter("c_nationkey < 12").select(
+    given = c.filter("c_nationkey < 12")
+    incoming = given.select(
         F.expr("concat(' s', CAST(c_custkey AS STRING))").alias("ticker"), F.lit(None).cast("string").alias("exchange"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE '' END").alias("shortName"),
         F.expr("CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END").alias("sector"),
     )
+    again = given.filter("c_custkey % 10 = 3").select(F.expr("concat('S', CAST(c_custkey AS STRING), ' ')").alias("ticker"), F.lit("NSE").alias("exchange"), F.lit("twice").alias("shortName"), F.lit(None).cast("string").alias("sector"))
     # a blank incoming name falls back to the symbol as the source spells it
-    return B.upsert_instruments(stored, incoming).withColumn("company_name", F.when(F.lower("company_name") == F.lower("ticker"), F.upper("company_name")).otherwise(F.col("company_name")))
+    return B.upsert_instruments(stored, incoming.unionByName(again)).withColumn("company_name", F.when(F.lower("company_name") == F.lower("ticker"), F.upper("company_name")).otherwise(F.col("company_name")))
 
 
 _SNAP = {
     "ticker": "CASE WHEN c_custkey % 20 = 5 THEN concat('NEW', CAST(c_custkey AS STRING)) ELSE upper(replace(c_name, '#', '')) END",
     "exchange": "CASE WHEN c_nationkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END",
-    "isin": "CASE WHEN c_custkey % 30 = 11 THEN concat('INEX', CAST(c_custkey AS STRING)) ELSE concat('INE', CAST(c_custkey AS STRING)) END",
+    # some listings have no ISIN: half of these are stored without one too, the others contradict a stored one
+    "isin": "CASE WHEN c_custkey % 14 IN (6, 7) THEN NULL WHEN c_custkey % 30 = 11 THEN concat('INEX', CAST(c_custkey AS STRING)) ELSE concat('INE', CAST(c_custkey AS STRING)) END",
     "shortName": "concat(c_name, ' Ltd')",
 }
 
@@ -165,7 +202,7 @@ UNIVERSE = f"""st AS (SELECT c_custkey AS instrument_id, upper(replace(c_name, '
   CASE WHEN c_custkey % 50 = 49 THEN 'INDEX' ELSE 'EQUITY' END AS kind, c_acctbal > 0 AS active FROM customer WHERE c_nationkey <> 8),
 sn AS (SELECT {_SNAP["ticker"]} AS ticker, {_SNAP["exchange"]} AS exchange, {_SNAP["isin"]} AS isin, concat(c_name, ' Ltd') AS name FROM customer WHERE c_custkey % 50 <> 49 AND c_nationkey <> 3),
 mt AS (SELECT sn.ticker, sn.exchange, sn.isin, sn.name, st.instrument_id, st.ticker AS old_ticker, st.exchange AS old_exchange, st.isin AS old_isin FROM sn JOIN st ON st.kind = 'EQUITY' AND (st.isin = sn.isin OR (st.ticker = sn.ticker AND st.exchange = sn.exchange))),
-bad AS (SELECT ticker FROM mt GROUP BY ticker, exchange, isin HAVING count(*) > 1 UNION SELECT ticker FROM mt WHERE old_isin IS NOT NULL AND old_isin <> isin),
+bad AS (SELECT ticker FROM mt GROUP BY ticker, exchange, isin HAVING count(*) > 1 UNION SELECT ticker FROM mt WHERE old_isin IS NOT NULL AND old_isin IS DISTINCT FROM isin),
 good AS (SELECT * FROM mt WHERE ticker NOT IN (SELECT ticker FROM bad))"""
 
 
@@ -190,15 +227,19 @@ def _(spark, d):
 
 
 @query("scd_rename", """WITH st AS (SELECT c_custkey AS instrument_id, concat('S', CAST(c_custkey AS VARCHAR)) AS ticker, c_name, c_nationkey AS e FROM customer)
-  SELECT instrument_id, CASE WHEN e = 1 THEN concat('R', ticker) ELSE ticker END AS ticker, CASE WHEN e = 1 THEN 'renamed' ELSE c_name END AS company_name, e <> 2 AS active, CASE WHEN e = 2 THEN DATE '2024-01-15' END AS inactive_at FROM st""")
+  SELECT instrument_id, CASE WHEN e IN (1, 5) THEN concat('R', ticker) WHEN e = 4 THEN concat('T', ticker) ELSE ticker END AS ticker, CASE WHEN e IN (1, 4, 5) THEN 'renamed' ELSE c_name END AS company_name,
+  e NOT IN (2, 5) AS active, CASE WHEN e IN (2, 5) THEN DATE '2024-01-15' END AS inactive_at FROM st""")
 def _(spark, d):
+    """One nation is renamed, one suspended, one asks for a taken symbol, one is renamed twice in a batch
+    and one is renamed and suspended on a day."""
     c = A.table(spark, d, "customer")
     inst = c.select(F.col("c_custkey").alias("instrument_id"), F.expr("concat('S', CAST(c_custkey AS STRING))").alias("ticker"), F.lit("NSE").alias("exchange"), F.col("c_name").alias("company_name"), F.lit(True).alias("active"))
-    events = c.filter("c_nationkey IN (1, 2, 3)").select(
-        F.expr("concat('S', CAST(c_custkey AS STRING))").alias("ticker"), F.lit("NSE").alias("exchange"), F.expr("CASE WHEN c_nationkey = 2 THEN 'suspend' ELSE 'rename' END").alias("action"),
-        # events of one nation ask for a symbol that is taken
-        F.expr("CASE c_nationkey WHEN 1 THEN concat('RS', CAST(c_custkey AS STRING)) WHEN 3 THEN 'S0' END").alias("new_ticker"), F.lit("renamed").alias("new_name"), F.lit("2024-01-15").cast("date").alias("effective"),
-    )
+    own, first, then = (F.expr(f"concat('{p}', CAST(c_custkey AS STRING))") for p in ("S", "RS", "TS"))
+    taken = F.lit("S0")
+    event = lambda old, new, day: F.struct(old.alias("ticker"), F.lit("suspend" if new is None else "rename").alias("action"), (F.lit(None).cast("string") if new is None else new).alias("new_ticker"), F.lit(day).cast("date").alias("effective"))
+    by_nation = {1: [event(own, first, "2024-01-15")], 2: [event(own, None, "2024-01-15")], 3: [event(own, taken, "2024-01-15")], 4: [event(first, then, "2024-01-20"), event(own, first, "2024-01-10")], 5: [event(own, None, "2024-01-15"), event(own, first, "2024-01-15")]}
+    each = reduce(lambda rest, n: F.when(F.col("c_nationkey") == n, F.array(*by_nation[n])).otherwise(rest), by_nation, F.lit(None))
+    events = c.select(F.inline(each)).withColumns({"exchange": F.lit("NSE"), "new_name": F.lit("renamed")})
     return I.apply_lifecycle(inst, events)[0].select("instrument_id", "ticker", "company_name", "active", "inactive_at")
 
 

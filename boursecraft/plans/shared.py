@@ -6,11 +6,12 @@ a scheduled job would publish them; consumers read the stored table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boursecraft.session import materialise
+from boursecraft.session import materialise, work_dir
 
 _PUBLISHED: dict[tuple[str, str, str, tuple], DataFrame] = {}
 
@@ -29,6 +30,11 @@ def published(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], D
     return _PUBLISHED[key]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own, in the shared place, for a query that writes and reads back."""
+    return f"{work_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def forget() -> None:
     """Drop the references, so that the next reader publishes afresh."""
     _PUBLISHED.clear()

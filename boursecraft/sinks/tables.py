@@ -6,7 +6,9 @@ replaces whole partitions or appends: a task that is lost and run again cannot l
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from boursecraft.session import materialise
 
 OBSERVATION_KEY = ("instrument_id", "field", "provider", "observed_at")
 BAR_KEY = ("ticker", "ts", "interval", "provider")
+#: Buckets of a bar table: tasks of a merge; and of an archive table: what one import rewrites.
+BAR_BUCKETS = 64
+ARCHIVE_BUCKETS = 256
 
 
 # ---- raw envelopes --------------------------------------------------------------------------------
@@ -60,13 +65,23 @@ def new_observations(incoming: DataFrame, stored_keys: DataFrame, instruments: D
     return known.join(stored_keys.select(*OBSERVATION_KEY), list(OBSERVATION_KEY), "left_anti").select(*incoming.columns)
 
 
+def dated_observations(incoming: DataFrame) -> DataFrame:
+    timed = F.when(F.col("observed_at").isNull(), F.raise_error(F.lit("an observation needs observed_at"))).otherwise(F.col("observed_at"))
+    return incoming.withColumn("observed_at", timed).withColumn("observed_date", F.to_date("observed_at"))
+
+
+def append_new_observations(incoming: DataFrame, path: str, instruments: DataFrame) -> None:
+    """Append rows whose keys are known to be new: nothing stored is read."""
+    known = dated_observations(incoming).join(active_equities(instruments).select("instrument_id"), "instrument_id", "left_semi")
+    known.write.mode("append").partitionBy("provider", "observed_date").parquet(path)
+
+
 def append_observations(incoming: DataFrame, path: str, instruments: DataFrame) -> None:
     """Idempotent append. Only the incoming days are read from the table: the semi join on its
     partition column prunes partitions at run time. A row without ``observed_at`` has no key and
     is refused."""
     spark = incoming.sparkSession
-    timed = F.when(F.col("observed_at").isNull(), F.raise_error(F.lit("an observation needs observed_at"))).otherwise(F.col("observed_at"))
-    dated = incoming.withColumn("observed_at", timed).withColumn("observed_date", F.to_date("observed_at"))
+    dated = dated_observations(incoming)
     stored = _read_or_empty(spark, path, dated)
     stored = stored.join(dated.select("observed_date").distinct(), "observed_date", "left_semi")
     fresh = new_observations(dated, stored, instruments)
@@ -89,26 +104,73 @@ def merge_bars(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = BAR
     return L.pick(stored.unionByName(incoming), list(keys), list(order)).select(*stored.columns)
 
 
-def upsert_bars(incoming: DataFrame, path: str) -> None:
-    """Merge into a table partitioned by month, rewriting only the months that received bars."""
+def bars_table(spark: SparkSession, path: str, like: DataFrame, keys: Sequence[str], buckets: int) -> str:
+    """The table stored at ``path``, by month and bucketed and sorted by its keys; made if it isn't there.
+
+    The session's catalog holds its name only; a new session finds the months that are stored.
+    """
+    name = f"bars_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema)
+        by = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (month) CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        if _exists(spark, path):
+            spark.catalog.recoverPartitions(name)
+    return name
+
+
+def merged_bars(incoming: DataFrame, path: str, keys: Sequence[str] = BAR_KEY, order: Sequence[str] = ("ingested_at",), buckets: int = BAR_BUCKETS) -> tuple[str, DataFrame]:
+    """(table, new contents of the months that receive bars): the later of stored and incoming row per key.
+
+    The stored side is read by its buckets and not shuffled; incoming rows are shuffled to them. Months
+    without incoming rows are pruned at run time.
+    """
+    spark, keys = incoming.sparkSession, list(keys)
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    refused = F.when(missing, F.raise_error(F.lit(f"a bar needs {', '.join(keys)}"))).otherwise(F.col(keys[0]))
+    dated = incoming.withColumn(keys[0], refused).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    table = bars_table(spark, path, dated, keys, buckets)
+    rest = [c for c in dated.columns if c not in keys]
+    new = L.pick(dated, keys, list(order)).select(*keys, F.struct(*rest).alias("_new"))
+    stored = spark.table(table)
+    # pruning at run time asks for a predicate on the pruning side
+    months = dated.select("month").distinct().filter(F.col("month") > F.lit(""))
+    old = stored.join(F.broadcast(months), "month", "left_semi").select(*keys, F.struct(*rest).alias("_old"))  # a few bytes a month
+    place = lambda side: F.struct(*[F.col(side)[c] for c in order])
+    later = F.when(F.col("_old").isNull() | (place("_new") >= place("_old")), F.col("_new")).otherwise(F.col("_old"))
+    both = old.join(new.hint("merge"), keys, "full").select(*keys, F.coalesce(later, F.col("_old")).alias("_row"))
+    return table, both.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*stored.columns)
+
+
+def upsert_bars(incoming: DataFrame, path: str, keys: Sequence[str] = BAR_KEY, order: Sequence[str] = ("ingested_at",), buckets: int = BAR_BUCKETS) -> None:
+    """Merge into a bucketed table partitioned by month, rewriting only the months that received bars.
+
+    A row without a part of its key is refused. New months replace old ones when all are written, so the
+    stored rows are read whole before any is replaced.
+    """
     spark = incoming.sparkSession
-    dated = incoming.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    stored = _read_or_empty(spark, path, dated)
-    months = [r[0] for r in dated.select("month").distinct().collect()]
-    merged = merge_bars(stored.filter(F.col("month").isin(*months)) if months else stored.limit(0), dated)
-    # written aside first: the table being replaced is also being read
-    staged = materialise(merged, "bars")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    table, merged = merged_bars(incoming, path, keys, order, buckets)
+    kept = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        merged.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", kept)
 
 
 # ---- instruments, runs, mirror -----------------------------------------------------------------------
 
 def upsert_instruments(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Full outer merge on (ticker, exchange); incoming name and sector win where present."""
-    cleaned = incoming.select(
+    """Full outer merge on (ticker, exchange); incoming name and sector win where present.
+
+    Incoming rows of one key, however it is spelt, act one after another: by name, then sector. The
+    last name stays, and the last sector that is there. Stored keys are unique.
+    """
+    given = incoming.select(
         V.ticker_norm("ticker").alias("ticker"), F.coalesce("exchange", F.lit("NSE")).alias("exchange"),
         F.trim(F.coalesce(F.nullif("shortName", F.lit("")), F.col("ticker"))).alias("_name"), F.col("sector").alias("_sector"),
     ).filter("ticker IS NOT NULL AND ticker <> ''")
+    cleaned = given.groupBy("ticker", "exchange").agg(F.max("_name").alias("_name"), F.max_by("_sector", F.when(F.col("_sector").isNotNull(), F.struct("_name", "_sector"))).alias("_sector"))
     return stored.join(cleaned, ["ticker", "exchange"], "full").select(
         "ticker", "exchange", F.coalesce("_name", "company_name").alias("company_name"), F.coalesce("_sector", "sector").alias("sector")
     )
@@ -137,6 +199,17 @@ def mirror(stored: DataFrame, incoming: DataFrame, key: str = "observation_id")
 
 # ---- archive -----------------------------------------------------------------------------------------
 
+def upsert_archive(incoming_rows: DataFrame, path: str, buckets: int = ARCHIVE_BUCKETS) -> None:
+    """``replace_archive`` on a table stored by file buckets; buckets without an incoming file are not read."""
+    spark = incoming_rows.sparkSession
+    bucket = F.pmod(F.xxhash64("source_path", "content_sha256"), F.lit(buckets)).cast("int")
+    incoming = incoming_rows.withColumn("bucket", bucket)
+    stored = _read_or_empty(spark, path, incoming)
+    touched = stored.join(F.broadcast(incoming.select("bucket").distinct().filter("bucket >= 0")), "bucket", "left_semi")  # ``buckets`` rows at most
+    staged = materialise(replace_archive(touched.select(*incoming.columns), incoming), "archive")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def replace_archive(stored_rows: DataFrame, incoming_rows: DataFrame) -> DataFrame:
     """Rows of every imported (path, hash) are replaced as a whole."""
     keys = ["source_path", "content_sha256"]
@@ -218,12 +291,16 @@ def append_audit(previous: DataFrame, changes: DataFrame) -> DataFrame:
     return L.pick(both, ["ticker", "field"], ["_new", "fetched_at"]).select(*previous.columns)
 
 
-def promote_baseline(ranking: DataFrame, root: str, run_date: str) -> None:
-    """Store the ranking as the history partition of its date."""
-    publish = ranking.withColumn("run_date", F.lit(run_date))
+def promote_baseline(ranking: DataFrame, root: str, run_date: str | None = None) -> None:
+    """Store the ranking as the history partition of its date; without a date, rows name their own."""
+    publish = ranking if run_date is None else ranking.withColumn("run_date", F.lit(run_date))
     publish.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(root)
 
 
+def read_history(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.option("basePath", root).parquet(root).withColumn("run_date", F.col("run_date").cast("string"))
+
+
 def baseline(history: DataFrame, before: str) -> DataFrame:
     """The newest stored ranking older than ``before``."""
     older = history.filter(F.col("run_date") < before)

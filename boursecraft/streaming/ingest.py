@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from boursecraft.session import materialise
 from boursecraft.sinks import tables
 
 
@@ -22,20 +23,36 @@ def _files(spark: SparkSession, source: str, schema: StructType, fmt: str, per_b
 
 
 def stream_observations(spark: SparkSession, source: str, schema: StructType, table: str, checkpoint: str, instruments: DataFrame,
-                        fmt: str = "parquet", per_batch: int | None = None) -> StreamingQuery:
-    def append(batch: DataFrame, _epoch: int) -> None:
-        tables.append_observations(batch, table, instruments)
-
-    return (
-        _files(spark, source, schema, fmt, per_batch).writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+                        fmt: str = "parquet", per_batch: int | None = None, delay: str | None = None) -> StreamingQuery:
+    """Append each observation key once.
+
+    Without ``delay`` every batch is compared with the stored days that it names, however old they are.
+    With it, keys are held in streaming state until the watermark has passed them by ``delay``: repeats
+    are dropped there and stored days are not read again. What arrives later than that is not written;
+    its number is in the query's progress, and ``append_observations`` takes it. Only the first batch of
+    a start, which may repeat one that was cut off, is compared with the table.
+    """
+    rows, started = _files(spark, source, schema, fmt, per_batch), []
+    if delay is not None:
+        rows = rows.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(list(tables.OBSERVATION_KEY))
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        if delay is not None:
+            batch = materialise(batch, "stream-batch")  # the state is asked once a batch
+        if delay is None or not started:
+            tables.append_observations(batch, table, instruments)
+        else:
+            tables.append_new_observations(batch, table, instruments)
+        started.append(epoch)
+
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_bars(spark: SparkSession, source: str, schema: StructType, table: str, checkpoint: str, fmt: str = "parquet",
-                per_batch: int | None = None) -> StreamingQuery:
+                per_batch: int | None = None, buckets: int = tables.BAR_BUCKETS) -> StreamingQuery:
+    """Merge bars into the bucketed table; a batch that is repeated leaves the same rows."""
     def upsert(batch: DataFrame, _epoch: int) -> None:
-        tables.upsert_bars(batch, table)
+        tables.upsert_bars(batch, table, buckets=buckets)
 
     return (
         _files(spark, source, schema, fmt, per_batch).writeStream.foreachBatch(upsert)

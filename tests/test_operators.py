@@ -345,7 +345,7 @@ def test_universe_sync_guards(spark):
         I.sync_universe(inst, snap([]), "2024-01-01")
     with pytest.raises(ValueError, match="nine tenths"):
         I.sync_universe(inst, snap([("AAA", "NSE", "INE1", "a")]), "2024-01-01")
-    with pytest.raises(ValueError, match="Conflicting"):
+    with pytest.raises(ValueError, match="no single stored instrument"):
         I.sync_universe(inst, snap([("AAA", "NSE", "INE2", "a"), ("CCC", "NSE", "INE9", "c")]), "2024-01-01")
     out, aliases = I.sync_universe(inst, snap([("ZZZ", "NSE", "INE1", "z"), ("CCC", "NSE", "INE9", "c")]), "2024-01-01")
     actions = {(r["ticker"], r["action"], r["active"]) for r in out.collect()}
@@ -356,7 +356,7 @@ def test_universe_sync_guards(spark):
 def test_one_instrument_is_not_claimed_by_two_snapshot_rows(spark):
     inst = spark.createDataFrame([(1, "A", "NSE", None, "a", "EQUITY", True)], "instrument_id long, ticker string, exchange string, isin string, company_name string, kind string, active boolean")
     snap = spark.createDataFrame([("A", "NSE", "INE1", "a"), ("A", "NSE", "INE2", "a")], "ticker string, exchange string, isin string, shortName string")
-    with pytest.raises(ValueError, match="Conflicting"):
+    with pytest.raises(ValueError, match="no single stored instrument"):
         I.sync_universe(inst, snap, "2024-01-01")
     out, _ = I.sync_universe(inst, snap, "2024-01-01", strict=False)
     assert [(r.instrument_id, r.action) for r in out.collect()] == [(1, "deactivated")]

@@ -37,16 +37,54 @@ def test_observation_append_is_idempotent(spark, tmp_path):
     assert got == {(1, 1.0), (2, 4.0), (2, 5.0)}
 
 
+BAR = "ticker string, ts timestamp, interval string, provider string, close double, ingested_at timestamp"
+
+
+def bar(month, day, close, version, ticker="a"):
+    return (ticker, month and dt.datetime(2024, month, day), "1d", "y", close, dt.datetime(2024, 6, version))
+
+
 def test_bar_upsert_rewrites_only_touched_months(spark, tmp_path):
     path = str(tmp_path / "bars")
-    schema = "ticker string, ts timestamp, interval string, provider string, close double, ingested_at timestamp"
-    bar = lambda m, d, c, v: ("a", dt.datetime(2024, m, d), "1d", "y", c, dt.datetime(2024, 6, v))
-    B.upsert_bars(spark.createDataFrame([bar(1, 1, 1.0, 1), bar(2, 1, 2.0, 1)], schema), path)
+    B.upsert_bars(spark.createDataFrame([bar(1, 1, 1.0, 1), bar(2, 1, 2.0, 1)], BAR), path, buckets=4)
     january = {f.name for f in (tmp_path / "bars" / "month=2024-01").iterdir()}
-    B.upsert_bars(spark.createDataFrame([bar(2, 1, 9.0, 2), bar(2, 2, 3.0, 2)], schema), path)
+    B.upsert_bars(spark.createDataFrame([bar(2, 1, 9.0, 2), bar(2, 2, 3.0, 2)], BAR), path, buckets=4)
     got = {(r["ts"].month, r["ts"].day): r["close"] for r in spark.read.parquet(path).collect()}
     assert got == {(1, 1): 1.0, (2, 1): 9.0, (2, 2): 3.0}
     assert {f.name for f in (tmp_path / "bars" / "month=2024-01").iterdir()} == january
+    # an older version changes nothing, a repeated batch neither
+    for _ in range(2):
+        B.upsert_bars(spark.createDataFrame([bar(2, 1, 7.0, 1), bar(3, 1, 4.0, 1)], BAR), path, buckets=4)
+    assert {(r["ts"].month, r["ts"].day): r["close"] for r in spark.read.parquet(path).collect()} == got | {(3, 1): 4.0}
+    spark.sql(f"DROP TABLE {B.bars_table(spark, path, spark.read.parquet(path), B.BAR_KEY, 4)}")  # as a new session: months are found again
+    B.upsert_bars(spark.createDataFrame([bar(1, 1, 5.0, 3)], BAR), path, buckets=4)
+    assert {(r["ts"].month, r["ts"].day): r["close"] for r in spark.read.parquet(path).collect()} == got | {(3, 1): 4.0, (1, 1): 5.0}
+
+
+def test_a_bar_without_its_key_is_refused_and_nothing_is_lost(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    B.upsert_bars(spark.createDataFrame([bar(1, 1, 1.0, 1)], BAR), path, buckets=2)
+    for row in (bar(None, 1, 2.0, 2), bar(1, 1, 2.0, 2, ticker=None)):
+        with pytest.raises(Exception, match="a bar needs"):
+            B.upsert_bars(spark.createDataFrame([row], BAR), path, buckets=2)
+    assert [r["close"] for r in spark.read.parquet(path).collect()] == [1.0]
+
+
+def test_a_merge_shuffles_the_incoming_side_only(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    rows = spark.createDataFrame([bar(m, d, 1.0, 1, f"t{d}") for m in (1, 2) for d in range(1, 20)], BAR)
+    B.upsert_bars(rows, path, buckets=8)
+    _, merged = B.merged_bars(rows, path, buckets=8)
+    lines = merged._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(k for k, line in enumerate(lines) if "FileScan parquet" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, at = [], depth(lines[scan])
+    for line in reversed(lines[:scan]):
+        if depth(line) < at:
+            above.append(line)
+            at = depth(line)
+    assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+    assert "SelectedBucketsCount: 8 out of 8" in lines[scan] and "dynamicpruning" in lines[scan]
 
 
 def test_streams_have_batch_semantics(spark, tmp_path):
@@ -61,6 +99,55 @@ def test_streams_have_batch_semantics(spark, tmp_path):
     assert spark.read.parquet(table).count() == 2
 
 
+def test_keyed_state_drops_repeats_and_late_rows(spark, tmp_path):
+    source, table, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def drain():
+        query = ingest.stream_observations(spark, source, obs(spark, []).schema, table, check, instruments(spark), per_batch=1, delay="3 days")
+        query.awaitTermination(120)
+        return query
+
+    first = obs(spark, [(1, 1, 10, 1.0), (2, 2, 11, 2.0), (3, 3, 11, 9.0)])
+    for _ in range(3):  # replays of one file: the second and third are found in the state, nothing stored is read
+        first.coalesce(1).write.mode("append").parquet(source)
+    drain()
+    obs(spark, [(4, 1, 20, 3.0)]).coalesce(1).write.mode("append").parquet(source)
+    drain()  # a restart goes on with its state and watermark
+    obs(spark, [(5, 1, 20, 7.0), (6, 2, 19, 4.0)]).coalesce(1).write.mode("append").parquet(source)
+    drain()
+    obs(spark, [(7, 2, 2, 5.0)]).coalesce(1).write.mode("append").parquet(source)
+    late = drain()
+    got = sorted((r["instrument_id"], r["observed_at"].day, r["numeric_value"]) for r in spark.read.parquet(table).collect())
+    assert got == [(1, 10, 1.0), (1, 20, 3.0), (2, 11, 2.0), (2, 19, 4.0)]
+    assert sum(o["numRowsDroppedByWatermark"] for p in late.recentProgress for o in p["stateOperators"]) == 1
+    B.append_observations(obs(spark, [(7, 2, 2, 5.0)]), table, instruments(spark))  # the way for late rows
+    assert spark.read.parquet(table).count() == 5
+
+
+def test_a_replayed_batch_leaves_the_same_table(spark, tmp_path):
+    source, table, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    rows = obs(spark, [(1, 1, 10, 1.0), (2, 2, 11, 2.0)])
+    rows.write.parquet(source)
+    run = lambda: ingest.stream_observations(spark, source, rows.schema, table, check, instruments(spark), delay="3 days").awaitTermination(120)
+    run()
+    # as if the driver had died between the write and its commit record
+    for name in ("0", ".0.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert spark.read.parquet(table).count() == 2
+
+
+def test_bar_stream_keeps_the_last_write(spark, tmp_path):
+    source, table, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    batches = [[bar(1, 1, 1.0, 1), bar(2, 1, 2.0, 1)], [bar(2, 1, 9.0, 2)], [bar(1, 1, 5.0, 1), bar(3, 1, 3.0, 1)]]
+    schema = spark.createDataFrame([], BAR).schema
+    for rows in batches:
+        spark.createDataFrame(rows, BAR).coalesce(1).write.mode("append").parquet(source)
+        ingest.stream_bars(spark, source, schema, table, check, per_batch=1, buckets=2).awaitTermination(120)
+    got = {r["ts"].month: r["close"] for r in spark.read.parquet(table).collect()}
+    assert got == {1: 5.0, 2: 9.0, 3: 3.0}
+
+
 def test_runs_replace_their_own_partition(spark, tmp_path):
     path = str(tmp_path / "runs")
     rows = lambda run, n: spark.range(n).select(F.lit(run).alias("run_id"), "id")

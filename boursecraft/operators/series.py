@@ -1,39 +1,82 @@
-"""Price-series derivations over dated closes (ticker, day, close)."""
+"""Price-series derivations over dated closes (ticker, day, close).
+
+A series is worked on in blocks of days: rows are grouped by (ticker, block), so one ticker's days are
+spread like any others. What crosses blocks goes through a short summary of each (count, first and last
+close, moments), brought together per ticker in order and handed back to the blocks; no window gathers
+a series. Rows without a ticker or day belong to no series.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boursecraft.functions import finance as N
 from boursecraft.functions import values as V
+from boursecraft.session import materialise
 
 HISTORY_LIMIT = 260
 MIN_BETA_PAIRS = 120
 RSI_PERIOD = 14
 
 
+#: Calendar days of a block.
+BLOCK_DAYS = 256
+
+
+def in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
+    """(ticker, block, days): the rows of a block as one array in order of days, at most one a day."""
+    block = F.floor(F.unix_date("day") / BLOCK_DAYS)
+    known = rows.filter(F.col("ticker").isNotNull() & F.col("day").isNotNull())
+    return known.groupBy("ticker", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("day", *columns))).alias("days"))
+
+
+def _along(blocks: DataFrame, summary: Column, given: Callable[[Column, Column], Column]) -> DataFrame:
+    """(ticker, block, given): what a block gets from the summaries of its ticker's blocks, in order.
+
+    ``given`` sees all of them and the place of its own: one summary for every ``BLOCK_DAYS`` days.
+    """
+    each = blocks.select("ticker", F.struct(F.col("block"), summary.alias("s")).alias("x")).groupBy("ticker").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    rows = F.transform("xs", lambda x, i: F.struct(x["block"].alias("block"), given(F.col("xs"), i).alias("given")))
+    return each.select("ticker", F.inline(rows))
+
+
+def day_picks(bars: DataFrame, order: tuple[str, ...] = ("ts",), day: Column | None = None, price: str = "close") -> DataFrame:
+    """(ticker, day, at, close): the last bar of each day wins; ``at`` is its place in the order.
+
+    The pick is an aggregation with map-side combine: one row per task, ticker and day is shuffled.
+    """
+    session = F.to_date("ts") if day is None else day
+    last = F.max_by(F.struct(F.struct(*order).alias("at"), F.col(price).alias("close")), F.struct(*order))
+    picked = bars.filter(F.col(price).isNotNull()).groupBy("ticker", session.alias("day")).agg(last.alias("p"))
+    return picked.select("ticker", "day", "p.at", "p.close")
+
+
+def one_series(picks: DataFrame, ticker: str) -> DataFrame:
+    """The last pick of each day over all tickers, as one series: a benchmark without another scan."""
+    return picks.groupBy("day").agg(F.max_by("close", "at").alias("close")).select(F.lit(ticker).alias("ticker"), "day", "close")
+
+
+def newest_days(closes: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` days per ticker; ``rn`` = 1 for the newest."""
+    blocks = materialise(in_blocks(closes, "close"), "close-blocks")
+    later = _along(blocks, F.size("days"), lambda xs, i: F.aggregate(F.slice(xs, i + 2, F.size(xs)), F.lit(0), lambda n, x: n + x["s"]))
+    placed = blocks.join(later.filter(F.col("given") < limit), ["ticker", "block"])
+    rows = F.transform("days", lambda d, i: F.struct(d["day"].alias("day"), d["close"].alias("close"), (F.col("given") + F.size("days") - i).alias("rn")))
+    return placed.select("ticker", F.inline(F.filter(rows, lambda r: r["rn"] <= limit)))
+
+
 def daily_closes(bars: DataFrame, limit: int | None = HISTORY_LIMIT, order: tuple[str, ...] = ("ts",),
                  day: Column | None = None, price: str = "close") -> DataFrame:
     """Last bar of each day wins; newest ``limit`` days per ticker, ``rn`` = 1 for the newest.
 
     ``limit=None`` gives every day, and no ``rn``: nothing has to be ordered within a ticker.
-
-    The pick is an aggregation with map-side combine, so only one row per (ticker, day) is
-    shuffled to the window; a ticker then holds its distinct days, not its bars.
     """
-    session = F.to_date("ts") if day is None else day
-    per_day = (
-        bars.filter(F.col(price).isNotNull())
-        .groupBy("ticker", session.alias("day"))
-        .agg(F.max_by(F.col(price), F.struct(*order)).alias("close"))
-    )
-    if limit is None:
-        return per_day
-    newest = Window.partitionBy("ticker").orderBy(F.col("day").desc())
-    return per_day.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= limit)
+    per_day = day_picks(bars, order, day, price).select("ticker", "day", "close")
+    return per_day if limit is None else newest_days(per_day, limit)
 
 
 def _windowed(n: int, value: Column) -> Column:
@@ -76,10 +119,16 @@ def moving_average_series(closes: DataFrame, n: int) -> DataFrame:
 
 
 def daily_returns(closes: DataFrame) -> DataFrame:
-    """Close over previous close minus one, skipping non-positive or unusable bases."""
-    w = Window.partitionBy("ticker").orderBy("day")
-    base = V.finite(F.lag("close").over(w))
-    rows = closes.withColumn("base", base).filter((F.col("base") > 0) & V.finite("close").isNotNull())
+    """Close over previous close minus one, skipping non-positive or unusable bases.
+
+    Inside a block days follow each other in its array; its first day follows the last close of the
+    block before.
+    """
+    blocks = materialise(in_blocks(closes, "close"), "return-blocks")
+    before = _along(blocks, F.element_at("days", -1)["close"], lambda xs, i: F.get(xs, i - 1)["s"])
+    base = lambda i: F.when(i > 0, F.get("days", i - 1)["close"]).otherwise(F.col("given"))
+    steps = F.transform("days", lambda d, i: F.struct(d["day"].alias("day"), V.finite(d["close"]).alias("close"), V.finite(base(i)).alias("base")))
+    rows = blocks.join(before, ["ticker", "block"]).select("ticker", F.inline(F.filter(steps, lambda r: (r["base"] > 0) & r["close"].isNotNull())))
     return rows.select("ticker", "day", (F.col("close") / F.col("base") - 1).alias("ret"))
 
 
@@ -88,8 +137,7 @@ def rsi(period: int = RSI_PERIOD) -> Column:
 
     The array holds at most ``HISTORY_LIMIT`` closes per ticker.
     """
-    closes = F.transform(F.array_sort(F.collect_list(F.struct("day", "close"))), lambda s: s["close"])
-    return rsi_of(closes, period)
+    return rsi_of(ordered_closes(), period)
 
 
 def rsi_of(closes: Column, period: int = RSI_PERIOD) -> Column:
@@ -135,23 +183,65 @@ def shared_days(closes: DataFrame, benchmark: DataFrame) -> DataFrame:
     return closes.join(F.broadcast(index), "day").select("ticker", "day", "close", "index_close")
 
 
-def beta(closes: DataFrame, benchmark: DataFrame, min_pairs: int = MIN_BETA_PAIRS, digits: int = 6) -> DataFrame:
-    """Covariance over variance of aligned returns; null below ``min_pairs`` or without variance."""
-    w = Window.partitionBy("ticker").orderBy("day")
-    pairs = shared_days(closes, benchmark).withColumns(
-        {"prev": F.lag("close").over(w), "prev_index": F.lag("index_close").over(w)}
-    )
-    good = (F.col("prev") > 0) & (F.col("prev_index") > 0)
-    stock = F.when(good, F.col("close") / F.col("prev") - 1)
-    index = F.when(good, F.col("index_close") / F.col("prev_index") - 1)
-    stats = pairs.select("ticker", stock.alias("s"), index.alias("i")).groupBy("ticker").agg(
-        F.count("*").alias("days"),
-        F.count("s").alias("pairs"),
-        F.covar_pop("s", "i").alias("cov"),
-        F.var_pop("i").alias("var"),
+_MOMENTS = "struct<n:bigint,s:double,i:double,c:double,v:double>"
+
+
+def _step(before: Column, after: Column) -> Column:
+    """The pair of returns between two days of a stock and its index; null without usable bases."""
+    good = (V.finite(before["close"]) > 0) & (V.finite(before["index_close"]) > 0) & V.finite(after["close"]).isNotNull() & V.finite(after["index_close"]).isNotNull()
+    return F.when(good, F.struct((after["close"] / before["close"] - 1).alias("s"), (after["index_close"] / before["index_close"] - 1).alias("i")))
+
+
+def _moments(pairs: Column) -> Column:
+    """Count, means, co-moment and index moment of an array of pairs; pairs without values don't count."""
+    zero = F.lit(0.0)
+
+    def of(used: Column) -> Column:
+        n = F.size(used).cast("long")
+        mean = lambda k: F.coalesce(F.try_divide(F.aggregate(used, zero, lambda a, p: a + p[k]), n), zero)
+        means = F.struct(mean("s").alias("s"), mean("i").alias("i"))
+        return _let(means, lambda m: F.struct(
+            n.alias("n"), m["s"].alias("s"), m["i"].alias("i"),
+            F.aggregate(used, zero, lambda a, p: a + (p["s"] - m["s"]) * (p["i"] - m["i"])).alias("c"),
+            F.aggregate(used, zero, lambda a, p: a + (p["i"] - m["i"]) * (p["i"] - m["i"])).alias("v"),
+        ))
+
+    return _let(F.filter(pairs, lambda p: p["s"].isNotNull() & p["i"].isNotNull()), of)
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Moments of two sets of pairs put together."""
+    n = a["n"] + b["n"]
+    ds, di = b["s"] - a["s"], b["i"] - a["i"]
+    share = F.coalesce(F.try_divide(b["n"], n), F.lit(0.0))
+    return F.struct(
+        n.alias("n"), (a["s"] + ds * share).alias("s"), (a["i"] + di * share).alias("i"),
+        (a["c"] + b["c"] + ds * di * a["n"] * share).alias("c"), (a["v"] + b["v"] + di * di * a["n"] * share).alias("v"),
     )
-    usable = (F.col("days") >= min_pairs + 1) & (F.col("pairs") >= min_pairs) & (F.col("var") != 0)
-    return stats.select("ticker", "days", "pairs", F.when(usable, V.rounded(F.col("cov") / F.col("var"), digits)).alias("beta"))
+
+
+def beta(closes: DataFrame, benchmark: DataFrame, min_pairs: int = MIN_BETA_PAIRS, digits: int = 6) -> DataFrame:
+    """Covariance over variance of aligned returns; null below ``min_pairs`` or without variance.
+
+    A block's state is its days, its first and last pair of closes and the moments of the returns inside;
+    a ticker's states are merged in order, with the return from each block into the next.
+    """
+    blocks = in_blocks(shared_days(closes, benchmark), "close", "index_close")
+    inside = F.zip_with(F.slice("days", 1, F.size("days") - 1), F.slice("days", 2, F.size("days")), _step)
+    ends = [F.struct(F.get("days", at)["close"].alias("close"), F.get("days", at)["index_close"].alias("index_close")) for at in (F.lit(0), F.size("days") - 1)]
+    state = F.struct("block", F.size("days").cast("long").alias("days"), ends[0].alias("first"), ends[1].alias("last"), _moments(inside).cast(_MOMENTS).alias("m"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(k) for k in ("s", "i", "c", "v")])
+    pair_type = "struct<close:double,index_close:double>"
+    start = F.struct(F.lit(0).cast("long").alias("days"), F.lit(None).cast(pair_type).alias("last"), none.cast(_MOMENTS).alias("m"))
+
+    def add(acc: Column, x: Column) -> Column:
+        border = _moments(F.array(_step(acc["last"], x["first"])))
+        return F.struct((acc["days"] + x["days"]).alias("days"), x["last"].cast(pair_type).alias("last"), _merged(_merged(acc["m"], border), x["m"]).cast(_MOMENTS).alias("m"))
+
+    states = blocks.select("ticker", state.alias("x")).groupBy("ticker").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    total = states.select("ticker", F.aggregate("xs", start, add).alias("t")).select("ticker", "t.days", "t.m.n", "t.m.c", "t.m.v")
+    usable = (F.col("days") >= min_pairs + 1) & (F.col("n") >= min_pairs) & (F.col("v") != 0)
+    return total.select("ticker", "days", F.col("n").alias("pairs"), F.when(usable, V.rounded(F.col("c") / F.col("v"), digits)).alias("beta"))
 
 
 def price_change(closes: DataFrame, since, until) -> DataFrame:
@@ -169,27 +259,74 @@ def price_change(closes: DataFrame, since, until) -> DataFrame:
     return ends.withColumn("change_pct", change)
 
 
-# field, unit, aggregate: a new close-based measure is one more entry here
-DERIVATIONS: tuple[tuple[str, str, Callable[[], Column]], ...] = (
-    ("fiftyDayAverage", "INR", lambda: moving_average(50)),
-    ("twoHundredDayAverage", "INR", lambda: moving_average(200)),
-    ("fiftyTwoWeekChangePercent", "percent", lambda: window_change(252)),
-    ("price_chg_pct", "percent", lambda: window_change(6)),
-)
+# ---- registered measures ---------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Measure:
+    """A number of one series: ``sql`` is an expression over ``closes``, an array in order of days."""
+
+    field: str
+    unit: str | None
+    sql: str
+
+
+MEASURES: dict[str, Measure] = {}
+
+
+def register_measure(field: str, unit: str | None, sql: str) -> Measure:
+    """Add a measure under a name of its own: ``derived_metrics`` reports it, and ``install_measures``
+    makes it a function of SQL. A name that is taken is refused."""
+    if field in MEASURES or field in _OWN_FIELDS:
+        raise ValueError(f"{field} is registered already")
+    MEASURES[field] = Measure(field, unit, sql)
+    return MEASURES[field]
+
+
+def install_measures(spark: SparkSession) -> list[str]:
+    """Make every measure a function of this session: ``SELECT fiftyDayAverage(closes) FROM ...``."""
+    for measure in MEASURES.values():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION `{measure.field}`(closes ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {measure.sql}")
+    return list(MEASURES)
+
+
+def ordered_closes() -> Column:
+    """Aggregate: a ticker's closes in order of days, ``HISTORY_LIMIT`` at most."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("day", "close"))), lambda s: s["close"])
+
+
+def _rounded_sql(value: str, digits: int) -> str:
+    return f"rint({value} * 1e{digits}) / 1e{digits}"
+
+
+def average_sql(n: int) -> str:
+    total = f"aggregate(slice(closes, -{n}, {n}), 0D, (a, c) -> a + c)"
+    return f"CASE WHEN size(closes) >= {n} THEN {_rounded_sql(f'({total} / {n})', 4)} END"
+
+
+def change_sql(n: int) -> str:
+    first = f"element_at(closes, -least({n}, size(closes)))"
+    return f"CASE WHEN size(closes) >= 2 AND {first} > 0 THEN {_rounded_sql(f'((element_at(closes, -1) / {first} - 1) * 100)', 4)} END"
+
+
+_OWN_FIELDS = ("beta", "rsi_14", "rsi_14_signal")
+register_measure("fiftyDayAverage", "INR", average_sql(50))
+register_measure("twoHundredDayAverage", "INR", average_sql(200))
+register_measure("fiftyTwoWeekChangePercent", "percent", change_sql(252))
+register_measure("price_chg_pct", "percent", change_sql(6))
 
 
 def derived_metrics(closes: DataFrame, benchmark: DataFrame, benchmark_ticker: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(observations, issues): beta, RSI and its signal, averages and changes, from one pass.
+    """(observations, issues): beta, RSI and its signal, and all registered measures, from one pass.
 
     A ticker below the RSI minimum yields at most its beta and one issue.
     """
     if benchmark_ticker is not None:
         closes = closes.filter(F.col("ticker") != benchmark_ticker)
-    measures = {"closes": F.count("close"), "rsi_14": rsi()}
-    measures.update({field: build() for field, _unit, build in DERIVATIONS})
-    wide = summarise(closes, measures).join(
-        beta(closes, benchmark).select("ticker", V.rounded("beta", 4).alias("beta")), "ticker", "left"
-    )
+    ordered = closes.groupBy("ticker").agg(ordered_closes().alias("closes"))
+    wide = ordered.withColumns({"_n": F.size("closes").cast("long"), "rsi_14": rsi_of(F.col("closes"))})
+    wide = wide.withColumns({m.field: F.expr(m.sql) for m in MEASURES.values()}).drop("closes")
+    wide = wide.join(beta(closes, benchmark).select("ticker", V.rounded("beta", 4).alias("beta")), "ticker", "left")
     long_enough = F.col("rsi_14").isNotNull()
 
     def cell(field: str, unit: str | None, numeric: Column, text: Column | None = None) -> Column:
@@ -203,10 +340,10 @@ def derived_metrics(closes: DataFrame, benchmark: DataFrame, benchmark_ticker: s
         cell("beta", "ratio", F.col("beta")),
         cell("rsi_14", "rsi", F.col("rsi_14")),
         cell("rsi_14_signal", None, F.lit(None), N.rsi_signal("rsi_14")),
-    ] + [cell(field, unit, F.when(long_enough, F.col(field))) for field, unit, _ in DERIVATIONS]
+    ] + [cell(m.field, m.unit, F.when(long_enough, F.col(m.field))) for m in MEASURES.values()]
     observations = wide.select("ticker", F.inline(F.array(*cells))).filter("numeric_value IS NOT NULL OR text_value IS NOT NULL")
     issues = wide.filter(~long_enough).select(
-        "ticker", F.lit("insufficient_price_history").alias("code"), F.col("closes").alias("raw_value")
+        "ticker", F.lit("insufficient_price_history").alias("code"), F.col("_n").alias("raw_value")
     )
     return observations, issues
 

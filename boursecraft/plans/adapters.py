@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from boursecraft.operators import reconcile as R
 from boursecraft.operators import series as S
+from boursecraft.session import materialise
 
 AS_OF = "2024-01-31"
 
@@ -130,10 +131,10 @@ def closes(spark: SparkSession, sf_dir: str, limit: int | None = S.HISTORY_LIMIT
     return S.daily_closes(bars(spark, sf_dir), limit, BAR_ORDER, F.col("session"))
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark: the same last-trade pick over all tickers of a session."""
-    rows = bars(spark, sf_dir).withColumn("ticker", F.lit("^MARKET"))
-    return S.daily_closes(rows, S.HISTORY_LIMIT, BAR_ORDER, F.col("session"))
+def closes_and_market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Closes and the benchmark, the same last-trade pick over all tickers of a session, from one scan."""
+    picks = materialise(S.day_picks(bars(spark, sf_dir), BAR_ORDER, F.col("session")), "day-picks")
+    return S.newest_days(picks.select("ticker", "day", "close"), S.HISTORY_LIMIT), S.newest_days(S.one_series(picks, "^MARKET"), S.HISTORY_LIMIT)
 
 
 # ---- fundamentals: part and its line items ------------------------------------------------------

@@ -80,18 +80,18 @@ betas AS (SELECT ticker, days, pairs, CASE WHEN days >= 121 AND pairs >= 120 AND
 
 @query("ts_beta", with_(O.CLOSES, O.MARKET, _BETA) + "SELECT ticker, days, pairs, beta FROM betas")
 def _(spark, d):
-    return S.beta(A.closes(spark, d), A.market(spark, d))
+    return S.beta(*A.closes_and_market(spark, d))
 
 
 @query("join_benchmark", with_(O.CLOSES, O.MARKET, _BETA) + "SELECT ticker, day, close, index_close FROM shared")
 def _(spark, d):
-    return S.shared_days(A.closes(spark, d), A.market(spark, d))
+    return S.shared_days(*A.closes_and_market(spark, d))
 
 
 @query("set_shared_days", CM + """SELECT ticker, count(*) AS shared_days, min(day) AS first_day, max(day) AS last_day FROM (
   SELECT ticker, day FROM closes WHERE day IN (SELECT day FROM market)) GROUP BY 1""")
 def _(spark, d):
-    return S.shared_days(A.closes(spark, d), A.market(spark, d)).groupBy("ticker").agg(
+    return S.shared_days(*A.closes_and_market(spark, d)).groupBy("ticker").agg(
         F.count("*").alias("shared_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day")
     )
 
@@ -124,7 +124,7 @@ SELECT ticker, field, unit, numeric_value, text_value FROM (
   UNION ALL SELECT ticker, 'fiftyTwoWeekChangePercent', 'percent', c252, NULL FROM wide WHERE rsi_14 IS NOT NULL
   UNION ALL SELECT ticker, 'price_chg_pct', 'percent', c6, NULL FROM wide WHERE rsi_14 IS NOT NULL) WHERE numeric_value IS NOT NULL OR text_value IS NOT NULL""")
 def _(spark, d):
-    observations, _issues = S.derived_metrics(A.closes(spark, d), A.market(spark, d))
+    observations, _issues = S.derived_metrics(*A.closes_and_market(spark, d))
     return observations
 
 

@@ -313,6 +313,71 @@ def test_failure_tally_folds_and_caps_examples(spark):
     assert D.tally_summary(tally).first()["summary"] == "40x timeout (timed out after #s); 1x schema (bad field)"
 
 
+def long_series(spark, days=1500, others=20):
+    """One ticker with most of the days, gaps and unusable closes, and short ones."""
+    rng = random.Random(11)
+    rows = [("HOT", dt.date(2000, 1, 1) + dt.timedelta(d), rng.choice([0.0, float("nan")]) if rng.random() < 0.02 else rng.uniform(5, 50)) for d in range(days) if rng.random() < 0.8]
+    rows += [(f"T{k}", dt.date(2003, 1, 1) + dt.timedelta(3 * d), rng.uniform(5, 50)) for k in range(others) for d in range(k)]
+    return rows, spark.createDataFrame([*rows, (None, dt.date(2003, 1, 1), 1.0), ("T9", None, 1.0)], "ticker string, day date, close double")
+
+
+def test_series_in_blocks_equal_series_in_order(spark):
+    rows, frame = long_series(spark)
+    series = {}
+    for ticker, day, close in sorted(rows, key=lambda r: r[:2]):
+        series.setdefault(ticker, []).append((day, close))
+    want = {(t, d1): c1 / c0 - 1 for t, s in series.items() for (_, c0), (d1, c1) in zip(s, s[1:]) if c0 > 0 and c1 == c1}
+    returns = P.daily_returns(frame)
+    assert {(r.ticker, r.day): r.ret for r in returns.collect()} == want
+    newest = P.newest_days(frame, 260)
+    assert {(r.ticker, r.day): r.rn for r in newest.collect()} == {(t, d): k + 1 for t, s in series.items() for k, (d, _) in enumerate(reversed(s)) if k < 260}
+    for plan in (returns, newest, P.beta(newest, newest)):
+        assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_beta_of_blocks_equals_beta_of_whole_series(spark):
+    rows, frame = long_series(spark, 400)
+    index = [("^I", dt.date(2000, 1, 1) + dt.timedelta(d), random.Random(d).uniform(5, 50)) for d in range(0, 600, 2)]
+    bench = spark.createDataFrame([(*r, 1) for r in index], "ticker string, day date, close double, rn int")
+    at = {d: c for _, d, c in index}
+    got = {r.ticker: r for r in P.beta(frame, bench, min_pairs=30).collect()}
+    for ticker in {r[0] for r in rows}:
+        pairs = sorted((d, c, at[d]) for t, d, c in rows if t == ticker and d in at)
+        good = [(c1 / c0 - 1, i1 / i0 - 1) for (_, c0, i0), (_, c1, i1) in zip(pairs, pairs[1:]) if c0 > 0 and i0 > 0 and c1 / c0 == c1 / c0]
+        if pairs:
+            assert (got[ticker].days, got[ticker].pairs) == (len(pairs), len(good))
+        if len(good) >= 30:
+            frame2 = pd.DataFrame(good)
+            assert got[ticker].beta == pytest.approx(frame2.cov(ddof=0)[0][1] / frame2[1].var(ddof=0), abs=1e-6)
+
+
+def test_one_hot_ticker_is_spread_over_blocks(spark):
+    _, frame = long_series(spark, 6000, 3)
+    sizes = [len(r.days) for r in P.in_blocks(frame, "close").collect()]
+    assert max(sizes) <= P.BLOCK_DAYS and len(sizes) > 20
+
+
+def test_a_registered_measure_is_derived_and_is_a_function_of_sql(spark):
+    rows, frame = long_series(spark)
+    closes = P.newest_days(frame.filter("ticker <> 'HOT' OR close > 0 AND NOT isnan(close)"), 260)
+    P.register_measure("high_over_low", "ratio", "array_max(closes) / array_min(closes)")
+    try:
+        found = P.derived_metrics(closes, closes.filter("ticker = 'HOT'"))[0].filter("field = 'high_over_low'")
+        want = {r.ticker: r.v for r in closes.groupBy("ticker").agg((F.max("close") / F.min("close")).alias("v"), F.count("*").alias("n")).filter("n >= 15").collect()}
+        assert {r.ticker: r.numeric_value for r in found.collect()} == want and found.first().unit == "ratio"
+        with pytest.raises(ValueError, match="registered already"):
+            P.register_measure("high_over_low", None, "1D")
+        assert "high_over_low" in P.install_measures(spark)
+        closes.createOrReplaceTempView("closes_by_day")
+        sql = spark.sql("""SELECT ticker, high_over_low(c) AS v, fiftyDayAverage(c) AS a FROM (
+            SELECT ticker, transform(array_sort(collect_list(struct(day, close))), x -> x.close) AS c FROM closes_by_day GROUP BY ticker)""")
+        assert {r.ticker: r.v for r in sql.collect() if r.ticker in want} == want
+        averages = {r.ticker: r.a for r in P.summarise(closes, {"a": P.moving_average(50)}).collect()}
+        assert {r.ticker: r.a for r in sql.collect()} == averages
+    finally:
+        del P.MEASURES["high_over_low"]
+
+
 # ---- statements, ownership, identity ----------------------------------------------------------------------
 
 

@@ -50,7 +50,7 @@ def day_picks(bars: DataFrame, order: tuple[str, ...] = ("ts",), day: Column | N
     The pick is an aggregation with map-side combine: one row per task, ticker and day is shuffled.
     """
     session = F.to_date("ts") if day is None else day
-    last = F.max_by(F.struct(F.struct(*order).alias("at"), F.col(price).alias("close")), F.struct(*order))
+    last = F.max(F.struct(F.struct(*order).alias("at"), F.col(price).alias("close")))  # of equal places the greatest price
     picked = bars.filter(F.col(price).isNotNull()).groupBy("ticker", session.alias("day")).agg(last.alias("p"))
     return picked.select("ticker", "day", "p.at", "p.close")
 
@@ -235,8 +235,11 @@ def beta(closes: DataFrame, benchmark: DataFrame, min_pairs: int = MIN_BETA_PAIR
     start = F.struct(F.lit(0).cast("long").alias("days"), F.lit(None).cast(pair_type).alias("last"), none.cast(_MOMENTS).alias("m"))
 
     def add(acc: Column, x: Column) -> Column:
-        border = _moments(F.array(_step(acc["last"], x["first"])))
-        return F.struct((acc["days"] + x["days"]).alias("days"), x["last"].cast(pair_type).alias("last"), _merged(_merged(acc["m"], border), x["m"]).cast(_MOMENTS).alias("m"))
+        one = lambda p: F.when(p["s"].isNotNull() & p["i"].isNotNull(), F.struct(F.lit(1).cast("long").alias("n"), p["s"].alias("s"), p["i"].alias("i"), F.lit(0.0).alias("c"), F.lit(0.0).alias("v"))).otherwise(none)
+        border = _let(_step(acc["last"], x["first"]), one)
+        # each value that is used several times is worked out once
+        moments = _let(_let(border, lambda b: _merged(acc["m"], b)), lambda m: _merged(m, x["m"]))
+        return F.struct((acc["days"] + x["days"]).alias("days"), x["last"].cast(pair_type).alias("last"), moments.cast(_MOMENTS).alias("m"))
 
     states = blocks.select("ticker", state.alias("x")).groupBy("ticker").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     total = states.select("ticker", F.aggregate("xs", start, add).alias("t")).select("ticker", "t.days", "t.m.n", "t.m.c", "t.m.v")

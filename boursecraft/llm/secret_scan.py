@@ -5,6 +5,10 @@ stretch of twenty or more key characters outside the base spans is scored by the
 two first-order character models: one of random strings, one of ordinary identifiers. Both are
 trained from labelled samples: generated random strings and the values that the fixed patterns
 catch, against the words of a documented number of documents.
+
+A text is scanned in parts of some thousand characters, cut where nothing can match across: behind a
+character that no pattern has, or behind a single blank between two others. Work is linear in the
+length of a text and the number of its spans, whatever their kind.
 """
 
 from __future__ import annotations
@@ -28,6 +32,12 @@ TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_LENGTH},}}"
 LEAST_RATIO = 12.0
 LEAST_MEAN = 0.6
 
+#: Characters of a part, and what parts a text into such: as much as fits up to a safe place, else up to
+#: the next one however far.
+PART = 4000
+_SAFE = r"""(?:(?<=[^A-Za-z0-9+/_.=\-"':\x20])|(?<=[^\x20:="']\x20)(?=[^\x20:="']))"""
+_PARTS = rf"(?s).{{1,{PART}}}{_SAFE}|.+?(?:{_SAFE}|\z)"
+
 #: Bounds of the training samples: generated strings, and documents whose words are taken.
 RANDOM_STRINGS = 4096
 IDENTIFIER_DOCUMENTS = 2048
@@ -142,28 +152,50 @@ def _stretches(token: Column, base: Column) -> Column:
     )
 
 
+def _base_of(text: Column) -> Column:
+    """Sorted spans of the fixed patterns in a part."""
+    none = F.array().cast(_NO_SPANS)
+    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
+    assign = F.filter(F.arrays_zip(_found(text, ASSIGN, 0).alias("span"), values.alias("value")), lambda x: F.length(x["value"]) >= ASSIGN_VALUE)
+    assign = F.when(text.rlike(ASSIGN), F.transform(assign, lambda x: x["span"])).otherwise(none)
+    return F.array_sort(F.concat(assign, _found(text, ACCESS, 1), _found(text, HEX, 2)))
+
+
+def _markov_of(text: Column, base: Column, model: MarkovRatio) -> Column:
+    """Spans of a part outside its base spans that are likelier random than ordinary."""
+    token = lambda x: text.substr(x["start"] + 1, x["end"] - x["start"])
+    outside = F.flatten(F.transform(_found(text, TOKEN, 3), lambda x: _stretches(x, base)))
+    judged = F.transform(outside, lambda x: F.struct(x.alias("span"), model.score(token(x)).alias("ratio"), (x["end"] - x["start"] - 1).alias("steps")))
+    judged = F.filter(judged, lambda x: (x["ratio"] >= LEAST_RATIO) & (x["ratio"] >= LEAST_MEAN * x["steps"]))
+    return F.when(text.rlike(TOKEN), F.transform(judged, lambda x: x["span"])).otherwise(F.array().cast(_NO_SPANS))
+
+
+def _scanned(rows: DataFrame, model: MarkovRatio) -> DataFrame:
+    """``rows`` with ``_parts``: the parts of ``_text``, where each begins, and the spans within it."""
+    text = F.col("_text")
+    some = text.rlike(f"{ASSIGN}|(?-i:{ACCESS}|{HEX}|{TOKEN})")  # texts without a match are not parted
+    rows = rows.withColumn("_cut", F.when(some, F.regexp_extract_all(text, F.lit(_PARTS), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    ends = F.aggregate("_cut", F.array(F.lit(0)), lambda at, part: F.concat(at, F.array(F.element_at(at, -1) + F.length(part))))
+    rows = rows.withColumn("_at", ends).withColumn("_base", F.transform("_cut", _base_of))
+    markov = F.transform(F.arrays_zip("_cut", "_base"), lambda x: _markov_of(x["_cut"], x["_base"], model))
+    rows = rows.withColumn("_markov", markov)
+    return rows.withColumn("_parts", F.arrays_zip(F.col("_cut").alias("text"), F.slice("_at", 1, F.size("_cut")).alias("at"), F.col("_base").alias("base"), F.col("_markov").alias("markov"))).drop("_cut", "_at", "_base", "_markov")
+
+
+def _spans(name: str) -> Column:
+    """The spans of all parts, as places in the whole text."""
+    moved = lambda x, part: F.struct((x["start"] + part["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + part["at"]).alias("end"))
+    return F.flatten(F.transform("_parts", lambda part: F.transform(part[name], lambda x: moved(x, part)))).cast(_NO_SPANS)
+
+
 def scan(docs: DataFrame, model: MarkovRatio, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``id_col``, base and markov spans as sorted (start, kind, end) arrays.
 
     ``kind`` is a position in ``KINDS``; ends are exclusive; code points. Null texts are empty and
     have no spans. Only the columns named in ``carry`` come along.
     """
-    text = F.col("_text")
     rows = docs.select(F.col(id_col), *carry, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    whole = _found(text, ASSIGN, 0)
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    rows = rows.withColumn("_assign", F.filter(F.when(text.rlike(ASSIGN), F.transform(
-        F.arrays_zip(whole.alias("span"), values.alias("value")), lambda x: F.struct(x["span"].alias("span"), (F.length(x["value"]) >= ASSIGN_VALUE).alias("long")),
-    )), lambda x: x["long"]))
-    rows = rows.withColumn("_base", F.array_sort(F.concat(
-        F.coalesce(F.col("_assign.span"), F.array().cast(_NO_SPANS)), _found(text, ACCESS, 1), _found(text, HEX, 2),
-    )))
-    token = lambda x: text.substr(x["start"] + 1, x["end"] - x["start"])
-    outside = F.flatten(F.transform(_found(text, TOKEN, 3), lambda x: _stretches(x, F.col("_base"))))
-    judged = F.transform(outside, lambda x: F.struct(x.alias("span"), model.score(token(x)).alias("ratio"), (x["end"] - x["start"] - 1).alias("steps")))
-    judged = F.filter(judged, lambda x: (x["ratio"] >= LEAST_RATIO) & (x["ratio"] >= LEAST_MEAN * x["steps"]))
-    rows = rows.withColumn("_markov", F.when(text.rlike(TOKEN), judged))
-    return rows.select(F.col(id_col), *carry, F.col("_text"), F.col("_base").alias("base"), F.coalesce(F.col("_markov.span"), F.array().cast(_NO_SPANS)).alias("markov"))
+    return _scanned(rows, model).select(F.col(id_col), *carry, "_text", _spans("base").alias("base"), _spans("markov").alias("markov"))
 
 
 def described(spans: Column) -> Column:
@@ -182,16 +214,19 @@ def redact(docs: DataFrame, model: MarkovRatio, id_col: str = "doc_id", text_col
     Documents without a span are untouched, null texts among them.
     """
     row = docs.select(F.struct(*docs.columns).alias("_row"))
-    found = scan(row.select("_row", F.col(f"_row.{id_col}").alias("_id"), F.col(f"_row.{text_col}").alias("_words")), model, "_id", "_words", ("_row",))
-    text, end = F.col("_text"), F.length("_text")
-    spans = F.array_sort(F.concat("base", "markov"))
-    made = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda seen, x: F.struct(
-            F.greatest(seen["at"], x["end"]).alias("at"),
-            F.when(x["start"] < seen["at"], seen["out"]).otherwise(F.concat(seen["out"], text.substr(seen["at"] + 1, x["start"] - seen["at"]), F.lit(mark))).alias("out"),
-        ),
-        lambda seen: F.concat(seen["out"], text.substr(seen["at"] + 1, end - seen["at"])),
-    )
-    clean = F.when(F.size("base") + F.size("markov") > 0, made).otherwise(F.col("_row")[text_col])
+    found = _scanned(row.select("_row", F.coalesce(F.col(f"_row.{text_col}"), F.lit("")).alias("_text")), model)
+
+    def made(part: Column) -> Column:
+        text, end = part["text"], F.length(part["text"])
+        return F.aggregate(
+            F.array_sort(F.concat(part["base"], part["markov"])), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+            lambda seen, x: F.struct(
+                F.greatest(seen["at"], x["end"]).alias("at"),
+                F.when(x["start"] < seen["at"], seen["out"]).otherwise(F.concat(seen["out"], text.substr(seen["at"] + 1, x["start"] - seen["at"]), F.lit(mark))).alias("out"),
+            ),
+            lambda seen: F.concat(seen["out"], text.substr(seen["at"] + 1, end - seen["at"])),
+        )
+
+    hit = F.exists("_parts", lambda part: F.size(part["base"]) + F.size(part["markov"]) > 0)
+    clean = F.when(hit, F.array_join(F.transform("_parts", made), "")).otherwise(F.col("_row")[text_col])
     return found.select(*[clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])

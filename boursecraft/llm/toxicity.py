@@ -207,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kept = {f: w for f, w in found.items() if not any(stems.get(f.rstrip("*")[:n], 0) >= w - 0.5 for n in range(1, len(f.rstrip("*"))))}
     lexicon = Lexicon({f: w for f, w in kept.items() if not (f + "*" in kept and kept[f + "*"] >= w - 0.5)})
     lexicon = _cover(rows, lexicon, max(2, LEAST_SHARE * toxic / 2))
-    lexicon.exceptions = early | _learn_exceptions(rows, lexicon)
+    matcher = lexicon.matcher()
+    lexicon.exceptions = {p for p in early if matcher.hits([*p])} | _learn_exceptions(rows, lexicon)
     lexicon.coefficients = _learn_coefficients(rows, lexicon)
     return lexicon
 

@@ -19,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boursecraft.llm.components import components
 from boursecraft.session import materialise
 
-#: Vectors of one block; pivots of one label at most; vectors for each pivot aimed at.
+#: Vectors of one block; vectors for each pivot aimed at, until a label has so many pivots, from where on
+#: they grow with the square root of its size; vectors that look for their pivot in one task.
 BLOCK = 2048
-PIVOTS = 256
 CELL = 8192
+PIVOTS = 256
+SLICE = 8192
 #: Below this many vectors a node of the tree is not divided any more.
 LEAF = 32
 _SLACK = 1e-9
@@ -133,12 +135,14 @@ def _roots(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return root
 
 
-def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """id, label and unit vector of every row that can link; one row for equal vectors of a label."""
+def _rows(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """A number, id, label and vector of every row; the vector is null where it can't link."""
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0.0)
-    return rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    usable = F.col("label").isNotNull() & F.col("id").isNotNull() & F.coalesce(fine, F.lit(False))
+    # -0.0 and 0.0 are the same
+    return rows.select("id", "label", F.when(usable, F.transform("v", lambda x: x + 0.0)).alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -157,44 +161,50 @@ def links(vectors: DataFrame, cosine: float, id_col: str = "vec_id", vector_col:
     Linked are different rows of equal, non-null label and equal length whose cosine is at least
     ``cosine``. Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without an identifier, link with nothing. Equal vectors of a label count as one point with
-    copies: they link with one another, and n_links counts every copy. Other columns are ignored.
+    copies: they link with one another, and n_links counts every copy. An identifier on several rows
+    is one identifier: each row has its own n_links, all have the component that any of them reaches.
+    Other columns are ignored.
     """
-    rows = _usable(vectors, id_col, vector_col, label_col).withColumn("size", F.size("v"))
-    # equal vectors collapse to their smallest identifier; -0.0 and 0.0 are the same
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0))
-    stored = materialise(rows, "vectors")
-    points = materialise(stored.groupBy("label", "size", "v").agg(F.min("id").alias("point"), F.count("*").alias("copies")), "points")
-
-    # pivots: of each label as many as its size asks for, by hash; a bounded number each
-    order = Window.partitionBy("label", "size").orderBy(F.xxhash64("point"), "point")
-    ranked = points.select("label", "size", "point", "v").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
-    counts = points.groupBy("label", "size").agg(F.count("*").alias("n"))
-    pivots = ranked.join(counts, ["label", "size"]).where(F.col("place") <= F.least(F.lit(PIVOTS), F.ceil(F.col("n") / CELL)))
-    pivots = materialise(pivots.groupBy("label", "size").agg(F.collect_list(F.struct("place", "v")).alias("pivots")), "pivots")
+    every = materialise(_rows(vectors, id_col, vector_col, label_col).withColumn("size", F.size("v")), "vectors")
+    stored = every.where("v IS NOT NULL")
+    grouped = stored.groupBy("label", "size", "v").agg(F.count("*").alias("copies"))
+    points = materialise(grouped.withColumn("point", F.monotonically_increasing_id()), "points")  # points have numbers of their own
+
+    # pivots: of each label as many as its size asks for, by hash, and one at least
+    counts = points.groupBy("label", "size").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("point").alias("h"), "point")).alias("one"))
+    most = F.greatest(F.lit(PIVOTS), F.ceil(F.sqrt("n") * 0.18))
+    counts = materialise(counts.select("label", "size", "n", F.col("one.point").alias("one"), (F.least(most, F.ceil(F.col("n") / CELL)) / F.col("n")).alias("share")), "label-sizes")
+    drawn = (F.xxhash64("point").bitwiseAND((1 << 53) - 1) / float(1 << 53)) < F.col("share")
+    pivots = points.join(counts, ["label", "size"]).where((F.col("point") == F.col("one")) | ((F.col("n") > CELL) & drawn)).select("label", "size", "point", "v", "n")
+    pivots = materialise(pivots, "pivots")
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _SLACK
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells, depth, unit = [], [], []
-            centres: dict[tuple, np.ndarray] = {}
-            for label, size, v, around in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 5))):
-                if (label, size) not in centres:
-                    around.sort(key=lambda p: p["place"])
-                    centres[label, size] = _unit(np.array([p["v"] for p in around]))
-                u = _unit(np.array([v]))
-                gap = np.sqrt(np.maximum(((centres[label, size] - u) ** 2).sum(1), 0))
+    label_type = points.schema["label"].dataType
+
+    def assign(rows: pa.Table, around: pa.Table) -> pa.Table:
+        """Home cell of every vector of a slice, and the cells that it may have a partner in."""
+        centres = _unit(_matrix(around.column("v"))[np.argsort(around.column("point").to_numpy())])
+        unit = _unit(_matrix(rows.column("v")))
+        cells, depth = [], []
+        for start in range(0, len(unit), 256):
+            some = unit[start : start + 256]
+            for gap in np.sqrt(np.maximum(((some[:, None, :] - centres[None, :, :]) ** 2).sum(2), 0)) if some.size * len(centres) < 1 << 24 else (np.sqrt(((u - centres) ** 2).sum(1)) for u in some):
                 home = int(gap.argmin())
-                # cells that the vector may have a partner in, itself in ``home``; each pair of cells once
-                far = [c for c in range(home + 1, len(gap)) if gap[c] - gap[home] <= 2 * reach]
-                cells.append([home, *far])
-                depth.append([float(gap[c]) for c in (home, *far)])
-                unit.append(u[0])
-            arrays = [batch.column(0), batch.column(1), pa.array(unit, pa.list_(pa.float64())), batch.column(3), batch.column(4), pa.array(cells, pa.list_(pa.int32())), pa.array(depth, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["label", "size", "u", "point", "copies", "cells", "depth"])
-
-    label_type = points.schema["label"].dataType.simpleString()
-    joined = points.join(pivots, ["label", "size"]).select("label", "size", "v", "point", "copies", "pivots")
-    placed = materialise(joined.mapInArrow(assign, f"label {label_type}, size int, u array<double>, point long, copies long, cells array<int>, depth array<double>"), "placed")
+                # itself in ``home``; each pair of cells once
+                far = [home, *(home + 1 + np.flatnonzero(gap[home + 1 :] - gap[home] <= 2 * reach)).tolist()]
+                cells.append(far)
+                depth.append(gap[far])
+        return pa.Table.from_arrays(
+            [rows.column("label"), rows.column("size"), pa.array(list(unit), pa.list_(pa.float64())), rows.column("point"), rows.column("copies"), pa.array(cells, pa.list_(pa.int32())), pa.array(depth, pa.list_(pa.float64()))],
+            ["label", "size", "u", "point", "copies", "cells", "depth"],
+        )
+
+    # vectors meet their label's pivots once for every slice of some thousand vectors
+    slices = F.ceil(F.col("n") / SLICE)
+    sliced = points.join(counts.select("label", "size", "n"), ["label", "size"]).withColumn("slice", F.pmod(F.xxhash64("point"), slices)).drop("n")
+    spread = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).select("label", "size", "slice", "point", "v")
+    keys = ["label", "size", "slice"]
+    met = sliced.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(assign, f"label {label_type.simpleString()}, size int, u array<double>, point long, copies long, cells array<int>, depth array<double>")
+    placed = materialise(met, "placed")
     home = placed.select("label", "size", "u", "point", "copies", F.col("cells")[0].alias("cell"), F.col("depth")[0].alias("depth"))
     cells = home.groupBy("label", "size", "cell").agg(F.count("*").alias("n"), F.max("depth").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     cells = materialise(cells, "cells")
@@ -241,13 +251,18 @@ def links(vectors: DataFrame, cosine: float, id_col: str = "vec_id", vector_col:
     keys = ["label", "size", "cell_a", "part_a", "cell_b", "part_b"]
     found = materialise(work.groupBy(*keys).applyInArrow(compare, "point long, links long, root long"), "found")
     linked = found.groupBy("point").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("point").alias("a"), F.col("root").alias("b")))
-
-    # back to rows: copies link with one another as well
-    each = stored.join(points, ["label", "size", "v"]).select("id", "point", "copies")
-    each = each.join(linked, "point", "left").join(joined.select(F.col("id").alias("point"), "component"), "point", "left")
-    each = each.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "point").alias("component_id"))
-    every = vectors.select(F.col(id_col).cast("long").alias("id"))
-    out = every.join(each.dropDuplicates(["id"]), "id", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+    # back to rows: copies link with one another as well, and the points of one identifier are joined
+    members = materialise(stored.join(points, ["label", "size", "v"]).select("row", "id", "point", "copies"), "members")
+    several = members.groupBy("id").agg(F.min("point").alias("a"), F.max("point").alias("z")).where("a < z")
+    same = members.join(several, "id").where("point <> a").select("a", F.col("point").alias("b"))
+    joined = components(found.select(F.col("point").alias("a"), F.col("root").alias("b")).unionByName(same))
+    owned = members.join(joined.select(F.col("id").alias("point"), "component"), "point", "left").withColumn("component", F.coalesce("component", "point"))
+    least = owned.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_point = materialise(owned.select("point", "component").distinct().join(least, "component").join(linked, "point", "left").select("point", "component_id", "links"), "point-components")
+    linking = members.join(of_point, "point").select("row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    # rows that can't link take the component of their identifier's other rows, where there are any
+    of_id = members.join(of_point, "point").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    rest = every.where("v IS NULL").select("row", "id").join(of_id, "id", "left").select("id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    out = every.where("v IS NOT NULL").select("row", "id").join(linking, "row").select("id", "n_links", "component_id").unionByName(rest)
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

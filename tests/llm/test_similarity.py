@@ -131,11 +131,25 @@ def brute_links(rows, cosine):
             continue
         v = np.array(v, float)
         usable[k] = (i, v / np.linalg.norm(v), label)
-    pairs = [(a[0], b[0]) for m, a in usable.items() for n, b in usable.items() if m < n and a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= cosine]
-    count = {}
-    for a, b in pairs:
-        count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
-    return count, roots([r[0] for r in rows if r[0] is not None], pairs)
+    pairs = [(m, n) for m, a in usable.items() for n, b in usable.items() if m < n and a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= cosine]
+    count = [0] * len(rows)
+    for m, n in pairs:
+        count[m], count[n] = count[m] + 1, count[n] + 1
+    root = roots([r[0] for r in rows if r[0] is not None], [(rows[m][0], rows[n][0]) for m, n in pairs])
+    return sorted(((r[0], c, root.get(r[0]), r[0] is None or root[r[0]] == r[0]) for r, c in zip(rows, count)), key=repr)
+
+
+def found_links(table, **kw):
+    return sorted((tuple(r) for r in embeddings.links(table, 0.93, **kw).collect()), key=repr)
+
+
+def test_an_identifier_on_several_vectors_joins_what_they_reach(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(0, a, 1), (5, a, 1), (5, b, 1), (6, b, 1), (7, b, 1), (8, [0.0, 0.0, 1.0], 1), (8, None, 1), (9, a, 2), (9, b, 2), (9, b, 2), (10, None, 1), (10, [0.0] * 3, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = found_links(table)
+    assert found == brute_links(rows, 0.93)
+    assert {i for i, _, c, _ in found if c == 0} == {0, 5, 6, 7}
 
 
 def test_links_equal_brute_force(spark, monkeypatch):
@@ -149,14 +163,13 @@ def test_links_equal_brute_force(spark, monkeypatch):
                 i += 1
     rows += [(i, rows[0][1], 0), (i + 1, rows[0][1], 0), (i + 2, None, 0), (i + 3, [0.0] * 8, 0), (i + 4, [1.0, None] * 4, 0), (i + 5, [float("nan")] * 8, 0), (i + 6, rows[0][1], None), (i + 7, [], 1), (i + 8, [1.0, 2.0], 0), (i + 9, [float("inf")] * 8, 0), (None, rows[0][1], 0)]
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, point int")
-    count, root = brute_links(rows, 0.93)
-    for cell, block in ((8192, 2048), (20, 9)):
+    rows += [(int(rng.integers(0, i)), rows[int(rng.integers(0, i))][1], 1) for _ in range(15)]  # identifiers and vectors that come again
+    table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, point int")
+    want = brute_links(rows, 0.93)
+    for cell, block, part in ((8192, 2048, 8192), (20, 9, 8192), (20, 9, 30)):
         monkeypatch.setattr(embeddings, "CELL", cell)
-        found = embeddings.links(table, 0.93, block=block).collect()
-        assert len(found) == len(rows)
-        for r in found:
-            if r.vec_id is not None:
-                assert (r.n_links, r.component_id, r.kept) == (count.get(r.vec_id, 0), root[r.vec_id], root[r.vec_id] == r.vec_id)
+        monkeypatch.setattr(embeddings, "SLICE", part)
+        assert found_links(table, block=block) == want
     assert embeddings.links(table.limit(0), 0.93).count() == 0
 
 

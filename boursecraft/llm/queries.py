@@ -108,8 +108,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark), revisit_from=0)
-    found = warc.read(manifest)
+    folder = warc.new_folder(spark)
+    warc.write(table(spark, sf_dir, "pages"), folder, revisit_from=0)
+    found = warc.read(spark, folder)
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,11 +1,11 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by identifier and cut into shards at boundaries that depend on the rows
-alone. A shard is written by one task as a sequence of files that roll over by compressed size;
-every record is a gzip member of its own, its headers and digests are made from the payload. A file
-is written under a temporary name and renamed; a shard's manifest (names, sizes, digests, record
-counts) is committed last and the same way, so a repeated or doubled task replaces files by equal
-ones, and files without a manifest are never read.
+Records are range-sorted by identifier and payload digest and cut into shards by the bytes before
+them, so boundaries depend on the rows alone. A shard is written by one task as a sequence of files
+that roll over by compressed size; every record is a gzip member of its own, its headers and digests
+are made from the payload. A file is written under a temporary name and renamed; a shard's manifest
+(names, sizes, digests, record counts) follows and the data set's comes last, the same way: a repeated
+or doubled task replaces files by equal ones, and what no manifest names is never read.
 
 Folders are given as URIs; files go through the file system that the URI names.
 """
@@ -23,46 +23,48 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boursecraft.session import materialise, work_dir
 
-#: Bytes of payload a shard is aimed at, and of compressed records after which a file is closed.
-SHARD_BYTES = 16 << 20
+#: Bytes of payload of a shard where the caller names none: an eight thousandth of all, within these bounds.
+LEAST_SHARD_BYTES, MOST_SHARD_BYTES, SHARDS = 16 << 20, 1 << 30, 8192
+#: Bytes of compressed records after which a file is closed.
 FILE_BYTES = 4 << 20
 #: Tasks that read archives back, at most.
 READERS = 4096
-#: Buckets in which identifiers are counted at a time; they are read by the driver.
-BUCKETS = 4096
 
 _DATE = "1970-01-01T00:00:00Z"  # the tables have no time of capture; a clock would not be deterministic
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = "id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-_MANIFEST = "shard int, path string, records long, bytes long, sha256 string"
+_FILES = "shard int, files array<struct<name: string, records: long, bytes: long, sha256: string>>"
 
 
 def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record_id(number: int | None, place: str) -> str:
-    return f"<urn:page:{number}>" if number is not None else f"<urn:page:none:{place}>"
+def _record_id(number: int | None, digest: str, place: str = "") -> str:
+    """Identifier and payload name a record; copies of one have their place behind."""
+    return f"<urn:page:{'none' if number is None else number}:{digest}{':' if place else ''}{place}>"
 
 
 def record(number: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str = "") -> bytes:
-    """One WARC/1.1 record. A revisit has the HTTP header of its payload and no body."""
+    """One WARC/1.1 record. A revisit has the HTTP header of its payload and no body, and names the record
+    of the same payload that it refers to."""
+    digest = _digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     target = "".join(c for c in (url or "") if c not in "\r\n")
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(number, place)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(number, digest, place)}",
         f"WARC-Date: {_DATE}", f"WARC-Target-URI: {target}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, '')}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}"]
     head += [
-        f"WARC-Payload-Digest: sha1:{_digest(payload)}", f"WARC-Block-Digest: sha1:{_digest(block)}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{_digest(block)}",
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -114,97 +116,119 @@ class ShardWriter:
         return self.manifest
 
 
-def boundaries(sizes: DataFrame, target: int = SHARD_BYTES) -> list[int]:
-    """Identifiers at which a shard begins, from (id, n_bytes): each holds about ``target`` bytes.
+def _key(number: Column, content: Column) -> Column:
+    """Sorts as (identifier, null first, and content), bytewise."""
+    return F.concat(F.coalesce(F.concat(F.lit("1"), F.lpad(F.hex(number.bitwiseXOR(-(1 << 63))), 16, "0")), F.lit("0").cast("string")), content)
 
-    Bytes are summed in ``BUCKETS`` ranges of equal width; a range over the target is divided again.
-    The driver reads at most ``BUCKETS`` rows at a time and keeps the boundaries, one for each shard.
+
+def boundaries(rows: DataFrame, target: int | None = None) -> tuple[list[str], list[int], int]:
+    """(keys, shard of each, shards) from (key, n_bytes): where shards of about ``target`` bytes begin.
+
+    Keys are range-sorted with their bytes; a row's shard is the number of whole targets among the bytes
+    before its key. A key of more bytes than a target spans several shards. The driver gets one key for
+    each shard that begins with one.
     """
-    low, high, total = sizes.agg(F.min("id"), F.max("id"), F.sum("n_bytes")).first()
-    if low is None or total is None:
-        return []
-    cuts: list[int] = []
-    held = 0
-
-    def descend(start: int, stop: int) -> None:
-        nonlocal held
-        width = -(-(stop - start) // BUCKETS)
-        here = sizes.where((F.col("id") >= start) & (F.col("id") < stop))
-        bucket = ((F.col("id").cast("decimal(20,0)") - F.lit(start).cast("decimal(20,0)")) / F.lit(width)).cast("long")
-        for row in here.groupBy(bucket.alias("k")).agg(F.sum("n_bytes").alias("n")).orderBy("k").collect():
-            begin = start + row["k"] * width
-            if row["n"] > 2 * target and width > 1:
-                descend(begin, min(begin + width, stop))
-                continue
-            if held and held + row["n"] > target:
-                cuts.append(begin)
-                held = 0
-            held += row["n"]
-
-    descend(low, high + 1)
-    return cuts
+    keys = rows.groupBy("key").agg(F.sum("n_bytes").alias("n"))
+    ranged = materialise(keys.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "warc-keys")
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("m"))
+    before = sums.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))  # a row for each range
+    total = ranged.agg(F.sum("n")).first()[0]
+    if total is None:
+        return [], [], 0
+    target = target or min(MOST_SHARD_BYTES, max(LEAST_SHARD_BYTES, total // SHARDS))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("key"))
+    placed = ranged.withColumn("upto", upto).join(before, "part").select("key", ((F.col("before") + F.col("upto") - F.col("n")) / target).cast("long").alias("shard"))
+    first = placed.groupBy("shard").agg(F.min("key").alias("key")).orderBy("shard").collect()
+    return [r["key"] for r in first], [r["shard"] for r in first], int(-(-total // target)) or 1
 
 
 def _revisits(rows: DataFrame, least: int) -> DataFrame:
-    """id, content, refers_to of the rows whose payload a smaller identifier has: narrow, without payloads."""
-    narrow = rows.where("id IS NOT NULL").select("id", F.octet_length("payload").alias("n_bytes"), F.sha2("payload", 256).alias("content")).where(F.col("n_bytes") >= least)
+    """key, id, content, refers_to of the rows whose payload a smaller identifier has: narrow, without payloads."""
+    narrow = rows.where("id IS NOT NULL").select("key", "id", "n_bytes", "content").where(F.col("n_bytes") >= least)
     first = narrow.groupBy("content", "n_bytes").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return narrow.join(first, ["content", "n_bytes"]).where("refers_to < id").select("id", "content", "refers_to").distinct()
+    return narrow.join(first, ["content", "n_bytes"]).where("refers_to < id").select("key", "id", "content", "refers_to").distinct()
 
 
-def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write a record for every row under ``uri``; gives the manifest, one row per file.
+def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0, shard_bytes: int | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Write a record for every row under ``uri``.
 
     Of rows with equal payloads of at least ``revisit_from`` bytes the smallest identifier is the
-    response and the others revisit it. Null payloads are empty, null URLs are an empty target.
-    Rows that repeat an identifier are records of their own, in order of payload and URL, and so are
-    rows without one, which come first and are responses.
+    response and the others revisit it. Null payloads are empty, null URLs are an empty target. Rows
+    that repeat an identifier are records of their own, in order of payload digest and URL; so are rows
+    without one, which come first and are responses. Copies of one identifier and payload that fill more
+    than a shard are dealt over as many shards as they fill.
     """
+    spark = pages.sparkSession
     html = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
-    sizes = materialise(rows.where("id IS NOT NULL").select("id", F.octet_length("payload").cast("long").alias("n_bytes")), "page-sizes")
-    cuts = boundaries(sizes, shard_bytes)
-    places = pages.sparkSession.sparkContext.broadcast(cuts)  # one number for each shard
+    rows = rows.withColumns({"content": F.substring(F.sha2("payload", 256), 1, 32), "n_bytes": F.octet_length("payload").cast("long")}).withColumn("key", _key(F.col("id"), F.col("content")))
+    narrow = materialise(rows.select("key", "id", "content", "n_bytes"), "page-keys")
+    keys, shards, total = boundaries(narrow, shard_bytes)
+    places = spark.sparkContext.broadcast((keys, shards, total))  # a key for each shard
 
     def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(places.value, np.int64)
+        """The first and last shard of each key."""
+        edges, numbers, total = np.array(places.value[0], "S49"), np.array([*places.value[1], places.value[2]], np.int64), places.value[2]
         for batch in batches:
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(edges, ids, side="right").astype("int32"))], [*batch.schema.names, "shard"])
-
-    # payloads are shuffled once; what a row revisits arrives in its shard as a row before it
-    marks = _revisits(rows, revisit_from).select("id", F.col("content").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
-    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks)
-    dealt = both.mapInArrow(shard_of, "id long, url string, payload binary, refers_to long, shard int")
-    ordered = dealt.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "payload", "url")
+            asked = np.array(batch.column(0).to_pylist(), "S49")
+            at = np.searchsorted(edges, asked, side="right") - 1
+            low = numbers[np.maximum(at, 0)]
+            whole = edges[np.maximum(at, 0)] == asked  # a key that begins a shard may go on until the next one that does
+            high = np.where(whole, np.minimum(numbers[np.minimum(at + 1, len(edges))], total) - 1, low)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(np.maximum(high, low))], [*batch.schema.names, "low", "high"])
+
+    # payloads are shuffled once; what a row revisits arrives in its shards as a row before it
+    none = lambda kind: F.lit(None).cast(kind)
+    marks = _revisits(narrow, revisit_from).select("key", "id", none("string").alias("url"), none("binary").alias("payload"), "content", "refers_to")
+    both = rows.select("key", "id", "url", "payload", "content", none("long").alias("refers_to")).unionByName(marks)
+    placed = both.mapInArrow(shard_of, "key string, id long, url string, payload binary, content string, refers_to long, low long, high long")
+    copy = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("high") - F.col("low") + 1) + F.col("low")
+    dealt = placed.withColumn("shard", F.explode(F.when(F.col("payload").isNull(), F.sequence("low", "high")).otherwise(F.array(copy))))
+    ordered = dealt.repartition(max(1, total), "shard").sortWithinPartitions("shard", "key", F.col("payload").isNotNull(), "url").select("id", "url", "payload", "content", "refers_to", "low", "shard")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, place, seen = None, 0, {}
+        writer, place, mark, last = None, 0, None, None
 
         def closed() -> pa.RecordBatch:
             files = writer.close()
-            return pa.RecordBatch.from_arrays([
-                pa.array([writer.shard] * len(files), pa.int32()), pa.array([f"{uri}/{f['name']}" for f in files]), pa.array([f["records"] for f in files], pa.int64()),
-                pa.array([f["bytes"] for f in files], pa.int64()), pa.array([f["sha256"] for f in files]),
-            ], ["shard", "path", "records", "bytes", "sha256"])
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in (len(files), sum(f["records"] for f in files))], ["files", "records"])
 
         for batch in batches:
-            for number, url, payload, refers_to, shard in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, url, payload, content, refers_to, low, shard in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None or writer.shard != shard:
                     if writer is not None:
                         yield closed()
-                    writer, place, seen = ShardWriter(uri, shard, file_bytes), 0, {}
+                    writer, place, mark, last = ShardWriter(uri, shard, file_bytes), 0, None, None
                 if payload is None:
-                    seen = {(n, c): r for (n, c), r in seen.items() if n == number} | {(number, url): refers_to}
+                    mark = (number, content, refers_to)
                     continue
-                if seen:
-                    refers_to = seen.get((number, hashlib.sha256(payload).hexdigest()))
-                writer.add(record(number, url, payload, refers_to, f"{shard}-{place}"))
+                refers = mark[2] if mark is not None and mark[:2] == (number, content) else None
+                # the first record of a key has its plain name, further ones their shard and place
+                plain = (number, content) != last and low == shard
+                writer.add(record(number, url, payload, refers, "" if plain else f"{shard}-{place}"))
+                last = (number, content)
                 place += 1
         if writer is not None:
             yield closed()
 
-    return materialise(ordered.mapInArrow(put, _MANIFEST), "warc-manifest")
+    done = ordered.mapInArrow(put, "files long, records long").agg(F.count("*").alias("shards"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "records")]).first()
+    files, folder = fs.FileSystem.from_uri(uri)
+    files.create_dir(folder, recursive=True)
+    _commit(files, f"{folder}/dataset.json", json.dumps(done.asDict()).encode())
+
+
+def manifest(spark: SparkSession, uri: str) -> DataFrame:
+    """One row per file of the data set: shard, path, records, bytes, sha256, as its manifests name them."""
+    files, folder = fs.FileSystem.from_uri(uri)
+    with files.open_input_stream(f"{folder}/dataset.json") as source:
+        total = json.loads(source.read())
+    if not total["shards"]:
+        return spark.createDataFrame([], "shard int, path string, records long, bytes long, sha256 string")
+    named = spark.read.schema(_FILES).json(f"{uri}/manifest-*.json").select("shard", F.explode("files").alias("f"))
+    found = named.agg(F.count_distinct("shard").alias("shards"), F.count("*").alias("files"), F.sum("f.records").alias("records")).first()
+    if found.asDict() != total:
+        raise ValueError(f"{uri}: the manifests {found.asDict()} do not add up to {total}")
+    return named.select("shard", F.concat(F.lit(f"{uri}/"), "f.name").alias("path"), "f.records", "f.bytes", "f.sha256")
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -228,12 +252,12 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _number(record_id: str) -> int | None:
-    value = record_id.removeprefix("<urn:page:").removesuffix(">")
-    return None if value.startswith("none") else int(value)
+    value = record_id.removeprefix("<urn:page:").split(":")[0]
+    return None if value == "none" else int(value)
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """A row per record of the manifest's files; a response has its payload, a revisit has null.
+def read(spark: SparkSession, uri: str) -> DataFrame:
+    """A row per record of the data set; a response has its payload, a revisit has null.
 
     Sizes and digests of files, blocks and payloads are checked; a task holds one file, which
     ``file_bytes`` bounds unless one record is larger.
@@ -265,8 +289,9 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    tasks = max(1, min(READERS, manifest.count()))
-    return manifest.repartition(tasks).mapInArrow(get, _READ)
+    named = manifest(spark, uri)
+    tasks = max(1, min(READERS, named.count()))
+    return named.repartition(tasks).mapInArrow(get, _READ)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from boursecraft.llm import chat, warc
 
@@ -41,12 +44,13 @@ def test_formatting_awkward_rows(spark):
 
 
 def test_archives_hold_what_was_written(spark, tmp_path):
-    rows = [(3, "u", "same", 1), (1, "u\r\nX: y", "same", 1), (2, None, "", 1), (4, "v", None, 1), (None, "w", "same", 1), (5, "v", "é" * 50000, 1), (5, "v", "other", 1), (1 << 40, "far", "x", 2)]
+    rows = [(3, "u", "same", 1), (1, "u\r\nX: y", "same", 1), (2, None, "", 1), (4, "v", None, 1), (None, "w", "same", 1), (5, "v", "é" * 50000, 1), (5, "v", "other", 1), (1 << 40, "far", "x", 2), (-7, "minus", "y", 2)]
+    rows += [(6, "copy", "again and again", 1)] * 40 + [(None, f"n{k % 2}", "nobody's", 1) for k in range(20)] + [(9, "late", "again and again", 1)] * 3
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
     folder = f"file://{tmp_path}/a"
-    manifest = warc.write(pages, folder, shard_bytes=40, file_bytes=300)
-    found = warc.read(manifest).collect()
-    first = {"same": 1, "": 2}
+    warc.write(pages, folder, shard_bytes=40, file_bytes=300)
+    found = warc.read(spark, folder).collect()
+    first = {"same": 1, "": 2, "again and again": 6}
     want = []
     for i, _, html, _ in rows:
         data = (html or "").encode()
@@ -56,14 +60,41 @@ def test_archives_hold_what_was_written(spark, tmp_path):
     assert sorted(((r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=repr) == sorted(want, key=repr)
     files, place = fs.FileSystem.from_uri(folder)
     names = [f.base_name for f in files.get_file_info(fs.FileSelector(place))]
+    manifest = warc.manifest(spark, folder)
     assert not [n for n in names if n.endswith(".tmp")] and any(n.startswith("manifest-") for n in names) and manifest.count() > 2
-    again = warc.write(pages.repartition(5), f"file://{tmp_path}/b", shard_bytes=40, file_bytes=300)
-    key = lambda m: sorted((r.path.rsplit("/", 1)[1], r.sha256) for r in m.collect())
-    assert key(manifest) == key(again)
-    assert warc.read(warc.write(pages.limit(0), f"file://{tmp_path}/c")).count() == 0
+    # copies of one row that fill shards are dealt over them, and no two records share a name
+    records = [h for f in files.get_file_info(fs.FileSelector(place)) if f.base_name.endswith(".gz") for h, _ in warc.parse(io.BufferedReader(gzip.open(f.path)))]
+    ids = [h["warc-record-id"] for h in records]
+    assert len(set(ids)) == len(ids) == len(rows)
+    assert {h["warc-refers-to"] for h in records if "warc-refers-to" in h} <= set(ids)
+    assert len({r.shard for r in manifest.collect()}) > 5
+    warc.write(pages.limit(0), f"file://{tmp_path}/c")
+    assert warc.read(spark, f"file://{tmp_path}/c").count() == 0
+
+
+def test_files_depend_on_the_rows_alone(spark, tmp_path):
+    rows = [(k % 97, f"u{k}", f"text {k % 61} " * (k % 7), 1) for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
+    sums = []
+    for k, given in enumerate((pages, pages.repartition(5), pages.orderBy(F.desc("url")))):
+        warc.write(given, f"file://{tmp_path}/{k}", shard_bytes=2000, file_bytes=900)
+        sums.append(sorted((r.path.rsplit("/", 1)[1], r.sha256) for r in warc.manifest(spark, f"file://{tmp_path}/{k}").collect()))
+    assert sums[0] == sums[1] == sums[2] and len(sums[0]) > 5
+
+
+def test_unfinished_and_damaged_archives_are_found(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"text {k}") for k in range(50)], "page_id long, url string, html string")
+    uri = f"file://{tmp_path}/a"
+    warc.write(pages, uri, shard_bytes=100)
+    sorted(tmp_path.glob("a/manifest-*.json"))[0].unlink()
+    with pytest.raises(ValueError, match="add up"):
+        warc.read(spark, uri)
+    (tmp_path / "a" / "dataset.json").unlink()
+    with pytest.raises(FileNotFoundError):
+        warc.read(spark, uri)
 
 
 def test_least_size_of_revisits(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
-    kinds = [r.record_type for r in warc.read(warc.write(pages, f"file://{tmp_path}/d", revisit_from=3)).collect()]
-    assert kinds == ["response", "response"]
+    warc.write(pages, f"file://{tmp_path}/d", revisit_from=3)
+    assert [r.record_type for r in warc.read(spark, f"file://{tmp_path}/d").collect()] == ["response", "response"]

@@ -13,11 +13,17 @@ Two deterministic transducers stand for a byte-level BPE tokenizer:
   relative to the end. The last token after a byte is the longest token ending there that is
   compatible with the last token before it: the pair must encode to itself. States and transitions
   are made when first needed and kept up to ``MOST_TRANSITIONS``.
+
+A text's counts are put together from chunks of ``COUNT_CHUNK`` bytes cut wherever they fall, inside
+words too. A chunk's map tells, for any state it is entered in, how many tokens it adds and the state it
+is left in: a word start inside makes all but the bytes before it independent of the state entered in,
+so these bytes, one count and one state are the map. Maps compose, and a prefix scan composes them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,7 @@ from boursecraft.llm.bpe import SHORT, RankArrays, split_long
 from boursecraft.llm.packing import blocks
 
 CHUNK = 64
+COUNT_CHUNK = 4096
 MOST_TRANSITIONS = 600_000
 #: Distinct words whose counts a worker remembers.
 MEMO_ENTRIES = 500_000
@@ -188,25 +195,55 @@ class WordTransducer:
         self.made += 1
         return found, added
 
-    def count(self, word: bytes) -> int:
-        state = total = 0
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """(state, tokens added) behind ``data``, entered in ``state``."""
+        total = 0
         steps = self.steps
-        for byte in word:
+        for byte in data:
             step = steps[state].get(byte)
             if step is None:
                 step = self._make(state, byte)
             state = step[0]
             total += step[1]
-        if self.made > MOST_TRANSITIONS:
-            self.reset()
-        return total
+        return state, total
+
+    def count(self, word: bytes) -> int:
+        return self.run(0, word)[1]
+
+
+class CountMap(NamedTuple):
+    """What a chunk does to any state: ``head`` is read in the state entered in; behind it, unless the
+    chunk has no word start (``passes``), ``added`` tokens follow and ``state`` is left."""
+
+    head: bytes
+    passes: bool
+    added: int = 0
+    state: int = 0
+
+    def then(self, other: CountMap, words: WordTransducer) -> CountMap:
+        """The map of this chunk and the one behind it."""
+        if self.passes:
+            return CountMap(self.head + other.head, other.passes, other.added, other.state)
+        state, added = words.run(self.state, other.head)
+        if other.passes:
+            return CountMap(self.head, False, self.added + added, state)
+        return CountMap(self.head, False, self.added + added + other.added, other.state)
+
+
+def composed(maps: list[CountMap], words: WordTransducer) -> list[CountMap]:
+    """Entry k becomes the composition of entries 0..k, in log2 rounds."""
+    reach = 1
+    while reach < len(maps):
+        maps = [*maps[:reach], *(a.then(b, words) for a, b in zip(maps, maps[reach:]))]
+        reach *= 2
+    return maps
 
 
 class Counter:
     """Counts the tokens of whole texts."""
 
-    def __init__(self, tables: dict):
-        self.special, self.kind = tables["special"], tables["classes"]
+    def __init__(self, tables: dict, chunk: int = COUNT_CHUNK):
+        self.chunk, self.special, self.kind = chunk, tables["special"], tables["classes"]
         self.following, self.output, self.start = tables["scanner"]
         self.words = WordTransducer(tables["ids"], tables["merges"])
         self.memo: dict[bytes, int] = {}
@@ -215,6 +252,8 @@ class Counter:
         memo, count = self.memo, self.words.count
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
+        if self.words.made > MOST_TRANSITIONS:
+            self.words.reset()
         out = []
         for word in words:
             n = memo.get(word)
@@ -247,10 +286,45 @@ class Counter:
         at = np.append(0, np.cumsum(width))[mark]
         real = np.flatnonzero(kind[mark] != END)
         begin, end = at[real], at[real + 1]
-        first, kinds = runs.distinct(raw, begin, end)
-        counts = self._counts([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())])
         part = np.searchsorted(np.flatnonzero(kind == END), mark[real])
-        return special + np.bincount(np.array(owner)[part], counts[kinds], len(texts)).astype(np.int64)
+        origin = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), np.array(sizes) + 1), width, len(sizes)).astype(np.int64)))
+        # words inside one chunk count for it; those that run over its end are left to the chunk maps
+        first_chunk, last_chunk = (begin - origin[part]) // self.chunk, (end - 1 - origin[part]) // self.chunk
+        whole = np.flatnonzero(first_chunk == last_chunk)
+        first, kinds = runs.distinct(raw, begin[whole], end[whole])
+        starts, stops = begin[whole][first], end[whole][first]
+        counts = self._counts([raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())])[kinds]
+        total = np.bincount(part[whole], counts, len(sizes)).astype(np.int64)
+        split = np.flatnonzero(first_chunk != last_chunk)
+        of_split, at_whole, of_whole = part[split], part[whole], first_chunk[whole]
+        for k in np.unique(of_split).tolist():  # words are in order of their parts
+            mine = split[slice(*np.searchsorted(of_split, [k, k + 1]))]
+            own = slice(*np.searchsorted(at_whole, [k, k + 1]))
+            chunks = -(-int(origin[k + 1] - origin[k]) // self.chunk)
+            added = np.bincount(of_whole[own], counts[own], chunks).astype(np.int64)
+            spans = list(zip(begin[mine].tolist(), end[mine].tolist()))
+            total[k] = self._chunked(raw, int(origin[k]), int(origin[k + 1]), added.tolist(), spans)
+        return special + np.bincount(np.array(owner), total, len(texts)).astype(np.int64)
+
+    def _chunked(self, raw: bytes, start: int, stop: int, added: list[int], spans: list[tuple[int, int]]) -> int:
+        """Tokens of a text from the maps of its chunks; ``spans`` are the words that run over chunk ends."""
+        maps, words = [], iter(spans)
+        inside, ahead = None, next(words, None)
+        for k, count in enumerate(added):
+            low, high = start + k * self.chunk, min(start + (k + 1) * self.chunk, stop)
+            head = b""
+            if inside is not None:
+                head = raw[low : min(inside[1], high)]
+                if inside[1] > high:
+                    maps.append(CountMap(head, True))
+                    continue
+                inside = None
+            state = more = 0
+            if ahead is not None and ahead[0] < high:
+                inside, ahead = ahead, next(words, None)
+                state, more = self.words.run(0, raw[inside[0] : high])
+            maps.append(CountMap(head, False, count + more, state))
+        return composed(maps, self.words)[-1].added
 
 
 def compile_tables(path: str) -> dict:

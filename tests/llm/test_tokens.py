@@ -63,6 +63,31 @@ def test_scanner_state_maps_compose():
     assert (mark == plain).all()
 
 
+LONG = "It's the  naïve café's 12345 words, 😀😀 don't!\n\n\tspaces   and <|endoftext|> more " + "x" * 700 + " Ünïcödé漢字" * 30 + " end"
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 64, 500, 4096])
+def test_composed_chunk_counts_equal_the_library_for_any_chunk_length(chunk):
+    counter = token_counts.Counter(token_counts.compile_tables(BYTES), chunk)
+    texts = [LONG, "", "short", LONG * 3, "a" * 1000, "<|endoftext|>", " " * 50 + "tail", LONG[:-1] + "<|endoftext|>" + LONG]
+    assert counter.count(texts).tolist() == [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_count_maps_compose_in_any_grouping():
+    words = token_counts.Counter(token_counts.compile_tables(BYTES)).words
+    rng = random.Random(6)
+    for _ in range(50):
+        maps = [token_counts.CountMap(bytes(rng.choices(b"abcde", k=rng.randrange(4))), rng.random() < 0.4, rng.randrange(5), words.run(0, bytes(rng.choices(b"abcde", k=rng.randrange(4))))[0]) for _ in range(6)]
+        maps = [m._replace(added=0, state=0) if m.passes else m for m in maps]
+        one = maps[0]
+        for m in maps[1:]:
+            one = one.then(m, words)
+        other = maps[-1]
+        for m in reversed(maps[:-1]):
+            other = m.then(other, words)
+        assert one == other == token_counts.composed(maps, words)[-1]
+
+
 def test_encode_operator_on_awkward_rows(awkward, nothing):
     rows = bpe.encode(awkward, BYTES).collect()
     texts = {r.doc_id: r.text or "" for r in awkward.collect()}

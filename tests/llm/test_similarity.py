@@ -84,6 +84,37 @@ def test_every_pair_of_two_components_is_a_candidate():
     assert found == {(1, 3), (2, 4)}
 
 
+def test_shingles_of_a_block_equal_those_of_each_text(awkward):
+    rng = random.Random(2)
+    texts = ["", "one", "a b c d", "a b c d e", "a b c d e f", "  ", "Ünï 😀 x y z w", "w" * 3000 + " a b c d"] + [" ".join(rng.choice("abc") * rng.randrange(1, 20) for _ in range(rng.randrange(0, 40))) for _ in range(200)]
+    texts += [r.text or "" for r in awkward.collect()]
+    for text, (h, n) in zip(texts, near_dedup.block_shingles(texts)):
+        want = shingles(text)
+        assert h.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()
+    assert near_dedup.block_shingles([]) == []
+
+
+def test_a_band_with_one_large_component_stays_linear(spark):
+    rows = spark.range(20000).selectExpr("id AS rep", "1 AS band", "CASE WHEN id < 19990 THEN 0 ELSE id END AS kind")
+    dealt = near_dedup._blocked(rows, "band", ["rep", "kind"])
+    assert dealt.count() < 1.1 * 20000  # it was 800,000
+    # every pair of different kinds meets in exactly one pair of blocks, or within one block
+    small = spark.range(1500).selectExpr("id AS rep", "1 AS band", "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS kind")
+    seen = {}
+    for r in near_dedup._blocked(small, "band", ["rep", "kind"]).collect():
+        seen.setdefault((r.part_a, r.part_b), ([], []))[r.side].append((r.rep, r.kind))
+    pairs = set()
+    for (a, b), (left, right) in seen.items():
+        for x, kx in left:
+            for y, ky in left if a == b else right:
+                if kx != ky and (a != b or x < y):
+                    pair = (min(x, y), max(x, y))
+                    assert pair not in pairs
+                    pairs.add(pair)
+    kinds = [0 if k % 3 == 0 else k for k in range(1500)]
+    assert len(pairs) == sum(kinds[x] != kinds[y] for x in range(1500) for y in range(x))
+
+
 def test_few_equal_samples_do_not_drop_a_pair_of_a_band():
     marks = np.arange(2 * 48).reshape(2, 48).astype(np.uint8)
     marks[1, :24] = marks[0, :24]

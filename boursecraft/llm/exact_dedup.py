@@ -235,5 +235,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents that own their text, with all their columns. Rows without an identifier stay
     only where no row with one has their text; an identifier that stays keeps every row it is on."""
     kept: Column = F.col("kept")
-    ids = assign(docs, id_col, text_col, keep).where(kept).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    ids = assign(docs, id_col, text_col, keep).where(kept).select(F.col(id_col).alias("owner")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))  # whatever the columns are named
+    return rows.join(ids, F.col("id").eqNullSafe(F.col("owner")), "left_semi").select("row.*")

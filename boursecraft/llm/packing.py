@@ -226,7 +226,8 @@ def pack(parts: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> D
     """
     parts = materialise(parts, "pieces")
     shards = max(1, -(-parts.where(F.col("length") < capacity).count() // shard_pieces))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(shards)))
+    # a stored row's place parts rows that repeat an identifier and text, or have none
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
 
     def place(group: pa.Table) -> pa.Table:

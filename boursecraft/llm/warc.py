@@ -184,7 +184,7 @@ def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "u
     placed = both.mapInArrow(shard_of, "key string, id long, url string, payload binary, content string, refers_to long, low long, high long")
     copy = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("high") - F.col("low") + 1) + F.col("low")
     dealt = placed.withColumn("shard", F.explode(F.when(F.col("payload").isNull(), F.sequence("low", "high")).otherwise(F.array(copy))))
-    ordered = dealt.repartition(max(1, total), "shard").sortWithinPartitions("shard", "key", F.col("payload").isNotNull(), "url").select("id", "url", "payload", "content", "refers_to", "low", "shard")
+    ordered = dealt.repartitionById(max(1, total), F.col("shard").cast("int")).sortWithinPartitions("shard", "key", F.col("payload").isNotNull(), "url").select("id", "url", "payload", "content", "refers_to", "low", "shard")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, place, mark, last = None, 0, None, None

@@ -42,3 +42,42 @@ def test_pipeline_stages_take_effect(spark):
     assert not [r for r in out["secret scans"].collect() if "password=" in r.text and "[SECRET]" not in r.text]
     assert ids(out["best-fit packing"]) == ids(out["secret scans"])
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == ids(out["best-fit packing"])
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, _before string, _gone long, _kept_id long, row string, id long, owner long, gone long, _text string, _parts string"
+
+
+def awkward_documents(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    given = [
+        (1, "same text here for all of us to read", 1), (2, "Same text here for all of us to READ", 1), (3, words, 1), (4, words + " end", 1), (5, None, None), (6, "", 0), (None, "nobody's own text", 1),
+        (7, "my password=abcdef123 and more words", 1), (7, "my password=abcdef123 and more words", 1), (8, "x" * 50000, 50000), (9, "token = 'zzzzzz99' twice token = 'zzzzzz99'", 1),
+    ]
+    return spark.createDataFrame([(i, t, "en", None, n, "password=hidden77", 1, 1, "r", 9, 9, 1, t, "p") for i, t, n in given], AWKWARD)
+
+
+def test_pipeline_stages_on_awkward_documents(spark):
+    docs = awkward_documents(spark)
+    ids = lambda d: sorted((r.doc_id is not None, r.doc_id or 0) for r in d.collect())
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialise(stage(spark, docs, SF), "awkward")
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        kept[name], docs = ids(out), out
+    assert kept["toxicity"] == ids(awkward_documents(spark))
+    assert [i for _, i in kept["exact dedup"]].count(1) == 0 and (True, 2) in kept["exact dedup"]  # the larger of two equal texts
+    assert (True, 3) in kept["minhash near-dedup"] and (True, 4) not in kept["minhash near-dedup"]
+    assert kept["secret scans"] == kept["minhash near-dedup"]
+    texts = {r.doc_id: r for r in docs.collect()}
+    assert texts[7].text == "my [SECRET] and more words" and texts[7].n_chars == len(texts[7].text) and texts[7]._before == "password=hidden77" and texts[7].row == "r"
+    assert texts[9].text == "[SECRET]' twice [SECRET]'" and texts[8].n_chars == 50000 and None in texts
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {p.doc_id for p in pieces} == set(texts)
+
+
+def test_pipeline_stages_on_empty_documents(spark):
+    docs = awkward_documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0

@@ -34,9 +34,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark and their n_chars counted again."""
-    clean = secret_scan.redact(docs.withColumn("_before", F.col("text")), secret_scan.train(docs))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    # the row as it was travels in a struct: no column of the documents can be mistaken for another
+    carried = docs.select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row"))
+    clean = secret_scan.redact(carried, secret_scan.train(docs))
+    same = F.col("text").eqNullSafe(F.col("row.text"))
+    fresh = {"text": F.col("text"), "n_chars": F.when(same, F.col("row.n_chars")).otherwise(F.length("text").cast("long"))}
+    return clean.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from boursecraft import catalog
 from boursecraft.functions import values as V
 from boursecraft.operators.compare import cheap_and_strong
+from boursecraft.operators.paging import PageIndex, build_index
+from boursecraft.operators.postings import Postings
 from boursecraft.operators.ranks import numbered
 
 # fixed values: the four documented screens
@@ -38,9 +40,12 @@ def matches_text(needle: str, *columns: str) -> Column:
 
 
 def search(stocks: DataFrame, needle: str | None = None, sector: str | None = None, min_coverage: float = 0.0,
-           limit: int | None = 100) -> DataFrame:
-    """API search: text, sector, coverage; by rank with unranked last; a page of ``limit`` rows."""
-    rows = stocks.filter(matches_text(needle or "", "ticker", "shortName"))
+           limit: int | None = 100, postings: Postings | None = None) -> DataFrame:
+    """API search: text, sector, coverage; by rank with unranked last; a page of ``limit`` rows.
+
+    With ``postings`` of the stocks only rows that they name are compared with the needle.
+    """
+    rows = stocks.filter(matches_text(needle or "", "ticker", "shortName")) if postings is None else postings.search(stocks, needle or "")
     if sector:
         rows = rows.filter(F.col("sector") == sector)
     rows = rows.filter(F.coalesce(F.col("data_cov"), F.lit(0.0)) >= min_coverage)
@@ -50,11 +55,14 @@ def search(stocks: DataFrame, needle: str | None = None, sector: str | None = No
 
 def sorted_blanks_last(df: DataFrame, key: str, descending: bool = False, tie: str = "instrument_id") -> DataFrame:
     """Sort by any column; null and empty text go last in both directions; text ignores case."""
+    return df.orderBy(*blanks_last(df, key, descending, tie))
+
+
+def blanks_last(df: DataFrame, key: str, descending: bool = False, tie: str = "instrument_id") -> list[Column]:
     column = F.col(key)
     if dict(df.dtypes)[key] == "string":
         column = F.lower(F.nullif(column, F.lit("")))
-    order = column.desc_nulls_last() if descending else column.asc_nulls_last()
-    return df.orderBy(order, F.col(tie))
+    return [column.desc_nulls_last() if descending else column.asc_nulls_last(), F.col(tie).asc()]
 
 
 def positions(df: DataFrame, order: list[Column], alias: str = "position") -> DataFrame:
@@ -62,17 +70,27 @@ def positions(df: DataFrame, order: list[Column], alias: str = "position") -> Da
     return numbered(df, order, alias)
 
 
-def explorer(stocks: DataFrame, needle: str = "", sector: str = "all", min_coverage: float = 0.0, key: str = "rank",
-             descending: bool = False, page: int = 1, page_size: int = 25) -> DataFrame:
-    """Explorer grid: filter, sort on any column, one page (``page_size`` 0 shows everything)."""
+def explorer_rows(stocks: DataFrame, needle: str = "", sector: str = "all", min_coverage: float = 0.0) -> DataFrame:
+    """The rows that the explorer's filters leave."""
     rows = stocks.filter(matches_text(needle, "ticker", "shortName"))
     if sector != "all":
         rows = rows.filter(F.col("sector") == sector)
-    rows = rows.filter(F.coalesce(F.col("data_cov"), F.lit(0.0)) >= min_coverage)
-    ordered = sorted_blanks_last(rows, key, descending)
+    return rows.filter(F.coalesce(F.col("data_cov"), F.lit(0.0)) >= min_coverage)
+
+
+def explorer_index(stocks: DataFrame, needle: str = "", sector: str = "all", min_coverage: float = 0.0, key: str = "rank",
+                   descending: bool = False, ranges: int | None = None) -> PageIndex:
+    """The filtered grid sorted once, for any number of its pages and their total."""
+    rows = explorer_rows(stocks, needle, sector, min_coverage)
+    return build_index(rows, blanks_last(rows, key, descending), ranges)
+
+
+def explorer(stocks: DataFrame, needle: str = "", sector: str = "all", min_coverage: float = 0.0, key: str = "rank",
+             descending: bool = False, page: int = 1, page_size: int = 25) -> DataFrame:
+    """Explorer grid: filter, sort on any column, one page (``page_size`` 0 shows everything)."""
     if page_size == 0:
-        return ordered
-    return ordered.offset((page - 1) * page_size).limit(page_size)
+        return sorted_blanks_last(explorer_rows(stocks, needle, sector, min_coverage), key, descending)
+    return explorer_index(stocks, needle, sector, min_coverage, key, descending).page(page, page_size).drop("place")
 
 
 def dashboard_filter(stocks: DataFrame, needle: str = "", sector: str = "", min_score: float = 0.0, min_mcap_cr: float = 0.0,

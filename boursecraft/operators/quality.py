@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boursecraft import catalog
 from boursecraft.functions import values as V
+from boursecraft.operators.paging import PageIndex, build_index
 from boursecraft.session import materialise
 
 # deciding figure -> its name in either vocabulary
@@ -131,12 +132,15 @@ def flattened_issues(obs: DataFrame) -> DataFrame:
     return obs.select("id", "instrument_id", "provider", F.inline("issues"))
 
 
+def issue_index(obs: DataFrame) -> PageIndex:
+    """All issues in order of their observations, for any page."""
+    return build_index(flattened_issues(obs), [F.col(c).asc() for c in ("id", "code", "field")])
+
+
 def issue_page(obs: DataFrame, size: int, after: int = 0) -> DataFrame:
     """A page of issues by observation, and on every row the number of all issues."""
-    found = flattened_issues(obs)
-    total = found.agg(F.count("*").alias("total"))
-    page = found.orderBy("id", "code", "field").offset(after).limit(size)
-    return page.withColumn("total", total.scalar())
+    index = issue_index(obs)
+    return index.after(after, size).drop("place").withColumn("total", F.lit(index.total).cast("long"))
 
 
 # ---- failure tally ------------------------------------------------------------------------------------

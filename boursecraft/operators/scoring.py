@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from boursecraft import catalog
 from boursecraft.functions import values as V
-from boursecraft.operators.ranks import ordinal_rank, percentile_ranks
+from boursecraft.operators.ranks import ordinal_rank, percentile_ranks, value_ranks
 from boursecraft.session import materialise
 
 METRICS = tuple(catalog.DIRECTIONS)
@@ -268,49 +268,93 @@ def column_weight_scores(df: DataFrame, id_column: str) -> DataFrame:
     return every.select(id_column, score.alias("final_score"), *[c.alias(k) for k, c in groups.items()])
 
 
+#: The two inputs that a scenario overrides.
+VARIED = ("earningsGrowth", "earningsQuarterlyGrowth")
+
+
+def _percentile(below: Column, ties: Column, total: Column, sign: int) -> Column:
+    """Average-tie percentile of a value from the rows below it, those that share it and all."""
+    ahead = below if sign > 0 else total - below - ties
+    return (ahead + (ties + 1) / F.lit(2.0)) / total
+
+
+def value_histogram(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """(metric, value, below, ties, total): how many rows are below each value and share it.
+
+    Stored: a value that is put in or taken out moves the counts of the values above it by one.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("metric"), F.col(m).cast("double").alias("value")) for i, m in enumerate(metrics)])
+    return materialise(value_ranks(df.select(F.inline(cells)), ["metric"]), "histogram")
+
+
 def what_if(stocks: DataFrame, ticker: str, scenarios: Mapping[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
     """Override two growth inputs of one ticker per scenario, rescore the universe, report deltas.
 
-    Only percentiles of the overridden metrics differ between scenarios, but every rank may: the
-    universe is exploded by the fixed scenario list and ranked per scenario.
+    The universe is ranked once: percentiles of the other inputs as they are, and the counts around each
+    value of the two without the stock. A scenario puts one value in, which moves a count by one for the
+    values above it: per stock and scenario that is arithmetic on two looked-up counts. The stock's rank is
+    the number of stocks ahead of it. ``ticker`` names one stock; without it there are no rows.
     """
     scenarios = scenarios or catalog.SCENARIOS
-    rows = F.array(
-        *[
-            F.struct(F.lit(name).alias("scenario"), F.lit(i).alias("scenario_no"), F.lit(a).cast("double").alias("_eg"), F.lit(b).cast("double").alias("_qg"))
-            for i, (name, (a, b)) in enumerate(scenarios.items())
-        ]
-    )
+    names = list(scenarios)
     hit = F.col("ticker") == ticker
-    base = derive_factors(stocks, legacy=True).filter("currentPrice IS NOT NULL")
-    varied = base.select("*", F.inline(rows)).withColumns(
-        {
-            "earningsGrowth": F.when(hit, F.col("_eg")).otherwise(F.col("earningsGrowth")),
-            "earningsQuarterlyGrowth": F.when(hit, F.col("_qg")).otherwise(F.col("earningsQuarterlyGrowth")),
-        }
-    )
     # this scorer predates coverage: plain group means, no gates, no lender exemption
+    base = derive_factors(stocks, legacy=True).filter("currentPrice IS NOT NULL").withColumn("sector", F.lit(None).cast("string"))
+    base = base.select("instrument_id", "ticker", "sector", *[m for m in METRICS if m in base.columns])
+    base = materialise(base.withColumns({m: F.when(~F.coalesce(hit, F.lit(False)), F.col(m)) for m in VARIED}), "universe")
+    present = [m for m in METRICS if m in base.columns]
+    fixed = metric_percentiles(base.drop(*VARIED), "instrument_id")
+    counts = value_histogram(base, VARIED)
+    wide = base.select("instrument_id", "ticker", *VARIED).join(fixed, "instrument_id", "left")
+    for i, m in enumerate(VARIED):
+        found = counts.filter(F.col("metric") == i).select(F.col("value").alias(m), F.col("below").alias(f"{m}_below"), F.col("ties").alias(f"{m}_ties"))
+        wide = wide.join(found, m, "left")
+    # what the scenarios' values meet: a dozen sums over the histogram
+    value = {(k, i): None if scenarios[n][i] is None else float(scenarios[n][i]) for k, n in enumerate(names) for i in range(2)}
+    sums = [F.max(F.when(F.col("metric") == i, F.col("total"))).alias(f"total_{i}") for i in range(2)]
+    for (k, i), v in value.items():
+        mine = F.col("metric") == i
+        sums += [F.sum(F.when(mine & (F.col("value") < v), F.col("ties"))).alias(f"below_{k}_{i}"), F.sum(F.when(mine & (F.col("value") == v), F.col("ties"))).alias(f"ties_{k}_{i}")] if v is not None else []
+    met = {k: v or 0 for k, v in counts.agg(*sums).first().asDict().items()}
+
+    def percentile(k: int, i: int) -> Column:
+        """Of one varied input in one scenario, for the stock itself and for all others."""
+        m, v, sign = VARIED[i], value[k, i], catalog.DIRECTIONS[VARIED[i]]
+        total = F.lit(met[f"total_{i}"] + (v is not None))
+        own = F.lit(None).cast("double") if v is None else _percentile(F.lit(met[f"below_{k}_{i}"]), F.lit(met[f"ties_{k}_{i}"] + 1), total, sign)
+        above, same = (F.lit(0), F.lit(0)) if v is None else ((F.col(m) > v).cast("long"), (F.col(m) == v).cast("long"))
+        other = F.when(F.col(m).isNotNull(), _percentile(F.col(f"{m}_below") + above, F.col(f"{m}_ties") + same, total, sign))
+        return F.when(hit, own).otherwise(other)
+
+    def group(name: str, k: int) -> Column:
+        metrics = [m for m, _ in catalog.GROUPS[name] if m in present]
+        parts = [F.coalesce(percentile(k, VARIED.index(m)) if m in VARIED else F.col(f"p_{m}"), F.lit(0.5)) for m in metrics]
+        return V.rounded(_total(parts) / len(metrics) * 100, 1)
+
     weights = normalised_weights()
-    present = [m for m in METRICS if m in varied.columns]
-    keys = ["scenario"]
-    neutral = materialise(varied.withColumn("sector", F.lit(None).cast("string")), "scenarios")
-    pct = metric_percentiles(neutral, "instrument_id", keys)
-    joined = neutral.join(pct, ["instrument_id", *keys], "left")
-    groups = {
-        f"g_{g}": V.rounded(_total([F.coalesce(F.col(f"p_{m}"), F.lit(0.5)) for m, _ in ms if m in present]) / len([m for m, _ in ms if m in present]) * 100, 1)
-        for g, ms in catalog.GROUPS.items()
-    }
-    scored = joined.withColumns(groups).withColumn("final_score", model_score(weights))
-    scored = materialise(scored.select("instrument_id", "ticker", "scenario", "scenario_no", "g_growth", "final_score"), "scenario_scores")
-    ranked = ordinal_rank(scored, ["final_score"], "instrument_id", keys=keys)
-    # one row per scenario from here on
-    mine = materialise(ranked.filter(hit), "scenario_result")
-    baseline = mine.agg(F.min_by("final_score", "scenario_no").alias("s"), F.min_by("rank", "scenario_no").alias("r"))
-    return mine.select(
-        "scenario", "g_growth", "final_score", "rank",
-        V.rounded(F.col("final_score") - baseline.select("s").scalar(), 1).alias("d_score"),
-        (baseline.select("r").scalar() - F.col("rank")).alias("d_rank"),
-    )
+    columns = {}
+    for k in range(len(names)):
+        groups = {g: group(g, k) for g in catalog.GROUPS}
+        columns[f"growth_{k}"] = groups["growth"]
+        columns[f"score_{k}"] = V.rounded(_total([F.lit(weights[g]) * (groups[g] / 100) for g in catalog.GROUPS]) * 100, 1)
+    scored = materialise(wide.select("instrument_id", "ticker", *[c.alias(n) for n, c in columns.items()]), "scenario_scores")
+    rows = scored.filter(hit).limit(2).collect()
+    schema = "scenario string, g_growth double, final_score double, rank long, d_score double, d_rank long"
+    if not rows:
+        return stocks.sparkSession.createDataFrame([], schema)
+    if len(rows) > 1:
+        raise ValueError(f"{ticker} names several stocks")
+    own = rows[0]
+    ahead = lambda k: (F.col(f"score_{k}") > own[f"score_{k}"]) | ((F.col(f"score_{k}") == own[f"score_{k}"]) & (F.col("instrument_id") < own["instrument_id"]))
+    ranks = scored.agg(*[(F.count_if(ahead(k)) + 1).alias(f"r_{k}") for k in range(len(names))])
+    cells = [
+        F.struct(
+            F.lit(n).alias("scenario"), F.lit(own[f"growth_{k}"]).alias("g_growth"), F.lit(own[f"score_{k}"]).alias("final_score"), F.col(f"r_{k}").cast("long").alias("rank"),
+            V.rounded(F.lit(own[f"score_{k}"]) - F.lit(own["score_0"]), 1).alias("d_score"), (F.col("r_0") - F.col(f"r_{k}")).cast("long").alias("d_rank"),
+        )
+        for k, n in enumerate(names)
+    ]
+    return ranks.select(F.inline(F.array(*cells)))
 
 
 # ---- other coverage definitions -------------------------------------------------------------------

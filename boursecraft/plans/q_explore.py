@@ -15,6 +15,7 @@ from boursecraft.operators import latest as L
 from boursecraft.operators import quality as D
 from boursecraft.operators import reconcile as R
 from boursecraft.operators import scoring as S
+from boursecraft.operators.postings import build_postings
 from boursecraft.plans import adapters as A
 from boursecraft.plans import oracle as O
 from boursecraft.plans import score_sql as Q
@@ -51,7 +52,8 @@ RUN = with_(O.PREV, O.CUR)
 @query("flt_search", SC + """SELECT ticker, "shortName", sector, rank FROM scored WHERE (contains(lower(ticker), 'ring') OR contains(lower("shortName"), 'ring'))
   AND sector = 'SMALL' AND coalesce(data_cov, 0) >= 70 ORDER BY rank NULLS LAST, instrument_id LIMIT 100""")
 def _(spark, d):
-    return X.search(ranking(spark, d), "RING", "SMALL", 70.0, 100).select("ticker", "shortName", "sector", "rank")
+    rows = ranking(spark, d)
+    return X.search(rows, "RING", "SMALL", 70.0, 100, build_postings(rows)).select("ticker", "shortName", "sector", "rank")
 
 
 @query("flt_explorer", SC + """SELECT ticker, "trailingPE" FROM scored WHERE (contains(lower(ticker), 'bolt') OR contains(lower("shortName"), 'bolt'))

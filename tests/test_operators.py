@@ -226,6 +226,30 @@ def universe(spark, overrides):
     return spark.createDataFrame(rows, schema)
 
 
+def test_what_if_equals_ranking_every_scenario(spark):
+    """Values put in and taken out at ties, between others, as null and beyond the ends."""
+    rng = random.Random(12)
+    maybe = lambda: None if rng.random() < 0.1 else round(rng.uniform(-1, 1), 1)
+    picks = [(f"S{k}", "Tech", {"earningsGrowth": maybe(), "earningsQuarterlyGrowth": maybe(), "returnOnEquity": rng.random(), "trailingPE": rng.uniform(5, 50)}) for k in range(60)]
+    stocks = universe(spark, picks)
+    scenarios = {"low": (-5.0, -5.0), "none": (None, None), "tie": (0.1, -0.2), "mixed": (None, 0.35), "high": (9.0, 9.0)}
+    got = {r["scenario"]: r for r in S.what_if(stocks, "S7", scenarios).collect()}
+    weights, scores = S.normalised_weights(), {}
+    for name, (a, b) in scenarios.items():
+        varied = [(t, x, {**v, "earningsGrowth": a, "earningsQuarterlyGrowth": b} if t == "S7" else v) for t, x, v in picks]
+        frame = S.derive_factors(universe(spark, varied), legacy=True).toPandas()
+        pct = {m: frame[m].rank(pct=True, ascending=sign > 0).fillna(0.5) for m, sign in catalog.DIRECTIONS.items() if m in frame}
+        groups = {g: ((sum(pct[m] for m, _ in ms if m in pct) / len([m for m, _ in ms if m in pct])) * 100).round(1) for g, ms in catalog.GROUPS.items()}
+        frame["score"] = (sum(w * groups[g] / 100 for g, w in weights.items()) * 100).round(1)
+        order = frame.sort_values(["score", "instrument_id"], ascending=[False, True]).reset_index()
+        mine = order.index[order["ticker"] == "S7"][0]
+        scores[name] = (order["score"][mine], mine + 1)
+        assert (got[name]["final_score"], got[name]["rank"]) == (pytest.approx(scores[name][0], abs=0.1001), pytest.approx(scores[name][1], abs=1))
+        assert got[name]["g_growth"] == pytest.approx(groups["growth"][7], abs=0.1001)
+    assert got["low"]["d_score"] == 0 and got["high"]["d_rank"] == got["low"]["rank"] - got["high"]["rank"]
+    assert S.what_if(stocks, "nobody").count() == 0
+
+
 def test_scorer_orders_keeps_thin_stocks_and_exempts_lenders(spark):
     thin = {k: None for k in ("returnOnEquity", "returnOnAssets", "ebitdaMargins", "debtToEquity", "currentRatio", "trailingPE", "priceToBook", "pegRatio", "enterpriseToEbitda", "dividendYield")}
     bank = {k: None for k in ("ebitdaMargins", "debtToEquity", "currentRatio", "enterpriseToEbitda")}

@@ -63,7 +63,9 @@ class WordTokenizer:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
         self.bar = self.library.encode("|", add_special_tokens=False).ids
+        # known runs in two generations: the older one is dropped as a whole, what was used since has moved on
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct runs. Runs without a bar go to the library a hundred at a time with bars
@@ -87,9 +89,16 @@ class WordTokenizer:
 
     def _ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         known = list(map(self.memo.get, words))
-        new = [k for k, ids in enumerate(known) if ids is None]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        new = []
+        for k, ids in enumerate(known):
+            if ids is None:
+                ids = self.older.get(words[k])
+                if ids is None:
+                    new.append(k)
+                else:
+                    known[k] = self.memo[words[k]] = ids
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.memo, self.older = {}, self.memo
         for k, ids in zip(new, self._library([words[k] for k in new])):
             known[k] = ids
             if len(words[k]) <= runs.LONGEST:

@@ -53,10 +53,15 @@ _READ = "id long, start long, n_tokens long, tokens binary"
 
 # ---- coding of arrays ------------------------------------------------------------------------------
 
+_SMALL_BITS = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs."""
-    need = np.zeros(len(ids), np.uint8)
     top = int(ids.max()) if len(ids) else 0
+    if top < len(_SMALL_BITS):
+        return _SMALL_BITS[ids.astype(np.intp)]
+    need = np.zeros(len(ids), np.uint8)
     for bit in range(top.bit_length()):
         need += ids >= np.uint64(1 << bit)
     return need
@@ -121,10 +126,12 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             continue
         rows = np.flatnonzero(selectors == selector)
         begin, held, width = start[rows], following[rows] - start[rows], WIDTHS[selector]
-        value = np.zeros(len(rows), np.uint64)
-        for k in range(COUNTS[selector]):
-            part = padded[begin + k] << np.uint64(width * k)
-            value |= np.where(k < held, part, np.uint64(0)) if k else part
+        value = padded[begin]
+        short = np.flatnonzero(held < COUNTS[selector])  # the last word of a block may hold fewer
+        for k in range(1, COUNTS[selector]):
+            part = padded[begin + k]
+            part[short[held[short] <= k]] = 0
+            value |= part << np.uint64(width * k)
         words[rows] |= value
     block_of = np.searchsorted(ends, start, side="right")
     escaped = selectors == ESCAPE

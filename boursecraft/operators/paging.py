@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from boursecraft.session import work_dir
+from boursecraft.session import tables_dir
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def build_index(rows: DataFrame, order: Sequence[Column], ranges: int | None = N
 
     Without ``ranges`` there are as many as the shuffle needs for its size.
     """
-    spark, path = rows.sparkSession, f"{work_dir(rows.sparkSession)}/tables/pages-{uuid.uuid4().hex}"
+    spark, path = rows.sparkSession, f"{tables_dir(rows.sparkSession)}/pages-{uuid.uuid4().hex}"
     place = F.monotonically_increasing_id()  # the range in the upper 31 bits, the row within it in the lower 33
     placed = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn("_place", place)
     split = placed.withColumns({"_range": F.shiftright("_place", 33).cast("int"), "_row": F.col("_place").bitwiseAND((1 << 33) - 1)}).drop("_place")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boursecraft.session import work_dir
+from boursecraft.session import tables_dir
 
 GRAM = 3
 #: Partitions of the stored postings; grams of a needle whose postings are read.
@@ -66,7 +66,7 @@ class Postings:
 
 def build_postings(rows: DataFrame, columns: Sequence[str] = ("ticker", "shortName"), id_column: str = "instrument_id") -> Postings:
     """Store the postings of the columns' grams. A row has a gram once for each column."""
-    path = f"{work_dir(rows.sparkSession)}/tables/postings-{uuid.uuid4().hex}"
+    path = f"{tables_dir(rows.sparkSession)}/postings-{uuid.uuid4().hex}"
     texts = rows.select(id_column, F.inline(F.array(*[F.struct(F.lit(k).alias("field"), F.lower(F.col(c)).alias("text")) for k, c in enumerate(columns)])))
     at = F.sequence(F.lit(1), F.length("text") - GRAM + 1)
     each = texts.filter(F.length("text") >= GRAM).select(id_column, "field", F.explode(F.array_distinct(F.transform(at, lambda k: F.substring("text", k, F.lit(GRAM))))).alias("gram")).distinct()

@@ -163,13 +163,16 @@ def group_mean(group: str, present: Sequence[str]) -> Column:
 
 
 def with_groups(df: DataFrame, id_column: str = "instrument_id", keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``g_<group>`` scores, 0..100 with one decimal."""
-    present = [m for m in METRICS if m in df.columns]
-    # the factor table is read by the histogram, the boundary sketch, the lookup and the join back
-    df = materialise(df, "factors")
-    joined = df.join(metric_percentiles(df, id_column, keys), [id_column, *keys], "left")
+    """Add ``g_<group>`` scores, 0..100 with one decimal.
+
+    What ranking reads again and again (histogram, boundary sketch, lookup) is a stored narrow table of
+    the metrics; the record itself is joined once, with its scores.
+    """
+    keys, present = list(keys), [m for m in METRICS if m in df.columns]
+    narrow = materialise(df.select(id_column, *keys, "sector", *present), "factors")
+    ranked = narrow.join(metric_percentiles(narrow, id_column, keys), [id_column, *keys], "left")
     scores = {f"g_{g}": V.rounded(group_mean(g, present) * 100, 1) for g in catalog.GROUPS}
-    return joined.withColumns(scores).drop(*[f"p_{m}" for m in present])
+    return df.join(ranked.select(id_column, *keys, *[c.alias(n) for n, c in scores.items()]), [id_column, *keys], "left")
 
 
 def model_score(weights: Mapping[str, float]) -> Column:
@@ -193,9 +196,11 @@ def with_final_score(df: DataFrame) -> DataFrame:
 
 
 def with_rank(df: DataFrame, id_column: str = "instrument_id", keys: Sequence[str] = ()) -> DataFrame:
-    """1..n over scored rows by final then model score, then id; unranked rows keep a null rank."""
+    """1..n over scored rows by final then model score, then id; unranked rows keep a null rank.
+
+    ``df`` is read twice: a stored table.
+    """
     keys = list(keys)
-    df = materialise(df, "scores")
     scored = df.filter("final_score IS NOT NULL").select(id_column, *keys, "final_score", "model_score")
     ranks = ordinal_rank(scored, ["final_score", "model_score"], id_column, keys=keys).select(id_column, *keys, "rank")
     return df.join(ranks, [id_column, *keys], "left")
@@ -210,14 +215,20 @@ def score_factors(df: DataFrame, overrides: Mapping[str, float] | None = None, k
 
 def score_universe(stocks: DataFrame, overrides: Mapping[str, float] | None = None, legacy: bool = False,
                    min_mcap_cr: float | None = None) -> DataFrame:
-    """The whole scorer. ``legacy`` adds the clips, the price filter and the market-cap filter."""
-    # the wide record is read for the factors and for the "does anyone report this" counters
+    """The whole scorer. ``legacy`` adds the clips, the price filter and the market-cap filter.
+
+    Scores and ranks are worked out on the columns that they need; the wide record is stored once and
+    joined once, with its result.
+    """
     df = derive_factors(materialise(stocks, "stocks"), legacy)
     if legacy:
         df = df.filter("currentPrice IS NOT NULL")
         if min_mcap_cr is not None:
             df = df.filter(F.col("marketCap") / catalog.CRORE >= min_mcap_cr)
-    return with_rank(score_factors(df, overrides))
+    narrow = df.select("instrument_id", "sector", *[m for m in METRICS if m in df.columns])
+    scores = score_factors(narrow, overrides)
+    scores = materialise(scores.select("instrument_id", *[c for c in scores.columns if c not in narrow.columns]), "scores")
+    return df.join(with_rank(scores), "instrument_id")
 
 
 # ---- alternative weightings ---------------------------------------------------------------------
@@ -250,7 +261,7 @@ def lens_values(df: DataFrame, lenses: Mapping[str, Mapping[str, float]] | None
 
 def lens_scores(df: DataFrame, lenses: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """The universe re-weighted and ranked under every lens."""
-    return with_rank(lens_values(df, lenses), keys=["lens"])
+    return with_rank(materialise(lens_values(df, lenses), "lenses"), keys=["lens"])
 
 
 def column_weight_scores(df: DataFrame, id_column: str) -> DataFrame:

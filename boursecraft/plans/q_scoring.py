@@ -28,6 +28,11 @@ def quoted(cols) -> str:
     return ", ".join(f'"{c}"' for c in cols)
 
 
+def stocks(spark: SparkSession, d: str) -> DataFrame:
+    """The stock records, stored: scoring reads them for the ranks and for the result."""
+    return materialise(A.fundamentals(spark, d), "stocks")
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     return S.score_universe(A.fundamentals(spark, d))
 
@@ -123,7 +128,7 @@ def _(spark, d):
 
 @query("sc_group_scores", SCORED + f"SELECT ticker, {quoted(GROUP_COLS)} FROM scored")
 def _(spark, d):
-    return S.with_groups(S.derive_factors(A.fundamentals(spark, d))).select("ticker", *GROUP_COLS)
+    return S.with_groups(S.derive_factors(stocks(spark, d))).select("ticker", *GROUP_COLS)
 
 
 _OV = {"quality": 4.0, "momentum": 0.0}
@@ -132,13 +137,13 @@ _OV = {"quality": 4.0, "momentum": 0.0}
 @query("sc_model_score", with_(O.FUND, Q.derived(), Q.coverage(overrides=_OV), Q.percentiles(), Q.groups(), Q.final(overrides=_OV)) + "SELECT ticker, model_score FROM scored")
 def _(spark, d):
     overrides = S.parse_overrides("quality=4, momentum=0")
-    grouped = S.with_groups(S.derive_factors(A.fundamentals(spark, d)))
+    grouped = S.with_groups(S.derive_factors(stocks(spark, d)))
     return grouped.select("ticker", S.model_score(S.normalised_weights(overrides)).alias("model_score"))
 
 
 @query("sc_final_score", SCORED + "SELECT ticker, final_score, score_status FROM scored")
 def _(spark, d):
-    return S.score_factors(S.derive_factors(A.fundamentals(spark, d))).select("ticker", "final_score", "score_status")
+    return S.score_factors(S.derive_factors(stocks(spark, d))).select("ticker", "final_score", "score_status")
 
 
 @query("sc_rank", SCORED + "SELECT ticker, final_score, rank FROM scored")
@@ -191,7 +196,7 @@ def lenses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lens_input(spark: SparkSession, d: str) -> DataFrame:
-    return S.with_groups(S.with_coverage(S.derive_factors(A.fundamentals(spark, d))))
+    return S.with_groups(S.with_coverage(S.derive_factors(stocks(spark, d))))
 
 
 @query("sc_lenses", with_(O.FUND, lens_sql()) + "SELECT lens, ticker, rank, final_score, data_cov FROM lenses")

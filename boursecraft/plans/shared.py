@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boursecraft.session import materialise, work_dir
+from boursecraft.session import materialise, tables_dir
 
 _PUBLISHED: dict[tuple[str, str, str, tuple], DataFrame] = {}
 
@@ -32,7 +32,7 @@ def published(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], D
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own, in the shared place, for a query that writes and reads back."""
-    return f"{work_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def forget() -> None:

@@ -34,29 +34,42 @@ def build_session(name: str = "boursecraft", master: str | None = None, **conf:
 def work_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor see.
 
-    ``spark.checkpoint.dir`` as the cluster names it; where it is unset, a folder of this
-    application under the SQL warehouse, which is shared by definition and is removed at exit.
+    ``spark.checkpoint.dir`` as the cluster names it; where it is unset, a folder of this application
+    under ``/tmp`` of Hadoop's default file system, which a cluster shares, removed at exit.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_boursecraft-{spark.sparkContext.applicationId}"
-    if folder not in _OWNED:
-        _OWNED.add(folder)
-        atexit.register(_remove, spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"/tmp/_boursecraft-{spark.sparkContext.applicationId}")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _own(spark, folder)
     return folder
 
 
 _OWNED: set[str] = set()
 
 
+def _own(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of this application when it ends."""
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        atexit.register(_remove, spark, folder)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None:  # stopped: the folder stays for the warehouse's own clean-up
+    if spark.sparkContext._jsc is None:  # stopped before: the folder is left to whoever cleans the file system
         return
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; removed at exit."""
+    folder = f"{work_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    _own(spark, folder)
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure that ``checkpoint()`` has the shared folder; gives that folder."""
     current = spark._jsc.sc().getCheckpointDir()
@@ -71,12 +84,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Used where several later stages read the same reduced result: lineage ends here, lost
     executors re-read files instead of recomputing the scan, and later reads are pruned and sized
-    by the file statistics. The table lives in the shared checkpoint folder.
+    by the file statistics. The table lives in the shared checkpoint folder until it is discarded or
+    the application ends.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read any more."""
+    for df in stored:
+        _remove(df.sparkSession, df.stored_path)
 
 
 def ship_functions(module_name: str) -> None:

@@ -3,22 +3,26 @@
 Texts are split over partitions by byte length and content hash. Each partition inserts the full
 byte strings into a compressed radix trie, so equality is decided on bytes and never on a hash.
 A terminal node stores the identifier that owns the text and how many rows had it. A trie that
-outgrows its memory spills its heaviest subtree to a file of suffixes, which is turned into a trie
-of its own afterwards. Before the shuffle every task folds its own copies in a local trie, so a
+outgrows its memory spills its heaviest subtree to a file in the shared folder, which is turned into a
+trie of its own afterwards. Before the shuffle every task folds its own copies in a local trie, so a
 text that a third of the rows share leaves each task once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import pickle
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boursecraft.session import tables_dir
+
 #: Bytes of text that a trie holds before a subtree is spilled, and that a map task folds at once.
 TRIE_BYTES = 96 << 20
 FOLD_BYTES = 24 << 20
@@ -43,24 +47,58 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
+class Spill:
+    """A subtree's texts one after another: in a file under ``folder`` (a URI), in memory without one."""
+
+    def __init__(self, folder: str | None):
+        self.place = None
+        if folder is None:
+            self.out = io.BytesIO()
+            return
+        self.files, base = fs.FileSystem.from_uri(folder)
+        self.files.create_dir(base, recursive=True)
+        self.place = f"{base}/{uuid.uuid4().hex}"
+        self.out = self.files.open_output_stream(self.place, buffer_size=1 << 20)
+
+    def add(self, *row) -> None:
+        self.out.write(pickle.dumps(row))
+
+    def rows(self) -> Iterator[tuple]:
+        """All rows; afterwards nothing more can be added."""
+        if self.place is not None and not self.out.closed:
+            self.out.close()
+        source = io.BytesIO(self.out.getvalue()) if self.place is None else io.BufferedReader(self.files.open_input_stream(self.place), 1 << 20)
+        with source:
+            while True:
+                try:
+                    yield pickle.load(source)
+                except EOFError:
+                    return
+
+    def delete(self) -> None:
+        if self.place is not None:
+            self.files.delete_file(self.place)
+
+
 class PatriciaTrie:
     """Byte strings to [owner, copies, tag]; the owner is the best identifier seen.
 
     A node is [edges, terminal]; edges map a first byte to (label, node). ``better`` picks of two
-    identifiers, null last. Subtrees below a root edge are spilled when labels exceed ``limit``.
+    identifiers, null last. Subtrees below a root edge are spilled when labels exceed ``limit``, to
+    files under ``folder``.
     """
 
-    def __init__(self, better=min, limit: int = TRIE_BYTES):
-        self.better, self.limit = better, limit
+    def __init__(self, better=min, limit: int = TRIE_BYTES, folder: str | None = None):
+        self.better, self.limit, self.folder = better, limit, folder
         self.root: list = [{}, None]
         self.held: dict[int, int] = {}  # label bytes below each edge of the root
         self.total = 0
-        self.spilled: dict[int, object] = {}
+        self.spilled: dict[int, Spill] = {}
 
     def insert(self, key: bytes, owner: int | None, copies: int, tag: str) -> None:
         first = key[0] if key else -1
         if first in self.spilled:
-            pickle.dump((key, owner, copies, tag), self.spilled[first])
+            self.spilled[first].add(key, owner, copies, tag)
             return
         added = self._insert(key, owner, copies, tag)
         self.held[first] = self.held.get(first, 0) + added
@@ -94,11 +132,10 @@ class PatriciaTrie:
 
     def _spill(self) -> None:
         first = max((k for k in self.held if k >= 0 and k not in self.spilled), key=self.held.get)
-        out = tempfile.TemporaryFile()
-        self.spilled[first] = out
+        out = self.spilled[first] = Spill(self.folder)
         label, child = self.root[0].pop(first)
         for key, terminal in self._walk(label, child):
-            pickle.dump((key, *terminal), out)
+            out.add(key, *terminal)
         self.total -= self.held.pop(first)
 
     def _walk(self, prefix: bytes, node: list) -> Iterator[tuple[bytes, list]]:
@@ -115,26 +152,17 @@ class PatriciaTrie:
         self.root, self.held = [{}, None], {}
         for file in self.spilled.values():
             shared = None
-            for key, *_ in _spilled(file):
+            for key, *_ in file.rows():
                 shared = key if shared is None else shared[: _common(shared, key)]
-            below = PatriciaTrie(self.better, self.limit)
-            for key, *row in _spilled(file):
+            below = PatriciaTrie(self.better, self.limit, self.folder)
+            for key, *row in file.rows():
                 below.insert(key[len(shared) :], *row)
-            file.close()
+            file.delete()
             for key, terminal in below.items():
                 yield shared + key, terminal
         self.spilled = {}
 
 
-def _spilled(file) -> Iterator[tuple]:
-    file.seek(0)
-    while True:
-        try:
-            yield pickle.load(file)
-        except EOFError:
-            return
-
-
 def _batches(rows: list[tuple], names: list[str], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     types = {"body": pa.binary(), "text_sha256": pa.string()}
     for start in range(0, len(rows), 4096):
@@ -181,9 +209,9 @@ def _local_owners(better):
     return fold
 
 
-def _owners(better, limit: int):
+def _owners(better, limit: int, folder: str):
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PatriciaTrie(better, limit)
+        trie = PatriciaTrie(better, limit, folder)
         for batch in batches:
             for _, tag, body, owner, copies in zip(*(c.to_pylist() for c in batch.columns)):
                 trie.insert(body, owner, copies, tag)
@@ -209,8 +237,10 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     that another row has, and own it (owner null) where all are null. Empty input: no rows.
     """
     better = {"smallest": min, "largest": max}[keep]
+    base = tables_dir(docs.sparkSession)
+    folder = f"{base if ':' in base else 'file://' + base}/tries-{uuid.uuid4().hex}"
     local = _texts(docs, id_col, text_col).mapInArrow(_local_owners(better), _OWNERS)
-    return local.repartition(F.col("n_bytes"), F.col("text_sha256")).mapInArrow(_owners(better, trie_bytes), _OWNED)
+    return local.repartition(F.col("n_bytes"), F.col("text_sha256")).mapInArrow(_owners(better, trie_bytes, folder), _OWNED)
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", trie_bytes: int = TRIE_BYTES) -> DataFrame:

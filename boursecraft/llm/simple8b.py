@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boursecraft.llm.packing import WordTokenizer, blocks
-from boursecraft.session import work_dir
+from boursecraft.session import tables_dir
 
 #: Ids of a block.
 BLOCK = 1024
@@ -332,6 +332,6 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A folder for a data set in the place that all executors share."""
-    base = work_dir(spark)
+    """A folder for a data set in the place that all executors share; removed when the application ends."""
+    base = tables_dir(spark)
     return f"{base if ':' in base else 'file://' + base}/ids-{uuid.uuid4().hex}"

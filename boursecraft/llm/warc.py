@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boursecraft.session import materialise, work_dir
+from boursecraft.session import materialise, tables_dir
 
 #: Bytes of payload of a shard where the caller names none: an eight thousandth of all, within these bounds.
 LEAST_SHARD_BYTES, MOST_SHARD_BYTES, SHARDS = 16 << 20, 1 << 30, 8192
@@ -301,6 +301,6 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A folder for archives in the place that all executors share."""
-    base = work_dir(spark)
+    """A folder for archives in the place that all executors share; removed when the application ends."""
+    base = tables_dir(spark)
     return f"{base if ':' in base else 'file://' + base}/warc-{uuid.uuid4().hex}"

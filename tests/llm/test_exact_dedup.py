@@ -30,6 +30,16 @@ def test_spilled_subtrees_give_the_same_owners(awkward):
     assert whole == tiny
 
 
+def test_spills_go_to_their_folder_and_are_deleted(tmp_path):
+    trie = PatriciaTrie(min, 500, f"file://{tmp_path}/spill")
+    keys = [f"{k % 7} some text {k} of a document".encode() for k in range(400)]
+    for k, key in enumerate(keys):
+        trie.insert(key, k, 1, "")
+    assert list((tmp_path / "spill").iterdir())
+    assert {k: v[0] for k, v in trie.items()} == {key: k for k, key in enumerate(keys)}
+    assert not list((tmp_path / "spill").iterdir())
+
+
 def test_trie_holds_any_bytes():
     random.seed(5)
     keys = [bytes(random.choice(b"ab\x00") for _ in range(random.randint(0, 12))) for _ in range(3000)]

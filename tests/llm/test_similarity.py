@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from boursecraft.llm import components, embeddings, near_dedup
 from boursecraft.llm.near_dedup import Sampler, Weights, shingles, weighted_jaccard
+from boursecraft.session import tables_dir
 
 
 def roots(ids, pairs):
@@ -34,6 +35,17 @@ def test_components_of_random_links(spark):
     assert found == roots({x for p in pairs for x in p}, pairs)
 
 
+def test_rounds_of_components_leave_one_table(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    links = lambda: {f.getPath().getName() for f in files.listStatus(folder) if f.getPath().getName().startswith("links-")} if files.exists(folder) else set()
+    before = links()
+    found = components.components(chain)
+    assert {r.component for r in found.collect()} == {0}
+    assert len(links() - before) == 1
+
+
 def test_sampling_agrees_with_the_weighted_similarity():
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(600)]

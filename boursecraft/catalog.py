@@ -141,6 +141,14 @@ PROVIDER_PRIORITY = {
 }
 DEFAULT_PRIORITY = 1000
 # provider order of the "latest metric, one per field" listing
+# live value per field: (provider, field or None for all its fields) to its place, smaller wins
+LIVE_PRIORITY = {
+    ("upstox_shareholding", None): 0, ("upstox_statements", None): 0, ("upstox", "current_price"): 0,
+    ("screener", "roe_pct"): 0, ("screener", "roce_pct"): 0, ("upstox_fundamentals", "roe_pct"): 1, ("upstox_fundamentals", "roce_pct"): 1,
+    ("bse", "roe_pct"): 2, ("yahoo_roe", "roe_pct"): 3,
+}
+LIVE_DEFAULT = 4
+
 LISTING_PRIORITY = {
     "nse": 10,
     "bse": 10,

@@ -241,17 +241,10 @@ def reporting_fresh(as_of) -> Column:
 
 def source_priority() -> Column:
     """Canonical source order per field (smaller wins)."""
-    field, provider = F.col("field"), F.col("provider")
-    returns = field.isin("roe_pct", "roce_pct")
-    return (
-        F.when(provider.isin("upstox_shareholding", "upstox_statements"), 0)
-        .when((field == "current_price") & (provider == "upstox"), 0)
-        .when(returns & (provider == "screener"), 0)
-        .when(returns & (provider == "upstox_fundamentals"), 1)
-        .when((field == "roe_pct") & (provider == "bse"), 2)
-        .when((field == "roe_pct") & (provider == "yahoo_roe"), 3)
-        .otherwise(4)
-    )
+    everywhere = {p: n for (p, f), n in catalog.LIVE_PRIORITY.items() if f is None}
+    single = {f"{p}:{f}": n for (p, f), n in catalog.LIVE_PRIORITY.items() if f is not None}
+    place = lambda values, key: F.element_at(V.literal_map(values), key)
+    return F.coalesce(place(everywhere, F.col("provider")), place(single, F.concat("provider", F.lit(":"), "field")), F.lit(catalog.LIVE_DEFAULT))
 
 
 def newest_usable(obs: DataFrame, as_of) -> DataFrame:

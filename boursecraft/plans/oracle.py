@@ -155,6 +155,11 @@ pe_out AS (SELECT instrument_id FROM findings WHERE pe_bad),
 roe_disputed AS (SELECT instrument_id, adjudications FROM findings WHERE insolvent OR roe_split),
 roe_out AS (SELECT instrument_id FROM roe_disputed WHERE adjudications = 0)"""
 
+_EACH = [(p if f is None else f"{p}:{f}", f is None, n) for (p, f), n in C.LIVE_PRIORITY.items()]
+LIVE_ORDER = "coalesce(" + ", ".join(
+    f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {n}" for k, whole, n in _EACH if whole == alone) + " END" for key, alone in (("provider", True), ("concat(provider, ':', field)", False))
+) + f", {C.LIVE_DEFAULT})"
+
 LIVE = CONFLICTS + f""",
 newest_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, field, provider ORDER BY observed_at DESC, id DESC) AS rn FROM obs) WHERE rn = 1),
 usable AS (SELECT * FROM newest_rows WHERE is_valid AND (provider NOT IN ('upstox_statements', 'upstox_shareholding')
@@ -170,12 +175,7 @@ eligible AS (SELECT u.* FROM usable u LEFT JOIN basis b ON b.instrument_id = u.i
     AND NOT (u.field = 'roe_pct' AND u.provider NOT IN ('screener', 'upstox_fundamentals') AND u.instrument_id IN (SELECT instrument_id FROM roe_disputed))),
 live AS (SELECT instrument_id, field, numeric_value, text_value, unit, provider, observed_at FROM (
   SELECT *, row_number() OVER (PARTITION BY instrument_id, field ORDER BY
-    CASE WHEN provider IN ('upstox_shareholding', 'upstox_statements') THEN 0
-         WHEN field = 'current_price' AND provider = 'upstox' THEN 0
-         WHEN field IN ('roe_pct', 'roce_pct') AND provider = 'screener' THEN 0
-         WHEN field IN ('roe_pct', 'roce_pct') AND provider = 'upstox_fundamentals' THEN 1
-         WHEN field = 'roe_pct' AND provider = 'bse' THEN 2
-         WHEN field = 'roe_pct' AND provider = 'yahoo_roe' THEN 3 ELSE 4 END, observed_at DESC, id DESC) AS pos
+    """ + LIVE_ORDER + """, observed_at DESC, id DESC) AS pos
   FROM eligible) WHERE pos = 1)"""
 
 ALIASED = """

@@ -99,7 +99,7 @@ def test_every_pair_of_two_components_is_a_candidate():
 def test_shingles_of_a_block_equal_those_of_each_text(awkward):
     rng = random.Random(2)
     texts = ["", "one", "a b c d", "a b c d e", "a b c d e f", "  ", "Ünï 😀 x y z w", "w" * 3000 + " a b c d"] + [" ".join(rng.choice("abc") * rng.randrange(1, 20) for _ in range(rng.randrange(0, 40))) for _ in range(200)]
-    texts += [r.text or "" for r in awkward.collect()]
+    texts += [r.text or "" for r in awkward.collect()] + ["ΣΑΣ Σ", "İstanbul İ", "ªº²½٣ॐ_ a\u0301b", "a\nb\r\nc\x1cd", "_", "漢字 かな ﾊﾝｶｸ x y", "𝐀𝐁 😀😀 ok"]
     for text, (h, n) in zip(texts, near_dedup.block_shingles(texts)):
         want = shingles(text)
         assert h.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()

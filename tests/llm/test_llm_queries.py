@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
 import pytest
 from check_queries import compare, connect
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from boursecraft.llm import queries  # noqa: F401  (registers)
@@ -24,6 +30,55 @@ def test_query_equals_sql(spark, name):
     assert not problem
 
 
+def test_token_queries_equal_the_library(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in QUERIES["op6_token_counts"](spark, SF).collect()}
+    assert counts == {i: (len(texts[i].encode()), len(v), len(v) > 512) for i, v in ids.items()}
+    coded = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op9_bpe"](spark, SF).collect()}
+    assert coded == {i: (len(v), sha(",".join(map(str, v))), sha(library.decode(v, skip_special_tokens=False))) for i, v in ids.items()}
+
+
+def test_packing_query_places_every_token_once(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want += [(r.doc_id, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)]
+    rows = QUERIES["op5_packing"](spark, SF).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in held.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(held) <= -(-sum(w[3] for w in want) // 2048) + 3
+
+
+def test_near_dedup_query_equals_brute_force(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    weights = near_dedup.Weights(near_dedup.common_shingles(near_dedup._texts(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")))
+    names = sorted(docs)
+    every = [near_dedup._leveled(docs[i], weights) for i in names]
+    like = near_dedup.similarities(every, every)
+    group = {i: i for i in names}
+    for _ in names:  # the smallest name sinks along links
+        moved = False
+        for a, b in zip(*np.nonzero(like >= 0.8 - 1e-12)):
+            low = min(group[names[a]], group[names[b]])
+            moved = moved or group[names[a]] != low or group[names[b]] != low
+            group[names[a]] = group[names[b]] = low
+        if not moved:
+            break
+    found = {r.doc_id: (r.group_id, r.kept) for r in QUERIES["op2_minhash_near_dedup"](spark, SF).collect()}
+    assert found == {i: (g, g == i) for i, g in group.items()}
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, out = docs.columns, {}

@@ -147,6 +147,28 @@ def test_folding_finds_disguised_words(spark):
     assert value("the clay grumbler works") < 0.5 <= value("you grumbler you")  # an exception phrase
 
 
+def test_hits_equal_a_naive_matcher():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 7)))
+    for _ in range(200):
+        weights = {word() + rng.choice(["", "*"]): rng.uniform(1, 5) for _ in range(rng.randrange(1, 25))}
+        matcher = toxicity.Lexicon(weights).matcher()
+        words = [word() for _ in range(rng.randrange(0, 30))]
+        want = {}
+        for k, w in enumerate(words):
+            found = [v for e, v in weights.items() if (w.startswith(e[:-1]) if e.endswith("*") else w == e)]
+            if found:
+                want[k] = max(found)
+        assert matcher.hits(words) == want
+        assert matcher.entries(words) == {e for e in weights for w in words if (w.startswith(e[:-1]) if e.endswith("*") else w == e)}
+
+
+def test_a_repeated_identifier_is_one_labelled_document(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "other"), (3, None)], "id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0)], "id long, label int")
+    assert toxicity.sample(docs, labels, 10).count() == 3
+
+
 def test_longer_texts_with_as_many_hits_score_lower(spark):
     docs, labels = labelled(spark)
     matcher = toxicity.train(docs, labels).matcher()

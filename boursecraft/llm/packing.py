@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,18 +63,33 @@ class WordTokenizer:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
+        # runs of ASCII letters are one word in lower case: the model takes them without the library's
+        # text steps, where a trial shows that these change nothing
+        trial = ["a", "Hello", "WORLD", "tokenizers", "xqzvkjw", "don", "s", "abcdefghijklmnopqrstuvwxyz"]
+        self.direct = all(self._model(w) == self.library.encode(w, add_special_tokens=False).ids for w in trial)
         self.bar = self.library.encode("|", add_special_tokens=False).ids
         # known runs in two generations: the older one is dropped as a whole, what was used since has moved on
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _model(self, word: str) -> list[int]:
+        return [token.id for token in self.library.model.tokenize(word.lower())]
+
     def _library(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct runs. Runs without a bar go to the library a hundred at a time with bars
-        between them, whose id parts them again."""
+        """Ids of distinct runs. Runs of ASCII letters go to the model; others without a bar to the
+        library, a hundred at a time with bars between them, whose id parts them again."""
         found = [b""] * len(words)
-        alone = [k for k, w in enumerate(words) if len(w) > runs.LONGEST or b"|" in w or len(self.bar) != 1]
+        tokenize, rest = self.library.model.tokenize, list(range(len(words)))
+        if self.direct:
+            rest = []
+            for k, word in enumerate(words):
+                if word.isascii() and word.isalpha() and len(word) <= runs.LONGEST:
+                    found[k] = array("I", [token.id for token in tokenize(word.decode().lower())]).tobytes()
+                else:
+                    rest.append(k)
+        alone = [k for k in rest if len(words[k]) > runs.LONGEST or b"|" in words[k] or len(self.bar) != 1]
         kept = set(alone)
-        joined = [k for k in range(len(words)) if k not in kept]
+        joined = [k for k in rest if k not in kept]
         texts = [words[k].decode("utf-8", "surrogatepass") for k in joined]
         lines = [" | ".join([*texts[i : i + 100], ""]) for i in range(0, len(texts), 100)]
         encoded = self.library.encode_batch_fast(lines, add_special_tokens=False)

@@ -108,6 +108,36 @@ def records(data: bytes) -> list[list[str]]:
     return list(csv.reader(io.TextIOWrapper(io.BytesIO(data), "utf-8", newline="")))
 
 
+_LINES = 4096
+
+
+def whole_lines(files: DataFrame) -> DataFrame:
+    """(source_path, content_sha256, header, first_number, lines) of files small enough to be parsed whole,
+    some thousand lines to a row; the first record, the header, has number 0 and is no line."""
+    columns = ["source_path", "content_sha256", "header", "first_number", "lines"]
+    kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.list_(pa.string())))
+    body = F.when(F.substring("content", 1, 3) == F.lit(_BOM), F.expr("substring(content, 4)")).otherwise(F.col("content"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], columns)
+        rows, held = [], 0
+        for batch in batches:
+            for source, digest, data in zip(*batch.columns):
+                header, *lines = records(data.as_py())
+                for k in range(0, len(lines), _LINES):
+                    some = lines[k : k + _LINES]
+                    rows.append((source.as_py(), digest.as_py(), header, k + 1, some))
+                    held += sum(len(cell) for line in (header, *some) for cell in line)
+                    if held >= 1 << 20:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    bodies = files.select("source_path", "content_sha256", body.alias("_body")).where(F.octet_length("_body") > 0)
+    return bodies.mapInArrow(parse, "source_path string, content_sha256 string, header array<string>, first_number long, lines array<array<string>>")
+
+
 # ---- ranges ----------------------------------------------------------------------------------------
 
 def content_ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:

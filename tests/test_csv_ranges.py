@@ -94,3 +94,27 @@ def test_a_file_that_holds_most_rows_is_read_by_many_tasks(spark, tmp_path):
     assert by_range == sorted((r.source_path, *(r[f] for f in fields)) for r in Z.archive_rows(files).collect())
     rows = whole(contents["big.csv"])
     assert [r[3] for r in by_range if r[0] == "big.csv"] == rows[1:] and [r[1] for r in by_range if r[0] == "big.csv"] == list(range(1, len(rows)))
+
+
+def test_files_of_one_range_are_neither_stored_nor_joined(spark, monkeypatch):
+    files = odd_files(spark).filter("source_path <> '8.csv'")
+    stored: list[tuple[str, int]] = []
+
+    def noting(df, name, real=Z.materialise):
+        kept = real(df, name)
+        stored.append((name, kept.count()))
+        return kept
+
+    for module in (Z, R):
+        monkeypatch.setattr(module, "materialise", noting)
+    contents = {p: bytes(c) for p, c in files.collect()}
+    whole_files = {p: whole(data) for p, data in contents.items()}
+    found = {(r.source_path, r.row_number): r for r in Z.archive_rows(files).collect()}
+    assert sum(n for _, n in stored) == 0
+    assert {k: r.values_array for k, r in found.items()} == {(p, k): line for p, lines in whole_files.items() for k, line in enumerate(lines) if k}
+    assert all(r.content_sha256 == hashlib.sha256(contents[p]).hexdigest() for (p, _), r in found.items())
+    # the same rows where every file has many ranges, and none of a path that names two files
+    in_ranges = {(r.source_path, r.row_number): r for r in Z.archive_rows(files, 7).collect()}
+    assert in_ranges == found and sum(n for _, n in stored) > 0
+    twice = files.unionByName(files.filter("source_path = '7.csv'"))
+    assert {(r.source_path, r.row_number) for r in Z.archive_rows(twice).collect()} == {k for k in found if k[0] != "7.csv"}

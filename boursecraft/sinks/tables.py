@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from boursecraft.functions import values as V
 from boursecraft.operators import latest as L
-from boursecraft.operators.joins import attach
 from boursecraft.operators.reconcile import active_equities
-from boursecraft.session import materialise
+from boursecraft.session import discard, materialise
 
 OBSERVATION_KEY = ("instrument_id", "field", "provider", "observed_at")
 BAR_KEY = ("ticker", "ts", "interval", "provider")
@@ -203,18 +202,26 @@ def upsert_archive(incoming_rows: DataFrame, path: str, buckets: int = ARCHIVE_B
     """``replace_archive`` on a table stored by file buckets; buckets without an incoming file are not read."""
     spark = incoming_rows.sparkSession
     bucket = F.pmod(F.xxhash64("source_path", "content_sha256"), F.lit(buckets)).cast("int")
-    incoming = incoming_rows.withColumn("bucket", bucket)
+    # stored: the files are parsed once for their buckets, their keys and their rows
+    incoming = materialise(incoming_rows.withColumn("bucket", bucket), "incoming")
     stored = _read_or_empty(spark, path, incoming)
     touched = stored.join(F.broadcast(incoming.select("bucket").distinct().filter("bucket >= 0")), "bucket", "left_semi")  # ``buckets`` rows at most
-    staged = materialise(replace_archive(touched.select(*incoming.columns), incoming), "archive")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # the table being replaced is also being read
+    kept = materialise(kept_archive(touched.select(*incoming.columns), incoming), "archive")
+    kept.unionByName(incoming).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    discard(incoming, kept)
+
+
+def kept_archive(stored_rows: DataFrame, incoming_rows: DataFrame) -> DataFrame:
+    """Stored rows of files, (path, hash), that are not imported again. A file of most rows is left to the
+    adaptive skew join: repeating every key for salts costs more than the rows where files are short."""
+    keys = ["source_path", "content_sha256"]
+    return stored_rows.join(incoming_rows.select(*keys).distinct(), keys, "left_anti")
 
 
 def replace_archive(stored_rows: DataFrame, incoming_rows: DataFrame) -> DataFrame:
     """Rows of every imported (path, hash) are replaced as a whole."""
-    keys = ["source_path", "content_sha256"]
-    kept = attach(stored_rows, incoming_rows.select(*keys).distinct(), keys, "row_number", "left_anti")
-    return kept.unionByName(incoming_rows)
+    return kept_archive(stored_rows, incoming_rows).unionByName(incoming_rows)
 
 
 # ---- exports and contracts -----------------------------------------------------------------------------

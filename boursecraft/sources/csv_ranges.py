@@ -108,6 +108,13 @@ def records(data: bytes) -> list[list[str]]:
     return list(csv.reader(io.TextIOWrapper(io.BytesIO(data), "utf-8", newline="")))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A batch's rows one at a time: Python never holds the values of a whole batch."""
+    for row in zip(*batch.columns):
+        yield tuple(value.as_py() for value in row)
+
+
+_OUT = 1 << 20
 _LINES = 4096
 
 
@@ -122,13 +129,13 @@ def whole_lines(files: DataFrame) -> DataFrame:
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], columns)
         rows, held = [], 0
         for batch in batches:
-            for source, digest, data in zip(*batch.columns):
-                header, *lines = records(data.as_py())
+            for source, digest, data in _rows(batch):
+                header, *lines = records(data)
                 for k in range(0, len(lines), _LINES):
                     some = lines[k : k + _LINES]
-                    rows.append((source.as_py(), digest.as_py(), header, k + 1, some))
+                    rows.append((source, digest, header, k + 1, some))
                     held += sum(len(cell) for line in (header, *some) for cell in line)
-                    if held >= 1 << 20:
+                    if held >= _OUT:
                         yield batch_of(rows)
                         rows, held = [], 0
         if rows:
@@ -170,7 +177,7 @@ def read_ranges(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> Data
             )
 
         for batch in batches:
-            for source, block, total, line in zip(*(c.to_pylist() for c in batch.columns)):
+            for source, block, total, line in _rows(batch):
                 if (source, block, total) != name:
                     if held:
                         yield row()
@@ -207,7 +214,7 @@ def digests(ranges: DataFrame) -> DataFrame:
         name, state, size = None, None, 0
         row = lambda: pa.RecordBatch.from_arrays([pa.array([name]), pa.array([state.hexdigest()]), pa.array([size], pa.int64())], ["source_path", "content_sha256", "size_bytes"])
         for batch in batches:
-            for source, data, marked in zip(*(batch.column(c).to_pylist() for c in ("source_path", "bytes", "marked"))):
+            for source, data, marked in _rows(batch):
                 if source != name:
                     if name is not None:
                         yield row()
@@ -230,7 +237,7 @@ def entry_states(ranges: DataFrame) -> DataFrame:
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = [state_map(data) for data in batch.column(3).to_pylist()]
+            maps = [state_map(data.as_py()) for data in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(maps, pa.list_(pa.int8()))], ["source_path", "block", "seq", "map"])
 
     def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,13 +268,19 @@ def record_rows(ranges: DataFrame) -> DataFrame:
     entered = ranges.select(*key, "bytes").join(states, key)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [*key, "head", "body", "starts"])
+        rows, held = [], 0
         for batch in batches:
-            rows = []
-            for data, state in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for source, block, seq, data, state in _rows(batch):
                 first, starts = cut(data, state)
-                rows.append((data[:first], data[first:], starts))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int64()))] if rows else [pa.array([], t) for t in (pa.binary(), pa.binary(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *columns], [*key, "head", "body", "starts"])
+                rows.append((source, block, seq, data[:first], data[first:], starts))
+                held += len(data)
+                if held >= _OUT:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
     pieces = materialise(entered.select(*key, "bytes", "state").mapInArrow(split, "source_path string, block long, seq long, head binary, body binary, starts long"), "csv-pieces")
     # counts and owners of ranges: one narrow row for each
@@ -285,7 +298,7 @@ def record_rows(ranges: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.string())
         for batch in batches:
-            for source, number, body, rest in zip(*(c.to_pylist() for c in batch.columns)):
+            for source, number, body, rest in _rows(batch):
                 found = records(b"".join([body, *(rest or [])]))
                 for k in range(0, len(found), 4096):
                     some = found[k : k + 4096]

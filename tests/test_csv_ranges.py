@@ -118,3 +118,17 @@ def test_files_of_one_range_are_neither_stored_nor_joined(spark, monkeypatch):
     assert in_ranges == found and sum(n for _, n in stored) > 0
     twice = files.unionByName(files.filter("source_path = '7.csv'"))
     assert {(r.source_path, r.row_number) for r in Z.archive_rows(twice).collect()} == {k for k in found if k[0] != "7.csv"}
+
+
+def test_a_batch_of_ranges_is_not_copied_whole():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(64)]), pa.array([bytes(1 << 20)] * 64)], ["source_path", "bytes"])
+    tracemalloc.start()
+    try:
+        assert sum(len(data) for _, data in R._rows(batch)) == 64 << 20
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()

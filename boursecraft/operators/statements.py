@@ -171,8 +171,10 @@ def shareholding(docs: DataFrame, as_of) -> DataFrame:
     """Five holding categories of one latest quarter to promoter and institutional shares.
 
     Incomplete or inconsistent documents yield nothing; shares outside 0..100 or a total away from
-    100 are kept and marked invalid.
+    100 are kept and marked invalid. A document becomes ten rows or more that are sorted to be aggregated,
+    so documents are dealt over tasks first: few large files don't leave all of them to few tasks.
     """
+    docs = docs.repartition("ticker", "payload")
     parsed = V.settled(docs.withColumn("_p", F.from_json("payload", HOLDINGS))).filter("_p.status = 'success'")
     rows = parsed.select("ticker", F.inline("_p.data")).select("ticker", "category", F.inline("history"))
     points = rows.withColumns({"period": T.period_end("period"), "value": V.finite(V.number("value"))})

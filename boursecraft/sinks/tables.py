@@ -22,6 +22,8 @@ OBSERVATION_KEY = ("instrument_id", "field", "provider", "observed_at")
 BAR_KEY = ("ticker", "ts", "interval", "provider")
 #: Buckets of a bar table: tasks of a merge; and of an archive table: what one import rewrites.
 BAR_BUCKETS = 64
+#: Bars that one task of a merge reads and sorts.
+BUCKET_ROWS = 2_000_000
 ARCHIVE_BUCKETS = 256
 
 
@@ -103,6 +105,11 @@ def merge_bars(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = BAR
     return L.pick(stored.unionByName(incoming), list(keys), list(order)).select(*stored.columns)
 
 
+def bar_buckets(rows: int, least: int = 2) -> int:
+    """Buckets of a table that will hold about ``rows`` bars: a task's share stays the same as it grows."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def bars_table(spark: SparkSession, path: str, like: DataFrame, keys: Sequence[str], buckets: int) -> str:
     """The table stored at ``path``, by month and bucketed and sorted by its keys; made if it isn't there.
 

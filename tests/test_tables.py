@@ -87,6 +87,11 @@ def test_a_merge_shuffles_the_incoming_side_only(spark, tmp_path):
     assert "SelectedBucketsCount: 8 out of 8" in lines[scan] and "dynamicpruning" in lines[scan]
 
 
+def test_buckets_of_a_bar_table_grow_with_its_rows():
+    assert B.bar_buckets(0) == B.bar_buckets(600_000) == 2
+    assert B.bar_buckets(216_000_000) == 6 * B.bar_buckets(36_000_000) == 108
+
+
 def test_streams_have_batch_semantics(spark, tmp_path):
     source, table, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
     rows = obs(spark, [(1, 1, 1, 1.0), (2, 2, 2, 2.0)])

@@ -87,6 +87,23 @@ def test_a_merge_shuffles_the_incoming_side_only(spark, tmp_path):
     assert "SelectedBucketsCount: 8 out of 8" in lines[scan] and "dynamicpruning" in lines[scan]
 
 
+def test_an_archive_import_computes_its_rows_once(spark, tmp_path):
+    made, path = spark.sparkContext.accumulator(0), str(tmp_path / "archive")
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    schema = "source_path string, content_sha256 string, row_number long, version string"
+    rows = lambda version, files: spark.createDataFrame([(f"{f}.csv", "h", n, version) for f in files for n in (1, 2)], schema).mapInArrow(counted, schema)
+    B.upsert_archive(rows("old", "abc"), path, buckets=2)
+    B.upsert_archive(rows("new", "bcd"), path, buckets=2)
+    assert made.value == 12
+    got = sorted((r.source_path, r.row_number, r.version) for r in spark.read.parquet(path).collect())
+    assert got == [(f"{f}.csv", n, "old" if f == "a" else "new") for f in "abcd" for n in (1, 2)]
+
+
 def test_buckets_of_a_bar_table_grow_with_its_rows():
     assert B.bar_buckets(0) == B.bar_buckets(600_000) == 2
     assert B.bar_buckets(216_000_000) == 6 * B.bar_buckets(36_000_000) == 108

@@ -152,16 +152,20 @@ def upsert_bars(incoming: DataFrame, path: str, keys: Sequence[str] = BAR_KEY, o
     """Merge into a bucketed table partitioned by month, rewriting only the months that received bars.
 
     A row without a part of its key is refused. New months replace old ones when all are written, so the
-    stored rows are read whole before any is replaced.
+    stored rows are read whole before any is replaced. Incoming rows are shuffled into as many partitions
+    as there are buckets: stored rows stay where they are, and one task writes a bucket, one file a month.
     """
     spark = incoming.sparkSession
     table, merged = merged_bars(incoming, path, keys, order, buckets)
-    kept = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    wanted = {"spark.sql.sources.partitionOverwriteMode": "dynamic", "spark.sql.shuffle.partitions": str(buckets)}
+    kept = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         merged.write.insertInto(table, overwrite=True)
     finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", kept)
+        for name, value in kept.items():
+            spark.conf.set(name, value)
 
 
 # ---- instruments, runs, mirror -----------------------------------------------------------------------

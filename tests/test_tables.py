@@ -87,6 +87,24 @@ def test_a_merge_shuffles_the_incoming_side_only(spark, tmp_path):
     assert "SelectedBucketsCount: 8 out of 8" in lines[scan] and "dynamicpruning" in lines[scan]
 
 
+def test_a_merge_writes_one_file_for_a_bucket_and_month(spark, tmp_path):
+    path, wanted = str(tmp_path / "bars"), {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "5"}
+    kept = {name: spark.conf.get(name) for name in wanted}
+    rows = [bar(m, d, 1.0, 1, f"t{d}") for m in (1, 2) for d in range(1, 29)]
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        for version in (1, 2):
+            B.upsert_bars(spark.createDataFrame([(*r[:4], float(version), dt.datetime(2024, 6, version)) for r in rows], BAR), path, buckets=3)
+            for month in ("2024-01", "2024-02"):
+                assert len(list((tmp_path / "bars" / f"month={month}").glob("*.parquet"))) == 3  # it was one for each of five tasks and bucket
+        assert {name: spark.conf.get(name) for name in wanted} == wanted
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert sorted((r["ticker"], r["ts"], r["close"]) for r in spark.read.parquet(path).collect()) == sorted((r[0], r[1], 2.0) for r in rows)
+
+
 def test_an_archive_import_computes_its_rows_once(spark, tmp_path):
     made, path = spark.sparkContext.accumulator(0), str(tmp_path / "archive")
 

@@ -35,6 +35,24 @@ def test_components_of_random_links(spark):
     assert found == roots({x for p in pairs for x in p}, pairs)
 
 
+def test_few_links_are_joined_by_one_task_and_many_in_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(90)] + [(7, 7), (None, 3)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    pairs = [p for p in pairs if None not in p and p[0] != p[1]]
+    want, jobs = roots({x for p in pairs for x in p}, pairs), []
+    run = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    for once in (1 << 21, 0):
+        monkeypatch.setattr(components, "ONCE", once)
+        before = run()
+        assert {r.id: r.component for r in components.components(links).collect()} == want
+        jobs.append(run() - before)
+    assert jobs[0] < jobs[1] / 2
+    named = components.components(links.selectExpr("CAST(a AS STRING) AS a", "CAST(b AS STRING) AS b"))  # other types go in rounds
+    assert {r.id for r in named.collect()} == {str(i) for i in want}
+    assert components.components(links.limit(0)).count() == 0
+
+
 def test_rounds_of_components_leave_one_table(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     folder = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
@@ -159,6 +177,35 @@ def test_variants_around_the_threshold_equal_brute_force(spark):
     assert {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_texts_without_company_are_not_read_for_every_step(spark):
+    made, rng = spark.sparkContext.accumulator(0), random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(80)]
+    texts += [texts[0] + " and a tail", texts[1] + " and another tail"]
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    groups = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert groups == {i: {80: 0, 81: 1}.get(i, i) for i in range(82)}
+    # names and counts of common shingles, number of rows, signatures, texts to compare, rows without identifier; it was 11 times
+    assert made.value <= 6 * len(texts)
+
+
+def test_similarities_within_a_block_equal_those_of_two(awkward):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 60))) for _ in range(40)] + [r.text or "" for r in awkward.collect()]
+    every = [near_dedup._leveled(t, Weights({})) for t in texts]
+    one, two = near_dedup.similarities(every), near_dedup.similarities(every, every)
+    apart = ~np.eye(len(every), dtype=bool)
+    assert np.allclose(one[apart], two[apart], rtol=0, atol=1e-12)
+    for k in range(0, len(texts), 7):
+        assert all(abs(one[k, m] - weighted_jaccard(texts[k], texts[m], Weights({}))) < 1e-9 for m in range(len(texts)) if m != k)
+
+
 def test_frequencies_of_common_shingles_are_exact(spark):
     rows = [(i, " ".join(["alpha beta gamma delta epsilon"] * (i % 3 > 0)) + f" n{i} m{i} o{i} p{i} q{i}") for i in range(90)]
     docs = spark.createDataFrame(rows, "id long, text string").repartition(7)
